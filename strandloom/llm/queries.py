@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, quality, sharding
+from . import langid, mixing, quality, sharding, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op4_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_docs(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -34,7 +38,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_lpt_shards, op7_quality, op9_mix_sources, op10_language)}
+    return {f.__name__: f for f in (op4_lpt_shards, op5_toxicity, op7_quality, op9_mix_sources, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
