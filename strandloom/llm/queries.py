@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, quality, sharding, toxicity
+from . import decontam, langid, mixing, quality, sharding, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.window_hits(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -38,7 +42,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_lpt_shards, op5_toxicity, op7_quality, op9_mix_sources, op10_language)}
+    return {f.__name__: f for f in (op4_lpt_shards, op5_toxicity, op6_decontaminate, op7_quality, op9_mix_sources, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
