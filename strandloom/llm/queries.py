@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, quality, secrets, sharding, toxicity
+from . import decontam, langid, merkle, mixing, quality, secrets, sharding, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(_docs(spark, sf_dir))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_docs(spark, sf_dir))
 
@@ -46,7 +50,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secrets, op4_lpt_shards, op5_toxicity, op6_decontaminate, op7_quality, op9_mix_sources, op10_language)}
+    return {f.__name__: f for f in (op2_secrets, op4_lpt_shards, op5_toxicity, op6_decontaminate, op7_quality, op8_merkle, op9_mix_sources, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
