@@ -140,8 +140,18 @@ def differing(a: str, b: str) -> list[tuple[int, int]]:
     return [(i, j) for i, s in enumerate(tree(a)) if tuple(s) not in sections for j, p in enumerate(s) if p not in paragraphs]
 
 
+def _shared_start(a: str, b: str) -> int:
+    """Length of the longest common start."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a.startswith(b[:mid]) else (lo, mid - 1)
+    return lo
+
+
 def _results(texts: list[str], nexts: list[str]) -> list[tuple]:
-    """(n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of pairs of neighbours."""
+    """(n_chars, edited_sha256, fingerprint, and of the edited text: root, how many characters its leaves share with the
+    text's from the start, the rest of them; near_edited, near_next) of pairs of neighbours."""
     raw = [t.encode() for t in texts]
     edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts, nexts)]
     edited = [e.encode() for e in edited]
@@ -156,17 +166,19 @@ def _results(texts: list[str], nexts: list[str]) -> list[tuple]:
         codes = [trees.codes(k) for k in range(2 * m + 1)]
         for k in range(m):
             follows = codes[k + 1] if k + 1 < m else codes[2 * m]
+            print_, changed = trees.fingerprint(k), trees.fingerprint(m + k)
+            same = _shared_start(print_[33:], changed[33:])
             out.append((
-                len(texts[i + k]), hashlib.sha256(edited[i + k]).hexdigest(), trees.fingerprint(k), trees.fingerprint(m + k),
+                len(texts[i + k]), hashlib.sha256(edited[i + k]).hexdigest(), print_, changed[:32], same, changed[33 + same :],
                 likeness(codes[k], codes[m + k]), likeness(codes[k], follows),
             ))
         i = j
     return out
 
 
-_NAMES = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-_KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-_FIELDS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = ("n_chars", "edited_sha256", "fingerprint", "edited_root", "same", "edited_rest", "near_edited", "near_next")
+_KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64())
+_FIELDS = ", ".join(f"{n} {k}" for n, k in zip(_NAMES, ("long", "string", "string", "string", "int", "string", "double", "double")))
 
 
 def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,4 +246,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
     pairs = last.join(after, "part").join(first.withColumnRenamed("part", "next_part"), "next_part").select("doc_id", "text", "follows")
     ends = pairs.mapInArrow(_edge_pairs, f"doc_id {id_type}, {_FIELDS}")
-    return done.where("edge is null").select("doc_id", *_NAMES).unionByName(ends)
+    every = done.where("edge is null").select("doc_id", *_NAMES).unionByName(ends)
+    edited = F.expr("concat(edited_root, ':', substring(fingerprint, 34, same), edited_rest)").alias("edited_fingerprint")
+    return every.select("doc_id", "n_chars", "edited_sha256", "fingerprint", edited, "near_edited", "near_next")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -32,7 +33,7 @@ def table(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read again: lineage ends here, whatever executors are lost later."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,3 +56,15 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterable[pa.Reco
                 yield from kernel(batch)
 
     return df.mapInArrow(run, schema)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Within, Arrow batches have so many rows at most: for actions on large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
