@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_map, table
+from .runtime import arrow_map, small_batches, table
 from .textkit import Words, mix, shingle_set, text_slices
 
 SHINGLE = 5
@@ -34,6 +34,8 @@ BATCH = 40
 MISS = 1e-5
 #: Members of a block of a large bucket.
 BLOCK = 256
+#: Pairs of blocks that go to a Python worker at once.
+BLOCK_ROWS = 8
 #: Ids up to this many (16 MB) are broadcast; beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -211,38 +213,71 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return marked.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select(*pairs.columns)
 
 
-def _stray_pairs(members: DataFrame, comp: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) surviving pairs of different components in buckets (key, node, leader) that aren't one component."""
+def _open_members(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, node, comp, stray, size) of buckets (key, node, leader) that aren't one component; strays aren't in the leader's."""
     placed = members.join(comp, "node", "left").select("key", "node", "leader", F.coalesce("comp", "node").alias("comp"))
     placed = table(placed, "dedup-placed")
     main = F.max(F.when(F.col("node") == F.col("leader"), F.col("comp"))).alias("main")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), main, F.count("*").alias("size")).where("lo <> hi")
     mixed = mixed.select("key", "main", "size")
-    rows = placed.join(mixed, "key").select("key", "node", "comp", (F.col("comp") != F.col("main")).alias("stray"), "size")
-    rows = table(rows.join(nodes.select("node", "n", "sig"), "node"), "dedup-stray")
+    return placed.join(mixed, "key").select("key", "node", "comp", (F.col("comp") != F.col("main")).alias("stray"), "size")
+
+
+def _stray_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links between components in open buckets (rows of _open_members with n, sig, keys, set).
+
+    Strays are compared with all members of their bucket, block against block: by signature, then on full sets.
+    A pair is looked at in the first band that it shares only, and not at all once the block has joined its
+    components; so what leaves a block are a few links, however many pairs it has.
+    """
     part = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("size") / BLOCK)).alias("part")
-    member = F.struct("node", "comp", "n", "sig")
+    member = F.struct("node", "comp", "n", "sig", "keys", "set")
     blocks = rows.groupBy("key", part).agg(F.collect_list(member).alias("ys"))
     strays = rows.where("stray").groupBy("key", part).agg(F.collect_list(member).alias("xs")).withColumnRenamed("part", "x_part")
-    facing = strays.join(blocks, "key").select("xs", "ys")
+    facing = strays.join(blocks, "key").select("key", "xs", "ys")
+
+    def side(value: pa.Scalar):
+        fields = value.values.flatten()
+        numbers = [fields[i].to_numpy(zero_copy_only=False) for i in range(3)]
+        return *numbers, _matrix(fields[3]), fields[4].flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS), fields[5]
+
+    def links(key: int, x: pa.Scalar, y: pa.Scalar) -> set[tuple[int, int]]:
+        (xn, xc, xs, xg, xk, xset), (yn, yc, ys, yg, yk, yset) = side(x), side(y)
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        out = set()
+        small, large = np.minimum(xs[:, None], ys[None, :]), np.maximum(xs[:, None], ys[None, :])
+        i, j = np.nonzero((xc[:, None] != yc[None, :]) & (100 * small >= percent * large))
+        for at in range(0, len(i), 1 << 14):
+            p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            alive, matches = surviving(xg[p], yg[q], percent)
+            first = (xk[p[alive]] == yk[q[alive]]).argmax(axis=1)
+            here = xk[p[alive], first] == key
+            alive, matches = alive[here], matches[here]
+            for k in alive[np.argsort(-matches, kind="stable")].tolist():
+                u, v = int(p[k]), int(q[k])
+                c, d = root(int(xc[u])), root(int(yc[v]))
+                if c == d:
+                    continue
+                s, t = np.frombuffer(xset[u].as_buffer(), np.uint64), np.frombuffer(yset[v].as_buffer(), np.uint64)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    joined[max(c, d)] = min(c, d)
+                    out.add((min(int(xn[u]), int(yn[v])), max(int(xn[u]), int(yn[v]))))
+        return out
 
     def kernel(batch: pa.RecordBatch):
-        for x, y in zip(batch.column(0), batch.column(1)):
-            (xn, xc, xs, xg), (yn, yc, ys, yg) = ((*(v.values.field(i).to_numpy(zero_copy_only=False) for i in range(3)), _matrix(v.values.field(3))) for v in (x, y))
-            small, large = np.minimum(xs[:, None], ys[None, :]), np.maximum(xs[:, None], ys[None, :])
-            i, j = np.nonzero((xc[:, None] != yc[None, :]) & (100 * small >= percent * large))
-            for at in range(0, len(i), 1 << 16):
-                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                alive, _ = surviving(xg[p], yg[q], percent)
-                a, b = xn[p[alive]], yn[q[alive]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    def each(batch: pa.RecordBatch):  # a row can hold 2 * BLOCK signatures: a few rows at a time
-        for k in range(batch.num_rows):
-            one = pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(k, 1)]) for c in batch.columns], names=batch.schema.names)
-            yield from kernel(one)
+        for key, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            if found := links(key, x, y):
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return arrow_map(facing, each, "a long, b long").distinct()
+    return arrow_map(facing, kernel, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -273,11 +308,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     comp = components(_confirmed(best, sets, percent))
     rest = likely.join(best, ["a", "b"], "left_anti")
     comp = _merged(comp, _confirmed(_apart(rest, comp), sets, percent))
-    stray = _stray_pairs(members.where("size > 3").select("key", "node", "leader"), comp, nodes, percent)
-    stray = table(_apart(stray.join(likely, ["a", "b"], "left_anti"), comp), "dedup-stray-pairs")
-    more = stray.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
+    still = table(_open_members(members.where("size > 3").select("key", "node", "leader"), comp), "dedup-open")
+    more = still.select("node").distinct().join(sets.select("node"), "node", "left_anti")
     sets = sets.unionByName(table(_sets(docs, table(more, "dedup-more"), shingle), "dedup-more-sets"))
-    comp = _merged(comp, _confirmed(stray, sets, percent))
+    rows = still.join(nodes.select("node", "n", "sig", "keys"), "node").join(sets, "node")
+    with small_batches(docs.sparkSession, BLOCK_ROWS):
+        comp = _merged(comp, table(_stray_links(rows, percent), "dedup-stray-links"))
     named = nodes.select("fp", "node").join(comp, "node", "left").select("fp", F.coalesce("comp", "node").alias("component"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"))
     out = out.join(named, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
