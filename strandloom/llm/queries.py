@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, dedup, langid, merkle, mixing, quality, secrets, sharding, toxicity
+from . import decontam, dedup, langid, merkle, mixing, ngram, quality, secrets, sharding, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(_docs(spark, sf_dir))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.document_scores(_docs(spark, sf_dir))
+
+
 def op4_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_docs(spark, sf_dir))
 
@@ -54,7 +58,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_secrets, op4_lpt_shards, op5_toxicity, op6_decontaminate, op7_quality, op8_merkle, op9_mix_sources, op10_language)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_secrets, op3_lm_score, op4_lpt_shards, op5_toxicity, op6_decontaminate, op7_quality, op8_merkle, op9_mix_sources, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
