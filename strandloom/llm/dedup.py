@@ -165,6 +165,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(joined, kernel, "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The distinct nodes of pairs (a, b); each end is made distinct first."""
+    ends = [pairs.select(F.col(c).alias("node")).distinct() for c in ("a", "b")]
+    return ends[0].unionAll(ends[1]).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for all nodes of the links (a, b), a < b: comp is the smallest node reachable.
 
@@ -172,7 +178,7 @@ def components(links: DataFrame) -> DataFrame:
     again between what they lead to, until none is left. A node's neighbours only meet in partial minima.
     """
     links = table(links.select("a", "b").distinct(), "cc-links")
-    comp = table(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node")), "cc-comp")
+    comp = table(_ends(links).withColumn("comp", F.col("node")), "cc-comp")
     while links.take(1):
         up = links.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("p"))
         for _ in range(2):
@@ -304,7 +310,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     likely = table(_likely(pairs, nodes, percent), "dedup-likely")
     # first each node's likeliest smaller partner; then only pairs that this leaves in different components
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
-    sets = table(_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle), "dedup-sets")
+    sets = table(_sets(docs, table(_ends(likely), "dedup-likely-nodes"), shingle), "dedup-sets")
     comp = components(_confirmed(best, sets, percent))
     rest = likely.join(best, ["a", "b"], "left_anti")
     comp = _merged(comp, _confirmed(_apart(rest, comp), sets, percent))
