@@ -1,6 +1,463 @@
-"""Registered queries of the engine's own operators and their SQL."""
+"""Registered queries of the engine's own operators, and SQL with the same rows.
+
+Documents stand for reads and their source for the sample. k-mer bins in these queries are integer sums, which
+any engine computes alike; the complex hyperplanes are used by ``plans.pipeline``.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.kmer import bin_counts, canonical_bin, coefficients, hamming, mate_id, pair_key, read_base_id, reverse_complement, trimmed_length
+from ..operators import abundance, cluster, pairs, partition, reports, spectral
+
+K, BITS = 8, 20
+#: Spokes of the integer hyperplanes; their coefficients come from a linear congruential sequence.
+SPOKES = 8
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# k-mer abundance ---------------------------------------------------------------------------------------------
+
+_BIN = "(" + " + ".join(f"u[i+{j}]*{c}" for j, c in enumerate(coefficients(K, BITS))) + f") % {1 << BITS}"
+_KMERS = f"""kmers AS (
+  SELECT sample, doc_id, unnest(list_transform(range(1, len(u) - {K} + 2), lambda i: CAST({_BIN} AS BIGINT))) AS bin
+  FROM (SELECT source AS sample, doc_id, list_transform(string_split(text, ''), lambda x: unicode(x)) AS u FROM documents))"""
+_COUNTS = f"{_KMERS}, counts AS (SELECT sample, bin, CAST(least(count(*), 65535) AS BIGINT) AS cnt FROM kmers GROUP BY ALL)"
+_WEIGHTS = (
+    f"{_COUNTS}, weights AS (SELECT bin, count(*) AS df, log2(((SELECT count(DISTINCT sample) FROM counts) + 2) / (count(*) + 1)) AS gw"
+    " FROM counts GROUP BY bin)"
+)
+_CONDITIONED = (
+    f"{_WEIGHTS}, norms AS (SELECT sample, sqrt(sum(CAST(cnt AS DOUBLE) * cnt) / {1 << BITS}) AS norm FROM counts GROUP BY sample),"
+    " conditioned AS (SELECT c.sample, c.bin, c.cnt * w.gw / n.norm AS x FROM counts c JOIN weights w USING (bin) JOIN norms n USING (sample))"
+)
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return abundance.saturated(bin_counts(docs, "source", "text", K, BITS).withColumnRenamed("source", "sample"))
+
+
+def _conditioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _counts(spark, sf_dir)
+    return abundance.conditioned(counts, abundance.idf_weights(counts), BITS)
+
+
+@query(f"WITH {_COUNTS} SELECT sample, bin, cnt FROM counts")
+def kmer_bin_counts(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+@query(f"WITH {_COUNTS} SELECT sample, count(*) AS n_bins, CAST(sum(cnt) AS BIGINT) AS n_kmers FROM counts GROUP BY sample")
+def sample_kmer_summary(spark, sf_dir):
+    return abundance.sample_summary(_counts(spark, sf_dir))
+
+
+@query(f"WITH {_WEIGHTS} SELECT bin, df, round(gw, 9) AS gw FROM weights")
+def idf_weights(spark, sf_dir):
+    return abundance.idf_weights(_counts(spark, sf_dir)).withColumn("gw", F.round("gw", 9))
+
+
+@query(
+    f"WITH {_COUNTS}, n AS (SELECT count(DISTINCT sample) AS n FROM counts), p AS (SELECT bin, cnt / sum(cnt) OVER (PARTITION BY bin) AS p FROM counts)"
+    " SELECT bin, round(1 + sum(p * ln(p)) / ln((SELECT n FROM n)), 6) + 0.0 AS gw FROM p GROUP BY bin"
+)
+def entropy_weights(spark, sf_dir):
+    return abundance.entropy_weights(_counts(spark, sf_dir)).withColumn("gw", F.round("gw", 6) + F.lit(0.0))
+
+
+@query(f"WITH {_CONDITIONED} SELECT sample, bin, round(x, 6) AS x FROM conditioned")
+def conditioned_matrix(spark, sf_dir):
+    return _conditioned(spark, sf_dir).withColumn("x", F.round("x", 6))
+
+
+@query(
+    f"WITH {_CONDITIONED} SELECT a.sample AS sample_i, b.sample AS sample_j, round(sum(a.x * b.x) / {1 << BITS}, 6) AS g"
+    " FROM conditioned a JOIN conditioned b ON a.bin = b.bin AND a.sample <= b.sample GROUP BY ALL"
+)
+def gram_matrix(spark, sf_dir):
+    return spectral.gram(_conditioned(spark, sf_dir)).withColumn("g", F.round(F.col("g") / (1 << BITS), 6))
+
+
+@query()
+def svd_spectrum(spark, sf_dir):
+    _, _, s = spectral.eigenspace(spectral.gram(_conditioned(spark, sf_dir)))
+    return spark.createDataFrame([(i, round(float(x), 4)) for i, x in enumerate(s)], "dim int, sigma double")
+
+
+# strands and trimming ----------------------------------------------------------------------------------------
+
+_PLANES = []
+_state = 12345
+for _ in range(SPOKES):
+    _row = []
+    for _ in range(2 * K + 1):
+        _state = (_state * 1103515245 + 12345) % (1 << 31)
+        _row.append((_state >> 16) % 19 - 9)
+    _PLANES.append(_row)
+_LETTERS, _TO_BASES = "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26]
+
+
+def _plane_sum(re: Callable[[int], str], im: Callable[[int], str]) -> str:
+    """Sum over spokes of 2**s where the product with plane s is over its offset."""
+    terms = []
+    for s, plane in enumerate(_PLANES):
+        total = " + ".join(f"{re(j)}*({plane[2 * j]}) + {im(j)}*({plane[2 * j + 1]})" for j in range(K))
+        terms.append(f"CASE WHEN {total} > {plane[-1]} THEN {1 << s} ELSE 0 END")
+    return " + ".join(terms)
+
+
+_STRAND_SQL = f"""
+WITH dna AS (SELECT item_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{_LETTERS}', '{_TO_BASES}') AS seq FROM benchmark),
+codes AS (SELECT item_id,
+    list_transform(string_split(seq, ''), lambda x: CASE x WHEN 'A' THEN -1 WHEN 'T' THEN 1 ELSE 0 END) AS re,
+    list_transform(string_split(seq, ''), lambda x: CASE x WHEN 'C' THEN -1 WHEN 'G' THEN 1 ELSE 0 END) AS im FROM dna),
+places AS (SELECT item_id, re, im, unnest(range(1, len(re) - {K} + 2)) AS i FROM codes),
+both_strands AS (SELECT item_id, i AS pos,
+    {_plane_sum(lambda j: f"re[i+{j}]", lambda j: f"im[i+{j}]")} AS fwd,
+    {_plane_sum(lambda j: f"-re[i+{K - 1 - j}]", lambda j: f"-im[i+{K - 1 - j}]")} AS back FROM places)
+SELECT item_id, CAST(pos AS BIGINT) AS pos, CAST(fwd AS BIGINT) AS fwd, CAST(back AS BIGINT) AS back,
+       CAST(CASE WHEN fwd % 1000000 <= back % 1000000 THEN fwd ELSE back END AS BIGINT) AS bin FROM both_strands
+"""
+
+
+@query(_STRAND_SQL)
+def canonical_strand(spark, sf_dir):
+    bench = _t(spark, sf_dir, "benchmark")
+    dna = bench.select("item_id", F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _LETTERS, _TO_BASES).alias("seq"))
+    base = lambda minus, plus: F.transform(F.split("seq", ""), lambda x: F.when(x == minus, -1).when(x == plus, 1).otherwise(0))
+    rows = dna.where(F.length("seq") >= K).select("item_id", base("A", "T").alias("re"), base("C", "G").alias("im"), F.posexplode(F.sequence(F.lit(1), F.length("seq") - K + 1)).alias("at", "i"))
+    fwd = F.expr(_plane_sum(lambda j: f"re[i+{j - 1}]", lambda j: f"im[i+{j - 1}]")).cast("long")
+    back = F.expr(_plane_sum(lambda j: f"-re[i+{K - 2 - j}]", lambda j: f"-im[i+{K - 2 - j}]")).cast("long")
+    rows = rows.select("item_id", F.col("i").cast("long").alias("pos"), fwd.alias("fwd"), back.alias("back"))
+    return rows.withColumn("bin", canonical_bin(F.col("fwd"), F.col("back")))
+
+
+@query("""
+WITH dna AS (SELECT item_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM benchmark)
+SELECT item_id, translate(reverse(seq), 'ACGT', 'TGCA') AS rc,
+       CAST(list_sum(list_transform(range(1, len(seq) + 1), lambda i: CASE WHEN seq[i] <> reverse(seq)[i] THEN 1 ELSE 0 END)) AS INTEGER) AS away FROM dna WHERE len(seq) > 0
+""")
+def reverse_complements(spark, sf_dir):
+    bench = _t(spark, sf_dir, "benchmark")
+    dna = bench.select("item_id", F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _LETTERS, _TO_BASES).alias("seq")).where("length(seq) > 0")
+    return dna.select("item_id", reverse_complement(F.col("seq")).alias("rc"), hamming(F.col("seq"), F.reverse("seq")).alias("away"))
+
+
+@query(f"""
+WITH codes AS (SELECT doc_id, length(text) AS n, list_transform(string_split(text, ''), lambda x: unicode(x) - 33) AS q FROM documents),
+bad AS (SELECT doc_id, n, list_filter(range({K - 1}, n), lambda i: q[i + 1] < 3) AS b FROM codes)
+SELECT doc_id, CAST(CASE WHEN len(b) >= 3 THEN b[3] + 1 ELSE n END AS BIGINT) AS kept FROM bad
+""")
+def quality_trim(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", trimmed_length(F.col("text"), K).cast("long").alias("kept"))
+
+
+# clusters of vectors -----------------------------------------------------------------------------------------
+
+_NEAR, _LOOSE = 0.1, 0.05
+_CENTRES = """means AS (SELECT label AS cluster, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings),
+cells AS (SELECT cluster, dim, avg(v) AS v FROM means GROUP BY ALL),
+centres AS (SELECT cluster, list(v ORDER BY dim) AS c FROM cells GROUP BY cluster),
+sizes AS (SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY label)"""
+_DIST = "1 - list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b}))"
+_MEMBERS = f"""{_CENTRES}, dists AS (
+  SELECT vec_id AS bin, cluster, {_DIST.format(a="list_transform(embedding, lambda x: x::DOUBLE)", b="c")} AS dist FROM embeddings, centres),
+members AS (SELECT bin, cluster, CAST(row_number() OVER (PARTITION BY bin ORDER BY dist, cluster) AS INTEGER) AS rank, dist FROM dists
+            WHERE dist < 1 - {_NEAR} QUALIFY rank <= 5)"""
+_VEC_WEIGHTS = "vec_weights AS (SELECT vec_id AS bin, log2(2 + vec_id % 10) AS gw FROM embeddings)"
+
+
+def _vectors(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("bin"), F.col("embedding").alias("vec"), F.col("label").alias("cluster"))
+
+
+def _centres(vectors: DataFrame) -> DataFrame:
+    cells = vectors.select("cluster", F.posexplode("vec").alias("dim", "v")).groupBy("cluster", "dim").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    c = cells.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("dim", "v")))["v"].alias("c"))
+    return c.join(vectors.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
+
+
+def _members(spark, sf_dir):
+    vectors = _vectors(spark, sf_dir)
+    centres = [(r["cluster"], r["c"]) for r in _centres(vectors).select("cluster", "c").collect()]
+    return cluster.assign_nearest(vectors, centres, _NEAR)
+
+
+def _vec_weights(spark, sf_dir):
+    return _vectors(spark, sf_dir).select("bin", F.log2(2 + F.col("bin") % 10).alias("gw"))
+
+
+@query(f"WITH {_MEMBERS} SELECT bin, cluster, rank, round(dist, 6) AS dist FROM members")
+def cosine_top5_assign(spark, sf_dir):
+    return _members(spark, sf_dir).withColumn("dist", F.round("dist", 6))
+
+
+@query(
+    f"WITH {_CENTRES}, full_centres AS (SELECT * FROM centres JOIN sizes USING (cluster)),"
+    f" near_pairs AS (SELECT a.cluster AS i, b.cluster AS j, {_DIST.format(a='a.c', b='b.c')} AS dist, CASE WHEN a.n < b.n THEN a.cluster ELSE b.cluster END AS loser"
+    f" FROM full_centres a JOIN full_centres b ON a.cluster < b.cluster)"
+    f" SELECT i, j, round(dist, 6) AS dist, loser FROM near_pairs WHERE dist < 1 - {_LOOSE}"
+)
+def centroid_collapse_pairs(spark, sf_dir):
+    return cluster.near_pairs(_centres(_vectors(spark, sf_dir)), _LOOSE).withColumn("dist", F.round("dist", 6))
+
+
+@query(f"WITH {_MEMBERS} SELECT bin, array_to_string(list_sort(list(cluster)), ',') AS clusters FROM members GROUP BY bin")
+def cluster_inversion(spark, sf_dir):
+    return cluster.inverted(_members(spark, sf_dir)).withColumn("clusters", F.array_join(F.col("clusters").cast("array<string>"), ","))
+
+
+@query(
+    f"WITH {_MEMBERS}, {_VEC_WEIGHTS}, total AS (SELECT sum(gw) + ({1 << BITS}::DOUBLE - count(*)) * log2(22) AS total FROM vec_weights)"
+    " SELECT cluster, count(*) AS size, round(sum(gw) / (SELECT total FROM total), 12) AS prob FROM members JOIN vec_weights USING (bin) GROUP BY cluster"
+)
+def cluster_priors(spark, sf_dir):
+    found = cluster.cluster_priors(_members(spark, sf_dir), _vec_weights(spark, sf_dir), 20, BITS)
+    return found.withColumn("prob", F.round("prob", 12))
+
+
+@query()
+def leader_clusters(spark, sf_dir):
+    found = cluster.leader_clusters(_vectors(spark, sf_dir), 0.3)
+    return spark.createDataFrame([(i, n, c) for i, c, n in found], "cluster int, n long, c array<double>")
+
+
+# reads to clusters -------------------------------------------------------------------------------------------
+# A bin belongs to the cluster of the sample that has more than half of it; clusters are numbered by sample name.
+
+_READ_SQL = f"""{_WEIGHTS},
+numbered AS (SELECT sample, CAST(row_number() OVER (ORDER BY sample) - 1 AS INTEGER) AS cluster FROM (SELECT DISTINCT sample FROM counts)),
+owned AS (SELECT bin, sample FROM (SELECT bin, sample, cnt, sum(cnt) OVER (PARTITION BY bin) AS t FROM counts) WHERE cnt * 2 > t),
+bin_members AS (SELECT bin, cluster FROM owned JOIN numbered USING (sample)),
+stats AS (SELECT cluster, count(*) AS size,
+          sum(gw) / ((SELECT sum(gw) + ({1 << BITS}::DOUBLE - count(*)) * log2((SELECT count(*) FROM numbered) + 2) FROM weights)) AS prob
+          FROM bin_members JOIN weights USING (bin) GROUP BY cluster),
+read_kmers AS (SELECT doc_id AS read, bin, count(*) AS n FROM kmers GROUP BY ALL)"""
+_RATIO = (
+    "ln(sqrt(m * prob * (1 - prob)) / sqrt(m * 0.8 * (1 - 0.8))) + 0.5 * (pow(s - m * prob, 2) / (m * prob * (1 - prob)) - pow(s - m * 0.8, 2) / (m * 0.8 * (1 - 0.8)))"
+)
+_BEST = f"""{_READ_SQL},
+per_cluster AS (SELECT read, cluster, sum(n * gw) AS s FROM read_kmers JOIN bin_members USING (bin) JOIN weights USING (bin) GROUP BY ALL),
+evidence AS (SELECT read, cluster, s, sum(s) OVER (PARTITION BY read) AS m FROM per_cluster),
+rated AS (SELECT read, cluster, {_RATIO} AS llr FROM evidence JOIN stats USING (cluster) WHERE s > m * prob),
+best AS (SELECT read, cluster, llr FROM rated WHERE llr > 3.84 QUALIFY row_number() OVER (PARTITION BY read ORDER BY llr DESC, cluster DESC) = 1)"""
+_OLDER = f"""{_READ_SQL},
+totals AS (SELECT read, sum(n * gw) AS m FROM read_kmers JOIN weights USING (bin) GROUP BY read),
+parts AS (SELECT read, cluster, sum(gw) AS s FROM read_kmers JOIN bin_members USING (bin) JOIN weights USING (bin) GROUP BY ALL),
+found AS (SELECT read, cluster, {_RATIO} AS llr FROM parts JOIN totals USING (read) JOIN stats USING (cluster)
+          WHERE s > m * prob AND size < 0.2 * {1 << BITS} AND prob > 0.00002)"""
+
+
+def _read_tables(spark, sf_dir):
+    counts = _counts(spark, sf_dir)
+    weights = abundance.idf_weights(counts)
+    names = sorted(r[0] for r in counts.select("sample").distinct().collect())
+    numbers = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
+    # the owner has more than half: no tie, and no window over a bin's samples
+    owned = counts.groupBy("bin").agg(F.max(F.struct("cnt", "sample")).alias("top"), F.sum("cnt").alias("t")).where("top.cnt * 2 > t")
+    members = owned.select("bin", numbers[F.col("top.sample")].alias("cluster"))
+    stats = cluster.cluster_priors(members, weights, len(names), BITS)
+    kmers = bin_counts(_t(spark, sf_dir, "documents"), "doc_id", "text", K, BITS).select(F.col("doc_id").alias("read"), "bin", F.col("cnt").alias("n"))
+    return kmers, members, weights, stats
+
+
+def _best(spark, sf_dir):
+    kmers, members, weights, stats = _read_tables(spark, sf_dir)
+    return partition.best_cluster(partition.read_evidence(kmers, members, weights), stats)
+
+
+@query(f"WITH {_BEST} SELECT read, cluster, round(llr, 2) AS llr FROM best")
+def read_llr_partition(spark, sf_dir):
+    return _best(spark, sf_dir).withColumn("llr", F.round("llr", 2))
+
+
+@query(f"WITH {_OLDER} SELECT read, cluster, round(llr, 2) AS llr FROM found WHERE llr > 3.84")
+def membership_all(spark, sf_dir):
+    return partition.memberships(*_read_tables(spark, sf_dir), BITS).withColumn("llr", F.round("llr", 2))
+
+
+@query(
+    f"WITH {_OLDER} SELECT read, cluster, round(llr, 2) AS llr FROM found WHERE llr > 3.84"
+    " QUALIFY row_number() OVER (PARTITION BY read ORDER BY llr DESC, CAST(cluster AS VARCHAR) DESC) = 1"
+)
+def membership_best(spark, sf_dir):
+    return partition.best_membership(partition.memberships(*_read_tables(spark, sf_dir), BITS)).withColumn("llr", F.round("llr", 2))
+
+
+@query(
+    f"WITH {_BEST}, marked AS (SELECT b.cluster, coalesce(l.toxic, 0) = 1 AS spike FROM best b LEFT JOIN labels l ON l.doc_id = b.read)"
+    " SELECT cluster, count(*) FILTER (spike) AS spiked, count(*) AS total, CAST(floor(count(*) FILTER (spike) * 100 / count(*)) AS BIGINT) AS pct"
+    " FROM marked GROUP BY cluster ORDER BY spiked DESC, cluster LIMIT 5"
+)
+def spike_enrichment_top5(spark, sf_dir):
+    labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("read"), "toxic")
+    return partition.spike_report(_best(spark, sf_dir).join(labels, "read", "left"), F.coalesce(F.col("toxic"), F.lit(0)) == 1)
+
+
+# pairs -------------------------------------------------------------------------------------------------------
+
+_MATES = "mates AS (SELECT conv_id, turn, CAST(turn % 2 + 1 AS INTEGER) AS mate, text FROM conversations)"
+
+
+def _mates(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") % 2 + 1).cast("int").alias("mate"), "text")
+
+
+@query(
+    "SELECT conv_id, turn, coalesce(lag(conv_id) OVER w = conv_id, false) OR coalesce(lead(conv_id) OVER w = conv_id, false) AS paired"
+    " FROM conversations WINDOW w AS (PARTITION BY role ORDER BY conv_id * 1000 + turn)"
+)
+def mate_pairing(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").withColumn("at", F.col("conv_id") * 1000 + F.col("turn"))
+    return pairs.neighbours_paired(rows, ["role"], "at", "conv_id").select("conv_id", "turn", "paired")
+
+
+@query(
+    f"WITH {_MATES} SELECT conv_id, CASE WHEN count(*) FILTER (mate = 1) > 0 AND count(*) FILTER (mate = 2) > 0 THEN 'pair' ELSE 'single' END AS kind,"
+    " count(*) FILTER (mate = 1) AS n1, count(*) FILTER (mate = 2) AS n2 FROM mates GROUP BY conv_id"
+)
+def mate_split(spark, sf_dir):
+    return pairs.split_mates(_mates(spark, sf_dir), "conv_id", "mate")
+
+
+@query(
+    f"WITH {_MATES}, both_in AS (SELECT conv_id FROM mates GROUP BY conv_id HAVING count(DISTINCT mate) = 2) SELECT conv_id, turn, mate FROM mates WHERE conv_id IN (SELECT conv_id FROM both_in)"
+)
+def mate_repair(spark, sf_dir):
+    rows = _mates(spark, sf_dir).select("conv_id", "turn", "mate")
+    return pairs.repaired(rows.where("mate = 1"), rows.where("mate = 2"), "conv_id")
+
+
+@query(
+    f"WITH {_MATES}, both_in AS (SELECT conv_id FROM mates GROUP BY conv_id HAVING count(DISTINCT mate) = 2),"
+    " c AS (SELECT count(*) FILTER (mate = 1) AS n1, count(*) FILTER (mate = 2) AS n2, count(*) FILTER (mate = 1 AND conv_id IN (SELECT conv_id FROM both_in)) AS kept1,"
+    " count(*) FILTER (mate = 2 AND conv_id IN (SELECT conv_id FROM both_in)) AS kept2 FROM mates)"
+    " SELECT *, kept1 > 0.9 * n1 AND kept2 > 0.9 * n2 AS accepted FROM c"
+)
+def mate_repair_ratio(spark, sf_dir):
+    rows = _mates(spark, sf_dir)
+    return pairs.repair_ratio(rows.where("mate = 1"), rows.where("mate = 2"), "conv_id")
+
+
+@query(f"WITH {_MATES} SELECT conv_id, turn, mate FROM mates ORDER BY conv_id, mate, turn")
+def interleave(spark, sf_dir):
+    rows = _mates(spark, sf_dir).select("conv_id", "turn", "mate")
+    return pairs.interleaved(rows.where("mate = 1").drop("mate"), rows.where("mate = 2").drop("mate"), "conv_id")
+
+
+@query(
+    "SELECT conv_id, turn, '@c' || conv_id || '/' || (turn % 2 + 1) AS base_id, '@c' || conv_id || '/' AS pair, '@c' || conv_id || '/' || (2 - turn % 2) AS mate,"
+    " '@c' || conv_id AS lone FROM conversations"
+)
+def read_ids(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations")
+    raw = F.concat(F.lit("@c"), F.col("conv_id"), F.lit("/"), F.col("turn") % 2 + 1, F.lit(" length="), F.length("text"))
+    base = read_base_id(raw, 2)
+    return rows.select("conv_id", "turn", base.alias("base_id"), pair_key(base).alias("pair"), mate_id(base).alias("mate"), F.substring_index(base, "/", 1).alias("lone"))
+
+
+@query(f"""
+WITH texts AS (SELECT item_id, text, list_transform(string_split(text, ''), lambda x: unicode(x)) AS u FROM benchmark),
+places AS (SELECT text, u, unnest(range(1, len(u) - {K} + 2)) AS i FROM texts),
+km AS (SELECT {_BIN.replace(str(1 << BITS), str(1 << 12))} AS bin, substr(text, i, {K}) AS kmer, count(*) AS n FROM places GROUP BY ALL),
+p AS (SELECT 0 AS distance, CAST(n * (n - 1) // 2 AS BIGINT) AS p FROM km UNION ALL
+      SELECT least(CAST(list_sum(list_transform(range(1, {K + 1}), lambda j: CASE WHEN a.kmer[j] <> b.kmer[j] THEN 1 ELSE 0 END)) AS INTEGER), {K - 1}), a.n * b.n
+      FROM km a JOIN km b ON a.bin = b.bin AND a.kmer < b.kmer)
+SELECT CAST(distance AS INTEGER) AS distance, CAST(sum(p) AS BIGINT) AS n_pairs FROM p GROUP BY distance HAVING sum(p) > 0
+""")
+def collision_histogram(spark, sf_dir):
+    bench = _t(spark, sf_dir, "benchmark").where(F.length("text") >= K)
+    rows = bench.select("text", F.split("text", "").alias("chars"), F.explode(F.sequence(F.lit(1), F.length("text") - K + 1)).alias("i"))
+    total = sum((F.ascii(F.col("chars")[F.col("i") + (j - 1)]).cast("long") * c for j, c in enumerate(coefficients(K, BITS))), F.lit(0))
+    kmers = rows.select((total % (1 << 12)).alias("bin"), F.col("text").substr(F.col("i"), F.lit(K)).alias("kmer"))
+    return pairs.collision_histogram(kmers.groupBy("bin", "kmer").agg(F.count("*").alias("n")), K)
+
+
+# reports -----------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH run AS (SELECT source, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC RANGE UNBOUNDED PRECEDING) AS run, sum(n_chars) OVER (PARTITION BY source) AS total FROM documents)
+SELECT source, count(*) AS n, CAST(max(total) AS BIGINT) AS total, max(n_chars) AS longest, max(n_chars) FILTER (run > total // 2) AS n50 FROM run GROUP BY source
+""")
+def n50_by_group(spark, sf_dir):
+    return reports.n50(_t(spark, sf_dir, "documents"), "source", "n_chars")
+
+
+@query("""
+WITH ranked AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, min(value) AS lo, max(value) AS hi, max(value) FILTER (r = n // 2 + 1) AS mid FROM ranked GROUP BY event_type
+""")
+def log_min_max_median(spark, sf_dir):
+    return reports.spread(_t(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query(
+    "SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY source"
+)
+def abundance_pivot(spark, sf_dir):
+    return reports.pivot_counts(_t(spark, sf_dir, "documents"), "source", "lang", ["de", "en", "es", "fr"])
+
+
+@query("""
+WITH sums AS (SELECT l_returnflag, split_part(p_name, ' ', 1) AS name, sum(l_quantity) AS total FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+shares AS (SELECT *, total / sum(total) OVER (PARTITION BY l_returnflag) AS share FROM sums)
+SELECT l_returnflag, name, round(total, 2) AS total, round(share, 9) AS share, CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY round(total, 2) DESC, name) AS INTEGER) AS rank
+FROM shares QUALIFY rank <= 10
+""")
+def name_share_top(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part").select("p_partkey", F.substring_index("p_name", " ", 1).alias("name")), F.col("l_partkey") == F.col("p_partkey"))
+    shares = reports.share_of_group(rows, ["l_returnflag"], "name", "l_quantity").withColumn("total", F.round("total", 2)).withColumn("share", F.round("share", 9))
+    return reports.top_per_group(shares, "l_returnflag", [F.desc("total"), F.col("name")], 10)
+
+
+@query("""
+SELECT s.s_suppkey, s.s_name, coalesce(n.n_name, '') AS nation, coalesce(l.n_items, 0) AS n_items, coalesce(l.quantity, 0) AS quantity
+FROM supplier s LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey
+LEFT JOIN (SELECT l_suppkey, count(*) AS n_items, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_suppkey) l ON l.l_suppkey = s.s_suppkey
+""")
+def partition_report(spark, sf_dir):
+    items = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n_items"), F.sum("l_quantity").alias("quantity"))
+    nations = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("nation"))
+    base = _t(spark, sf_dir, "supplier")
+    out = reports.left_report(base, (nations, "s_nationkey", {"nation": ""}), (items, "s_suppkey", {"n_items": 0, "quantity": 0.0}))
+    return out.select("s_suppkey", "s_name", "nation", "n_items", "quantity")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)")
+def unprocessed_anti(spark, sf_dir):
+    done = _t(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return reports.unprocessed(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), done, "c_custkey")
+
+
+@query("""
+WITH RECURSIVE spans AS (SELECT source AS sample, CAST(avg(n_chars) AS DOUBLE) AS lo, CAST(avg(n_chars) + 150 AS DOUBLE) AS hi FROM documents GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY lo, hi, sample) AS r FROM spans),
+walk AS (SELECT r, sample, 0 AS lib, hi AS edge FROM o WHERE r = 1 UNION ALL
+         SELECT o.r, o.sample, CASE WHEN o.lo > w.edge THEN w.lib + 1 ELSE w.lib END, CASE WHEN o.lo > w.edge THEN o.hi ELSE w.edge END FROM walk w JOIN o ON o.r = w.r + 1)
+SELECT CAST(lib AS INTEGER) AS lib, sample FROM walk
+""")
+def library_grouping(spark, sf_dir):
+    mean = F.avg("n_chars")
+    return reports.library_groups(_t(spark, sf_dir, "documents").groupBy(F.col("source").alias("sample")).agg(mean.alias("lo"), (mean + 150).alias("hi")))
