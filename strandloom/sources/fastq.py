@@ -124,5 +124,5 @@ def read_job_logs(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = text.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     pattern = r"^\s*([A-Za-z][A-Za-z ]*?)\s*:\s*(-?[0-9.]+)"
-    rows = lines.select("path", "line_no", F.regexp_extract("line", pattern, 1).alias("metric"), F.expr(rf"try_cast(regexp_extract(line, '{pattern}', 2) as double)").alias("v"))
+    rows = lines.select("path", "line_no", F.regexp_extract("line", pattern, 1).alias("metric"), F.regexp_extract("line", pattern, 2).try_cast("double").alias("v"))
     return rows.where("metric <> '' and v is not null").groupBy("path", "metric").agg(F.max_by("v", "line_no").alias("value"))
