@@ -26,7 +26,11 @@ DIM = 16
 SAMPLE_ROWS = 6000
 WINDOW = 600
 EPOCHS = 6
+#: Steps of descent at least: small samples are gone through more often.
+LEAST_STEPS = 600
 RATE = 0.4
+#: Weights stay within this bound, on samples too small for the rate too.
+BOUND = 50.0
 #: Share of known-language rows that the rejection level may refuse.
 REFUSED = 0.001
 
@@ -106,8 +110,10 @@ def fit(texts: list[str], langs: list[str], seed: int = 11) -> LangModel:
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     out = np.zeros((DIM, n_lang))
     bias = np.zeros(n_lang)
-    steps, step = EPOCHS * -(-len(used) // 32), 0
-    for _ in range(EPOCHS):
+    batches = max(1, -(-len(used) // 32))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches)) if len(used) else 0
+    steps, step = epochs * batches, 0
+    for _ in range(epochs):
         for at in range(0, len(used), 32):
             rate = RATE * (1 - step / max(1, steps))
             step += 1
@@ -129,7 +135,8 @@ def fit(texts: list[str], langs: list[str], seed: int = 11) -> LangModel:
             spread = np.repeat(np.arange(len(batch)), sizes)
             for d in range(DIM):
                 grad[:, d] = np.bincount(inverse, weights=back[spread, d], minlength=len(rows))
-            emb[rows] -= rate * DIM * grad
+            emb[rows] = np.clip(emb[rows] - rate * DIM * grad, -BOUND, BOUND)
+            np.clip(out, -BOUND, BOUND, out=out)
     table = np.zeros((BUCKETS + 1, n_lang), dtype=np.float32)
     table[:BUCKETS] = emb @ out
     model = LangModel(names, table, bias)
@@ -146,7 +153,9 @@ def fit(texts: list[str], langs: list[str], seed: int = 11) -> LangModel:
         model.temperature = float(grid[int(np.argmin(losses))])
         pred, conf = model.predict(blob, offsets)
         right = conf[pred == y[held]]
-        model.reject_below = float(min(np.quantile(right, REFUSED), 0.5)) if len(right) else 0.0
+        # too few rows to tell so small a share: nothing is refused for its probability
+        if len(right) >= 1 / REFUSED:
+            model.reject_below = float(min(np.quantile(right, REFUSED), 0.5))
     return model
 
 
