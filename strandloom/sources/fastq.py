@@ -89,7 +89,7 @@ def clean_bases(seq: Column) -> Column:
 def read_fasta_lengths(spark: SparkSession, path: str) -> DataFrame:
     """Contig lengths from FASTA headers: the fourth token when ``_`` counts as a blank."""
     lines = spark.read.text(path).where("value like '>%'")
-    return lines.select(F.expr("try_cast(split(replace(value, '_', ' '), ' ')[3] as int)").alias("length")).where("length is not null")
+    return lines.select(F.expr("try_cast(get(split(replace(value, '_', ' '), ' '), 3) as int)").alias("length")).where("length is not null")
 
 
 def read_blast(spark: SparkSession, path: str) -> DataFrame:
