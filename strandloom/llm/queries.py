@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, dedup, langid, merkle, mixing, ngram, quality, secrets, sharding, toxicity
+from .oracles import ORACLES
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix_sources": mixing.MIX_SQL}
+    return dict(ORACLES)
