@@ -91,6 +91,29 @@ def conditioned_matrix(spark, sf_dir):
     return _conditioned(spark, sf_dir).withColumn("x", F.round("x", 6))
 
 
+@query(f"WITH {_WEIGHTS} SELECT c.sample, c.bin, round(ln(c.cnt + 1) * w.gw, 6) AS x FROM counts c JOIN weights w USING (bin)")
+def log_conditioned_matrix(spark, sf_dir):
+    counts = _counts(spark, sf_dir)
+    return abundance.log_conditioned(counts, abundance.idf_weights(counts)).withColumn("x", F.round("x", 6))
+
+
+@query(f"WITH {_COUNTS} SELECT bin FROM counts GROUP BY bin HAVING sum(cnt) > 0 AND bin NOT IN (SELECT bin FROM counts WHERE sample = 'src0')")
+def masked_bins(spark, sf_dir):
+    counts = _counts(spark, sf_dir)
+    return abundance.nonzero_bins(abundance.masked(counts, counts.where("sample = 'src0'").select("bin")))
+
+
+@query(
+    f"WITH {_COUNTS}, n AS (SELECT count(DISTINCT sample) AS n FROM counts), per_bin AS (SELECT bin, count(*) AS df FROM counts GROUP BY bin)"
+    " SELECT df, count(*) AS n_bins, df <= (SELECT n FROM n) AS possible FROM per_bin GROUP BY df"
+)
+def frequency_spectrum(spark, sf_dir):
+    counts = _counts(spark, sf_dir)
+    n = counts.select("sample").distinct().agg(F.count("*").alias("n"))
+    spectrum = abundance.idf_weights(counts).groupBy("df").agg(F.count("*").alias("n_bins"))
+    return spectrum.crossJoin(F.broadcast(n)).select("df", "n_bins", (F.col("df") <= F.col("n")).alias("possible"))
+
+
 @query(
     f"WITH {_CONDITIONED} SELECT a.sample AS sample_i, b.sample AS sample_j, round(sum(a.x * b.x) / {1 << BITS}, 6) AS g"
     " FROM conditioned a JOIN conditioned b ON a.bin = b.bin AND a.sample <= b.sample GROUP BY ALL"
@@ -420,6 +443,29 @@ def abundance_pivot(spark, sf_dir):
     return reports.pivot_counts(_t(spark, sf_dir, "documents"), "source", "lang", ["de", "en", "es", "fr"])
 
 
+@query("SELECT lang, count(*) AS count, round(count(*) * 100 / sum(count(*)) OVER (), 6) AS pct FROM documents GROUP BY lang")
+def normalised_profile(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").withColumn("all", F.lit(0)).withColumn("one", F.lit(1))
+    shares = reports.share_of_group(rows, ["all"], "lang", "one")
+    return shares.select("lang", F.col("total").alias("count"), F.round(F.col("share") * 100, 6).alias("pct"))
+
+
+@query(
+    "SELECT source, lang, count(*) AS n, CAST(row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS INTEGER) AS rank FROM documents GROUP BY ALL"
+    " QUALIFY rank = 1"
+)
+def first_name_per_partition(spark, sf_dir):
+    n = _t(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return reports.top_per_group(n, "source", [F.desc("n"), F.col("lang")], 1)
+
+
+@query("SELECT split_part(c.c_name, '#', 1) AS lib, c.c_custkey, coalesce(o.n, 0) AS n FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o.o_custkey = c.c_custkey")
+def library_report(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer").withColumn("id", F.concat(F.lit("@"), F.translate("c_name", "#", ".")))
+    orders = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return reports.left_report(pairs.split_libraries(rows), (orders, "c_custkey", {"n": 0})).select("lib", "c_custkey", "n")
+
+
 @query("""
 WITH sums AS (SELECT l_returnflag, split_part(p_name, ' ', 1) AS name, sum(l_quantity) AS total FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
 shares AS (SELECT *, total / sum(total) OVER (PARTITION BY l_returnflag) AS share FROM sums)
