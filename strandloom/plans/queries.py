@@ -451,7 +451,7 @@ def normalised_profile(spark, sf_dir):
 
 
 @query(
-    "SELECT source, lang, count(*) AS n, CAST(row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS INTEGER) AS rank FROM documents GROUP BY ALL"
+    "SELECT source, lang, count(*) AS n, CAST(row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS INTEGER) AS rank FROM documents GROUP BY source, lang"
     " QUALIFY rank = 1"
 )
 def first_name_per_partition(spark, sf_dir):
