@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,24 +13,60 @@ from pyspark.sql import functions as F
 MOST_SAMPLES = 4000
 
 
-def gram(conditioned: DataFrame) -> DataFrame:
+def sample_names(conditioned: DataFrame) -> list[str]:
+    """Samples in order; more than MOST_SAMPLES are refused."""
+    names = [r[0] for r in conditioned.select("sample").distinct().orderBy("sample").limit(MOST_SAMPLES + 1).collect()]
+    if len(names) > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} samples: their Gram matrix isn't solved on the driver")
+    return names
+
+
+def _by_bin(conditioned: DataFrame, names: list[str]) -> DataFrame:
+    """(bin, v): each bin's (sample number, x) in one array, as long as the samples that have it."""
+    numbers = F.create_map(*[F.lit(v) for i, n in enumerate(names) for v in (n, i)]) if names else F.lit(None)
+    rows = conditioned.select("bin", numbers[F.col("sample")].alias("i"), "x")
+    return rows.groupBy("bin").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
+
+
+def _sparse(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, sample number and value of each entry of a batch's arrays."""
+    cells = column.flatten()
+    size = np.diff(column.offsets.to_numpy())
+    i, x = (c.to_numpy(zero_copy_only=False) for c in cells.flatten())
+    return np.repeat(np.arange(len(column)), size), i, x
+
+
+def gram(conditioned: DataFrame, chunk: int = 4096) -> DataFrame:
     """(sample_i, sample_j, g) for sample_i <= sample_j: sums of products over bins.
 
-    A bin's few samples are gathered into one array and multiplied out there, so rows meet once, by bin; the
-    products only meet in partial sums.
+    Rows meet once, by bin. A task adds up the products of its bins in one samples-by-samples matrix and hands on
+    that matrix alone, so what is shuffled then is a matrix for each task, however many bins there are.
     """
-    per_bin = conditioned.groupBy("bin").agg(F.sort_array(F.collect_list(F.struct("sample", "x"))).alias("v"))
-    one = per_bin.select("v", F.explode("v").alias("a"))
-    pairs = one.select("a", F.explode(F.filter("v", lambda b: b["sample"] >= F.col("a")["sample"])).alias("b"))
-    products = pairs.select(F.col("a.sample").alias("sample_i"), F.col("b.sample").alias("sample_j"), (F.col("a.x") * F.col("b.x")).alias("p"))
-    return products.groupBy("sample_i", "sample_j").agg(F.sum("p").alias("g"))
+    names = sample_names(conditioned)
+    n = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((n, n)), np.zeros((n, n), dtype=bool)
+        for batch in batches:
+            row, i, x = _sparse(batch.column(0))
+            for at in range(0, batch.num_rows, chunk):
+                a, b = np.searchsorted(row, [at, at + chunk])
+                dense = np.zeros((min(chunk, batch.num_rows - at), n))
+                dense[row[a:b] - at, i[a:b]] = x[a:b]
+                total += dense.T @ dense
+                there = (dense != 0).astype(np.float32)
+                seen |= there.T @ there > 0
+        i, j = np.nonzero(np.triu(seen))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "g"])
+
+    sums = _by_bin(conditioned, names).select("v").mapInArrow(run, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+    named = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
+    return sums.select(F.get(named, F.col("i")).alias("sample_i"), F.get(named, F.col("j")).alias("sample_j"), "g")
 
 
 def eigenspace(gram_rows: DataFrame, rank: int | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Samples, U (samples x rank) and singular values, largest first; rank defaults to four fifths of the samples."""
-    names = [r[0] for r in gram_rows.select("sample_i").distinct().orderBy("sample_i").limit(MOST_SAMPLES + 1).collect()]
-    if len(names) > MOST_SAMPLES:
-        raise ValueError(f"more than {MOST_SAMPLES} samples: their Gram matrix isn't solved on the driver")
+    names = sample_names(gram_rows.select(F.col("sample_i").alias("sample")))
     at = {s: i for i, s in enumerate(names)}
     g = np.zeros((len(names), len(names)))
     for r in gram_rows.collect():
@@ -38,9 +77,16 @@ def eigenspace(gram_rows: DataFrame, rank: int | None = None) -> tuple[list[str]
 
 
 def projected(conditioned: DataFrame, names: list[str], u: np.ndarray) -> DataFrame:
-    """(bin, vec): each bin's vector over samples times U, unscaled."""
-    spark = conditioned.sparkSession
-    basis = spark.createDataFrame([(s, [float(x) for x in u[i]]) for i, s in enumerate(names)], "sample string, row array<double>")
-    scaled = conditioned.join(F.broadcast(basis), "sample").select("bin", F.posexplode(F.transform("row", lambda r: r * F.col("x"))).alias("dim", "y"))
-    dims = scaled.groupBy("bin", "dim").agg(F.sum("y").alias("y"))
-    return dims.groupBy("bin").agg(F.sort_array(F.collect_list(F.struct("dim", "y")))["y"].alias("vec"))
+    """(bin, vec): each bin's vector over samples times U, unscaled. U (samples by rank) goes with the kernel."""
+    kind = dict(conditioned.dtypes)["bin"]
+    rank = u.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row, i, x = _sparse(batch.column(1))
+                vec = np.add.reduceat(u[i] * x[:, None], np.searchsorted(row, np.arange(batch.num_rows)), axis=0)
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(vec.ravel()), rank).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["bin", "vec"])
+
+    return _by_bin(conditioned, names).select("bin", "v").mapInArrow(run, f"bin {kind}, vec array<double>")
