@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The Gram matrix of up to so many samples is solved on the driver (128 MB).
@@ -22,18 +22,35 @@ def sample_names(conditioned: DataFrame) -> list[str]:
 
 
 def _by_bin(conditioned: DataFrame, names: list[str]) -> DataFrame:
-    """(bin, v): each bin's (sample number, x) in one array, as long as the samples that have it."""
-    numbers = F.create_map(*[F.lit(v) for i, n in enumerate(names) for v in (n, i)]) if names else F.lit(None)
+    """(bin, i, x, nth): entries with the sample's number, those of a bin behind one another in one partition.
+
+    The window asks for just that order, which a join by bin below it already has in part.
+    """
+    numbers = F.create_map(*[F.lit(v) for i, n in enumerate(names) for v in (n, i)]) if names else F.lit(None).cast("map<string,int>")
     rows = conditioned.select("bin", numbers[F.col("sample")].alias("i"), "x")
-    return rows.groupBy("bin").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("bin").orderBy("i")))
+
 
+def _whole_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bins, row, sample numbers, values) of runs of whole bins; row counts the bins of a run."""
+    held: list[pa.RecordBatch] = []
 
-def _sparse(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, sample number and value of each entry of a batch's arrays."""
-    cells = column.flatten()
-    size = np.diff(column.offsets.to_numpy())
-    i, x = (c.to_numpy(zero_copy_only=False) for c in cells.flatten())
-    return np.repeat(np.arange(len(column)), size), i, x
+    def told(parts: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(parts).combine_chunks()
+        i, x, nth = (table.column(k).to_numpy() for k in (1, 2, 3))
+        return table.column(0).filter(pa.array(nth == 1)).combine_chunks(), np.cumsum(nth == 1) - 1, i, x
+
+    for batch in batches:
+        starts = np.flatnonzero(batch.column(3).to_numpy() == 1)
+        if not len(starts):
+            held.append(batch)
+            continue
+        last = int(starts[-1])
+        if held or last:
+            yield told([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    if held and sum(h.num_rows for h in held):
+        yield told(held)
 
 
 def gram(conditioned: DataFrame, chunk: int = 4096) -> DataFrame:
@@ -47,11 +64,10 @@ def gram(conditioned: DataFrame, chunk: int = 4096) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros((n, n)), np.zeros((n, n), dtype=bool)
-        for batch in batches:
-            row, i, x = _sparse(batch.column(0))
-            for at in range(0, batch.num_rows, chunk):
+        for bins, row, i, x in _whole_bins(batches):
+            for at in range(0, len(bins), chunk):
                 a, b = np.searchsorted(row, [at, at + chunk])
-                dense = np.zeros((min(chunk, batch.num_rows - at), n))
+                dense = np.zeros((min(chunk, len(bins) - at), n))
                 dense[row[a:b] - at, i[a:b]] = x[a:b]
                 total += dense.T @ dense
                 there = (dense != 0).astype(np.float32)
@@ -59,7 +75,7 @@ def gram(conditioned: DataFrame, chunk: int = 4096) -> DataFrame:
         i, j = np.nonzero(np.triu(seen))
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "g"])
 
-    sums = _by_bin(conditioned, names).select("v").mapInArrow(run, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+    sums = _by_bin(conditioned, names).mapInArrow(run, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
     named = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
     return sums.select(F.get(named, F.col("i")).alias("sample_i"), F.get(named, F.col("j")).alias("sample_j"), "g")
 
@@ -82,11 +98,9 @@ def projected(conditioned: DataFrame, names: list[str], u: np.ndarray) -> DataFr
     rank = u.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                row, i, x = _sparse(batch.column(1))
-                vec = np.add.reduceat(u[i] * x[:, None], np.searchsorted(row, np.arange(batch.num_rows)), axis=0)
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(vec.ravel()), rank).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["bin", "vec"])
-
-    return _by_bin(conditioned, names).select("bin", "v").mapInArrow(run, f"bin {kind}, vec array<double>")
+        for bins, row, i, x in _whole_bins(batches):
+            vec = np.add.reduceat(u[i] * x[:, None], np.searchsorted(row, np.arange(len(bins))), axis=0)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(vec.ravel()), rank).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([bins, flat], names=["bin", "vec"])
+
+    return _by_bin(conditioned, names).mapInArrow(run, f"bin {kind}, vec array<double>")
