@@ -25,6 +25,8 @@ DIM = 16
 #: Bound of the training sample: windows (one for each sampled document) and code points of a window.
 SAMPLE_ROWS = 6000
 WINDOW = 600
+#: A text of more bytes is looked through in pieces of so many.
+LONG_TEXT = 1 << 20
 EPOCHS = 6
 #: Steps of descent at least: small samples are gone through more often.
 LEAST_STEPS = 600
@@ -75,6 +77,8 @@ class LangModel:
         out = np.zeros((rows, len(self.langs)))
         if not len(self.langs):
             return out
+        if rows == 1 and len(data) > LONG_TEXT:
+            return self._long(data)
         parts, count = subwords(data, offsets)
         full = np.flatnonzero(np.diff(offsets) > 0)
         if len(full):
@@ -82,6 +86,17 @@ class LangModel:
                 out[full] += np.add.reduceat(self.table[part], offsets[full], axis=0)
         return out / np.maximum(count, 1)[:, None] + self.bias
 
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        """Logits of one text, piece by piece; a piece sees three bytes more, for the subwords that begin in it."""
+        total, count = np.zeros(len(self.langs)), 0
+        for at in range(0, len(data), LONG_TEXT):
+            piece = data[at : at + LONG_TEXT + 3]
+            parts, _ = subwords(piece, np.array([0, len(piece)]))
+            for part in parts:
+                total += self.table[part[:LONG_TEXT]].sum(axis=0, dtype=np.float64)
+                count += int((part[:LONG_TEXT] < BUCKETS).sum())
+        return total[None, :] / max(count, 1) + self.bias
+
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best language (its number) and calibrated probability of each row."""
         z = self.logits(data, offsets) / self.temperature

@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import table
-from .textkit import SLICE_BYTES, Words, _BYTE, _R, _RINV, _powers, mix
+from .runtime import bound_batches, table
+from .textkit import SLICE_BYTES, Words, mix, span_hash
 
 #: A segment ends after about every so many words, a section after about every so many paragraphs.
 SEGMENT_WORDS = 8
@@ -66,8 +66,7 @@ class Trees:
         start, leaf_row, new_par, blank = start[by], leaf_row[by], new_par[by], blank[by]
         stop = np.concatenate([start[1:], offsets[-1:]])[: len(start)]
         stop = np.minimum(stop, offsets[leaf_row + 1]) if len(start) else stop
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(_R, len(data)))])
-        self.leaf = mix((prefix[stop] - prefix[start]) * _powers(_RINV, len(data) + 1)[start] + (stop - start).astype(np.uint64))
+        self.leaf = span_hash(data, start, stop, SLICE_BYTES)
         self.bounds = np.searchsorted(leaf_row, np.arange(len(texts) + 1))
         self._mark(new_par, blank)
 
@@ -232,6 +231,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     are sorted apart from each other; a range's last document is put together with the next range's first.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     id_type = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text")
     ranges = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.select("doc_id").count() // RANGE_ROWS))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -10,8 +12,12 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own_dir: list[str] = []
 
+#: Rows of an Arrow batch in a session that uses these kernels, at most: what a Python worker holds stays small.
+BATCH_ROWS = 1000
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset (tests, one machine) a temporary one."""
@@ -48,23 +54,37 @@ def local_path(path: str) -> str:
 
 
 def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a kernel for one batch."""
+    """mapInArrow with a kernel for one batch. Lowers the session's rows of a batch to BATCH_ROWS, and at the end of a
+    task gives memory back, as workers wait for the next task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from kernel(batch)
+        release_memory()
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    if not 0 < int(spark.conf.get(_ARROW_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ARROW_ROWS, str(BATCH_ROWS))
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Within, Arrow batches have so many rows at most: for actions on large rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    before = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(_ARROW_ROWS, before)

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text handled at once by the kernels; memory is about 40 times this.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 #: Words longer than this are hashed one by one with xxh3.
 LONG_WORD = 64
 
@@ -108,18 +108,33 @@ class Words:
             self.start = self.end = np.zeros(0, dtype=np.int64)
         self.low = low
         self.bounds = np.searchsorted(self.start, offsets)
-        self.hash = self._hash(low) if hashes else None
-
-    def _hash(self, low: np.ndarray) -> np.ndarray:
-        n = len(low)
-        prefix = np.empty(n + 1, dtype=np.uint64)
-        prefix[0] = 0
-        np.cumsum(_BYTE[low] * _powers(_R, n), out=prefix[1:])
-        size = self.end - self.start
-        out = mix((prefix[self.end] - prefix[self.start]) * _powers(_RINV, n + 1)[self.start] + size.astype(np.uint64))
-        for i in np.flatnonzero(size > LONG_WORD):
-            out[i] = xxhash.xxh3_64_intdigest(low[self.start[i] : self.end[i]].tobytes())
-        return out
+        self.hash = span_hash(low, self.start, self.end, LONG_WORD) if hashes else None
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, long: int) -> np.ndarray:
+    """64-bit hashes of ascending spans of bytes that don't overlap; equal bytes have equal hashes.
+
+    Prefix sums are taken over blocks of spans, so a text of any length needs no more than a block of them.
+    Spans over ``long`` bytes are hashed one by one with xxh3.
+    """
+    size = end - start
+    out = np.empty(len(start), dtype=np.uint64)
+    first = 0
+    while first < len(start):
+        last = max(first + 1, int(np.searchsorted(start, start[first] + SLICE_BYTES)))
+        short = first + np.flatnonzero(size[first:last] <= long)
+        if len(short):
+            at = int(start[short[0]])
+            part = data[at : int(end[short[-1]])]
+            prefix = np.empty(len(part) + 1, dtype=np.uint64)
+            prefix[0] = 0
+            np.cumsum(_BYTE[part] * _powers(_R, len(part)), out=prefix[1:])
+            s, e = start[short] - at, end[short] - at
+            out[short] = mix((prefix[e] - prefix[s]) * _powers(_RINV, len(part) + 1)[s] + size[short].astype(np.uint64))
+        first = last
+    for i in np.flatnonzero(size > long):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
 
 
 def word_hash(word: bytes) -> int:

@@ -330,3 +330,35 @@ def test_scores_know_no_labels_of_their_own(docs, labels):
     a = {r["doc_id"]: r["score"] for r in quality.scored(docs, model).collect()}
     b = {r["doc_id"] - 1000000: r["score"] for r in quality.scored(other, model).collect()}
     assert a == b
+
+
+def test_long_texts_are_hashed_and_scored_in_pieces(monkeypatch):
+    from strandloom.llm import textkit
+
+    text = " ".join(f"wörd{i}" for i in range(3000)) + " " + "x" * 5000 + " end"
+    data = np.frombuffer(text.encode(), np.uint8)
+    offsets = np.array([0, len(data)])
+    whole = textkit.Words(data, offsets)
+    rng = np.random.default_rng(0)
+    table = np.concatenate([rng.normal(size=(langid.BUCKETS, 2)).astype(np.float32), np.zeros((1, 2), np.float32)])
+    model = langid.LangModel(["a", "b"], table, np.zeros(2))
+    logits = model.logits(data, offsets)
+    monkeypatch.setattr(textkit, "SLICE_BYTES", 300)
+    monkeypatch.setattr(langid, "LONG_TEXT", 1000)
+    pieces = textkit.Words(data, offsets)
+    assert (whole.hash == pieces.hash).all() and (whole.start == pieces.start).all() and len(whole.hash) == 3002
+    assert [int(h) for h in whole.hash[-3:]] == [textkit.word_hash(w.encode()) for w in text.split()[-3:]]
+    assert np.allclose(model.logits(data, offsets), logits, atol=1e-6)
+
+
+def test_slices_cover_all_rows_of_any_size():
+    import pyarrow as pa
+
+    from strandloom.llm.textkit import text_slices
+
+    texts = ["a" * n for n in (0, 5, 300, 7, 0, 0, 1000, 1)] + [None, "é"]
+    seen = []
+    for a, b, data, offsets in text_slices(pa.array(texts).slice(1), 100):
+        assert len(offsets) == b - a + 1 and (offsets[-1] <= 100 or b == a + 1)
+        seen += [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(b - a)]
+    assert seen == [t or "" for t in texts[1:]]
