@@ -33,8 +33,9 @@ LEAST_STEPS = 600
 RATE = 0.4
 #: Weights stay within this bound, on samples too small for the rate too.
 BOUND = 50.0
-#: Share of known-language rows that the rejection level may refuse.
+#: Share of known-language rows that the rejection level may refuse, and a bound of the level.
 REFUSED = 0.001
+MOST_LEVEL = 0.5
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[0x61:0x7B] = True
@@ -106,6 +107,33 @@ class LangModel:
         return p.argmax(1), p.max(1)
 
 
+def rejection_level(right: np.ndarray) -> float:
+    """Probability that a share REFUSED of rightly told rows stay under, from the probabilities of some of them.
+
+    The tail of their surprise (-log p) is taken as exponential beyond its square root of n largest values, so that
+    the level goes on smoothly from the smallest samples, where so small a share is beyond the rows that were seen,
+    to the largest, where it is a quantile of them. Without a row there is no level (0).
+    """
+    n = len(right)
+    if not n:
+        return 0.0
+    surprise = np.sort(-np.log(np.maximum(right, 1e-12)))[::-1]
+    k = min(max(int(np.sqrt(n)), int(REFUSED * n)), n - 1)
+    edge = surprise[k]
+    excess = surprise[:k].mean() - edge if k else surprise[0]
+    return float(min(np.exp(-(edge + excess * np.log(max(k, 1) / (REFUSED * n)))), MOST_LEVEL))
+
+
+def sample_sizes(counts: dict[str, int], rows: int) -> dict[str, float]:
+    """Rows to take of each language, about ``rows`` in all: as many of each; what a rare one lacks comes from the others."""
+    sizes: dict[str, float] = {}
+    left = float(rows)
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        sizes[lang] = min(float(n), left / (len(counts) - i))
+        left -= sizes[lang]
+    return sizes
+
+
 def fit(texts: list[str], langs: list[str], seed: int = 11) -> LangModel:
     """Train on windows of text; a fifth of them is kept for the temperature and the rejection level."""
     names = sorted(set(langs))
@@ -164,25 +192,25 @@ def fit(texts: list[str], langs: list[str], seed: int = 11) -> LangModel:
         for t in grid:
             s = z / t
             s = s - s.max(1, keepdims=True)
-            losses.append(-(s[np.arange(len(held)), y[held]] - np.log(np.exp(s).sum(1))).mean())
+            p = s - np.log(np.exp(s).sum(1))[:, None]
+            # and one row of no known language, lest a few rows that are all told right end in certainty
+            losses.append(-p[np.arange(len(held)), y[held]].sum() - p.mean())
         model.temperature = float(grid[int(np.argmin(losses))])
         pred, conf = model.predict(blob, offsets)
-        right = conf[pred == y[held]]
-        # too few rows to tell so small a share: nothing is refused for its probability
-        if len(right) >= 1 / REFUSED:
-            model.reject_below = float(min(np.quantile(right, REFUSED), 0.5))
+        model.reject_below = rejection_level(conf[pred == y[held]])
     return model
 
 
 def train(docs: DataFrame, folds: int = 3, held_out_fold: int = 1, rows: int = SAMPLE_ROWS, seed: int = 11) -> LangModel:
-    """Train on about ``rows`` windows from documents outside the held-out fold, as many from each language."""
+    """Train on about ``rows`` windows from documents outside the held-out fold, as many from each language that has them;
+    what rare languages lack comes from the others."""
     usable = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & (F.length("text") > 0) & (fold(F.col("doc_id"), folds) != held_out_fold)
     )
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows / len(counts) / n))).otherwise(share)
+    for lang, size in sample_sizes(counts, rows).items():
+        share = F.when(F.col("lang") == lang, F.lit(size / counts[lang])).otherwise(share)
     # one window a document, of 20 to WINDOW code points, at a place given by the id
     length = (F.lit(20) + unit_hash(F.col("doc_id"), seed + 1) * (WINDOW - 20)).cast("int")
     place = (unit_hash(F.col("doc_id"), seed + 2) * F.greatest(F.length("text") - length, F.lit(0))).cast("int") + 1

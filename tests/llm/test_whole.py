@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from strandloom.llm import toxicity
+from strandloom.llm import langid, toxicity
 
 
 def buffers(texts):
@@ -30,3 +30,26 @@ def test_words_are_cut_at_symbols_and_joined_words_stay_whole_too():
     words, which = units.distinct()
     got = [sorted(words[j].decode() for j in which[units.row == i]) for i in range(len(texts))]
     assert got == [sorted(["ab", "c1", "ab-c1", "d", "e", "f", "e…f", "***"]), [], ["x"], sorted(["naïve", "s", "naïve’s", "ªº"])]
+
+
+def test_rejection_is_on_at_every_sample_size(spark):
+    rng = np.random.default_rng(4)
+    rows = 1 / (1 + np.exp(-rng.normal(4, 1, 2_000_000)))
+    want = np.quantile(rows, langid.REFUSED)
+    assert langid.rejection_level(rows) == pytest.approx(min(want, langid.MOST_LEVEL), abs=0.01)
+    for n in (1, 2, 5, 20, 100, 999, 1000, 5000):
+        levels = [langid.rejection_level(rows[i * n : (i + 1) * n]) for i in range(20)]
+        assert min(levels) > 0 and np.mean([(rows < x).mean() for x in levels]) < (0.01 if n >= 20 else 1)
+    odd = ["xqzt wvkk jjpq zzxw qqkr", "你好世界"]
+    for size in ("sf0.001", "sf0.01"):
+        model = langid.train(spark.read.parquet(f"/root/testdata/{size}/documents.parquet"))
+        assert 1 / len(model.langs) < model.reject_below <= langid.MOST_LEVEL and model.temperature > 0.02
+        assert (model.predict(*buffers(odd))[1] < model.reject_below).any()
+
+
+def test_what_rare_languages_lack_comes_from_the_others():
+    counts = {f"r{i}": 5 + i % 15 for i in range(90)} | {f"c{i}": 100_000 for i in range(10)}
+    sizes = langid.sample_sizes(counts, 6000)
+    assert sum(sizes.values()) == pytest.approx(6000) and all(sizes[x] == counts[x] for x in counts if x[0] == "r")
+    assert len({round(sizes[x], 6) for x in counts if x[0] == "c"}) == 1
+    assert langid.sample_sizes({"a": 3, "b": 4}, 6000) == {"a": 3, "b": 4} and langid.sample_sizes({}, 6000) == {}
