@@ -28,7 +28,7 @@ from .labelled import fold
 from .runtime import arrow_map, bound_batches, local_path, new_path
 from .textkit import Words, mix, text_slices
 
-ORDER = 2
+ORDER = 3
 #: n-grams before they are counted in one task, and tokens for each shard of a level.
 FLUSH = 3_000_000
 SHARD_TOKENS = 8_000_000
@@ -233,6 +233,11 @@ def _build_vocab(meta_path: str) -> Callable[[pa.Table], pa.Table]:
     return build
 
 
+def _kinds(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many successors of each context were seen once, twice, more often, (3, contexts)."""
+    return np.stack([np.add.reduceat((counts == i) if i < 3 else (counts >= 3), first, dtype=np.int64) for i in (1, 2, 3)])
+
+
 def _build_level(meta: Meta, level: int, threshold: int) -> Callable[[pa.Table], pa.Table]:
     """Merge and write a shard; report its size, counts of counts, the parts of hot contexts and heavy nodes."""
 
@@ -246,25 +251,23 @@ def _build_level(meta: Meta, level: int, threshold: int) -> Callable[[pa.Table],
         arrays = nested("ctx", EliasFano.build(parent[first])) | nested("ptr", EliasFano.build(np.concatenate([first, [len(keys)]])))
         arrays |= nested("suc", EliasFano.build(word + np.repeat(offset, ends - first)))
         arrays |= {"count": np.minimum(counts, 255).astype(np.uint8), "more_at": more, "more": counts[more]}
-        arrays["total"] = np.add.reduceat(counts, first)
-        arrays["kinds"] = np.stack([np.add.reduceat((counts == i) if i < 3 else (counts >= 3), first, dtype=np.int64) for i in (1, 2, 3)])
         save_arrays(f"{meta.path}/level{level}-{shard}", arrays)
         hot = np.flatnonzero(np.isin(parent[first].astype(np.int64), meta.hot[level][0]))
         heavy = np.flatnonzero(counts > threshold)
         return pa.table({
             "shard": pa.array([shard], pa.int32()), "n": [len(keys)], "seen": [[int((counts == i).sum()) for i in (1, 2, 3, 4)]],
-            "hot": [parent[first][hot].astype(np.int64)], "kinds": [arrays["kinds"][:, hot].ravel()], "heavy": [heavy], "heavy_n": [counts[heavy]],
+            "hot": [parent[first][hot].astype(np.int64)], "kinds": [_kinds(counts, first)[:, hot].ravel()], "heavy": [heavy], "heavy_n": [counts[heavy]],
         })
 
     return build
 
 
 def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """256 quantiles of the logarithms and the nearest one of each value."""
+    """128 quantiles of all logarithms and 128 even steps from the least to the largest, and the nearest one of each value."""
     if not len(values):
         return np.ones(1), np.zeros(0, dtype=np.uint8)
     logs = np.log(values)
-    book = np.unique(np.quantile(logs[:: max(1, len(logs) // 200_000)], np.linspace(0, 1, 256)))
+    book = np.unique(np.concatenate([np.linspace(logs.min(), logs.max(), 128), np.quantile(logs, np.linspace(0, 1, 128))]))
     code = np.searchsorted((book[1:] + book[:-1]) / 2, logs)
     return np.exp(book), code.astype(np.uint8)
 
@@ -273,9 +276,10 @@ def _write_weights(meta: Meta, level: int, shard: int) -> None:
     """Quantised probabilities and back-off weights of a shard, once the discounts are known."""
     arrays = _mapped(f"{meta.path}/level{level}-{shard}")
     counts = node_counts(meta, level, shard)
-    parent = unnested("ctx", arrays).access(np.arange(len(arrays["total"]))).astype(np.int64)
+    contexts = unnested("ctx", arrays)
+    parent = contexts.access(np.arange(contexts.n)).astype(np.int64)
     first = unnested("ptr", arrays).access(np.arange(len(parent) + 1)).astype(np.int64)
-    total = arrays["total"].copy()
+    total = np.add.reduceat(counts, first[:-1])
     hot, hot_total = meta.hot[level]
     if len(hot):
         place = np.minimum(np.searchsorted(hot, parent), len(hot) - 1)
@@ -283,7 +287,7 @@ def _write_weights(meta: Meta, level: int, shard: int) -> None:
         total[is_hot] = hot_total[place[is_hot]]
     d = np.array(meta.discounts[level])
     prob = (counts - d[np.minimum(counts, 3) - 1]) / np.repeat(total, np.diff(first))
-    back = (d[:, None] * arrays["kinds"]).sum(0) / total
+    back = (d[:, None] * _kinds(counts, first[:-1])).sum(0) / total
     prob_book, prob_code = _book(np.maximum(prob, 1e-300))
     back_book, back_code = _book(np.clip(back, 1e-12, 1))
     save_arrays(f"{meta.path}/weight{level}-{shard}", {"prob_book": prob_book, "prob": prob_code, "back_book": back_book, "back": back_code})

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from strandloom.llm import langid, toxicity
+from strandloom.llm import langid, ngram, toxicity
 
 
 def buffers(texts):
@@ -53,3 +53,20 @@ def test_what_rare_languages_lack_comes_from_the_others():
     assert sum(sizes.values()) == pytest.approx(6000) and all(sizes[x] == counts[x] for x in counts if x[0] == "r")
     assert len({round(sizes[x], 6) for x in counts if x[0] == "c"}) == 1
     assert langid.sample_sizes({"a": 3, "b": 4}, 6000) == {"a": 3, "b": 4} and langid.sample_sizes({}, 6000) == {}
+
+
+def test_scores_reach_contexts_of_two_words(spark):
+    """Only the word before the last one tells what follows."""
+    rows = [(i, " ".join(f"{a} then {b}" for a, b in (("red", "stop"), ("green", "go")) for _ in range(3))) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(100, "red then stop green then go"), (101, "red then go green then go")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ngram.scored(docs, ngram.train(docs.where("doc_id < 100"))).collect()}
+    assert got[100] - got[101] > 1
+
+
+def test_code_book_spans_all_values_of_a_large_shard():
+    rng = np.random.default_rng(2)
+    values = np.exp(rng.normal(-3, 0.1, 500_000))
+    values[[1, 3]] = 1e-9, 0.9
+    book, code = ngram._book(values)
+    assert len(book) <= 256 and book[[0, -1]] == pytest.approx([1e-9, 0.9])
+    assert np.abs(np.log(book[code]) - np.log(values)).max() <= np.log(0.9 / 1e-9) / 127 / 2 + 1e-9
