@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,15 +58,24 @@ class Leaders:
         self.centroids, self.counts = [self.centroids[k] for k in keep], [self.counts[k] for k in keep]
 
 
-def leader_clusters(vectors: DataFrame, threshold: float, chunks: int = 200, chunk_rows: int = 64, seed: int = 1) -> list[tuple[int, list[float], int]]:
-    """(cluster, centroid, count) from chunks of a sample of (bin, vec) that is drawn by hash and bounded by chunks * chunk_rows."""
+def rows_of_chunk(bins: int) -> int:
+    """Vectors of a chunk: a share of 0.00002 of the bins, 64 at least."""
+    return max(64, -(-bins // 50_000))
+
+
+def leader_clusters(vectors: DataFrame, threshold: float, chunks: int = 200, chunk_rows: int | None = None, seed: int = 1) -> list[tuple[int, list[float], int]]:
+    """(cluster, centroid, count) from chunks of a sample of (bin, vec) that is drawn by hash, of chunks * chunk_rows rows.
+
+    Without chunk_rows, chunks grow with the vectors as with bins. The driver holds a chunk and a partition of the sample at a time.
+    """
     total = vectors.count()
+    chunk_rows = chunk_rows or rows_of_chunk(total)
     share = min(1.0, chunks * chunk_rows / max(1, total))
     unit = F.pmod(F.xxhash64("bin", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rows = sorted(((r["u"], r["bin"], r["vec"]) for r in vectors.select("bin", "vec", unit.alias("u")).where(unit < share).collect()), key=lambda r: r[:2])
+    rows = vectors.select("bin", "vec", unit.alias("u")).where(unit < share).orderBy("u", "bin").toLocalIterator()
     leaders = Leaders(threshold)
-    for at in range(0, len(rows), chunk_rows):
-        leaders.merge(np.array([r[2] for r in rows[at : at + chunk_rows]], dtype=float))
+    while chunk := [r["vec"] for r in islice(rows, chunk_rows)]:
+        leaders.merge(np.array(chunk, dtype=float))
         leaders.collapse()
     return [(i, [float(x) for x in c], n) for i, (c, n) in enumerate(zip(leaders.centroids, leaders.counts))]
 

@@ -60,7 +60,7 @@ class Run:
         s, conditioned = self.settings, self.table("conditioned")
         names, u, _ = spectral.eigenspace(spectral.gram(conditioned), s.rank)
         vectors = self.keep(spectral.projected(conditioned, names, u), "vectors")
-        centroids = cluster.leader_clusters(vectors, s.threshold, seed=s.seed)
+        centroids = cluster.leader_clusters(vectors, s.threshold, chunk_rows=cluster.rows_of_chunk(1 << s.hash_size), seed=s.seed)
         self.keep(self.spark.createDataFrame([(i, c, n) for i, c, n in centroids], "cluster int, c array<double>, n long"), "centroids")
         members = self.keep(cluster.assign_nearest(vectors, [(i, c) for i, c, _ in centroids], s.threshold), "members")
         self.keep(cluster.cluster_priors(members, self.table("weights"), len(names), s.hash_size), "cluster_stats")

@@ -1,0 +1,12 @@
+import numpy as np
+
+from strandloom.operators import cluster
+
+
+def test_chunks_grow_with_the_bins(spark):
+    assert [cluster.rows_of_chunk(1 << h) for h in (10, 22, 30)] == [64, 84, 21475]
+    rng = np.random.default_rng(1)
+    rows = [(i, [1.0, 0.0, 0.01 * float(rng.random())] if i else [0.0, 1.0, 0.0]) for i in range(500)]
+    vectors = spark.createDataFrame(rows, "bin long, vec array<double>")
+    found = cluster.leader_clusters(vectors, 0.8, chunks=5, chunk_rows=100)
+    assert sorted(n for _, _, n in found) == [1, 499]
