@@ -4,69 +4,116 @@ Benchmark items (or fixed windows of them) are sets of word shingles, ordered by
 hold a share t of a set S, a stretch of text must hold one of its |S| - ceil(t |S|) + 1 rarest shingles, so
 only those are joined with the documents' shingles. Where one is found, length and position bound the
 stretch of text it can belong to, and the containment is verified there on the whole set (for t = 1: word by
-word). The benchmark side is an index of bounded size; a larger benchmark is indexed in several blocks that
-lie in the shared folder and are looked through one after the other.
+word). The benchmark side is an index of bounded size; a larger benchmark is indexed in several blocks, and the
+documents are looked through by one block after the other.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import pickle
-from pathlib import Path
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_map, local_path, new_path
+from .runtime import arrow_map, marked
 from .textkit import ALNUM_WORDS, Words, ngram_hash, text_slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
 WINDOW = 10
-#: Text bytes of one block of the benchmark; one block is broadcast, more lie in the shared folder.
-BLOCK_BYTES = 32 << 20
+#: Text bytes of one block of the benchmark. A block is collected, built and broadcast; in memory it takes about 40 bytes
+#: for a word of its items, and as much again for each of their windows (about 60 MB for a block of 4 MB).
+BLOCK_BYTES = 4 << 20
 
 _BITS = 1 << 20
 
 
 class Block:
-    """Units (items, or windows of items) of one block: their shingles and what is joined of them."""
-
-    def __init__(self, units: dict[bytes, list], shingle: int, threshold: float):
-        """units: word hashes (as bytes) -> ids of the items that have the unit."""
-        self.threshold, self.items = threshold, [sorted(set(ids)) for ids in units.values()]
-        self.words = [np.frombuffer(u, dtype=np.uint64) for u in units]
-        self.step = np.array([min(shingle, len(w)) for w in self.words], dtype=np.int64)
-        self.size = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.all = [ngram_hash(w, int(s)) for w, s in zip(self.words, self.step)]
-        self.sets = [np.unique(a) for a in self.all]
+    """Units (items, or windows of items) of one block, as places in one array of the items' words, and what is joined of them."""
+
+    def __init__(self, texts: list[np.ndarray], ids: list, shingle: int, threshold: float, window: int | None):
+        """texts: word hashes of items with words; ids: theirs (None: counted as no item)."""
+        self.threshold, self.shingle, self.ids = threshold, shingle, ids
+        sizes = np.array([len(w) for w in texts], dtype=np.int64)
+        self.words = np.concatenate(texts) if texts else np.zeros(0, dtype=np.uint64)
+        self.begin = np.concatenate([[0], np.cumsum(sizes)])
+        unit = np.minimum(window, sizes) if window else sizes
+        n = sizes - unit + 1
+        item = np.repeat(np.arange(len(sizes)), n)
+        start = self.begin[item] + np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+        key = [ngram_hash(w, int(u)) for w, u in zip(texts, unit)]
+        _, at, which = np.unique(np.concatenate(key) if key else np.zeros(0, np.uint64), return_index=True, return_inverse=True)
+        self.start, self.size = start[at], unit[item[at]]
+        self.step = np.minimum(shingle, self.size)
+        # the items of each unit, unit after unit
+        pairs = np.unique(which * max(1, len(ids)) + item)
+        self.item_of, owner = pairs % max(1, len(ids)), pairs // max(1, len(ids))
+        self.item_bounds = np.searchsorted(owner, np.arange(len(at) + 1))
+
+    def items(self, unit: int) -> list:
+        """Ids of the items that have the unit."""
+        return [self.ids[i] for i in self.item_of[self.item_bounds[unit] : self.item_bounds[unit + 1]] if self.ids[i] is not None]
+
+    def shingles(self, unit: int) -> np.ndarray:
+        return ngram_hash(self.words[self.start[unit] : self.start[unit] + self.size[unit]], int(self.step[unit]))
 
     def vocabulary(self) -> dict[int, np.ndarray]:
         """All shingles by their length in words."""
-        return {int(s): np.unique(np.concatenate([self.sets[i] for i in np.flatnonzero(self.step == s)])) for s in np.unique(self.step)}
-
-    def order(self, counts: dict[tuple[int, int], int]) -> None:
-        """Choose what is joined, given how often the documents have each (length, shingle)."""
+        out = {}
+        for s in np.unique(self.step).tolist():
+            which = np.flatnonzero(self.step == s)
+            place = np.repeat(self.start[which], self.size[which] - s + 1)
+            n = self.size[which] - s + 1
+            place += np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+            out[s] = np.unique(ngram_hash(self.words, s)[np.unique(place)])
+        return out
+
+    def order(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        """Choose what is joined, given the shingles that the documents have (sorted) and how often, by length."""
         self.joined = {}
-        for s in np.unique(self.step):
-            keys, units, offsets = [], [], []
-            for u in np.flatnonzero(self.step == s):
-                ranked = sorted((counts.get((int(s), int(h)), 0), int(h)) for h in self.sets[u])
-                need = len(ranked) - math.ceil(self.threshold * len(ranked) - 1e-9) + 1
-                for _, h in ranked[:need]:
-                    keys.append(h)
-                    units.append(u)
-                    offsets.append(int(np.flatnonzero(self.all[u] == np.uint64(h))[0]))
-            keys = np.array(keys, dtype=np.uint64)
-            by = np.argsort(keys, kind="stable")
-            self.joined[int(s)] = (keys[by], np.array(units)[by], np.array(offsets)[by], _bitmap(keys))
+        for s in np.unique(self.step).tolist():
+            keys, n = counts.get(s, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            every = ngram_hash(self.words, s)
+            at = np.minimum(np.searchsorted(keys, every), max(0, len(keys) - 1))
+            often = np.where(keys[at] == every, n[at], 0) if len(keys) else np.zeros(len(every), np.int64)
+            which = np.flatnonzero(self.step == s)
+            if self.threshold >= 1:
+                units, offsets = which, self._rarest(which, s, every, often)
+            else:
+                units, offsets = self._prefixes(which, every, often)
+            chosen = every[self.start[units] + offsets]
+            by = np.argsort(chosen, kind="stable")
+            self.joined[s] = (chosen[by], units[by], offsets[by], _bitmap(chosen))
+
+    def _rarest(self, units: np.ndarray, s: int, every: np.ndarray, often: np.ndarray) -> np.ndarray:
+        """Offset of each unit's rarest shingle (ties: the smallest hash, then the first place)."""
+        best = np.zeros(len(units), dtype=np.int64)
+        for k in range(1, int((self.size[units] - s).max()) + 1 if len(units) else 0):
+            has = np.flatnonzero(self.size[units] - s >= k)
+            new, old = self.start[units[has]] + k, self.start[units[has]] + best[has]
+            rarer = (often[new] < often[old]) | ((often[new] == often[old]) & (every[new] < every[old]))
+            best[has[rarer]] = k
+        return best
+
+    def _prefixes(self, units: np.ndarray, every: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, offset) of the |S| - ceil(t |S|) + 1 rarest distinct shingles of each unit."""
+        out = []
+        for u in units.tolist():
+            a, n = int(self.start[u]), int(self.size[u] - self.step[u] + 1)
+            h, first = np.unique(every[a : a + n], return_index=True)
+            by = first[np.lexsort((h, often[a + first]))]
+            out.append((u, by[: len(h) - math.ceil(self.threshold * len(h) - 1e-9) + 1]))
+        none = np.zeros(0, dtype=np.int64)
+        return (np.repeat([u for u, _ in out], [len(o) for _, o in out]), np.concatenate([o for _, o in out])) if out else (none, none)
 
     def found(self, words: Words, row_of: np.ndarray):
         """Candidate (word position, unit, offset of the shingle in the unit) in a slice."""
-        lo, hi = words.bounds[:-1], words.bounds[1:]
+        hi = words.bounds[1:]
         for s, (keys, units, offsets, bits) in self.joined.items():
             h = ngram_hash(words.hash, s)
             at = np.flatnonzero(bits[h & np.uint64(_BITS - 1)])
@@ -88,8 +135,7 @@ class Block:
             same = np.ones(len(start), dtype=bool)
             for k in range(int(self.size[unit].max()) if len(unit) else 0):
                 has = np.flatnonzero(same & (self.size[unit] > k))
-                want = np.array([self.words[u][k] for u in unit[has]], dtype=np.uint64)
-                same[has] = words.hash[start[has] + k] == want
+                same[has] = words.hash[start[has] + k] == self.words[self.start[unit[has]] + k]
             starts.append(start[same])
             which.append(unit[same])
         none = np.zeros(0, dtype=np.int64)
@@ -99,17 +145,20 @@ class Block:
         """(row, unit, first word, words, containment): the best stretch for each row and unit at or over the threshold."""
         best: dict[tuple[int, int], tuple] = {}
         seen = set()
+        sets: dict[int, np.ndarray] = {}
         for pos, unit, _ in self.found(words, row_of):
             for p, u in zip(pos.tolist(), unit.tolist()):
-                row, m, s = int(row_of[p]), int(self.size[u]), int(self.step[u])
-                need = math.ceil(self.threshold * len(self.sets[u]) - 1e-9)
+                if u not in sets:
+                    sets[u] = np.unique(self.shingles(u))
+                row, m, s, wanted = int(row_of[p]), int(self.size[u]), int(self.step[u]), sets[u]
+                need = math.ceil(self.threshold * len(wanted) - 1e-9)
                 lo, hi = max(int(words.bounds[row]), p - (m - s)), min(int(words.bounds[row + 1]), p + m)
                 if hi - lo - s + 1 < need or (u, lo, hi) in seen:
                     continue
                 seen.add((u, lo, hi))
-                got = _best_window(ngram_hash(words.hash[lo:hi], s), self.sets[u], m - s + 1)
+                got = _best_window(ngram_hash(words.hash[lo:hi], s), wanted, m - s + 1)
                 if got[0] >= need and got[0] > best.get((row, u), (0,))[0]:
-                    best[row, u] = (got[0], lo + got[1], min(m, hi - lo - got[1]), got[0] / len(self.sets[u]))
+                    best[row, u] = (got[0], lo + got[1], min(m, hi - lo - got[1]), got[0] / len(wanted))
         for (row, u), (_, first, n, share) in best.items():
             yield row, u, first, n, share
 
@@ -144,36 +193,22 @@ def _item_words(text: str | None) -> np.ndarray:
     return Words(data, np.array([0, len(data)]), ALNUM_WORDS).hash
 
 
-def _blocks(docs: DataFrame, bench: DataFrame, shingle: int, threshold: float, window: int | None):
-    """A function that yields the blocks of the benchmark on a worker, and the items' count of blocks."""
+def _blocks(docs: DataFrame, bench: DataFrame, shingle: int, threshold: float, window: int | None) -> Iterator[Broadcast]:
+    """The benchmark's blocks, one after the other, each broadcast; there is one at least."""
     spark = docs.sparkSession
-    bench = bench.where(F.col("item_id").isNotNull() & (F.length("text") > 0)).select("item_id", "text")
+    bench = bench.where(F.length("text") > 0).select("item_id", "text")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
-    refs = []
     for k in range(n):
-        rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect() if n > 1 else bench.collect()
-        units: dict[bytes, list] = {}
-        for r in rows:
-            words = _item_words(r["text"])
-            if not len(words):
-                continue
-            size = min(window or len(words), len(words))
-            for i in range(len(words) - size + 1):
-                units.setdefault(words[i : i + size].tobytes(), []).append(r["item_id"])
-        block = Block(units, shingle, threshold)
+        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else bench
+        items = [(w, r["item_id"]) for r in part.collect() if len(w := _item_words(r["text"]))]
+        block = Block([w for w, _ in items], [i for _, i in items], shingle, threshold, window)
         block.order(_rarity(docs, block))
-        if n == 1:
-            shared = spark.sparkContext.broadcast(block)
-            return lambda: [shared.value]
-        path = new_path(spark, "bench-block")
-        Path(local_path(path)).write_bytes(pickle.dumps(block))
-        refs.append(local_path(path))
-    return lambda: (pickle.loads(Path(p).read_bytes()) for p in refs)
+        yield spark.sparkContext.broadcast(block)
 
 
-def _rarity(docs: DataFrame, block: Block) -> dict[tuple[int, int], int]:
-    """How often the documents have each shingle of the block."""
+def _rarity(docs: DataFrame, block: Block) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Shingles of the block that the documents have (sorted) and how often, by length."""
     vocabulary = block.vocabulary()
     if not vocabulary:
         return {}
@@ -192,8 +227,15 @@ def _rarity(docs: DataFrame, block: Block) -> dict[tuple[int, int], int]:
                     [pa.array(np.full(len(which), s, dtype=np.int32)), pa.array(keys[which].view(np.int64)), pa.array(n)], names=["s", "h", "n"]
                 )
 
-    found = arrow_map(docs.select("text"), kernel, "s int, h long, n long").groupBy("s", "h").agg(F.sum("n").alias("n"))
-    return {(r["s"], r["h"] % (1 << 64)): r["n"] for r in found.collect()}
+    found = arrow_map(docs.select("text"), kernel, "s int, h long, n long").groupBy("s", "h").agg(F.sum("n").alias("n")).toArrow()
+    lengths, codes, n = (found.column(i).to_numpy() for i in range(3))
+    out = {}
+    for s in vocabulary:
+        here = lengths == s
+        keys = codes[here].view(np.uint64)
+        by = np.argsort(keys)
+        out[s] = keys[by], n[here][by]
+    return out
 
 
 def _rows(words: Words) -> np.ndarray:
@@ -205,17 +247,18 @@ def contained_items(docs: DataFrame, bench: DataFrame, shingle: int = SHINGLE, t
     at or over the threshold in a stretch as long as the item, with the best stretch.
 
     An item with fewer words than a shingle is one shingle. Null or empty texts on either side match nothing;
-    documents with equal ids give rows of their own.
+    documents with equal ids give rows of their own; an item without an id has no rows here.
     """
-    blocks = _blocks(docs, bench, shingle, threshold, None)
     id_type, item_type = dict(docs.dtypes)["doc_id"], dict(bench.dtypes)["item_id"]
-
-    def kernel(batch: pa.RecordBatch):
-        for a, b, data, offsets in text_slices(batch.column(0)):
-            words = Words(data, offsets, ALNUM_WORDS)
-            row_of = _rows(words)
-            for block in blocks():
-                got = [(row, item, first - int(words.bounds[row]), n, share) for row, u, first, n, share in block.contained(words, row_of) for item in block.items[u]]
+    out = None
+    for blocks in _blocks(docs, bench, shingle, threshold, None):
+
+        def kernel(batch: pa.RecordBatch, shared=blocks):
+            block = shared.value
+            for a, b, data, offsets in text_slices(batch.column(0)):
+                words = Words(data, offsets, ALNUM_WORDS)
+                found = block.contained(words, _rows(words))
+                got = [(row, item, first - int(words.bounds[row]), n, share) for row, u, first, n, share in found for item in block.items(u)]
                 if got:
                     row, item, first, n, share = zip(*got)
                     yield pa.RecordBatch.from_arrays(
@@ -223,63 +266,94 @@ def contained_items(docs: DataFrame, bench: DataFrame, shingle: int = SHINGLE, t
                         names=["doc_id", "item_id", "first_word", "n_words", "containment"],
                     )
 
-    return arrow_map(
-        docs.select("text", "doc_id"), kernel, f"doc_id {id_type}, item_id {item_type}, first_word long, n_words long, containment double"
-    )
+        rows = arrow_map(
+            docs.select("text", "doc_id"), kernel, f"doc_id {id_type}, item_id {item_type}, first_word long, n_words long, containment double"
+        )
+        out = rows if out is None else out.unionAll(rows)
+    return out
 
 
 def clean_documents(docs: DataFrame, bench: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that contain no item (as in contained_items), with their own columns; texts don't move."""
-    blocks = _blocks(docs, bench, shingle, threshold, None)
-    names = docs.columns
-    rows = docs.select(F.col("text").alias("_dec_text"), *[F.col(f"`{n}`") for n in names])
-    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[1:])
+    """The documents that contain no item (as in contained_items), with their own columns; texts don't move.
 
-    def kernel(batch: pa.RecordBatch):
-        for a, b, data, offsets in text_slices(batch.column(0)):
-            words = Words(data, offsets, ALNUM_WORDS)
-            row_of = _rows(words)
-            keep = np.ones(b - a, dtype=bool)
-            for block in blocks():
-                keep[[row for row, *_ in block.contained(words, row_of)]] = False
-            part = pa.RecordBatch.from_arrays(batch.columns[1:], names=names).slice(a, b - a)
-            yield part.filter(pa.array(keep))
+    Documents with a null or empty text stay, repeated rows and null ids are judged by their text, an empty benchmark
+    lets all documents stay, an empty table gives no rows. A document is looked through by one block of the
+    benchmark after the other.
+    """
+    mark = "_dec_clean"
+    for blocks in _blocks(docs, bench, shingle, threshold, None):
+
+        def kernel(texts: pa.Array, shared=blocks) -> pa.Array:
+            keep = np.ones(len(texts), dtype=bool)
+            for a, _, data, offsets in text_slices(texts):
+                words = Words(data, offsets, ALNUM_WORDS)
+                keep[[a + row for row, *_ in shared.value.contained(words, _rows(words))]] = False
+            return pa.array(keep)
 
-    return arrow_map(rows, kernel, fields)
+        docs = marked(docs, "text", mark, kernel, "boolean").where(mark).drop(mark)
+    return docs
 
 
 def window_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside any occurrence of a window of an item), n_items,
     items_sha256, contaminated.
 
-    A window is so many consecutive words of an item, or a whole shorter item. A null text has no words.
+    A window is so many consecutive words of an item, or a whole shorter item. A null text has no words; an item
+    without an id marks words but isn't counted as an item. Repeated rows have rows of their own, null ids are
+    kept, an empty benchmark hits nothing, an empty table gives no rows. With several blocks of the benchmark, the
+    places hit so far go on from block to block.
     """
-    blocks = _blocks(docs, bench, shingle, 1.0, window)
+    blocks = list(_blocks(docs, bench, shingle, 1.0, window))
+    id_type = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("text", "doc_id", F.lit(None).cast("binary").alias("places"), F.lit(None).cast("array<string>").alias("items"))
+    for k, shared in enumerate(blocks):
+        rows = _block_hits(rows, shared, id_type, last=k == len(blocks) - 1)
+    return rows
+
+
+def _block_hits(rows: DataFrame, shared: Broadcast, id_type: str, last: bool) -> DataFrame:
+    """Add the hits of one block to rows (text, doc_id, places, items); after the last block come the results."""
 
     def kernel(batch: pa.RecordBatch):
+        block = shared.value
         for a, b, data, offsets in text_slices(batch.column(0)):
             words = Words(data, offsets, ALNUM_WORDS)
             row_of = _rows(words)
-            delta = np.zeros(len(words.hash) + 1, dtype=np.int64)
-            items: dict[int, set] = {}
-            for block in blocks():
-                start, unit = block.exact(words, row_of)
-                np.add.at(delta, start, 1)
-                np.add.at(delta, start + block.size[unit], -1)
-                for row, u in set(zip(row_of[start].tolist(), unit.tolist())):
-                    items.setdefault(row, set()).update(block.items[u])
-            run = np.concatenate([[0], np.cumsum(np.cumsum(delta[:-1]) > 0)])
-            n_hit = run[words.bounds[1:]] - run[words.bounds[:-1]]
-            found = [sorted(map(str, items.get(i, ()))) for i in range(b - a)]
+            start, unit = block.exact(words, row_of)
+            # occurrences as (first word, end) within their row, with those of earlier blocks
+            row, first = row_of[start], start - words.bounds[row_of[start]]
+            by = np.argsort(row, kind="stable")
+            cuts = np.searchsorted(row[by], np.arange(b - a + 1))
+            places = [np.frombuffer(x.as_py() or b"", dtype=np.int64).reshape(-1, 2) for x in batch.column(2).slice(a, b - a)]
+            items = [set(x or ()) for x in batch.column(3).slice(a, b - a).to_pylist()]
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
+                here = by[cuts[i] : cuts[i + 1]]
+                spans = np.unique(np.stack([first[here], first[here] + block.size[unit[here]]], axis=1), axis=0)
+                places[i] = np.concatenate([places[i], spans])
+                for u in np.unique(unit[here]).tolist():
+                    items[i].update(map(str, block.items(u)))
+            ids = batch.column(1).slice(a, b - a)
+            if not last:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), ids, pa.array([p.tobytes() for p in places], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                    names=["text", "doc_id", "places", "items"],
+                )
+                continue
+            n_words = np.diff(words.bounds)
+            n_hit = np.zeros(b - a, dtype=np.int64)
+            for i, p in enumerate(places):
+                if len(p):
+                    inside = np.cumsum(np.bincount(p[:, 0], minlength=n_words[i] + 1) - np.bincount(p[:, 1], minlength=n_words[i] + 1))
+                    n_hit[i] = np.count_nonzero(inside[:-1])
+            found = [sorted(x) for x in items]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(1).slice(a, b - a), pa.array(np.diff(words.bounds)), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()),
+                    ids, pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]), pa.array(n_hit > 0),
                 ],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return arrow_map(
-        docs.select("text", "doc_id"), kernel,
-        f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean",
-    )
+    if not last:
+        return arrow_map(rows, kernel, f"text string, doc_id {id_type}, places binary, items array<string>")
+    return arrow_map(rows, kernel, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

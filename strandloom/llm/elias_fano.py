@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Callable
 
 import numpy as np
 
@@ -28,13 +27,21 @@ def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     return pos.astype(np.int64)
 
 
+def _lowest(word: np.ndarray) -> np.ndarray:
+    """Position of the lowest set bit of each word (64 without one)."""
+    return np.bitwise_count((word & (~word + _ONE)) - _ONE).astype(np.int64)
+
+
 class EliasFano:
-    """A monotone sequence of n numbers below 2**63: low bits packed, high bits in unary with sampled select."""
+    """A monotone sequence of n numbers below 2**63: low bits packed, high bits in unary, ones and zeros counted by word.
+
+    Positions to look up should ascend, so that the searches for their words stay in the processor's cache.
+    """
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.parts = parts
         self.n, self.width, self.buckets = (int(x) for x in parts["meta"])
-        self.low, self.up, self.ones, self.hint1, self.hint0 = (parts[k] for k in ("low", "up", "ones", "hint1", "hint0"))
+        self.low, self.up, self.ones, self.zeros = (parts[k] for k in ("low", "up", "ones", "zeros"))
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -45,14 +52,13 @@ class EliasFano:
         high = (values >> _U(width)).astype(np.int64)
         buckets = (int(high[-1]) if n else 0) + 1
         length = n + buckets
-        bits = np.zeros(-(-length // 64) * 64, dtype=bool)
+        bits = np.zeros(-(-length // 64) * 64 + 64, dtype=bool)  # a word more than needed, so that a run may be looked at past its word
         bits[high + np.arange(n)] = True
-        bits[length:] = True  # no zeros past the end
+        bits[length:-64] = True  # no zeros past the end
         up = np.packbits(bits, bitorder="little").view(np.uint64)
-        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(up), dtype=np.int64)])
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(up[:-1]), dtype=np.int64)])
         zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
-        hint1 = np.searchsorted(ones, np.arange(0, n + 1, 64), side="right") - 1
-        hint0 = np.searchsorted(zeros, np.arange(0, buckets + 1, 64), side="right") - 1
+        kind = np.uint32 if length < 1 << 32 else np.int64
         low = np.zeros(-(-n * width // 64) + 1, dtype=np.uint64)
         if width:
             at = np.arange(n, dtype=np.int64) * width
@@ -61,32 +67,26 @@ class EliasFano:
             np.bitwise_or.at(low, word, part << shift)
             over = np.flatnonzero(shift.astype(np.int64) + width > 64)
             np.bitwise_or.at(low, word[over] + 1, part[over] >> (_U(64) - shift[over]))
-        return cls({
-            "meta": np.array([n, width, buckets], dtype=np.int64), "low": low, "up": up, "ones": ones.astype(np.uint32 if n < 1 << 32 else np.int64),
-            "hint1": hint1.astype(np.uint32), "hint0": hint0.astype(np.uint32),
-        })
-
-    def _word_with(self, k: np.ndarray, hint: np.ndarray, before: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """The last word before which there are at most k bits of the kind that ``before`` counts."""
-        lo = hint[k >> 6].astype(np.int64)
-        hi = hint[np.minimum((k >> 6) + 1, len(hint) - 1)].astype(np.int64)
-        hi[(k >> 6) + 1 >= len(hint)] = len(self.up) - 1
-        active = np.flatnonzero(lo < hi)
-        while len(active):
-            mid = (lo[active] + hi[active] + 1) >> 1
-            fits = before(mid) <= k[active]
-            lo[active[fits]] = mid[fits]
-            hi[active[~fits]] = mid[~fits] - 1
-            active = active[lo[active] < hi[active]]
-        return lo
-
-    def _select1(self, i: np.ndarray) -> np.ndarray:
-        word = self._word_with(i, self.hint1, lambda w: self.ones[w].astype(np.int64))
-        return word * 64 + _select_in_word(self.up[word], i - self.ones[word].astype(np.int64))
-
-    def _select0(self, j: np.ndarray) -> np.ndarray:
-        word = self._word_with(j, self.hint0, lambda w: w * 64 - self.ones[w].astype(np.int64))
-        return word * 64 + _select_in_word(~self.up[word], j - (word * 64 - self.ones[word].astype(np.int64)))
+        return cls({"meta": np.array([n, width, buckets], dtype=np.int64), "low": low, "up": up, "ones": ones.astype(kind), "zeros": zeros.astype(kind)})
+
+    def _select(self, k: np.ndarray, counts: np.ndarray, flip: bool) -> np.ndarray:
+        """Place of the k-th (from 0) one, or zero with ``flip``, among the upper bits."""
+        word = np.searchsorted(counts, k.astype(counts.dtype), side="right") - 1
+        bits = ~self.up[word] if flip else self.up[word]
+        return word * 64 + _select_in_word(bits, k - counts[word].astype(np.int64))
+
+    def _after(self, place: np.ndarray, flip: bool) -> np.ndarray:
+        """The first one at or after each place, or zero with ``flip``."""
+        word = place >> 6
+        bits = (~self.up[word] if flip else self.up[word]) >> (place & 63).astype(np.uint64)
+        out = place + _lowest(bits)
+        far = np.flatnonzero(bits == 0)
+        while len(far):
+            word[far] += 1
+            bits = ~self.up[word[far]] if flip else self.up[word[far]]
+            out[far] = word[far] * 64 + _lowest(bits)
+            far = far[bits == 0]
+        return out
 
     def _low_at(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -94,14 +94,21 @@ class EliasFano:
         at = i * self.width
         word, shift = at >> 6, (at & 63).astype(np.uint64)
         out = self.low[word] >> shift
-        over = shift.astype(np.int64) + self.width > 64
-        if over.any():
-            out[over] |= self.low[word[over] + 1] << (_U(64) - shift[over])
+        over = np.flatnonzero(shift.astype(np.int64) + self.width > 64)
+        out[over] |= self.low[word[over] + 1] << (_U(64) - shift[over])
         return out & _low_bits(self.width)
 
+    def _value(self, i: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return ((place - i).astype(np.uint64) << _U(self.width)) | self._low_at(i)
+
     def access(self, i: np.ndarray) -> np.ndarray:
         """The i-th numbers."""
-        return ((self._select1(i) - i).astype(np.uint64) << _U(self.width)) | self._low_at(i)
+        return self._value(i, self._select(i, self.ones, False))
+
+    def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th numbers and the next ones."""
+        place = self._select(i, self.ones, False)
+        return self._value(i, place), self._value(i + 1, self._after(place + 1, False))
 
     def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """Index of each x (within lo <= index < hi if given), or -1: a successor search in x's bucket."""
@@ -111,22 +118,30 @@ class EliasFano:
         if not len(ask):
             return out
         b = bucket[ask].astype(np.int64)
-        end = self._select0(b) - b
-        start = np.zeros(len(b), dtype=np.int64)
-        later = b > 0
-        start[later] = self._select0(b[later] - 1) - (b[later] - 1)
+        begin = np.zeros(len(b), dtype=np.int64)
+        later = np.flatnonzero(b > 0)
+        begin[later] = self._select(b[later] - 1, self.zeros, True) + 1
+        start, end = begin - b, self._after(begin, True) - b
         if lo is not None:
             start, end = np.maximum(start, lo[ask]), np.minimum(end, hi[ask])
-        stop = end.copy()
         want = x[ask] & _low_bits(self.width)
+        # most buckets hold a number or two: those are looked at one by one, larger ones by halves
         active = np.flatnonzero(start < end)
+        for _ in range(3):
+            got = self._low_at(start[active])
+            hit = got == want[active]
+            out[ask[active[hit]]] = start[active[hit]]
+            active = active[got < want[active]]
+            start[active] += 1
+            active = active[start[active] < end[active]]
+        stop, large = end.copy(), active
         while len(active):
             mid = (start[active] + end[active]) >> 1
             less = self._low_at(mid) < want[active]
             start[active[less]] = mid[less] + 1
             end[active[~less]] = mid[~less]
             active = active[start[active] < end[active]]
-        inside = np.flatnonzero(start < stop)
+        inside = large[start[large] < stop[large]]
         hit = inside[self._low_at(start[inside]) == want[inside]]
         out[ask[hit]] = start[hit]
         return out

@@ -13,11 +13,11 @@ import dataclasses
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, unit_hash
-from .runtime import arrow_map
+from .runtime import arrow_map, marked
 from .textkit import LOWER, text_slices
 
 BUCKETS = 1 << 16
@@ -222,46 +222,62 @@ def train(docs: DataFrame, folds: int = 3, held_out_fold: int = 1, rows: int = S
     return fit([r["window"] for r in got], [r["lang"] for r in got], seed)
 
 
-def identify(docs: DataFrame, model: LangModel, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
-    """The kept columns with lang_pred, score and rejected (after the prefix), from the text alone.
+def _told(model: LangModel, texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, probability, rejected) of texts, with those marked that have a letter."""
+    names = np.array([*model.langs, "und"], dtype=object)
+    pred, conf = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+    known = known & bool(model.langs)
+    if model.langs:
+        for a, b, data, offsets in text_slices(texts):
+            best, p = model.predict(data, offsets)
+            pred[a:b], conf[a:b] = names[np.where(known[a:b], best, len(model.langs))], np.where(known[a:b], p, 0.0)
+    return pred, conf, ~known | (conf < model.reject_below)
+
+
+def _has_letter() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
+def identify(docs: DataFrame, model: LangModel) -> DataFrame:
+    """doc_id, lang_pred, score and rejected, from the text alone.
 
     A null text or one without a letter is ``und`` with score 0 and is rejected; so is a text whose
     calibrated probability is under the model's rejection level (it still gets a lang_pred). Without a
-    single training row every text is ``und``.
+    single training row every text is ``und``. Repeated rows are told as often as they come, null ids are kept,
+    an empty table gives no rows, other columns are ignored.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col("text").alias("_lid_text"), letter.alias("_lid_letter"), *[F.col(f"`{n}`") for n in keep])
-    fields = "".join(f"`{n}` {t}, " for n, t in rows.dtypes[2:])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batch: pa.RecordBatch):
-        model = shared.value
-        for a, b, data, offsets in text_slices(batch.column(0)):
-            part = batch.slice(a, b - a)
-            known = part.column(1).to_numpy(zero_copy_only=False) & bool(model.langs)
-            best, conf = model.predict(data, offsets) if model.langs else (np.zeros(b - a, int), np.zeros(b - a))
-            names = np.array([*model.langs, "und"], dtype=object)
-            pred = names[np.where(known, best, len(model.langs))]
-            conf = np.where(known, conf, 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[2:], pa.array(pred, pa.string()), pa.array(conf),
-                 pa.array(~known | (conf < model.reject_below))],
-                names=[*keep, *(prefix + x for x in ("lang_pred", "score", "rejected"))],
-            )
-
-    return arrow_map(rows, kernel, f"{fields}{prefix}lang_pred string, {prefix}score double, {prefix}rejected boolean")
+        pred, conf, rejected = _told(shared.value, batch.column(0), batch.column(1).to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(2), pa.array(pred, pa.string()), pa.array(conf), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"]
+        )
+
+    rows = docs.select("text", _has_letter().alias("letter"), "doc_id")
+    return arrow_map(rows, kernel, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, rejected boolean")
 
 
 def predictions(docs: DataFrame, folds: int = 3, held_out_fold: int = 1) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score. A null id is held out."""
+    """Per document: doc_id, held_out, lang_pred, score. A null id is held out; all else as in ``identify``.
+
+    A null lang teaches nothing; ties between languages go to the first by name.
+    """
     model = train(docs, folds, held_out_fold)
     held = F.coalesce(fold(F.col("doc_id"), folds) == held_out_fold, F.lit(True))
     return identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, folds: int = 3, held_out_fold: int = 1) -> DataFrame:
-    """The documents whose language is known with enough confidence, with their own columns."""
-    model = train(docs, folds, held_out_fold)
-    marked = identify(docs, model, tuple(docs.columns), "_lid_")
-    return marked.where(~F.col("_lid_rejected")).drop("_lid_lang_pred", "_lid_score", "_lid_rejected")
+    """The documents whose language is known with enough confidence, with their own columns (whatever their names).
+
+    Null, empty and letterless texts go, null ids and repeated rows are judged by their text, an empty table gives no
+    rows. Only the text goes through Python; the other columns stay where they are.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, folds, held_out_fold))
+    mark = "_lid_accepted"
+
+    def kernel(texts: pa.Array) -> pa.Array:
+        return pa.array(~_told(shared.value, texts, np.ones(len(texts), dtype=bool))[2])
+
+    return marked(docs.where(_has_letter()), "text", mark, kernel, "boolean").where(mark).drop(mark)

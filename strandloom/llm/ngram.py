@@ -1,14 +1,16 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Words are numbered by their hash; level k of the trie holds, for each (k-1)-gram that was followed by
-something, the sorted words that followed it. Contexts, pointers to their ranges and successors are
-Elias-Fano sequences; successors are kept relative to their context (each range starts where the last one
-ended), so that one monotone sequence holds them all and a lookup is one successor search in a range.
+Words are numbered by their hash; level k of the trie holds, for each (k-1)-gram, the sorted words that followed
+it. Pointers (one for each node of the level above, where its range begins) and successors are Elias-Fano
+sequences; successors are kept relative to their context (each range starts where the last one ended), so that
+one monotone sequence holds them all and a lookup is one pointer and one successor search in its range.
 Probabilities and back-off weights (interpolated absolute discounting with three discounts) are quantised to
-a byte each. Levels are cut into shards by context, built by executors in the shared folder, and
-memory-mapped there by the scoring tasks.
+a byte each; counts are dropped once they have been weighed. A level's shard holds what follows the nodes of the
+same shard of the level above; shards are built by executors in the shared folder, and memory-mapped there by
+the scoring tasks.
 
-A context that holds more than a thousandth of all tokens is dealt over all shards by the word that follows.
+A context that holds more than a thousandth of all tokens is dealt over all shards by the word that follows; every
+shard has a pointer for each of those contexts behind its own nodes.
 """
 
 from __future__ import annotations
@@ -137,6 +139,19 @@ def _mapped(path: str) -> dict[str, np.ndarray]:
     return map_arrays(path)
 
 
+def _small(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in a byte each; those of 255 and more stand apart."""
+    more = np.flatnonzero(counts >= 255)
+    return {"count": np.minimum(counts, 255).astype(np.uint8), "more_at": more, "more": counts[more]}
+
+
+def _counts_at(arrays: dict[str, np.ndarray], i: np.ndarray) -> np.ndarray:
+    out = arrays["count"][i].astype(np.int64)
+    large = np.flatnonzero(out == 255)
+    out[large] = arrays["more"][np.searchsorted(arrays["more_at"], i[large])]
+    return out
+
+
 def _vocab_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (((hashes >> _U(31)) * _U(shards)) >> _U(32)).astype(np.int64)
 
@@ -155,16 +170,39 @@ def word_numbers(meta: Meta, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
             at = unnested("hash", arrays).find(unique[a:b])
             have = np.flatnonzero(at >= 0)
             number[a + have] = meta.vocab[s] + at[have]
-            count[a + have] = arrays["count"][at[have]]
+            count[a + have] = _counts_at(arrays, at[have])
     return number[inverse], count[inverse]
 
 
-def _shards_of(meta: Meta, level: int, parent: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
-    key = mix(parent.astype(np.uint64) + _U(level))
-    hot = np.isin(parent, meta.hot[level][0])
+def _above(meta: Meta, level: int) -> list[int]:
+    """First node of each shard of the level above, and the end."""
+    return meta.vocab if level == 2 else meta.bases[level - 1]
+
+
+def _hot_place(meta: Meta, level: int, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each parent among the hot contexts, and whether it is one."""
+    hot = meta.hot[level][0]
+    if not len(hot):
+        return np.zeros(len(parent), dtype=np.int64), np.zeros(len(parent), dtype=bool)
+    place = np.minimum(np.searchsorted(hot, parent), len(hot) - 1)
+    return place, hot[place] == parent
+
+
+def _shards_of(meta: Meta, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A context's successors lie in its own shard, those of a hot one in the shard that the word's number gives."""
+    above = _above(meta, level)
+    shard = np.searchsorted(np.array(above[1:]), parent, side="right")
+    _, hot = _hot_place(meta, level, parent)
     if hot.any():
-        key[hot] = mix(key[hot] + word[hot].astype(np.uint64))
-    return (key % _U(shards)).astype(np.int64)
+        shard[hot] = (mix(parent[hot].astype(np.uint64) * _U(2) + mix(word[hot].astype(np.uint64))) % _U(len(above) - 1)).astype(np.int64)
+    return shard
+
+
+def _slots(meta: Meta, level: int, shard: int, parent: np.ndarray) -> np.ndarray:
+    """Numbers of contexts among a shard's pointers: its own nodes, then all hot contexts."""
+    above = _above(meta, level)
+    place, hot = _hot_place(meta, level, parent)
+    return np.where(hot, above[shard + 1] - above[shard] + place, parent - above[shard])
 
 
 def descend(meta: Meta, level: int, parent: np.ndarray, word: np.ndarray, weights: bool = True):
@@ -179,55 +217,49 @@ def descend(meta: Meta, level: int, parent: np.ndarray, word: np.ndarray, weight
     node, prob, back = np.full(n, -1, dtype=np.int64), np.zeros(n), np.ones(n)
     base = meta.bases[level]
     ask = np.flatnonzero(parent >= 0)
-    shard = _shards_of(meta, level, parent[ask], word[ask], len(base) - 1)
-    by = np.argsort(shard, kind="stable")
-    ask = ask[by]
-    edges = np.searchsorted(shard[by], np.arange(len(base)))
+    shard = _shards_of(meta, level, parent[ask], word[ask])
+    if len(meta.hot[level][0]):
+        by = np.lexsort((_hot_place(meta, level, parent[ask])[1], shard))  # a shard's hot contexts come last
+        ask, shard = ask[by], shard[by]
+    edges = np.searchsorted(shard, np.arange(len(base)))
     for s in range(len(base) - 1):
         here = ask[edges[s] : edges[s + 1]]
         if not len(here) or base[s] == base[s + 1]:
             continue
         arrays = _mapped(f"{meta.path}/level{level}-{s}")
-        contexts, pointers, successors = (unnested(k, arrays) for k in ("ctx", "ptr", "suc"))
+        pointers, successors = (unnested(k, arrays) for k in ("ptr", "suc"))
         fresh = np.concatenate([[True], parent[here[1:]] != parent[here[:-1]]])
-        c = contexts.find(parent[here[fresh]].astype(np.uint64))
-        held = np.maximum(c, 0)
-        lo, hi = pointers.access(held).astype(np.int64), pointers.access(held + 1).astype(np.int64)
-        offset = np.zeros(len(c), dtype=np.uint64)
-        offset[lo > 0] = successors.access(lo[lo > 0] - 1)
+        slot = _slots(meta, level, s, parent[here[fresh]])
+        lo, hi = (x.astype(np.int64) for x in pointers.access_two(slot))
+        known = lo < hi
+        offset = np.zeros(len(lo), dtype=np.uint64)
+        inner = np.flatnonzero(known & (lo > 0))
+        offset[inner] = successors.access(lo[inner] - 1)
         group = np.cumsum(fresh) - 1
-        known = np.flatnonzero(c[group] >= 0)
-        group, at = group[known], here[known]
-        real = np.flatnonzero(word[at] >= 0)
-        g = group[real]
-        found = successors.find(word[at[real]].astype(np.uint64) + offset[g], lo[g], hi[g])
+        real = np.flatnonzero((word[here] >= 0) & known[group])
+        g, at = group[real], here[real]
+        found = successors.find(word[at].astype(np.uint64) + offset[g], lo[g], hi[g])
         got = found >= 0
-        node[at[real[got]]] = base[s] + found[got]
+        node[at[got]] = base[s] + found[got]
         if weights:
             codes = _mapped(f"{meta.path}/weight{level}-{s}")
-            prob[at[real[got]]] = codes["prob_book"][codes["prob"][found[got]]]
-            back[at] = codes["back_book"][codes["back"][c[group]]]
-    if weights and len(meta.hot[level][0]):
-        place = np.minimum(np.searchsorted(meta.hot[level][0], parent), len(meta.hot[level][0]) - 1)
-        is_hot = meta.hot[level][0][place] == parent
-        back[is_hot] = meta.hot_weight[level][place[is_hot]]
+            prob[at[got]] = codes["prob_book"][codes["prob"][found[got]]]
+            seen = known[group]
+            back[here[seen]] = codes["back_book"][codes["back"][slot[group[seen]]]]
+    if weights:
+        place, is_hot = _hot_place(meta, level, parent)
+        if is_hot.any():
+            back[is_hot] = meta.hot_weight[level][place[is_hot]]
     return node[inverse], prob[inverse], back[inverse]
 
 
-def node_counts(meta: Meta, level: int, shard: int) -> np.ndarray:
-    arrays = _mapped(f"{meta.path}/level{level}-{shard}")
-    out = arrays["count"].astype(np.int64)
-    out[arrays["more_at"]] = arrays["more"]
-    return out
-
-
 # building ----------------------------------------------------------------------------------------------------
 
 
 def _build_vocab(meta_path: str) -> Callable[[pa.Table], pa.Table]:
     def build(table: pa.Table) -> pa.Table:
         shard, keys, counts = _merged(table)
-        save_arrays(f"{meta_path}/vocab-{shard}", nested("hash", EliasFano.build(keys)) | {"count": counts})
+        save_arrays(f"{meta_path}/vocab-{shard}", nested("hash", EliasFano.build(keys)) | _small(counts))
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": [len(keys)], "tokens": [int(counts.sum())]})
 
     return build
@@ -243,20 +275,27 @@ def _build_level(meta: Meta, level: int, threshold: int) -> Callable[[pa.Table],
 
     def build(table: pa.Table) -> pa.Table:
         shard, keys, counts = _merged(table)
-        parent, word = keys >> _U(meta.bits), keys & _U((1 << meta.bits) - 1)
-        first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
-        ends = np.concatenate([first[1:], [len(keys)]])
+        parent, word = (keys >> _U(meta.bits)).astype(np.int64), keys & _U((1 << meta.bits) - 1)
+        hot = _hot_place(meta, level, parent)[1]
+        if hot.any():  # behind the shard's own nodes
+            by = np.argsort(hot, kind="stable")
+            parent, word, counts = parent[by], word[by], counts[by]
+        slot = _slots(meta, level, shard, parent)
+        above, n_hot = _above(meta, level), len(meta.hot[level][0])
+        slots = above[shard + 1] - above[shard] + n_hot
+        pointers = np.searchsorted(slot, np.arange(slots + 1))
+        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        ends = np.concatenate([first[1:], [len(slot)]])
         offset = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word[ends - 1])[:-1]])
-        more = np.flatnonzero(counts >= 255)
-        arrays = nested("ctx", EliasFano.build(parent[first])) | nested("ptr", EliasFano.build(np.concatenate([first, [len(keys)]])))
-        arrays |= nested("suc", EliasFano.build(word + np.repeat(offset, ends - first)))
-        arrays |= {"count": np.minimum(counts, 255).astype(np.uint8), "more_at": more, "more": counts[more]}
+        arrays = nested("ptr", EliasFano.build(pointers)) | nested("suc", EliasFano.build(word + np.repeat(offset, ends - first)))
         save_arrays(f"{meta.path}/level{level}-{shard}", arrays)
-        hot = np.flatnonzero(np.isin(parent[first].astype(np.int64), meta.hot[level][0]))
+        save_arrays(f"{meta.path}/counts{level}-{shard}", _small(counts))
+        own = pointers[slots - n_hot :]  # of the hot contexts
+        kinds = np.array([[((counts[a:b] == i) if i < 3 else (counts[a:b] >= 3)).sum() for a, b in zip(own, own[1:])] for i in (1, 2, 3)], dtype=np.int64)
         heavy = np.flatnonzero(counts > threshold)
         return pa.table({
             "shard": pa.array([shard], pa.int32()), "n": [len(keys)], "seen": [[int((counts == i).sum()) for i in (1, 2, 3, 4)]],
-            "hot": [parent[first][hot].astype(np.int64)], "kinds": [_kinds(counts, first)[:, hot].ravel()], "heavy": [heavy], "heavy_n": [counts[heavy]],
+            "kinds": pa.array([kinds.ravel()], pa.list_(pa.int64())), "heavy": pa.array([heavy], pa.list_(pa.int64())), "heavy_n": pa.array([counts[heavy]], pa.list_(pa.int64())),
         })
 
     return build
@@ -274,22 +313,23 @@ def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _write_weights(meta: Meta, level: int, shard: int) -> None:
     """Quantised probabilities and back-off weights of a shard, once the discounts are known."""
-    arrays = _mapped(f"{meta.path}/level{level}-{shard}")
-    counts = node_counts(meta, level, shard)
-    contexts = unnested("ctx", arrays)
-    parent = contexts.access(np.arange(contexts.n)).astype(np.int64)
-    first = unnested("ptr", arrays).access(np.arange(len(parent) + 1)).astype(np.int64)
-    total = np.add.reduceat(counts, first[:-1])
-    hot, hot_total = meta.hot[level]
-    if len(hot):
-        place = np.minimum(np.searchsorted(hot, parent), len(hot) - 1)
-        is_hot = hot[place] == parent
-        total[is_hot] = hot_total[place[is_hot]]
+    kept = _mapped(f"{meta.path}/counts{level}-{shard}")
+    counts = _counts_at(kept, np.arange(len(kept["count"])))
+    pointers = unnested("ptr", _mapped(f"{meta.path}/level{level}-{shard}"))
+    start = pointers.access(np.arange(pointers.n)).astype(np.int64)
+    full = np.flatnonzero(np.diff(start))  # contexts with successors
+    first, size = start[full], np.diff(start)[full]
+    total = np.add.reduceat(counts, first)
+    hot_total = meta.hot[level][1]
+    place = full - (pointers.n - 1 - len(hot_total))
+    total[place >= 0] = hot_total[place[place >= 0]]
     d = np.array(meta.discounts[level])
-    prob = (counts - d[np.minimum(counts, 3) - 1]) / np.repeat(total, np.diff(first))
-    back = (d[:, None] * _kinds(counts, first[:-1])).sum(0) / total
+    prob = (counts - d[np.minimum(counts, 3) - 1]) / np.repeat(total, size)
+    back = (d[:, None] * _kinds(counts, first)).sum(0) / total
     prob_book, prob_code = _book(np.maximum(prob, 1e-300))
-    back_book, back_code = _book(np.clip(back, 1e-12, 1))
+    back_book, code = _book(np.clip(back, 1e-12, 1))
+    back_code = np.zeros(pointers.n - 1, dtype=np.uint8)
+    back_code[full] = code
     save_arrays(f"{meta.path}/weight{level}-{shard}", {"prob_book": prob_book, "prob": prob_code, "back_book": back_book, "back": back_code})
 
 
@@ -339,8 +379,8 @@ def train(docs: DataFrame, order: int = ORDER) -> Meta:
 
 
 def _heavy_words(path: str, shard: int, threshold: int) -> list[tuple[int, int]]:
-    counts = map_arrays(f"{path}/vocab-{shard}")["count"]
-    return [(int(i), int(counts[i])) for i in np.flatnonzero(counts > threshold)]
+    arrays = map_arrays(f"{path}/vocab-{shard}")  # HOT_TOKENS is over 255
+    return [(int(i), int(n)) for i, n in zip(arrays["more_at"], arrays["more"]) if n > threshold]
 
 
 def _train_level(docs: DataFrame, meta: Meta, level: int, shards: int, threshold: int) -> list[tuple[int, int]]:
@@ -353,19 +393,16 @@ def _train_level(docs: DataFrame, meta: Meta, level: int, shards: int, threshold
         return (parent[keep].astype(np.uint64) << _U(meta.bits)) | word[keep].astype(np.uint64)
 
     def shard_of(k: np.ndarray) -> np.ndarray:
-        return _shards_of(meta, level, (k >> _U(meta.bits)).astype(np.int64), (k & _U((1 << meta.bits) - 1)).astype(np.int64), shards)
+        return _shards_of(meta, level, (k >> _U(meta.bits)).astype(np.int64), (k & _U((1 << meta.bits) - 1)).astype(np.int64))
 
-    fields = "shard int, n long, seen array<long>, hot array<long>, kinds array<long>, heavy array<long>, heavy_n array<long>"
+    fields = "shard int, n long, seen array<long>, kinds array<long>, heavy array<long>, heavy_n array<long>"
     rows = _counted(docs, keys, shard_of).groupBy("shard").applyInArrow(_build_level(meta, level, threshold), fields).collect()
     base = _edges({r["shard"]: r["n"] for r in rows}, shards)
     seen = np.sum([r["seen"] for r in rows], axis=0) if rows else np.zeros(4)
     meta.bases[level], meta.discounts[level] = base, _discounts(seen)
-    kinds = {int(p): np.zeros(3) for p in meta.hot[level][0]}
-    for r in rows:
-        for p, k in zip(r["hot"], np.array(r["kinds"]).reshape(3, -1).T):
-            kinds[p] += k
-    d = np.array(meta.discounts[level])
-    meta.hot_weight[level] = np.array([(d * kinds[int(p)]).sum() / t for p, t in zip(*meta.hot[level])])
+    total = meta.hot[level][1]
+    kinds = sum((np.array(r["kinds"]).reshape(3, -1) for r in rows), np.zeros((3, len(total))))
+    meta.hot_weight[level] = np.array(meta.discounts[level]) @ kinds / np.maximum(total, 1)
     built = [r["shard"] for r in rows]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,6 +413,8 @@ def _train_level(docs: DataFrame, meta: Meta, level: int, shards: int, threshold
 
     if built:
         spark.createDataFrame([(s,) for s in built], "shard int").repartition(len(built)).mapInArrow(weigh, "shard int").count()
+        for s in built:
+            os.remove(f"{meta.path}/counts{level}-{s}")
     return [(base[r["shard"]] + i, n) for r in rows for i, n in zip(r["heavy"], r["heavy_n"])]
 
 

@@ -11,7 +11,7 @@ _WORDS = rf"regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+')"
 #: Windows of ten words of items against all windows of documents.
 WINDOW_HITS_SQL = f"""
 WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
-b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
 sized AS (SELECT item_id, w, least(10, len(w)) AS m FROM b WHERE len(w) > 0),
 units AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS u FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM sized)),
 sizes AS (SELECT DISTINCT m FROM units),
@@ -20,7 +20,7 @@ stretches AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS u FRO
 hits AS (SELECT doc_id, m, i, item_id FROM stretches JOIN units USING (m, u)),
 inside AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
-          FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+          FROM (SELECT DISTINCT doc_id, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN inside USING (doc_id) LEFT JOIN items USING (doc_id)

@@ -11,12 +11,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own_dir: list[str] = []
 
 #: Rows of an Arrow batch in a session that uses these kernels, at most: what a Python worker holds stays small.
 BATCH_ROWS = 1000
+#: And bytes of one, so that long texts don't swell the JVM's Arrow buffers either; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -54,8 +58,8 @@ def local_path(path: str) -> str:
 
 
 def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a kernel for one batch. Lowers the session's rows of a batch to BATCH_ROWS, and at the end of a
-    task gives memory back, as workers wait for the next task."""
+    """mapInArrow with a kernel for one batch. Lowers the session's rows and bytes of a batch to BATCH_ROWS and
+    BATCH_BYTES, and at the end of a task gives memory back, as workers wait for the next task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,6 +74,22 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterable[pa.Reco
 def bound_batches(spark: SparkSession) -> None:
     if not 0 < int(spark.conf.get(_ARROW_ROWS)) <= BATCH_ROWS:
         spark.conf.set(_ARROW_ROWS, str(BATCH_ROWS))
+    size = spark.conf.get(_ARROW_BYTES).removesuffix("b")
+    if not size.isdigit() or int(size) > BATCH_BYTES:
+        spark.conf.set(_ARROW_BYTES, str(BATCH_BYTES))
+
+
+def marked(df: DataFrame, text: str, name: str, kernel: Callable[[pa.Array], pa.Array], kind: str) -> DataFrame:
+    """df with a column that an Arrow kernel makes of the text alone; the other columns stay in the JVM."""
+
+    @F.arrow_udf(kind)
+    def of_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield kernel(texts)
+        release_memory()
+
+    bound_batches(df.sparkSession)
+    return df.withColumn(name, of_batches(F.col(f"`{text}`")))
 
 
 def release_memory() -> None:

@@ -80,6 +80,21 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         row = end
 
 
+def pieces(data: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[np.ndarray]:
+    """One text in pieces of about ``limit`` bytes, cut after a space; a word over ``limit`` bytes stays whole."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + limit)
+        while end < len(data):
+            space = np.flatnonzero(~SPACE_WORDS[data[end : end + limit]])
+            if len(space):
+                end += int(space[0]) + 1
+                break
+            end = min(len(data), end + limit)
+        yield data[at:end]
+        at = end
+
+
 class Words:
     """Words of a slice: start, end (bytes), hash, and bounds of each row's words."""
 

@@ -1,10 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one that also knows toxic text. A text is
-cut into words, at spaces and at symbols, and a word with symbols inside is looked at as a whole too; what a
-word's compressed length loses under the toxic dictionary is its distance, and the share of its length that
-this explains its relative distance. Counts of words beyond several of both make the features of a document,
-and a logistic calibration on labelled rows (other than those the dictionaries were trained on) gives the score.
+Two zstandard dictionaries are trained apart from each other, one on windows of ordinary text and one on windows of
+toxic text. Every text is cut into windows of a few words; a window's distance is what its compressed length under
+the ordinary dictionary is over that under the toxic one. The largest distances of a document and the counts of its
+windows beyond several thresholds are its features, and a logistic calibration on labelled documents that neither
+dictionary has seen gives the score.
+
+Labels mark documents, most of whose text is ordinary. So the toxic dictionary is trained on those windows of
+toxic documents that hold a run of bytes as long as the trainer's own unit (SEGMENT) that is in several toxic
+documents and many times likelier there.
 """
 
 from __future__ import annotations
@@ -20,29 +24,28 @@ from pyspark.sql import functions as F
 
 from .labelled import fold, logistic, sampled_labels, unit_hash
 from .runtime import arrow_map, table
-from .textkit import ALNUM_WORDS, LONG_WORD, Words, mix, span_hash, text_slices
+from .textkit import ALNUM_WORDS, LOWER, SLICE_BYTES, Words, mix, pieces, text_slices
 
-#: Bounds of what training gathers: labelled documents; windows for the ordinary dictionary
-#: and their words; words of each kind.
+#: Words of a window.
+WINDOW_WORDS = 2
+#: Bounds of what training gathers: labelled documents, and windows for each dictionary (both chosen by hash).
 SAMPLE_ROWS = 8000
-SAMPLE_WINDOWS = 60_000
-SAMPLE_WORDS = 4
-TOXIC_WORDS = 4000
-COMMON_WORDS = 8000
-#: A toxic word is in so many toxic documents and so many times likelier there.
-LEAST_DOCS = 4
-LEAST_RATIO = 9.0
+SAMPLE_WINDOWS = 100_000
+#: Bytes of a run, and when it counts as toxic: in so many toxic documents and such a share of them, so many times likelier there.
+SEGMENT = 6
+LEAST_DOCS = 3
+LEAST_SHARE = 0.007
+LEAST_RATIO = 20.0
+SEGMENT_BITS = 22
 #: Distances of so many windows are kept by a worker; a window that comes again isn't compressed again.
-MEMO = 500_000
-STEPS = (2, 3, 4, 5, 6, 7)
-#: Steps of the distance times the share of the window that it explains. A window that shares only a part with a
-#: toxic word (an ending, say) stays low here, whatever its length.
-RELATIVE = (0.5, 1, 2, 3, 4, 5)
-DICT_BYTES = 1 << 16
+MEMO = 300_000
+STEPS = (2, 3, 4, 5, 6, 8)
+ORDINARY_BYTES, TOXIC_BYTES = 1 << 17, 1 << 16
 #: Toxic share of documents for which the calibration is made.
 PRIOR = 0.3
-#: Ends every window: a sure match, so that a window never falls back to being stored, and room behind its last word.
+#: Ends every window and both dictionaries: a sure match, so that a window never falls back to being stored.
 _PAD = bytes(range(1, 9)) + bytes(range(14, 30))
+_U = np.uint64
 
 
 @dataclasses.dataclass
@@ -56,37 +59,19 @@ class ToxicModel:
 
 @functools.lru_cache(maxsize=2)
 def _compressors(ordinary: bytes, toxic: bytes):
-    how = zstd.ZstdCompressionParameters.from_level(
-        3, min_match=5, strategy=zstd.STRATEGY_LAZY2, search_log=4, chain_log=17, hash_log=17, window_log=20,
-        write_content_size=False, write_dict_id=False,
-    )
+    """A quick and a thorough compressor for each dictionary: (quick ordinary, quick toxic, ordinary, toxic)."""
     made = []
-    for content in (ordinary + _PAD, ordinary + toxic + _PAD):
-        known = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        known.precompute_compress(compression_params=how)
-        made.append(zstd.ZstdCompressor(dict_data=known, compression_params=how).compress)
+    for strategy, search in ((zstd.STRATEGY_GREEDY, 2), (zstd.STRATEGY_LAZY, 4)):
+        how = zstd.ZstdCompressionParameters.from_level(
+            3, min_match=4, strategy=strategy, search_log=search, chain_log=17, hash_log=17, window_log=18, write_content_size=False, write_dict_id=False
+        )
+        for content in (ordinary, toxic):
+            known = zstd.ZstdCompressionDict(content + _PAD)
+            known.precompute_compress(compression_params=how)
+            made.append(zstd.ZstdCompressor(dict_data=known, compression_params=how).compress)
     return made
 
 
-def _windows(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct windows of k whole words, lower-cased and with single-byte spaces; the number of each
-    window of the texts among them; bounds of each row's windows."""
-    words = Words(data, offsets)
-    low = words.low
-    low[np.isin(low, (9, 10, 11, 12, 13))] = 0x20
-    per_row = -(-np.diff(words.bounds) // k)
-    bounds = np.concatenate([[0], np.cumsum(per_row)])
-    first = np.repeat(words.bounds[:-1], per_row) + k * (np.arange(bounds[-1]) - np.repeat(bounds[:-1], per_row))
-    last = np.minimum(first + k, np.repeat(words.bounds[1:], per_row)) - 1
-    key = words.hash[first]
-    for j in range(1, k):
-        more = first + j <= last
-        key[more] = mix(key[more]) + words.hash[first[more] + j]
-    _, at, which = np.unique(key, return_index=True, return_inverse=True)
-    blob = low.tobytes()
-    return [blob[s:e] for s, e in zip(words.start[first[at]].tolist(), words.end[last[at]].tolist())], which, bounds
-
-
 def _letters(low: np.ndarray) -> np.ndarray:
     """Which bytes belong to letters or digits; spaces and symbols (of Latin-1, general and wide punctuation too) don't."""
     inside = ALNUM_WORDS[low]
@@ -101,39 +86,53 @@ def _letters(low: np.ndarray) -> np.ndarray:
     return inside
 
 
-class Units:
-    """Words of a slice, cut at spaces and symbols, and what symbols join.
-
-    First come all parts (runs of letters and digits) in order, then wholes: words with symbols inside, without
-    those at their edges, and words of symbols alone.
-    """
+class Plain:
+    """Lower-cased words (runs of letters and digits) of a slice's rows with one space before, between and after them."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        words = Words(data, offsets, hashes=False)
-        bare = words.low.copy()
-        bare[~_letters(bare)] = 0x20
-        parts = Words(bare, offsets)
-        self.low = words.low
-        n = np.bincount(np.searchsorted(words.start, parts.start, side="right") - 1, minlength=len(words.start))
-        first = np.concatenate([[0], np.cumsum(n)])
-        whole = np.flatnonzero(n != 1)
-        start, end = words.start[whole], words.end[whole]
-        joined = n[whole] > 1
-        start[joined], end[joined] = parts.start[first[whole[joined]]], parts.end[first[whole[joined] + 1] - 1]
-        self.n_parts = len(parts.start)
-        self.start, self.end = np.concatenate([parts.start, start]), np.concatenate([parts.end, end])
-        self.hash = np.concatenate([parts.hash, span_hash(self.low, start, end, LONG_WORD)])
-        row = lambda bounds: np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-        self.row = np.concatenate([row(parts.bounds), row(words.bounds)[whole]])
-        # of wholes with parts: their places, and first part and end of parts
-        self.joined = self.n_parts + np.flatnonzero(joined)
-        self.first, self.last = first[whole[joined]], first[whole[joined] + 1]
-
-    def distinct(self) -> tuple[list[bytes], np.ndarray]:
-        """Distinct words, and the number of each word among them."""
-        _, at, which = np.unique(self.hash, return_index=True, return_inverse=True)
-        blob = self.low.tobytes()
-        return [blob[s:e] for s, e in zip(self.start[at].tolist(), self.end[at].tolist())], which
+        low = LOWER[data]
+        low[~_letters(low)] = 0x20
+        words = Words(low, offsets)
+        size = words.end - words.start
+        n_words = np.diff(words.bounds)
+        self.bounds, self.hash = words.bounds, words.hash
+        self.row = np.repeat(np.arange(len(n_words)), n_words)
+        upto = np.cumsum(size) - size
+        self.start = upto + np.arange(len(size)) + self.row + 1
+        self.end = self.start + size
+        self.bytes = np.full(int(size.sum()) + len(size) + len(n_words), 0x20, dtype=np.uint8)
+        run = np.arange(int(size.sum()))
+        self.bytes[run + np.repeat(self.start - upto, size)] = low[run + np.repeat(words.start - upto, size)]
+
+    def windows(self, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, last word, row) of windows of WINDOW_WORDS that begin at every step-th word of a row."""
+        n_words = np.diff(self.bounds)
+        per_row = -(-np.maximum(n_words - (WINDOW_WORDS - step), n_words > 0) // step)
+        ends = np.cumsum(per_row)
+        row = np.repeat(np.arange(len(per_row)), per_row)
+        first = self.bounds[:-1][row] + step * (np.arange(len(row)) - (ends - per_row)[row])
+        return first, np.minimum(first + WINDOW_WORDS, self.bounds[1:][row]) - 1, row
+
+    def distinct(self, first: np.ndarray, last: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Distinct windows as bytes, and the number of each window among them."""
+        key = self.hash[first]
+        for j in range(1, WINDOW_WORDS):
+            more = first + j <= last
+            key[more] = mix(key[more]) + self.hash[first[more] + j]
+        _, at, which = np.unique(key, return_index=True, return_inverse=True)
+        blob = self.bytes.tobytes()
+        return [blob[s:e] for s, e in zip((self.start[first[at]] - 1).tolist(), (self.end[last[at]] + 1).tolist())], which
+
+    def segments(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, hash) of every run of SEGMENT bytes, by the byte at which it begins; row -1 where it leaves its row."""
+        n = max(0, len(self.bytes) - SEGMENT + 1)
+        code = np.zeros(n, dtype=np.uint64)
+        for i in range(SEGMENT):
+            code = (code << _U(8)) | self.bytes[i : i + n]
+        n_words = np.diff(self.bounds)
+        sizes = np.bincount(self.row, weights=self.end - self.start + 1, minlength=len(n_words)).astype(np.int64) + 1
+        row = np.repeat(np.arange(len(n_words)), sizes)
+        return np.where(row[:n] == row[SEGMENT - 1 : SEGMENT - 1 + n], row[:n], -1), (mix(code) >> _U(64 - SEGMENT_BITS)).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -141,113 +140,128 @@ def _memo(ordinary: bytes, toxic: bytes) -> dict[bytes, int]:
     return {}
 
 
-def distances(model: ToxicModel, windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes by which each window is shorter under the toxic dictionary, and those it needs there beyond an empty one."""
-    plain, toxic = _compressors(model.ordinary, model.toxic)
+def distances(model: ToxicModel, windows: list[bytes]) -> np.ndarray:
+    """Bytes by which each window is shorter under the toxic dictionary than under the ordinary one.
+
+    Where a quick search for matches finds a distance that could count, a thorough one measures it again.
+    """
+    quick_plain, quick_toxic, plain, toxic = _compressors(model.ordinary, model.toxic)
     memo = _memo(model.ordinary, model.toxic)
     if len(memo) > MEMO:
         memo.clear()
-    empty = len(toxic(b"  " + _PAD))
-    out, left = np.empty(len(windows), dtype=np.int64), np.empty(len(windows), dtype=np.int64)
-    for i, w in enumerate(windows):
-        known = memo.get(w)
-        if known is None:
-            padded = b" " + w + b" " + _PAD
-            short = len(toxic(padded))
-            out[i], left[i] = len(plain(padded)) - short, max(0, short - empty)
-            if len(w) < 64:
-                memo[w] = int(out[i]) * 4096 + int(left[i])
-        else:
-            out[i], left[i] = divmod(known, 4096)
-    return out, left
-
-
-N_FEATURES = 7 + 3 * (len(STEPS) + len(RELATIVE))
+    found = list(map(memo.get, windows))
+    fresh = [i for i, known in enumerate(found) if known is None]
+    # one dictionary after the other, so that its tables stay in the processor's cache
+    padded = [windows[i] + _PAD for i in fresh]
+    away = [a - b for a, b in zip([len(quick_plain(w)) for w in padded], [len(quick_toxic(w)) for w in padded])]
+    again = [k for k, d in enumerate(away) if d >= STEPS[0]]
+    for k, a, b in zip(again, [len(plain(padded[k])) for k in again], [len(toxic(padded[k])) for k in again]):
+        away[k] = a - b
+    for i, d in zip(fresh, away):
+        found[i] = d
+        if len(windows[i]) < 40:
+            memo[windows[i]] = d
+    return np.array(found, dtype=np.int64)
+
+
+N_FEATURES = 4 + 2 * len(STEPS)
+
+
+def _sums(model: ToxicModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row: number of windows, the three largest distances, counts of windows at or over each step."""
+    text = Plain(data, offsets)
+    first, last, row = text.windows(WINDOW_WORDS)
+    windows, which = text.distinct(first, last)
+    dist = distances(model, windows)[which] if len(which) else np.zeros(0, np.int64)
+    rows = len(offsets) - 1
+    bounds = np.searchsorted(row, np.arange(rows + 1))
+    over = np.stack([np.concatenate([[0], np.cumsum(dist >= s)]) for s in STEPS], axis=1)
+    largest = np.full((rows, 3), -np.inf)
+    by = np.lexsort((-dist, row))
+    for j in range(3):
+        has = np.flatnonzero(np.diff(bounds) > j)
+        largest[has, j] = dist[by[bounds[has] + j]]
+    return np.diff(bounds), largest, over[bounds[1:]] - over[bounds[:-1]]
 
 
 def features(model: ToxicModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and relative distances summed up by row (the largest, the three largest, and counts beyond each
-    step), and the largest distance. A whole counts only if it is farther than each of its parts."""
-    units = Units(data, offsets)
-    windows, which = units.distinct()
-    dist, left = (x[which] for x in distances(model, windows))
-    relative = np.maximum(dist, 0) ** 2 / np.maximum(dist + left, 1)
-    if len(units.joined):
-        cuts = np.stack([units.first, units.last], axis=1).ravel()
-        for x in (dist, relative):
-            most = np.maximum.reduceat(np.append(x[: units.n_parts], 0), cuts)[::2]
-            x[units.joined[x[units.joined] <= most]] = 0
-    order = np.argsort(units.row, kind="stable")
-    dist, relative = dist[order], relative[order]
-    rows = len(offsets) - 1
-    bounds = np.searchsorted(units.row[order], np.arange(rows + 1))
-    size = np.diff(bounds)
-    out, top = np.zeros((rows, N_FEATURES)), np.zeros(rows, dtype=np.int64)
-    out[:, 0] = np.log1p(size)
-    at = 7
-    for values, steps in ((dist, STEPS), (relative, RELATIVE)):
-        over = np.stack([np.concatenate([[0], np.cumsum(values >= s)]) for s in steps], axis=1)
-        counts = over[bounds[1:]] - over[bounds[:-1]]
-        k = len(steps)
-        out[:, at : at + k] = np.log1p(counts)
-        out[:, at + k : at + 2 * k] = counts > 0
-        out[:, at + 2 * k : at + 3 * k] = counts / np.maximum(size, 1)[:, None]
-        at += 3 * k
-    for i in np.flatnonzero(size):
-        for j, values in ((1, dist), (4, relative)):
-            d = np.sort(values[bounds[i] : bounds[i + 1]])[-3:]
-            out[i, j], out[i, j + 1], out[i, j + 2] = d[-1], d.sum(), d[-min(2, len(d))]
-        top[i] = int(out[i, 1])
-    return out, top
+    """Features by row (zeros without words) and the largest distance. A text over SLICE_BYTES is looked through in
+    pieces cut at spaces, whose sums are put together."""
+    if len(offsets) == 2 and len(data) > SLICE_BYTES:
+        parts = [_sums(model, piece, np.array([0, len(piece)])) for piece in pieces(data, SLICE_BYTES)]
+        size, over = sum(p[0] for p in parts), sum(p[2] for p in parts)
+        largest = -np.sort(-np.concatenate([p[1] for p in parts], axis=1), axis=1)[:, :3]
+    else:
+        size, largest, over = _sums(model, data, offsets)
+    largest = np.where(np.isinf(largest), largest[:, :1], largest)
+    largest[size == 0] = 0
+    out = np.concatenate(
+        [np.log1p(size)[:, None], largest[:, :2], largest.sum(1, keepdims=True), np.log1p(over), over / np.maximum(size, 1)[:, None]], axis=1
+    )
+    return out, largest[:, 0].astype(np.int64)
 
 
 def probability(model: ToxicModel, x: np.ndarray) -> np.ndarray:
-    z = np.concatenate([(x - model.mean) / model.scale, np.ones((len(x), 1))], axis=1) @ model.weights
-    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    wide = np.concatenate([np.clip((x - model.mean) / model.scale, -8, 8), np.ones((len(x), 1))], axis=1)
+    return 1 / (1 + np.exp(-np.clip(wide @ model.weights, -40, 40)))
 
 
-def _document_words(sample: DataFrame) -> DataFrame:
-    """(y, word): distinct lower-cased words of each document, cut as for scoring."""
+def _document_segments(sample: DataFrame) -> DataFrame:
+    """(y, h, n): in how many documents of each mark a run of bytes is, added up by batches."""
 
     def kernel(batch: pa.RecordBatch):
-        y = batch.column(1).to_pylist()
+        y = batch.column(1).to_numpy(zero_copy_only=False)
         for a, b, data, offsets in text_slices(batch.column(0)):
-            units = Units(data, offsets)
-            words, which = units.distinct()
-            pairs = np.unique(np.stack([units.row, which]), axis=1)
-            ys, found = [y[a + i] for i in pairs[0]], [words[j] for j in pairs[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(found, pa.binary())], names=["y", "word"])
+            row, code = Plain(data, offsets).segments()
+            pairs = np.unique((row[row >= 0] << SEGMENT_BITS) | code[row >= 0])
+            marked, n = np.unique((y[a + (pairs >> SEGMENT_BITS)].astype(np.int64) << SEGMENT_BITS) | (pairs & ((1 << SEGMENT_BITS) - 1)), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((marked >> SEGMENT_BITS).astype(np.int32)), pa.array((marked & ((1 << SEGMENT_BITS) - 1)).astype(np.int32)), pa.array(n)], names=["y", "h", "n"]
+            )
 
-    return arrow_map(sample.select("text", "y"), kernel, "y int, word binary")
+    return arrow_map(sample.select("text", "y"), kernel, "y int, h int, n long")
 
 
-def _sample_windows(sample: DataFrame) -> list[bytes]:
-    """About SAMPLE_WINDOWS windows, chosen by hash."""
+def _sample_windows(sample: DataFrame, toxic: np.ndarray | None = None) -> list[bytes]:
+    """About SAMPLE_WINDOWS windows, chosen by hash; with ``toxic`` (sorted runs), overlapping windows that hold such a run."""
+    shared = sample.sparkSession.sparkContext.broadcast(toxic)
 
     def kernel(batch: pa.RecordBatch):
+        runs = shared.value
         for _, _, data, offsets in text_slices(batch.column(0)):
-            found, which, _ = _windows(data, offsets, SAMPLE_WORDS)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()).take(pa.array(which))], names=["window"])
-
-    windows = arrow_map(sample.select("text"), kernel, "window binary")
-    total = windows.count()
-    share = min(1.0, SAMPLE_WINDOWS / max(1, total))
-    got = windows.where(unit_hash(F.col("window"), 3) < share).groupBy("window").agg(F.count("*").alias("n")).collect()
-    return [w for w, n in sorted((bytes(r["window"]), r["n"]) for r in got) for _ in range(min(n, 50))]
-
-
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary; too few samples are taken as they are."""
+            text = Plain(data, offsets)
+            first, last, _ = text.windows(WINDOW_WORDS if runs is None else 1)
+            if runs is not None and len(first):
+                row, code = text.segments()
+                hit = np.concatenate([[0], np.cumsum((row >= 0) & np.isin(code, runs))])
+                begin, stop = text.start[first] - 1, text.end[last] + 1 - SEGMENT + 1
+                has = hit[np.minimum(np.maximum(stop, begin), len(hit) - 1)] > hit[np.minimum(begin, len(hit) - 1)]
+                first, last = first[has], last[has]
+            found, which = text.distinct(first, last)
+            yield pa.RecordBatch.from_arrays([pa.array([found[i] for i in which.tolist()], pa.binary())], names=["window"])
+
+    windows = arrow_map(sample.select("text"), kernel, "window binary").groupBy("window").agg(F.count("*").alias("n"))
+    windows = table(windows, "toxic-windows")
+    total = windows.agg(F.sum("n")).first()[0] or 0
+    got = windows.where(unit_hash(F.col("window"), 3) < min(1.0, SAMPLE_WINDOWS / max(1, total))).collect()
+    return [w for w, n in sorted((bytes(r["window"]), r["n"]) for r in got) for _ in range(n)]
+
+
+def _dictionary(samples: list[bytes], most: int) -> bytes:
+    """A trained dictionary of ``most`` bytes or half of the samples' bytes; too few samples are taken as they are."""
+    size = min(most, max(4096, sum(map(len, samples)) // 2))
     try:
-        return zstd.train_dictionary(size, samples, k=32, d=6, steps=1).as_bytes()
+        return zstd.train_dictionary(size, samples, k=64, d=SEGMENT, steps=1, level=3).as_bytes()
     except zstd.ZstdError:
-        return b" ".join(samples)[-size:]
+        return b"".join(samples)[-size:]
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0, rows: int = SAMPLE_ROWS, seed: int = 9) -> ToxicModel:
-    """Learn from about ``rows`` labelled documents outside the held-out fold, two thirds of them for the dictionaries.
+    """Learn from about ``rows`` labelled documents outside the held-out fold, two thirds of them for the dictionaries
+    and the others for the calibration.
 
-    Equal texts count once. Without labels of both kinds every text scores PRIOR or near it.
+    Equal texts count once. Null and empty texts teach nothing. Without labels of both kinds (an empty table too)
+    every text scores PRIOR.
     """
     marks = sampled_labels(labels, "toxic", fold(F.col("doc_id"), folds) != held_out_fold, rows, seed)
     sample = table(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").where(F.length("text") > 0), "toxic-sample")
@@ -255,19 +269,12 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int
     sample = table(sample.withColumn("part", unit_hash(F.col("doc_id"), seed + 1)), "toxic-texts")
     known, other = sample.where("part < 0.66"), sample.where("part >= 0.66")
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    stats = table(
-        _document_words(known).groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o")), "toxic-words"
-    )
+    t, o = (F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)) for y in (1, 0))
     ratio = ((F.col("t") + 0.5) / (sizes.get(1, 0) + 1)) / ((F.col("o") + 0.5) / (sizes.get(0, 0) + 1))
-    toxic = stats.where((F.col("t") >= LEAST_DOCS) & (ratio >= LEAST_RATIO)).orderBy(F.desc("t"), "word").limit(TOXIC_WORDS)
-    common = stats.where("o >= 3").orderBy(F.desc("o"), "word").limit(COMMON_WORDS)
-    # the most frequent words stand last, where references to them are cheapest
-    toxic_words = [bytes(r["word"]) for r in toxic.collect()][::-1]
-    common_words = [bytes(r["word"]) for r in common.collect()][::-1]
-    ordinary = _dictionary(_sample_windows(known.where("y = 0")), DICT_BYTES)
+    runs = _document_segments(known).groupBy("h").agg(t.alias("t"), o.alias("o")).where((F.col("t") >= max(LEAST_DOCS, LEAST_SHARE * sizes.get(1, 0))) & (ratio >= LEAST_RATIO))
+    toxic = np.array(sorted(r["h"] for r in runs.select("h").collect()), dtype=np.int64)
     model = ToxicModel(
-        ordinary + b" " + b" ".join(common_words) + b" ",
-        _dictionary([b" " + w + b" " for w in toxic_words], DICT_BYTES // 8) + b" " + b" ".join(toxic_words) + b" ",
+        _dictionary(_sample_windows(known.where("y = 0")), ORDINARY_BYTES), _dictionary(_sample_windows(known.where("y = 1"), toxic), TOXIC_BYTES),
         np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1),
     )
     got = sorted((r["y"], *r["x"]) for r in _feature_frame(other, model, ("y",)).collect())
@@ -277,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int
         model.weights[-1] = np.log(PRIOR / (1 - PRIOR))
         return model
     model.mean, model.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    wide = np.concatenate([(x - model.mean) / model.scale, np.ones((len(x), 1))], axis=1)
+    wide = np.concatenate([np.clip((x - model.mean) / model.scale, -8, 8), np.ones((len(x), 1))], axis=1)
     weight = np.where(y == 1, PRIOR / y.mean(), (1 - PRIOR) / (1 - y.mean()))
     model.weights = logistic(wide, y, weight, l2=1e-3)
     return model
@@ -298,7 +305,11 @@ def _feature_frame(rows: DataFrame, model: ToxicModel, keep: tuple[str, ...]) ->
 
 
 def scored(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """doc_id, score, distance (the largest of any window) of every whole text; null is empty."""
+    """doc_id, score, distance (the largest of any window) of every whole text.
+
+    A null text is empty; a text without words has zero features and the score that goes with them. Repeated rows
+    are scored as often as they come, null ids are kept, an empty table gives no rows, other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batch: pa.RecordBatch):
@@ -313,7 +324,11 @@ def scored(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 
 def predictions(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted (score >= 0.5), distance. A null id is held out."""
+    """Per document: doc_id, held_out, score, predicted (score >= 0.5), distance. A null id is held out.
+
+    Nulls, empty texts, repeated rows and empty tables as in ``train`` and ``scored``; a label of a document that
+    isn't there teaches nothing.
+    """
     held = F.coalesce(fold(F.col("doc_id"), folds) == held_out_fold, F.lit(True))
     return scored(docs, train(docs, labels, folds, held_out_fold)).select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "distance"

@@ -320,7 +320,40 @@ def test_held_out_quality_and_toxicity(spark):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     truth = {r["doc_id"]: (r["quality"], r["toxic"]) for r in labels.collect()}
     assert accuracy(quality.predictions(docs, labels).collect(), {i: t[0] for i, t in truth.items()}, "predicted") > 0.9
-    assert accuracy(toxicity.predictions(docs, labels).collect(), {i: t[1] for i, t in truth.items()}, "predicted") > 0.85
+    # one document in eight is toxic, so each class counts by itself; sf0.01 has about 30 toxic documents to learn from
+    rows = [(truth[r["doc_id"]][1], r["score"]) for r in toxicity.predictions(docs, labels).collect() if r["held_out"] and r["doc_id"] in truth]
+    toxic, clean = ([s for y, s in rows if y == k] for k in (1, 0))
+    assert np.mean([(t > c) + (t == c) / 2 for t in toxic for c in clean]) > 0.6
+
+
+def test_balanced_accuracy_of_toxicity_with_labels_enough(spark):
+    folder = "/root/testdata/check_s"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    rows = [(truth[r["doc_id"]], r["predicted"]) for r in toxicity.predictions(docs, labels).where("held_out").collect() if r["doc_id"] in truth]
+    toxic, clean = ([p for y, p in rows if y == k] for k in (1, 0))
+    assert np.mean(toxic) > 0.88 and np.mean(clean) < 0.05
+
+
+def test_toxicity_scores_by_plain_python(spark, docs, labels):
+    """The scores again from the dictionaries: windows by a regular expression, lengths by a fresh compressor."""
+    model = toxicity.train(docs, labels)
+    compressors = toxicity._compressors.__wrapped__(model.ordinary, model.toxic)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.limit(60).collect()}
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, model).collect()}
+    for doc_id, text in texts.items():
+        if not text.isascii():
+            continue
+        words = re.findall(r"[0-9a-z]+", text.lower())
+        dist = []
+        for i in range(0, len(words), 2):
+            w = (" " + " ".join(words[i : i + 2]) + " ").encode() + toxicity._PAD
+            d = len(compressors[0](w)) - len(compressors[1](w))
+            dist.append(len(compressors[2](w)) - len(compressors[3](w)) if d >= toxicity.STEPS[0] else d)
+        top = (sorted(dist, reverse=True) + [max(dist, default=0)] * 3)[:3]
+        over = [sum(d >= s for d in dist) for s in toxicity.STEPS]
+        x = [math.log1p(len(dist)), top[0], top[1], sum(top), *map(math.log1p, over), *(o / max(1, len(dist)) for o in over)]
+        assert got[doc_id] == pytest.approx(float(toxicity.probability(model, np.array([x]))[0]), abs=1e-9)
 
 
 def test_scores_know_no_labels_of_their_own(docs, labels):
