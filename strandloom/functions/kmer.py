@@ -45,21 +45,62 @@ def window_bins(codes: np.ndarray, offsets: np.ndarray, k: int, bits: int) -> tu
     return row[:n][inside], (total[inside] & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+#: Distinct (key, bin) that a task holds before it hands them on.
+HELD_BINS = 4_000_000
+
+
+def spread_out(texts: DataFrame) -> DataFrame:
+    """Texts in as many partitions as there are cores at least: a small input may be one row group, and so one task."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts if texts.isStreaming or texts.rdd.getNumPartitions() >= cores else texts.repartition(cores)
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and their sums."""
+    codes, n = (np.concatenate(x) for x in zip(*parts))
+    by = np.argsort(codes, kind="stable")
+    codes, n = codes[by], n[by]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(n, first)
+
+
 def bin_counts(texts: DataFrame, key: str, text: str, k: int, bits: int) -> DataFrame:
-    """(key, bin, cnt): how often each key's texts have each bin, added up batch by batch before they are shuffled."""
+    """(key, bin, cnt): how often each key's texts have each bin.
+
+    A task adds up all its texts and shuffles each (key, bin) once for every HELD_BINS of them.
+    """
     kind = dict(texts.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        arrow = None
+
+        def told(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            names = pa.array(list(numbers), arrow)
+            for at in range(0, len(codes), 1 << 18):
+                part = codes[at : at + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(part >> bits)), pa.array(part & ((1 << bits) - 1)), pa.array(n[at : at + (1 << 18)])], names=[key, "bin", "cnt"])
+
         for batch in batches:
-            keys = batch.column(0).dictionary_encode()
-            number = pc.fill_null(keys.indices, len(keys.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
-            names = pa.concat_arrays([keys.dictionary, pa.nulls(1, keys.dictionary.type)])
-            for a, b, codes, offsets in char_slices(batch.column(1)):
+            arrow = batch.column(0).type
+            number = np.array([numbers.setdefault(x, len(numbers)) for x in batch.column(0).to_pylist()], dtype=np.int64)
+            for a, _, codes, offsets in char_slices(batch.column(1)):
                 row, bins = window_bins(codes, offsets, k, bits)
-                both, n = np.unique((number[a:b][row] << bits) | bins, return_counts=True)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(both >> bits)), pa.array(both & ((1 << bits) - 1)), pa.array(n)], names=[key, "bin", "cnt"])
-
-    partial = texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, bin long, cnt long")
+                both, n = np.unique((number[a + row] << bits) | bins, return_counts=True)
+                held.append((both, n))
+                size += len(both)
+            if size >= HELD_BINS:
+                held = [_added(held)]
+                size = len(held[0][0])
+                if size > HELD_BINS // 2:
+                    yield from told(*held[0])
+                    numbers, held, size = {}, [], 0
+        if held:
+            yield from told(*_added(held))
+
+    partial = spread_out(texts.select(key, text)).mapInArrow(run, f"`{key}` {kind}, bin long, cnt long")
     return partial.groupBy(key, "bin").agg(F.sum("cnt").alias("cnt"))
 
 

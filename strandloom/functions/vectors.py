@@ -19,7 +19,8 @@ def log_likelihood_ratio(total: Column, part: Column, prior: Column, share: floa
 
     Null unless the part is over what the prior would give.
     """
-    v1, m1 = total * share * (1 - share), total * share
-    v2, m2 = total * prior * (1 - prior), total * prior
-    ratio = F.log(F.sqrt(v2) / F.sqrt(v1)) + 0.5 * (F.pow(part - m2, F.lit(2)) / v2 - F.pow(part - m1, F.lit(2)) / v1)
-    return F.when((part > m2) & (v1 > 0) & (v2 > 0), ratio)
+    spread_here, spread_by_chance = share * (1 - share), prior * (1 - prior)
+    off_here, off_by_chance = part - total * share, part - total * prior
+    fit = (off_by_chance * off_by_chance / spread_by_chance - off_here * off_here / spread_here) / total
+    ratio = (F.log(spread_by_chance / spread_here) + fit) / 2
+    return F.when((off_by_chance > 0) & (total > 0) & (spread_by_chance > 0), ratio)

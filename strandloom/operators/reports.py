@@ -44,9 +44,9 @@ def pivot_counts(rows: DataFrame, group: str, across: str, names: list, value: C
     return counted.na.fill(0)
 
 
-def by_abundance(rows: DataFrame, across: str, limit: int = 10_000) -> list:
-    """Names by descending total, for a pivot's columns."""
-    return [r[0] for r in rows.groupBy(across).agg(F.count("*").alias("n")).orderBy(F.desc("n"), across).limit(limit).collect()]
+def by_abundance(rows: DataFrame, across: str) -> list:
+    """All names by descending total, for a pivot's columns."""
+    return [r[0] for r in rows.groupBy(across).agg(F.count("*").alias("n")).orderBy(F.desc("n"), across).collect()]
 
 
 def spread(rows: DataFrame, group: str, value: str) -> DataFrame:

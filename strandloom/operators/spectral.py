@@ -56,6 +56,7 @@ def _whole_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, n
 def gram(conditioned: DataFrame, chunk: int = 4096) -> DataFrame:
     """(sample_i, sample_j, g) for sample_i <= sample_j: sums of products over bins.
 
+    The samples' names are collected first, so ``conditioned`` should be a written table.
     Rows meet once, by bin. A task adds up the products of its bins in one samples-by-samples matrix and hands on
     that matrix alone, so what is shuffled then is a matrix for each task, however many bins there are.
     """

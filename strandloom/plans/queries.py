@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kmer import bin_counts, canonical_bin, coefficients, hamming, mate_id, pair_key, read_base_id, reverse_complement, trimmed_length
 from ..operators import abundance, cluster, pairs, partition, reports, spectral
+from .stored import stored
 
 K, BITS = 8, 20
 #: Spokes of the integer hyperplanes; their coefficients come from a linear congruential sequence.
@@ -53,19 +54,24 @@ _CONDITIONED = (
 )
 
 
-def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
     return abundance.saturated(bin_counts(docs, "source", "text", K, BITS).withColumnRenamed("source", "sample"))
 
 
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts, made once: weights, norms and rows all read them."""
+    return stored(_bin_counts(spark, sf_dir), "counts")
+
+
 def _conditioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _counts(spark, sf_dir)
-    return abundance.conditioned(counts, abundance.idf_weights(counts), BITS)
+    return stored(abundance.conditioned(counts, abundance.idf_weights(counts), BITS), "conditioned")
 
 
 @query(f"WITH {_COUNTS} SELECT sample, bin, cnt FROM counts")
 def kmer_bin_counts(spark, sf_dir):
-    return _counts(spark, sf_dir)
+    return _bin_counts(spark, sf_dir)
 
 
 @query(f"WITH {_COUNTS} SELECT sample, count(*) AS n_bins, CAST(sum(cnt) AS BIGINT) AS n_kmers FROM counts GROUP BY sample")
@@ -302,7 +308,7 @@ def _read_tables(spark, sf_dir):
     members = owned.select("bin", numbers[F.col("top.sample")].alias("cluster"))
     stats = cluster.cluster_priors(members, weights, len(names), BITS)
     kmers = bin_counts(_t(spark, sf_dir, "documents"), "doc_id", "text", K, BITS).select(F.col("doc_id").alias("read"), "bin", F.col("cnt").alias("n"))
-    return kmers, members, weights, stats
+    return kmers, stored(members, "members"), stored(weights, "weights"), stored(stats, "stats")
 
 
 def _best(spark, sf_dir):
@@ -437,10 +443,16 @@ def log_min_max_median(spark, sf_dir):
 
 
 @query(
-    "SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY source"
+    "WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang), langs AS (SELECT lang, count(*) AS t FROM documents WHERE lang IS NOT NULL GROUP BY lang)"
+    " SELECT s.source, array_to_string(list(l.lang || '=' || coalesce(n.n, 0) ORDER BY l.t DESC, l.lang), ',') AS by_abundance"
+    " FROM (SELECT DISTINCT source FROM documents) s CROSS JOIN langs l LEFT JOIN n ON n.source IS NOT DISTINCT FROM s.source AND n.lang = l.lang GROUP BY s.source"
 )
 def abundance_pivot(spark, sf_dir):
-    return reports.pivot_counts(_t(spark, sf_dir, "documents"), "source", "lang", ["de", "en", "es", "fr"])
+    """A pivot's columns are whatever languages there are, by descending total; one text column holds them here, as SQL names its columns beforehand."""
+    docs = _t(spark, sf_dir, "documents")
+    names = reports.by_abundance(docs.where("lang is not null"), "lang")
+    wide = reports.pivot_counts(docs, "source", "lang", names)
+    return wide.select("source", F.concat_ws(",", *[F.concat(F.lit(f"{n}="), F.col(f"`{n}`")) for n in names]).alias("by_abundance"))
 
 
 @query("SELECT lang, count(*) AS count, round(count(*) * 100 / sum(count(*)) OVER (), 6) AS pct FROM documents GROUP BY lang")
