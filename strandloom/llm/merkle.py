@@ -11,6 +11,7 @@ leaves is the likeness of two texts.
 from __future__ import annotations
 
 import base64
+import difflib
 import hashlib
 from collections.abc import Iterator
 
@@ -129,14 +130,24 @@ def leaf_codes(fingerprint: str) -> np.ndarray:
     return np.unique((three[:, 0] << _U(16)) | (three[:, 1] << _U(8)) | three[:, 2])
 
 
-def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) numbers of a whose branch isn't in b; none if the roots are equal."""
+def differing(a: str, b: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(section, paragraph) numbers of the branches that only a has, and of those that only b has, in order and with
+    repeats; none if the roots are equal. Sections that both have in one order aren't looked into."""
     if a.split(":")[0] == b.split(":")[0]:
-        return []
-    tree = lambda f: [[p for p in s.split(".") if p] for s in f.split(":")[1].split("/") if s]
-    theirs = tree(b)
-    sections, paragraphs = {tuple(s) for s in theirs}, {p for s in theirs for p in s}
-    return [(i, j) for i, s in enumerate(tree(a)) if tuple(s) not in sections for j, p in enumerate(s) if p not in paragraphs]
+        return [], []
+    trees = [[[p for p in s.split(".") if p] for s in f.split(":")[1].split("/") if s] for f in (a, b)]
+    whole = difflib.SequenceMatcher(None, *([tuple(s) for s in t] for t in trees), autojunk=False)
+    only: tuple[list, list] = ([], [])
+    for kind, *ends in whole.get_opcodes():
+        if kind == "equal":
+            continue
+        sides = [[(i, j) for i in range(*ends[2 * k : 2 * k + 2]) for j in range(len(trees[k][i]))] for k in (0, 1)]
+        inner = difflib.SequenceMatcher(None, *([trees[k][i][j] for i, j in sides[k]] for k in (0, 1)), autojunk=False)
+        for what, i, j, x, y in inner.get_opcodes():
+            if what != "equal":
+                only[0].extend(sides[0][i:j])
+                only[1].extend(sides[1][x:y])
+    return only
 
 
 def _shared_start(a: str, b: str) -> int:

@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano, map_arrays, nested, save_arrays, unnested
 from .labelled import fold
-from .runtime import arrow_map, bound_batches, local_path, new_path
+from .runtime import arrow_map, bound_batches, local_path, new_path, release_memory
 from .textkit import Words, mix, text_slices
 
 ORDER = 3
 #: n-grams before they are counted in one task, and tokens for each shard of a level.
 FLUSH = 3_000_000
-SHARD_TOKENS = 8_000_000
+SHARD_TOKENS = 4_000_000
 #: Bytes of text looked up at once: every shard is asked once for each such slice.
 LOOKUP_BYTES = 4 << 20
 #: A context with more tokens than this and than a thousandth of all is dealt over all shards.
@@ -111,11 +111,13 @@ def _counted(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.nda
 def _merged(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     """All blobs of a shard: its number, distinct sorted keys, counts."""
     keys = np.concatenate([_unpack(w, k) for w, k in zip(table["width"].to_pylist(), (x.as_buffer() for c in table["keys"].chunks for x in c))])
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for c in table["counts"].chunks for x in c]).astype(np.int64)
+    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for c in table["counts"].chunks for x in c])
     by = np.argsort(keys, kind="stable")
-    keys, counts = keys[by], counts[by]
+    keys = keys[by]
+    counts = counts[by]
+    del by
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return table["shard"][0].as_py(), keys[at], np.add.reduceat(counts, at)
+    return table["shard"][0].as_py(), keys[at], np.add.reduceat(counts, at, dtype=np.int64)
 
 
 def _stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,8 +276,14 @@ def _build_level(meta: Meta, level: int, threshold: int) -> Callable[[pa.Table],
     """Merge and write a shard; report its size, counts of counts, the parts of hot contexts and heavy nodes."""
 
     def build(table: pa.Table) -> pa.Table:
+        out = level_of(table)
+        release_memory()
+        return out
+
+    def level_of(table: pa.Table) -> pa.Table:
         shard, keys, counts = _merged(table)
         parent, word = (keys >> _U(meta.bits)).astype(np.int64), keys & _U((1 << meta.bits) - 1)
+        del keys
         hot = _hot_place(meta, level, parent)[1]
         if hot.any():  # behind the shard's own nodes
             by = np.argsort(hot, kind="stable")
@@ -289,12 +297,13 @@ def _build_level(meta: Meta, level: int, threshold: int) -> Callable[[pa.Table],
         offset = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word[ends - 1])[:-1]])
         arrays = nested("ptr", EliasFano.build(pointers)) | nested("suc", EliasFano.build(word + np.repeat(offset, ends - first)))
         save_arrays(f"{meta.path}/level{level}-{shard}", arrays)
+        del arrays, slot, word, parent
         save_arrays(f"{meta.path}/counts{level}-{shard}", _small(counts))
         own = pointers[slots - n_hot :]  # of the hot contexts
         kinds = np.array([[((counts[a:b] == i) if i < 3 else (counts[a:b] >= 3)).sum() for a, b in zip(own, own[1:])] for i in (1, 2, 3)], dtype=np.int64)
         heavy = np.flatnonzero(counts > threshold)
         return pa.table({
-            "shard": pa.array([shard], pa.int32()), "n": [len(keys)], "seen": [[int((counts == i).sum()) for i in (1, 2, 3, 4)]],
+            "shard": pa.array([shard], pa.int32()), "n": [len(counts)], "seen": [[int((counts == i).sum()) for i in (1, 2, 3, 4)]],
             "kinds": pa.array([kinds.ravel()], pa.list_(pa.int64())), "heavy": pa.array([heavy], pa.list_(pa.int64())), "heavy_n": pa.array([counts[heavy]], pa.list_(pa.int64())),
         })
 
@@ -409,6 +418,7 @@ def _train_level(docs: DataFrame, meta: Meta, level: int, shards: int, threshold
         for batch in batches:
             for s in batch.column(0).to_pylist():
                 _write_weights(meta, level, s)
+            release_memory()
             yield batch
 
     if built:

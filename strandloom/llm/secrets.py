@@ -34,6 +34,8 @@ RULES: dict[str, dict[str, tuple[re.Pattern, int, int, tuple[str, ...]]]] = {
     },
 }
 KINDS = [kind for rules in RULES.values() for kind in rules]
+#: Findings of up to so many bytes are broadcast to the paths; beyond it the join is shuffled.
+BROADCAST_BYTES = 16 << 20
 LEDGER_FIELDS = "blob binary, version string, spans array<struct<start:int,kind:int,end:int>>"
 
 
@@ -112,7 +114,7 @@ def findings(docs: DataFrame, ledger: BlobLedger | None = None, versions: Iterab
     ledger = ledger or BlobLedger(docs.sparkSession)
     paths = ledger.scan(docs.select(F.col("doc_id").alias("path"), "text"), versions)
     found = ledger.entries().where(F.col("version").isin(list(versions)) & (F.size("spans") > 0))
-    found = found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
+    found = found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set(F.col("spans")))).alias("all"))
     names = F.array(*[F.lit(k) for k in KINDS])
     n_base = len(RULES["base-1"])
 
@@ -130,6 +132,10 @@ def findings(docs: DataFrame, ledger: BlobLedger | None = None, versions: Iterab
         *[count(i).alias(f"n_{KINDS[i]}") for i in range(n_base)],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"), F.size("all").cast("long").alias("n_spans"),
     ).drop("all")
+    digest = table(digest, "blob-findings")
+    size = digest.agg(F.sum(F.length("spans") + 200)).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # a blob with any number of copies then stays where its paths are
+        digest = F.broadcast(digest)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return paths.join(digest, "blob", "left").select(
         F.col("path").alias("doc_id"), *[F.coalesce(f"n_{KINDS[i]}", F.lit(0)).cast("long").alias(f"n_{KINDS[i]}") for i in range(n_base)],

@@ -170,7 +170,7 @@ N_FEATURES = 4 + 2 * len(STEPS)
 def _sums(model: ToxicModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each row: number of windows, the three largest distances, counts of windows at or over each step."""
     text = Plain(data, offsets)
-    first, last, row = text.windows(WINDOW_WORDS)
+    first, last, row = text.windows(1)
     windows, which = text.distinct(first, last)
     dist = distances(model, windows)[which] if len(which) else np.zeros(0, np.int64)
     rows = len(offsets) - 1
