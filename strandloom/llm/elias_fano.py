@@ -16,20 +16,32 @@ def _low_bits(n: int) -> np.uint64:
     return _U((1 << n) - 1)
 
 
+def _places_in_bytes() -> np.ndarray:
+    """Position of the k-th set bit of each byte, at byte * 8 + k (0 where there is none)."""
+    out = np.zeros((256, 8), dtype=np.uint8)
+    for byte in range(256):
+        set_bits = [i for i in range(8) if byte >> i & 1]
+        out[byte, : len(set_bits)] = set_bits
+    return out.ravel()
+
+
+_IN_BYTE = _places_in_bytes()
+_EACH = _U(0x0101010101010101)
+
+
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Position of the k-th (from 0) set bit of each word."""
-    pos, k = np.zeros(len(word), dtype=np.uint64), k.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count((word >> pos) & _low_bits(width)).astype(np.int64)
-        go = k >= ones
-        k -= ones * go
-        pos += _U(width) * go.astype(np.uint64)
-    return pos.astype(np.int64)
+    """Position of the k-th (from 0) set bit of each word: its byte by the set bits up to each byte, then a table."""
+    upto = np.bitwise_count(word.view(np.uint8)).view(np.uint64) * _EACH  # byte i: set bits of bytes 0 to i
+    k = k.astype(np.uint64)
+    full = ((k * _EACH | _EACH << _U(7)) - upto) & _EACH << _U(7)  # bytes with no more than k set bits up to their end
+    at = np.bitwise_count(full).astype(np.uint64) << _U(3)
+    k -= (upto << _U(8)) >> at & _U(255)
+    return (at + _IN_BYTE[(word >> at & _U(255)) << _U(3) | k]).astype(np.int64)
 
 
 def _lowest(word: np.ndarray) -> np.ndarray:
     """Position of the lowest set bit of each word (64 without one)."""
-    return np.bitwise_count((word & (~word + _ONE)) - _ONE).astype(np.int64)
+    return np.bitwise_count(~word & (word - _ONE)).astype(np.int64)
 
 
 class EliasFano:
@@ -81,11 +93,9 @@ class EliasFano:
         bits = (~self.up[word] if flip else self.up[word]) >> (place & 63).astype(np.uint64)
         out = place + _lowest(bits)
         far = np.flatnonzero(bits == 0)
-        while len(far):
-            word[far] += 1
-            bits = ~self.up[word[far]] if flip else self.up[word[far]]
-            out[far] = word[far] * 64 + _lowest(bits)
-            far = far[bits == 0]
+        if len(far):  # none is left in the word: the next one is the first that isn't counted up to the word's end
+            counts = self.zeros if flip else self.ones
+            out[far] = self._select(counts[word[far] + 1].astype(np.int64), counts, flip)
         return out
 
     def _low_at(self, i: np.ndarray) -> np.ndarray:
@@ -105,6 +115,11 @@ class EliasFano:
         """The i-th numbers."""
         return self._value(i, self._select(i, self.ones, False))
 
+    def all(self) -> np.ndarray:
+        """All numbers in order: the upper bits are read through once."""
+        place = np.flatnonzero(np.unpackbits(self.up.view(np.uint8), bitorder="little").view(bool))[: self.n]
+        return self._value(np.arange(self.n), place)
+
     def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The i-th numbers and the next ones."""
         place = self._select(i, self.ones, False)
@@ -118,30 +133,34 @@ class EliasFano:
         if not len(ask):
             return out
         b = bucket[ask].astype(np.int64)
-        begin = np.zeros(len(b), dtype=np.int64)
-        later = np.flatnonzero(b > 0)
-        begin[later] = self._select(b[later] - 1, self.zeros, True) + 1
+        begin = np.where(b > 0, self._select(np.maximum(b, 1) - 1, self.zeros, True) + 1, 0)
         start, end = begin - b, self._after(begin, True) - b
         if lo is not None:
-            start, end = np.maximum(start, lo[ask]), np.minimum(end, hi[ask])
+            whole = len(ask) == len(x)
+            start, end = np.maximum(start, lo if whole else lo[ask]), np.minimum(end, hi if whole else hi[ask])
         want = x[ask] & _low_bits(self.width)
         # most buckets hold a number or two: those are looked at one by one, larger ones by halves
-        active = np.flatnonzero(start < end)
-        for _ in range(3):
-            got = self._low_at(start[active])
-            hit = got == want[active]
-            out[ask[active[hit]]] = start[active[hit]]
-            active = active[got < want[active]]
-            start[active] += 1
-            active = active[start[active] < end[active]]
-        stop, large = end.copy(), active
+        for step in range(4):
+            if step:
+                start = start + 1
+            left = np.flatnonzero(start < end)
+            if len(left) < len(start):
+                ask, start, end, want = ask[left], start[left], end[left], want[left]
+            if step == 3 or not len(ask):
+                break
+            got = self._low_at(start)
+            hit = got == want
+            out[ask[hit]] = start[hit]
+            left = np.flatnonzero(got < want)
+            ask, start, end, want = ask[left], start[left], end[left], want[left]
+        stop, active = end.copy(), np.arange(len(ask))
         while len(active):
             mid = (start[active] + end[active]) >> 1
             less = self._low_at(mid) < want[active]
             start[active[less]] = mid[less] + 1
             end[active[~less]] = mid[~less]
             active = active[start[active] < end[active]]
-        inside = large[start[large] < stop[large]]
+        inside = np.flatnonzero(start < stop)
         hit = inside[self._low_at(start[inside]) == want[inside]]
         out[ask[hit]] = start[hit]
         return out

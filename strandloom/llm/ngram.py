@@ -219,11 +219,12 @@ def descend(meta: Meta, level: int, parent: np.ndarray, word: np.ndarray, weight
     node, prob, back = np.full(n, -1, dtype=np.int64), np.zeros(n), np.ones(n)
     base = meta.bases[level]
     ask = np.flatnonzero(parent >= 0)
-    shard = _shards_of(meta, level, parent[ask], word[ask])
     if len(meta.hot[level][0]):
+        shard = _shards_of(meta, level, parent[ask], word[ask])
         by = np.lexsort((_hot_place(meta, level, parent[ask])[1], shard))  # a shard's hot contexts come last
-        ask, shard = ask[by], shard[by]
-    edges = np.searchsorted(shard, np.arange(len(base)))
+        ask, edges = ask[by], np.searchsorted(shard[by], np.arange(len(base)))
+    else:
+        edges = np.searchsorted(parent[ask], np.array(_above(meta, level)))
     for s in range(len(base) - 1):
         here = ask[edges[s] : edges[s + 1]]
         if not len(here) or base[s] == base[s + 1]:
@@ -291,7 +292,7 @@ def _build_level(meta: Meta, level: int, threshold: int) -> Callable[[pa.Table],
         slot = _slots(meta, level, shard, parent)
         above, n_hot = _above(meta, level), len(meta.hot[level][0])
         slots = above[shard + 1] - above[shard] + n_hot
-        pointers = np.searchsorted(slot, np.arange(slots + 1))
+        pointers = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=slots))])
         first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
         ends = np.concatenate([first[1:], [len(slot)]])
         offset = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word[ends - 1])[:-1]])
@@ -325,7 +326,7 @@ def _write_weights(meta: Meta, level: int, shard: int) -> None:
     kept = _mapped(f"{meta.path}/counts{level}-{shard}")
     counts = _counts_at(kept, np.arange(len(kept["count"])))
     pointers = unnested("ptr", _mapped(f"{meta.path}/level{level}-{shard}"))
-    start = pointers.access(np.arange(pointers.n)).astype(np.int64)
+    start = pointers.all().astype(np.int64)
     full = np.flatnonzero(np.diff(start))  # contexts with successors
     first, size = start[full], np.diff(start)[full]
     total = np.add.reduceat(counts, first)
