@@ -58,6 +58,8 @@ def spread_out(texts: DataFrame) -> DataFrame:
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct codes and their sums."""
     codes, n = (np.concatenate(x) for x in zip(*parts))
+    if not len(codes):
+        return codes, n
     by = np.argsort(codes, kind="stable")
     codes, n = codes[by], n[by]
     first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
@@ -119,7 +121,7 @@ def canonical_bin(forward: Column, backward: Column) -> Column:
     return F.when(forward % 1_000_000 <= backward % 1_000_000, forward).otherwise(backward)
 
 
-def trimmed_length(qual: Column, k: int, q_offset: int = 33) -> Column:
+def trimmed_length(qual: Column, k: int, q_offset: int | Column = 33) -> Column:
     """Bases kept: through base i + k - 1 where i + k - 1 >= k - 1 is the third base of quality under 3 from base k - 1 on; else all.
 
     Base numbers count from 0; the third bad base itself is kept.

@@ -54,16 +54,19 @@ def sample_kmers(reads: DataFrame, k: int, total: int, q_offset: int = 33, seed:
 
     Reads are cut by a hash whose share is set from their count, so the sample has that expected size at any scale.
     """
-    usable = reads.where(F.length("seq") >= k)
+    size = F.col("kept") if "kept" in reads.columns else F.length("seq")
+    offset = F.col("q_offset") if "q_offset" in reads.columns else F.lit(q_offset)
+    usable = reads.where(size >= k)
     counts = {r["sample"]: r["n"] for r in usable.groupBy("sample").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for name, n in counts.items():
         share = F.when(F.col("sample") == name, F.lit(min(1.0, max(total / len(counts), 5) / n))).otherwise(share)
     unit = lambda salt: F.pmod(F.xxhash64("sample", "part", "rec_no", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    place = (unit(seed + 1) * (F.length("seq") - k + 1)).cast("int") + 1
-    rows = usable.where(unit(seed) < share).select(F.substring("seq", place, F.lit(k)).alias("seq"), F.substring("qual", place, F.lit(k)).alias("qual"))
-    got = sorted((r["seq"], r["qual"]) for r in rows.collect())
-    return np.array([coordinates(s, q, q_offset) for s, q in got]).reshape(len(got), k)
+    place = (unit(seed + 1) * (size - k + 1)).cast("int") + 1
+    cut = [F.substring(c, place, F.lit(k)).alias(c) for c in ("seq", "qual")]
+    rows = usable.where(unit(seed) < share).select(*cut, offset.alias("q_offset"))
+    got = sorted((r["seq"], r["qual"] or "", r["q_offset"]) for r in rows.collect())
+    return np.array([coordinates(s.upper(), q or None, o) for s, q, o in got]).reshape(len(got), k)
 
 
 def wheels_frame(spark: SparkSession, wheels: list[tuple]) -> DataFrame:
@@ -75,42 +78,74 @@ def load_wheels(spark: SparkSession, path: str, spoke_limit: int = 999, wheel_li
     return sorted(tuple(r) for r in rows.collect())
 
 
-def kmer_bins(coords: np.ndarray, wheels: list[tuple], k: int, both_strands: bool = True) -> np.ndarray:
+#: Windows multiplied with the planes at once.
+_BLOCK = 1 << 15
+
+
+def plane_matrices(wheels: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each wheel, its planes' normals (conjugated, k by spokes) and the real parts of their offsets."""
+    out = []
+    for w in sorted({x[0] for x in wheels}):
+        spokes = sorted(x for x in wheels if x[0] == w)
+        normals = np.array([np.array(x[2]) + 1j * np.array(x[3]) for x in spokes])
+        out.append((normals.conj().T, np.array([x[4] for x in spokes])))
+    return out
+
+
+def window_bins(coords: np.ndarray, planes: list[tuple[np.ndarray, np.ndarray]], k: int, both_strands: bool = True, tie_forward: bool = True) -> np.ndarray:
+    """(windows, wheels) bins of coordinates, a block of windows at a time; see ``kmer_bins``."""
+    count = max(0, len(coords) - k + 1)
+    out = np.empty((count, len(planes)), dtype=np.int64)
+    if not count:
+        return out
+    every = np.lib.stride_tricks.sliding_window_view(coords, k)
+    for at in range(0, count, _BLOCK):
+        windows = np.ascontiguousarray(every[at : at + _BLOCK])
+        for i, (normals, offset) in enumerate(planes):
+            powers = 1 << np.arange(len(offset), dtype=np.int64)
+            bins = ((windows @ normals).real > offset) @ powers
+            if both_strands:
+                back = ((-windows[:, ::-1] @ normals).real > offset) @ powers
+                ahead = bins % 1_000_000 <= back % 1_000_000 if tie_forward else bins % 1_000_000 < back % 1_000_000
+                bins = np.where(ahead, bins, back)
+            out[at : at + _BLOCK, i] = bins
+    return out
+
+
+def kmer_bins(coords: np.ndarray, wheels: list[tuple], k: int, both_strands: bool = True, tie_forward: bool = True) -> np.ndarray:
     """(windows, wheels) bins: bit s is set where the real part of the product with plane s is over its offset's.
 
     Of a window and its reverse complement (reversed and negated) the bin that is smaller modulo a million
-    stands; a tie goes to the window itself.
+    stands; a tie goes to the window itself, or to the reverse complement without ``tie_forward`` (as streaming
+    mappers did).
     """
-    count = len(coords) - k + 1
-    number = sorted({w[0] for w in wheels})
-    if count <= 0:
-        return np.zeros((0, len(number)), dtype=np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(coords, k)
-    out = np.empty((count, len(number)), dtype=np.int64)
-    for i, w in enumerate(number):
-        spokes = sorted(x for x in wheels if x[0] == w)
-        p = np.array([np.array(x[2]) + 1j * np.array(x[3]) for x in spokes])
-        c = np.array([x[4] for x in spokes])
-        powers = 1 << np.arange(len(spokes), dtype=np.int64)
-        ahead = ((windows @ p.conj().T).real > c) @ powers
-        if both_strands:
-            back = ((-windows[:, ::-1] @ p.conj().T).real > c) @ powers
-            ahead = np.where(ahead % 1_000_000 <= back % 1_000_000, ahead, back)
-        out[:, i] = ahead
-    return out
+    return window_bins(coords, plane_matrices(wheels), k, both_strands, tie_forward)
+
 
+def hash_reads(reads: DataFrame, wheels: list[tuple], k: int, q_offset: int = 33, both_strands: bool = True, tie_forward: bool = True) -> DataFrame:
+    """The reads with ``bins``, the bins of all their windows over all wheels. The wheels have a fixed size and are broadcast.
 
-def hash_reads(reads: DataFrame, wheels: list[tuple], k: int, q_offset: int = 33, both_strands: bool = True) -> DataFrame:
-    """The reads with ``bins``, the bins of all their windows over all wheels. The wheels have a fixed size and are broadcast."""
+    Columns ``kept`` and ``q_offset``, if there are any (see ``ingest.prepared``), say how many bases of a read count
+    and what its qualities start from. Reads of a batch are hashed together; windows that span two reads are left out.
+    """
     shared = reads.sparkSession.sparkContext.broadcast(wheels)
     names = reads.columns
     fields = ", ".join(f"`{n}` {t}" for n, t in reads.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = plane_matrices(shared.value)
         for batch in batches:
-            seqs, quals = (batch.column(names.index(c)).to_pylist() for c in ("seq", "qual"))
-            bins = [kmer_bins(coordinates((s or "").upper(), q, q_offset), shared.value, k, both_strands).ravel() for s, q in zip(seqs, quals)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins, pa.list_(pa.int64()))], names=[*names, "bins"])
+            given = lambda c, other: batch.column(names.index(c)).to_pylist() if c in names else [other] * batch.num_rows  # noqa: B023, E731
+            rows = zip(given("seq", None), given("qual", None), given("kept", None), given("q_offset", q_offset))
+            coords = [coordinates((s or "").upper()[:n], None if q is None else q[:n], o) for s, q, n, o in rows]
+            size = np.array([len(c) for c in coords], dtype=np.int64)
+            flat = np.concatenate([*coords, np.zeros(0)])
+            bins = window_bins(flat, planes, k, both_strands, tie_forward)
+            end = np.repeat(np.cumsum(size), size)
+            inside = np.arange(len(bins)) + k <= end[: len(bins)]
+            ends = np.cumsum(np.maximum(size - k + 1, 0)) * len(planes)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(bins[inside].ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, "bins"])
 
     return reads.mapInArrow(run, f"{fields}, bins array<long>")
 

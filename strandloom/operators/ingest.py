@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.kmer import mate_id
+from ..functions.kmer import mate_id, pair_key, read_base_id, trimmed_length
+from ..sources.fastq import clean_bases, id_types, quality_offset
 
 #: Reads of a chunk of pairs, and of single reads.
 CHUNK_READS = 1_000_000
@@ -45,6 +46,28 @@ def byte_chunks(reads: DataFrame, megabytes: int = 500) -> DataFrame:
     return rows.join(sums, ["sample", "_range"]).withColumn("part", F.lpad(part.cast("string"), 3, "0")).drop("_size", "_range", "_before")
 
 
+def prepared(reads: DataFrame, k: int, q_offset: int | None = None, id_type: int | None = None) -> DataFrame:
+    """Reads as they are hashed, with ``q_offset``, ``kept`` (bases before the quality falls) and ``pair_key``.
+
+    An offset or a type of ids that isn't given is told from the first reads of each file (sample, part). The read
+    itself stays as it is; reads with more than five symbols are left out. A read without qualities keeps all bases.
+    """
+    rows = reads.where(clean_bases(F.col("seq")).isNotNull())
+    if q_offset is None:
+        rows = rows.join(quality_offset(reads), ["sample", "part"], "left")
+    else:
+        rows = rows.withColumn("q_offset", F.lit(q_offset))
+    if id_type is None:
+        rows = rows.join(id_types(reads), ["sample", "part"], "left")
+    else:
+        rows = rows.withColumn("id_type", F.lit(id_type))
+    base = lambda t: pair_key(read_base_id(F.col("id"), t))
+    rows = rows.withColumn("q_offset", F.coalesce("q_offset", F.lit(33)))
+    kept = F.coalesce(F.least(trimmed_length(F.col("qual"), k, F.col("q_offset")), F.length("seq")), F.length("seq"))
+    key = F.when(F.col("id_type") == 1, base(1)).when(F.col("id_type") == 2, base(2)).otherwise(base(0))
+    return rows.withColumn("kept", kept.cast("int")).withColumn("pair_key", key).drop("id_type")
+
+
 def mapper_rows(hashed: DataFrame, base_id: Column) -> DataFrame:
     """(id, bin): each bin of a read under its own id and under its mate's."""
     return hashed.select(F.explode(F.array(base_id, mate_id(base_id))).alias("id"), "bins").select("id", F.explode("bins").alias("bin"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The Gram matrix of up to so many samples is solved on the driver (128 MB).
@@ -93,6 +93,23 @@ def eigenspace(gram_rows: DataFrame, rank: int | None = None) -> tuple[list[str]
     return names, vectors[:, order], np.sqrt(np.maximum(values[order], 0))
 
 
+def eigenspace_frame(spark: SparkSession, names: list[str], u: np.ndarray, sigma: np.ndarray) -> DataFrame:
+    """The eigenspace as rows (dim, sample, u, s), so that later bins are projected without a new decomposition."""
+    rows = [(d, name, float(u[i, d]), float(sigma[d])) for d in range(u.shape[1]) for i, name in enumerate(names)]
+    return spark.createDataFrame(rows, "dim int, sample string, u double, s double")
+
+
+def load_eigenspace(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Samples, U and singular values of stored rows; samples times rank values, which ``MOST_SAMPLES`` bounds."""
+    got = rows.collect()
+    names = sorted({r["sample"] for r in got})
+    at, rank = {n: i for i, n in enumerate(names)}, 1 + max((r["dim"] for r in got), default=-1)
+    u, sigma = np.zeros((len(names), rank)), np.zeros(rank)
+    for r in got:
+        u[at[r["sample"]], r["dim"]], sigma[r["dim"]] = r["u"], r["s"]
+    return names, u, sigma
+
+
 def projected(conditioned: DataFrame, names: list[str], u: np.ndarray) -> DataFrame:
     """(bin, vec): each bin's vector over samples times U, unscaled. U (samples by rank) goes with the kernel."""
     kind = dict(conditioned.dtypes)["bin"]

@@ -10,19 +10,21 @@ import dataclasses
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kmer import pair_key, read_base_id
-from ..operators import abundance, cluster, hyperplane, partition, spectral
+from ..operators import abundance, cluster, hyperplane, ingest, partition, spectral
 
 
 @dataclasses.dataclass
 class Settings:
-    """k: k-mer length; hash_size: planes, so 2**hash_size bins; threshold: cosine similarity within a cluster."""
+    """k: k-mer length; hash_size: planes, so 2**hash_size bins; threshold: cosine similarity within a cluster.
+
+    id_type and q_offset are told from each file's first reads unless they are given.
+    """
 
     k: int = 33
     hash_size: int = 22
     threshold: float = 0.8
-    id_type: int = 2
-    q_offset: int = 33
+    id_type: int | None = None
+    q_offset: int | None = None
     both_strands: bool = True
     seed: int = 1
     least_file_reads: int = 0
@@ -45,20 +47,21 @@ class Run:
     def hash_counting(self, reads: DataFrame) -> None:
         """wheels, hashed_reads, counts, weights, conditioned."""
         s = self.settings
-        reads = reads.withColumn("pair_key", pair_key(read_base_id(F.col("id"), s.id_type)))
-        sample = hyperplane.sample_kmers(reads, s.k, 2 * s.k * s.hash_size, s.q_offset, s.seed)
+        reads = ingest.prepared(reads, s.k, s.q_offset, s.id_type)
+        sample = hyperplane.sample_kmers(reads, s.k, 2 * s.k * s.hash_size, seed=s.seed)
         wheels = hyperplane.make_wheels(sample, s.k, s.hash_size, seed=s.seed)
         self.keep(hyperplane.wheels_frame(self.spark, wheels), "wheels")
-        hashed = hyperplane.hash_reads(reads, wheels, s.k, s.q_offset, s.both_strands)
+        hashed = hyperplane.hash_reads(reads, wheels, s.k, both_strands=s.both_strands).drop("kept", "q_offset")
         hashed = self.keep(hyperplane.paired_bins(hashed), "hashed_reads")
         counts = self.keep(abundance.counts_of_reads(hashed), "counts")
         weights = self.keep(abundance.idf_weights(counts), "weights")
         self.keep(abundance.conditioned(counts, weights, s.hash_size), "conditioned")
 
     def kmer_clustering(self) -> None:
-        """vectors, members, cluster_stats."""
+        """lsi, vectors, centroids, members, cluster_stats."""
         s, conditioned = self.settings, self.table("conditioned")
-        names, u, _ = spectral.eigenspace(spectral.gram(conditioned), s.rank)
+        names, u, sigma = spectral.eigenspace(spectral.gram(conditioned), s.rank)
+        self.keep(spectral.eigenspace_frame(self.spark, names, u, sigma), "lsi")
         vectors = self.keep(spectral.projected(conditioned, names, u), "vectors")
         centroids = cluster.leader_clusters(vectors, s.threshold, chunk_rows=cluster.rows_of_chunk(1 << s.hash_size), seed=s.seed)
         self.keep(self.spark.createDataFrame([(i, c, n) for i, c, n in centroids], "cluster int, c array<double>, n long"), "centroids")

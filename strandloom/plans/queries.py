@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kmer import bin_counts, canonical_bin, coefficients, hamming, mate_id, pair_key, read_base_id, reverse_complement, trimmed_length
-from ..operators import abundance, cluster, pairs, partition, reports, spectral
+from ..operators import abundance, cluster, hyperplane, ingest, pairs, partition, reports, spectral
+from ..sources import fastq
 from .stored import stored
 
 K, BITS = 8, 20
@@ -134,6 +136,22 @@ def svd_spectrum(spark, sf_dir):
     return spark.createDataFrame([(i, round(float(x), 4)) for i, x in enumerate(s)], "dim int, sigma double")
 
 
+_BASIS = 3
+
+
+@query(
+    f"WITH {_CONDITIONED}, numbered AS (SELECT sample, row_number() OVER (ORDER BY sample) - 1 AS i FROM (SELECT DISTINCT sample FROM conditioned))"
+    " SELECT bin, " + ", ".join(f"round(sum(x * ((i + 1) * {d + 2} % 5 - 2)), 6) + 0.0 AS v{d}" for d in range(_BASIS)) + " FROM conditioned JOIN numbered USING (sample) GROUP BY bin"
+)
+def projected_bins(spark, sf_dir):
+    """Bins in a fixed basis, which any engine has alike; the run takes the eigenspace's."""
+    conditioned = _conditioned(spark, sf_dir)
+    names = spectral.sample_names(conditioned)
+    basis = np.array([[(i + 1) * (d + 2) % 5 - 2 for d in range(_BASIS)] for i in range(len(names))], dtype=float).reshape(len(names), _BASIS)
+    vectors = spectral.projected(conditioned, names, basis)
+    return vectors.select("bin", *[(F.round(F.col("vec")[d], 6) + F.lit(0.0)).alias(f"v{d}") for d in range(_BASIS)])
+
+
 # strands and trimming ----------------------------------------------------------------------------------------
 
 _PLANES = []
@@ -182,6 +200,38 @@ def canonical_strand(spark, sf_dir):
     return rows.withColumn("bin", canonical_bin(F.col("fwd"), F.col("back")))
 
 
+#: What the qualities of the complex hash start from: letters from a to z are 2 to 27.
+_LETTER_OFFSET = 95
+
+
+def _complex_sum(sign: str, at: Callable[[int], int]) -> str:
+    terms = []
+    for s, plane in enumerate(_PLANES):
+        total = " + ".join(f"re[i+{at(j)}]*({plane[2 * j] / 8}) + im[i+{at(j)}]*({plane[2 * j + 1] / 8})" for j in range(K))
+        terms.append(f"CASE WHEN {sign}({total}) > {plane[-1] / 8} THEN {1 << s} ELSE 0 END")
+    return " + ".join(terms)
+
+
+@query(f"""
+WITH letters AS (SELECT item_id, string_split(regexp_replace(lower(text), '[^a-z]', '', 'g'), '') AS l FROM benchmark),
+sure AS (SELECT item_id, l, list_transform(l, lambda x: 1 - pow(10.0, -(unicode(x) - {_LETTER_OFFSET}) / 10.0)) AS p,
+    list_transform(l, lambda x: translate(x, '{_LETTERS}', '{_TO_BASES}')) AS b FROM letters),
+codes AS (SELECT item_id,
+    list_transform(range(1, len(l) + 1), lambda i: p[i] * CASE b[i] WHEN 'A' THEN -1 WHEN 'T' THEN 1 ELSE 0 END) AS re,
+    list_transform(range(1, len(l) + 1), lambda i: p[i] * CASE b[i] WHEN 'C' THEN -1 WHEN 'G' THEN 1 ELSE 0 END) AS im FROM sure),
+places AS (SELECT item_id, re, im, unnest(range(1, len(re) - {K} + 2)) AS i FROM codes),
+both_strands AS (SELECT item_id, i, {_complex_sum("", lambda j: j)} AS fwd, {_complex_sum("-", lambda j: K - 1 - j)} AS back FROM places)
+SELECT item_id, CAST(i AS BIGINT) AS pos, CAST(least(fwd, back) AS BIGINT) AS bin FROM both_strands
+""")
+def complex_hash_bins(spark, sf_dir):
+    """The run's own hash, with fixed planes: bases as complex numbers, weighed by the probability that they are right."""
+    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
+    reads = _t(spark, sf_dir, "benchmark").select("item_id", F.translate(letters, _LETTERS, _TO_BASES).alias("seq"), letters.alias("qual"))
+    wheels = [(0, s, [x / 8 for x in plane[: 2 * K : 2]], [x / 8 for x in plane[1 : 2 * K : 2]], plane[-1] / 8, 0.0) for s, plane in enumerate(_PLANES)]
+    hashed = hyperplane.hash_reads(reads, wheels, K, _LETTER_OFFSET)
+    return hashed.select("item_id", F.posexplode("bins").alias("at", "bin")).select("item_id", (F.col("at") + 1).cast("long").alias("pos"), "bin")
+
+
 @query("""
 WITH dna AS (SELECT item_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM benchmark)
 SELECT item_id, translate(reverse(seq), 'ACGT', 'TGCA') AS rc,
@@ -423,6 +473,89 @@ def collision_histogram(spark, sf_dir):
     return pairs.collision_histogram(kmers.groupBy("bin", "kmer").agg(F.count("*").alias("n")), K)
 
 
+def _reads(spark, sf_dir) -> DataFrame:
+    """Documents as reads of files (source, lang)."""
+    docs = _t(spark, sf_dir, "documents")
+    name = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return docs.select(
+        name("source").alias("sample"), name("lang").alias("part"), F.col("doc_id").alias("rec_no"), F.concat(F.lit("@d"), F.col("doc_id")).alias("id"),
+        name("text").alias("seq"), F.lit("+").alias("plus"), name("text").alias("qual"),
+    )
+
+
+_READS = "SELECT coalesce(source, '') AS sample, coalesce(lang, '') AS part, doc_id AS rec_no, '@d' || doc_id AS id, coalesce(text, '') AS seq, '+' AS plus, coalesce(text, '') AS qual FROM documents"
+
+
+@query("""
+WITH kept AS (SELECT conv_id, len(list_filter(string_split(text, ''), lambda x: x <> '')) AS n, list_sum(list_transform(string_split(text, ''), lambda x: unicode(x))) AS b FROM conversations WHERE text <> '')
+SELECT c.conv_id, c.turn, CAST(sum(k.n) AS BIGINT) AS n_bins, CAST(sum(k.b) AS BIGINT) AS bin_sum FROM conversations c JOIN kept k USING (conv_id) GROUP BY ALL
+""")
+def paired_bins(spark, sf_dir):
+    """Characters stand for bins; each turn of a conversation carries those of all its turns."""
+    rows = _t(spark, sf_dir, "conversations").select(
+        F.lit("all").alias("sample"), F.lit("").alias("part"), F.col("turn").alias("rec_no"), "conv_id", "turn",
+        F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long")).alias("bins"),
+    )
+    both = hyperplane.paired_bins(rows, "conv_id").where(F.size("bins") > 0)
+    return both.select("conv_id", "turn", F.size("bins").cast("long").alias("n_bins"), F.aggregate("bins", F.lit(0).cast("long"), lambda s, x: s + x).alias("bin_sum"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, '@c' || conv_id || '/' AS stem, turn % 2 + 1 AS mate, length(text) AS n FROM conversations),
+both_ids AS (SELECT stem || mate AS id, n, turn FROM c UNION ALL SELECT stem || (3 - mate), n, turn FROM c)
+SELECT id, CAST(n AS BIGINT) AS bin FROM both_ids UNION ALL SELECT id, CAST(turn AS BIGINT) FROM both_ids
+""")
+def mapper_rows(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations")
+    hashed = rows.withColumn("bins", F.array(F.length("text").cast("long"), F.col("turn").cast("long")))
+    return ingest.mapper_rows(hashed, F.concat(F.lit("@c"), F.col("conv_id"), F.lit("/"), F.col("turn") % 2 + 1))
+
+
+@query("""
+WITH n AS (SELECT conv_id, turn, (conv_id * 100 + turn // 2) * 2 + turn % 2 AS rec_no FROM conversations)
+SELECT conv_id, turn, rec_no, CASE WHEN rec_no >= 1000000 THEN CAST(rec_no // 1000 AS VARCHAR) ELSE lpad(CAST(rec_no // 1000 AS VARCHAR), 3, '0') END AS part FROM n
+""")
+def interleave_chunks(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") * 100 + F.floor(F.col("turn") / 2)).alias("rec_no"))
+    return ingest.interleave_chunks(rows.where("turn % 2 = 0"), rows.where("turn % 2 = 1"), chunk_reads=1000)
+
+
+@query(f"""
+WITH reads AS ({_READS}), sized AS (SELECT *, length(id) + length(seq) + length(plus) + length(qual) + 4 AS size FROM reads),
+run AS (SELECT *, sum(size) OVER (PARTITION BY sample ORDER BY rec_no) - size AS above FROM sized)
+SELECT sample, rec_no, lpad(CAST(CAST(floor(above / 50000) AS BIGINT) AS VARCHAR), 3, '0') AS part FROM run
+""")
+def byte_chunks(spark, sf_dir):
+    return ingest.byte_chunks(_reads(spark, sf_dir), megabytes=0.05).select("sample", "rec_no", "part")
+
+
+@query(f"WITH reads AS ({_READS}) SELECT sample, part, rec_no FROM reads QUALIFY count(*) OVER (PARTITION BY sample, part) >= 12")
+def large_files(spark, sf_dir):
+    return partition.large_files(_reads(spark, sf_dir), 12).select("sample", "part", "rec_no")
+
+
+@query(f"""
+WITH reads AS ({_READS}), seen AS (SELECT sample, part, length(qual) AS n, len(list_filter(string_split(qual, ''), lambda x: unicode(x) < 74)) AS low FROM reads WHERE rec_no < 1000 AND qual <> '')
+SELECT sample, part, CAST(CASE WHEN sum(low) * 3 > sum(n - low) THEN 33 ELSE 64 END AS INTEGER) AS q_offset FROM seen GROUP BY ALL
+""")
+def quality_offsets(spark, sf_dir):
+    """The first thousand records of a file tell its offset: that is the feature, as everywhere its first reads do."""
+    return fastq.quality_offset(_reads(spark, sf_dir).where("qual <> ''"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, conv_id % 3 AS kind, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations WHERE turn < 125)
+SELECT 's' || kind AS sample, CAST(conv_id AS VARCHAR) AS part, CAST(CASE WHEN bool_or(turn % 2 = 0 AND coalesce(after % 2 = 1, false)) THEN kind ELSE 0 END AS INTEGER) AS id_type FROM t GROUP BY conv_id, kind
+""")
+def id_types(spark, sf_dir):
+    """Each conversation is a file, named in one of three ways."""
+    kind, mate = F.col("conv_id") % 3, F.col("turn") % 2 + 1
+    stem = F.concat(F.lit("@c"), F.col("conv_id"))
+    name = F.when(kind == 1, F.concat(stem, F.lit(" "), mate, F.lit(":N:0"))).when(kind == 2, F.concat(stem, F.lit("/"), mate)).otherwise(F.concat(stem, F.lit("x"), F.col("turn")))
+    rows = _t(spark, sf_dir, "conversations").select(F.concat(F.lit("s"), kind).alias("sample"), F.col("conv_id").cast("string").alias("part"), F.col("turn").alias("rec_no"), name.alias("id"))
+    return fastq.id_types(rows)
+
+
 # reports -----------------------------------------------------------------------------------------------------
 
 
@@ -434,6 +567,19 @@ def n50_by_group(spark, sf_dir):
     return reports.n50(_t(spark, sf_dir, "documents"), "source", "n_chars")
 
 
+@query("""
+WITH hits AS (SELECT l_returnflag AS path, l_linenumber AS block, l_suppkey AS sseqid, l_partkey % 10 AS qseqid, min(l_extendedprice) AS first FROM lineitem GROUP BY ALL)
+SELECT path, sseqid, CAST(sum(CAST(floor(first) AS BIGINT) % 1000) AS BIGINT) AS score FROM hits GROUP BY path, sseqid
+""")
+def alignment_scores(spark, sf_dir):
+    """Line items as hits: the cheapest one of a range stands first, and its score alone counts."""
+    hits = _t(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("path"), F.col("l_linenumber").alias("block"), F.col("l_suppkey").alias("sseqid"), (F.col("l_partkey") % 10).alias("qseqid"),
+        F.lit(0).alias("qstart"), F.lit(0).alias("qend"), F.col("l_extendedprice").alias("line_no"), (F.floor("l_extendedprice") % 1000).alias("score"),
+    )
+    return reports.alignment_scores(hits)
+
+
 @query("""
 WITH ranked AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, min(value) AS lo, max(value) AS hi, max(value) FILTER (r = n // 2 + 1) AS mid FROM ranked GROUP BY event_type

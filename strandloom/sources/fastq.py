@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,8 +33,9 @@ def parse_fastq(data: bytes) -> Iterator[tuple[str, str, str, str]]:
                 yield line.rstrip("\r\n"), *(x.rstrip("\r\n") for x in rest)
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Reads of FASTQ files (gzip or not). sample: file name up to its first ``.``; part: what follows ``.fastq``."""
+def read_fastq(spark: SparkSession, path: str, max_reads: int | None = None) -> DataFrame:
+    """Reads of FASTQ files (gzip or not), the first ``max_reads`` of each if given. sample: file name up to its first
+    ``.``; part: what follows ``.fastq``. A file is one value, 2 GB at most; see ``read_fastq_lines`` for larger ones."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +45,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
                 name = name.rsplit("/", 1)[-1]
                 sample, part = name.split(".")[0], name.partition(".fastq")[2].strip(".")
                 rows: list[tuple] = []
-                for i, record in enumerate(parse_fastq(content.as_py())):
+                for i, record in enumerate(itertools.islice(parse_fastq(content.as_py()), max_reads)):
                     rows.append((sample, part, i, *record))
                     if len(rows) == _BATCH:
                         yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=_schema())
@@ -54,6 +56,31 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, READS)
 
 
+def read_fastq_lines(spark: SparkSession, path: str, max_reads: int | None = None) -> DataFrame:
+    """The same rows from files of any size, read by splits: records are four lines each, from a file's first line on.
+
+    Lines are counted in each split, and the splits' sums give every line its number in the file; no task sees more
+    than a split. A cut record at the end, or one whose third line isn't a plus line, is left out.
+    """
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lines.groupBy("path", "block").agg(F.count("*").alias("n"))
+    sums = sums.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("above"))
+    number = F.col("above") + F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1
+    numbered = lines.join(sums, ["path", "block"]).withColumn("no", number)
+    line = lambda i: F.max(F.when(F.col("no") % 4 == i, F.col("line")))
+    records = numbered.groupBy("path", F.floor(F.col("no") / 4).alias("rec_no")).agg(*[line(i).alias(n) for i, n in enumerate(("id", "seq", "plus", "qual"))])
+    whole = records.where("id like '@%' and plus like '+%' and qual <> ''")
+    if max_reads is not None:
+        whole = whole.where(F.col("rec_no") < max_reads)
+    name = F.substring_index("path", "/", -1)
+    part = F.btrim(F.regexp_extract(name, r"\.fastq(.*)$", 1), F.lit("."))
+    return whole.select(F.substring_index(name, ".", 1).alias("sample"), part.alias("part"), "rec_no", "id", "seq", "plus", "qual")
+
+
 def _schema() -> pa.Schema:
     return pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.string()) for f in READS.split(", ")])
 
