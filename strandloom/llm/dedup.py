@@ -34,6 +34,8 @@ BATCH = 40
 MISS = 1e-5
 #: Members of a block of a large bucket.
 BLOCK = 256
+#: Tasks over which a bucket's blocks are dealt, at most.
+SPREAD = 16
 #: Pairs of blocks that go to a Python worker at once.
 BLOCK_ROWS = 8
 #: Ids up to this many (16 MB) are broadcast; beyond it the join is shuffled.
@@ -234,13 +236,17 @@ def _stray_links(rows: DataFrame, percent: int) -> DataFrame:
 
     Strays are compared with all members of their bucket, block against block: by signature, then on full sets.
     A pair is looked at in the first band that it shares only, and not at all once the block has joined its
-    components; so what leaves a block are a few links, however many pairs it has.
+    components; so what leaves a block are a few links, however many pairs it has. A large bucket's blocks are dealt
+    over up to SPREAD tasks by the member's block; strays, which are few as a rule, go to each of them.
     """
     part = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("size") / BLOCK)).alias("part")
     member = F.struct("node", "comp", "n", "sig", "keys", "set")
-    blocks = rows.groupBy("key", part).agg(F.collect_list(member).alias("ys"))
-    strays = rows.where("stray").groupBy("key", part).agg(F.collect_list(member).alias("xs")).withColumnRenamed("part", "x_part")
-    facing = strays.join(blocks, "key").select("key", "xs", "ys")
+    deals = F.least(F.ceil(F.max("size") / BLOCK), F.lit(SPREAD)).alias("deals")
+    blocks = rows.groupBy("key", part).agg(F.collect_list(member).alias("ys"), deals)
+    blocks = blocks.select("key", F.pmod("part", "deals").alias("deal"), "ys")
+    strays = rows.where("stray").groupBy("key", part).agg(F.collect_list(member).alias("xs"), deals)
+    strays = strays.select("key", "xs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"))
+    facing = strays.join(blocks, ["key", "deal"]).select("key", "xs", "ys")
 
     def side(value: pa.Scalar):
         fields = value.values.flatten()
