@@ -358,7 +358,7 @@ def _edges(sizes: dict[int, int], shards: int) -> list[int]:
 def train(docs: DataFrame, order: int = ORDER) -> Meta:
     """Count all n-grams of the documents up to the order and build the trie in the shared folder.
 
-    What reaches the driver is a row for each shard. Keys are a context's node and a word in 64 bits, which
+    Shards grow in number with the tokens, and so do the tasks that build them. What reaches the driver is a row for each shard. Keys are a context's node and a word in 64 bits, which
     bounds contexts times words by 2**62.
     """
     spark = docs.sparkSession
@@ -373,7 +373,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Meta:
         return stream[~start]
 
     blobs = _counted(docs, hashes, lambda keys: _vocab_shard(keys, shards))
-    rows = blobs.groupBy("shard").applyInArrow(_build_vocab(path), "shard int, n long, tokens long").collect()
+    rows = blobs.repartition(shards, "shard").groupBy("shard").applyInArrow(_build_vocab(path), "shard int, n long, tokens long").collect()
     meta.vocab = _edges({r["shard"]: r["n"] for r in rows}, shards)
     meta.tokens, meta.distinct = sum(r["tokens"] for r in rows), meta.vocab[-1]
     meta.bits = max(1, meta.distinct.bit_length())
@@ -406,7 +406,7 @@ def _train_level(docs: DataFrame, meta: Meta, level: int, shards: int, threshold
         return _shards_of(meta, level, (k >> _U(meta.bits)).astype(np.int64), (k & _U((1 << meta.bits) - 1)).astype(np.int64))
 
     fields = "shard int, n long, seen array<long>, kinds array<long>, heavy array<long>, heavy_n array<long>"
-    rows = _counted(docs, keys, shard_of).groupBy("shard").applyInArrow(_build_level(meta, level, threshold), fields).collect()
+    rows = _counted(docs, keys, shard_of).repartition(shards, "shard").groupBy("shard").applyInArrow(_build_level(meta, level, threshold), fields).collect()
     base = _edges({r["shard"]: r["n"] for r in rows}, shards)
     seen = np.sum([r["seen"] for r in rows], axis=0) if rows else np.zeros(4)
     meta.bases[level], meta.discounts[level] = base, _discounts(seen)

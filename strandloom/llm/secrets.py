@@ -73,6 +73,15 @@ class BlobLedger:
                 raise
             return self.spark.createDataFrame([], LEDGER_FIELDS)
 
+    def paths(self) -> DataFrame | None:
+        """(path, blob) of every version of every path that was ever scanned; None before the first scan."""
+        try:
+            return self.spark.read.parquet(f"{self.path}-paths").dropDuplicates(["path", "blob"])
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+
     def scan(self, texts: DataFrame, versions: Iterable[str] = tuple(RULES)) -> DataFrame:
         """texts: path, text. Scans unseen pairs, records them, and returns (path, blob) of all texts.
 
@@ -91,6 +100,11 @@ class BlobLedger:
             due.hint("shuffle_hash"), (texts["path"].eqNullSafe(due["path"])) & (F.col("blob") == F.col("due_blob"))
         ).select("text", "blob", "due")
         arrow_map(chosen, _scan_batch, LEDGER_FIELDS).dropDuplicates(["blob", "version"]).write.mode("append").parquet(self.path)
+        known, fresh = self.paths(), paths
+        if known is not None:
+            known = known.select(F.col("path").alias("_path"), F.col("blob").alias("_blob"))
+            fresh = paths.join(known, (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path")), "left_anti")
+        fresh.write.mode("append").option("compression", "zstd").parquet(f"{self.path}-paths")
         return paths
 
 
@@ -109,10 +123,28 @@ def _scan_batch(batch: pa.RecordBatch):
 def findings(docs: DataFrame, ledger: BlobLedger | None = None, versions: Iterable[str] = tuple(RULES)) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_spans.
 
-    Null texts are empty, empty texts have no spans, repeated rows repeat their findings, null ids are kept.
+    Null texts are empty, empty texts have no spans, repeated rows repeat their findings, null ids are kept. An empty
+    table gives no rows; texts of any length are scanned whole.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     paths = ledger.scan(docs.select(F.col("doc_id").alias("path"), "text"), versions)
+    return _with_findings(paths, ledger, versions).withColumnRenamed("path", "doc_id")
+
+
+def history(ledger: BlobLedger, versions: Iterable[str] = tuple(RULES)) -> DataFrame:
+    """Per path and blob that the ledger has seen in any scan: path, blob (hex) and the columns of ``findings``.
+
+    A path has a row for each of its historical texts; what a later rule version found counts for all of them. A ledger
+    without scans has no history and is refused.
+    """
+    paths = ledger.paths()
+    if paths is None:
+        raise ValueError(f"{ledger.path}: nothing was scanned yet")
+    found = _with_findings(paths, ledger, versions, ["blob"])
+    return found.withColumn("blob", F.lower(F.hex("blob")))
+
+
+def _with_findings(paths: DataFrame, ledger: BlobLedger, versions: Iterable[str], also: Iterable[str] = ()) -> DataFrame:
     found = ledger.entries().where(F.col("version").isin(list(versions)) & (F.size("spans") > 0))
     found = found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set(F.col("spans")))).alias("all"))
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -138,7 +170,7 @@ def findings(docs: DataFrame, ledger: BlobLedger | None = None, versions: Iterab
         digest = F.broadcast(digest)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return paths.join(digest, "blob", "left").select(
-        F.col("path").alias("doc_id"), *[F.coalesce(f"n_{KINDS[i]}", F.lit(0)).cast("long").alias(f"n_{KINDS[i]}") for i in range(n_base)],
+        "path", *also, *[F.coalesce(f"n_{KINDS[i]}", F.lit(0)).cast("long").alias(f"n_{KINDS[i]}") for i in range(n_base)],
         F.coalesce("base_sha256", nothing).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
     )

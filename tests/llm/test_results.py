@@ -57,8 +57,10 @@ def test_components_are_those_of_all_pairs(docs, n):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(s), want[i], want[i] == i) for i, s in sets.items()}
 
 
-def test_noisy_copies_of_one_text_are_grouped_as_by_all_pairs(spark):
-    """A large bucket whose members aren't all alike: strays are found block against block."""
+@pytest.mark.parametrize("block", [256, 10])
+def test_noisy_copies_of_one_text_are_grouped_as_by_all_pairs(spark, monkeypatch, block):
+    """A large bucket whose members aren't all alike: strays are found block against block, whatever their number."""
+    monkeypatch.setattr(dedup, "BLOCK", block)
     rng = np.random.default_rng(7)
     base = [f"t{i}" for i in range(90)]
     texts = []
@@ -131,13 +133,30 @@ def test_ledger_scans_unseen_pairs_only(spark):
     assert ledger.entries().groupBy("version").count().count() == 2 and ledger.entries().count() == 5
 
 
+def test_history_joins_findings_to_all_versions_of_all_paths(spark):
+    fields, leak = "path string, text string", "token=abcdefgh"
+    ledger = secrets.BlobLedger(spark)
+    with pytest.raises(ValueError):
+        secrets.history(ledger)
+    ledger.scan(spark.createDataFrame([("p1", leak), ("p2", "plain"), ("p2", "plain"), ("p3", None)], fields), ["base-1"])
+    ledger.scan(spark.createDataFrame([("p1", "cleaned up"), ("p4", leak), ("p2", "plain")], fields), ["base-1"])
+    rows = secrets.history(ledger, ["base-1"]).collect()
+    named = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    want = [("p1", leak, 1), ("p1", "cleaned up", 0), ("p2", "plain", 0), ("p3", None, 0), ("p4", leak, 1)]
+    assert sorted((r["path"], r["blob"], r["n_assign"]) for r in rows) == sorted((p, named(t), n) for p, t, n in want)
+    again = secrets.findings(spark.createDataFrame([(1, leak), (2, "x")], "doc_id long, text string"), secrets.BlobLedger(spark, ledger.path + "-other"), ["base-1"])
+    assert {(r["doc_id"], r["n_assign"]) for r in again.collect()} == {(1, 1), (2, 0)}
+
+
 def test_elias_fano_round_trip(tmp_path):
     rng = np.random.default_rng(1)
     for n, top in ((0, 1), (1, 1), (10, 10), (3000, 1 << 61), (5000, 6000), (300, 3)):
         v = np.sort(rng.integers(0, top, n, dtype=np.uint64))
         save_arrays(str(tmp_path / "x"), nested("a", EliasFano.build(v)))
         e = unnested("a", map_arrays(str(tmp_path / "x")))
-        assert (e.access(np.arange(n)) == v).all()
+        assert (e.access(np.arange(n)) == v).all() and (e.all() == v).all()
+        if n > 1:
+            assert [x.tolist() for x in e.access_two(np.arange(n - 1))] == [v[:-1].tolist(), v[1:].tolist()]
         ask = np.concatenate([v, rng.integers(0, top, 200, dtype=np.uint64)])
         at = e.find(ask)
         inside = np.isin(ask, v)
