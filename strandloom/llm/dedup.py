@@ -332,17 +332,40 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _own_ids(docs: DataFrame) -> DataFrame:
+    """docs with ``_dedup_id``: the id as a long, or where ids repeat with different texts a number for each (id, text), in
+    order of id and of the text's hash. Rows without an id have none."""
+    known = F.col("doc_id").cast("long")
+    texts = docs.where(known.isNotNull()).select(known.alias("_dup_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_dup_text"))
+    differ = texts.groupBy("_dup_id").agg(F.min("_dup_text").alias("a"), F.max("_dup_text").alias("b")).where("a <> b")
+    if not differ.take(1):
+        return docs.withColumn("_dedup_id", known)
+    numbered = texts.distinct().orderBy("_dup_id", "_dup_text").withColumn("_dedup_id", F.monotonically_increasing_id())
+    numbered = table(numbered, "dedup-numbered")
+    same = (known == F.col("_dup_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_dup_text"))
+    return docs.join(numbered, same, "left").drop("_dup_id", "_dup_text")
+
+
 def distinct_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each group of near-duplicates (the smallest id), with its own columns; of rows that
-    repeat an id, one. Rows without an id stay."""
-    found = table(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "dedup-kept")
+    """One document of each group of near-duplicates (the smallest id), with its own columns, whatever their names.
+
+    Different texts of one id are different documents, of which the one with the smaller hash comes first; rows equal in
+    id and text count once, and the one whose columns make the smallest JSON text stays. Rows without an id stay. Null
+    and empty texts, and those without words, are no near-duplicates. An empty table gives no rows.
+    """
+    named = _own_ids(docs)
+    found = near_duplicates(named.select(F.col("_dedup_id").alias("doc_id"), "text"), shingle, percent)
+    found = table(found.select("doc_id", "kept"), "dedup-kept")
     gone = found.where("not kept").select(F.col("doc_id").alias("_dup_id")).distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_dup_id"), "left_anti")
+    left = named.join(gone, F.col("_dedup_id") == F.col("_dup_id"), "left_anti")
     again = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_dup_id")).count().where("count > 1").select("_dup_id")
     again = table(again, "dedup-again")
     if not again.take(1):
-        return left
-    same = F.col("doc_id").cast("long") == F.col("_dup_id")
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+        return left.drop("_dedup_id")
+    same = F.col("_dedup_id") == F.col("_dup_id")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # minima are taken before the shuffle, so a row repeated ever so often is no hot key
+    one = left.join(again, same, "left_semi").groupBy("_dedup_id").agg(F.min_by(row, F.to_json(row)).alias("_dedup_row"))
+    return left.join(again, same, "left_anti").drop("_dedup_id").unionByName(one.select("_dedup_row.*"))
