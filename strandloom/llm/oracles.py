@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import MIX_SQL
+from .topk import TOP_K_SQL
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -46,4 +47,5 @@ ORACLES = {
     "op1_near_duplicates": NEAR_DUPLICATES_SQL,
     "op6_decontaminate": WINDOW_HITS_SQL,
     "op9_mix_sources": MIX_SQL,
+    "op11_exact_top_k": TOP_K_SQL,
 }

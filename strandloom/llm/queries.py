@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, dedup, langid, merkle, mixing, ngram, quality, secrets, sharding, toxicity
+from . import decontam, dedup, langid, merkle, mixing, ngram, quality, secrets, sharding, topk, toxicity
 from .oracles import ORACLES
 
 
@@ -58,8 +58,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(_docs(spark, sf_dir))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_secrets, op3_lm_score, op4_lpt_shards, op5_toxicity, op6_decontaminate, op7_quality, op8_merkle, op9_mix_sources, op10_language)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_secrets, op3_lm_score, op4_lpt_shards, op5_toxicity, op6_decontaminate, op7_quality, op8_merkle, op9_mix_sources, op10_language, op11_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
