@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .infill import INFILL_SQL
 from .mixing import MIX_SQL
 from .topk import TOP_K_SQL
 
@@ -48,4 +49,5 @@ ORACLES = {
     "op6_decontaminate": WINDOW_HITS_SQL,
     "op9_mix_sources": MIX_SQL,
     "op11_exact_top_k": TOP_K_SQL,
+    "op13_fill_in_middle": INFILL_SQL,
 }
