@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .infill import INFILL_SQL
+from .manifest import manifest_sql
 from .mixing import MIX_SQL
 from .topk import TOP_K_SQL
 
@@ -49,5 +50,6 @@ ORACLES = {
     "op6_decontaminate": WINDOW_HITS_SQL,
     "op9_mix_sources": MIX_SQL,
     "op11_exact_top_k": TOP_K_SQL,
+    "op12_merkle_manifest": manifest_sql(),
     "op13_fill_in_middle": INFILL_SQL,
 }

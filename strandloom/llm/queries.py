@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, dedup, infill, langid, merkle, mixing, ngram, quality, secrets, sharding, topk, toxicity
+from . import decontam, dedup, infill, langid, manifest, merkle, mixing, ngram, quality, secrets, sharding, topk, toxicity
 from .oracles import ORACLES
 
 
@@ -62,12 +62,16 @@ def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_docs(spark, sf_dir))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.fill_in_middle(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_secrets, op3_lm_score, op4_lpt_shards, op5_toxicity, op6_decontaminate, op7_quality, op8_merkle, op9_mix_sources, op10_language, op11_exact_top_k, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_secrets, op3_lm_score, op4_lpt_shards, op5_toxicity, op6_decontaminate, op7_quality, op8_merkle, op9_mix_sources, op10_language, op11_exact_top_k, op12_merkle_manifest, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
