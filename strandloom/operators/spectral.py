@@ -6,15 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The Gram matrix of up to so many samples is solved on the driver (128 MB).
+#: The Gram matrix of up to so many samples is solved on the driver (128 MB); see ``svd.decompose`` for more.
 MOST_SAMPLES = 4000
 
 
 def sample_names(conditioned: DataFrame) -> list[str]:
-    """Samples in order; more than MOST_SAMPLES are refused."""
+    """Samples in order, for what is solved on the driver; more than MOST_SAMPLES are refused (``svd.decompose`` takes them)."""
     names = [r[0] for r in conditioned.select("sample").distinct().orderBy("sample").limit(MOST_SAMPLES + 1).collect()]
     if len(names) > MOST_SAMPLES:
         raise ValueError(f"more than {MOST_SAMPLES} samples: their Gram matrix isn't solved on the driver")
@@ -31,7 +32,7 @@ def _by_bin(conditioned: DataFrame, names: list[str]) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy("bin").orderBy("i")))
 
 
-def _whole_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+def whole_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     """(bins, row, sample numbers, values) of runs of whole bins; row counts the bins of a run."""
     held: list[pa.RecordBatch] = []
 
@@ -65,7 +66,7 @@ def gram(conditioned: DataFrame, chunk: int = 4096) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros((n, n)), np.zeros((n, n), dtype=bool)
-        for bins, row, i, x in _whole_bins(batches):
+        for bins, row, i, x in whole_bins(batches):
             for at in range(0, len(bins), chunk):
                 a, b = np.searchsorted(row, [at, at + chunk])
                 dense = np.zeros((min(chunk, len(bins) - at), n))
@@ -84,10 +85,10 @@ def gram(conditioned: DataFrame, chunk: int = 4096) -> DataFrame:
 def eigenspace(gram_rows: DataFrame, rank: int | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Samples, U (samples x rank) and singular values, largest first; rank defaults to four fifths of the samples."""
     names = sample_names(gram_rows.select(F.col("sample_i").alias("sample")))
-    at = {s: i for i, s in enumerate(names)}
     g = np.zeros((len(names), len(names)))
-    for r in gram_rows.collect():
-        g[at[r["sample_i"]], at[r["sample_j"]]] = g[at[r["sample_j"]], at[r["sample_i"]]] = r["g"]
+    got = gram_rows.select("sample_i", "sample_j", "g").toArrow()
+    i, j = (pc.index_in(got.column(c), pa.array(names, got.column(c).type)).to_numpy() for c in (0, 1))
+    g[i, j] = g[j, i] = got.column(2).to_numpy()
     values, vectors = np.linalg.eigh(g)
     order = np.argsort(values)[::-1][: rank if rank is not None else max(1, 4 * len(names) // 5)]
     return names, vectors[:, order], np.sqrt(np.maximum(values[order], 0))
@@ -116,7 +117,7 @@ def projected(conditioned: DataFrame, names: list[str], u: np.ndarray) -> DataFr
     rank = u.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bins, row, i, x in _whole_bins(batches):
+        for bins, row, i, x in whole_bins(batches):
             vec = np.add.reduceat(u[i] * x[:, None], np.searchsorted(row, np.arange(len(bins))), axis=0)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(vec.ravel()), rank).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([bins, flat], names=["bin", "vec"])

@@ -10,7 +10,7 @@ import dataclasses
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import abundance, cluster, hyperplane, ingest, partition, spectral
+from ..operators import abundance, cluster, hyperplane, ingest, partition, spectral, svd
 
 
 @dataclasses.dataclass
@@ -60,13 +60,18 @@ class Run:
     def kmer_clustering(self) -> None:
         """lsi, vectors, centroids, members, cluster_stats."""
         s, conditioned = self.settings, self.table("conditioned")
-        names, u, sigma = spectral.eigenspace(spectral.gram(conditioned), s.rank)
-        self.keep(spectral.eigenspace_frame(self.spark, names, u, sigma), "lsi")
-        vectors = self.keep(spectral.projected(conditioned, names, u), "vectors")
-        centroids = cluster.leader_clusters(vectors, s.threshold, chunk_rows=cluster.rows_of_chunk(1 << s.hash_size), seed=s.seed)
-        self.keep(self.spark.createDataFrame([(i, c, n) for i, c, n in centroids], "cluster int, c array<double>, n long"), "centroids")
-        members = self.keep(cluster.assign_nearest(vectors, [(i, c) for i, c, _ in centroids], s.threshold), "members")
-        self.keep(cluster.cluster_priors(members, self.table("weights"), len(names), s.hash_size), "cluster_stats")
+        samples = conditioned.select("sample").distinct().count()
+        if samples <= spectral.MOST_SAMPLES:
+            names, u, sigma = spectral.eigenspace(spectral.gram(conditioned), s.rank)
+            self.keep(spectral.eigenspace_frame(self.spark, names, u, sigma), "lsi")
+            vectors = self.keep(spectral.projected(conditioned, names, u), "vectors")
+        else:
+            found = svd.decompose(conditioned, s.rank, seed=s.seed)
+            self.keep(found.frame(), "lsi")
+            vectors = self.keep(found.projected(), "vectors")
+        centroids = self.keep(cluster.leader_clusters(vectors, s.threshold, seed=s.seed), "centroids")
+        members = self.keep(cluster.assign_nearest(vectors, centroids, s.threshold), "members")
+        self.keep(cluster.cluster_priors(members, self.table("weights"), samples, s.hash_size), "cluster_stats")
 
     def read_partitioning(self) -> DataFrame:
         """read_partitions: reads with their cluster. Mates share their bins, and so their cluster."""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kmer import bin_counts, canonical_bin, coefficients, hamming, mate_id, pair_key, read_base_id, reverse_complement, trimmed_length
-from ..operators import abundance, cluster, hyperplane, ingest, pairs, partition, reports, spectral
+from ..operators import abundance, cluster, hyperplane, ingest, metric, pairs, partition, reports, spectral, svd
 from ..sources import fastq
 from .stored import stored
 
@@ -279,8 +279,7 @@ def _centres(vectors: DataFrame) -> DataFrame:
 
 def _members(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
-    centres = [(r["cluster"], r["c"]) for r in _centres(vectors).select("cluster", "c").collect()]
-    return cluster.assign_nearest(vectors, centres, _NEAR)
+    return cluster.assign_nearest(vectors, stored(_centres(vectors), "centres"), _NEAR)
 
 
 def _vec_weights(spark, sf_dir):
@@ -318,8 +317,31 @@ def cluster_priors(spark, sf_dir):
 
 @query()
 def leader_clusters(spark, sf_dir):
-    found = cluster.leader_clusters(_vectors(spark, sf_dir), 0.3)
-    return spark.createDataFrame([(i, n, c) for i, c, n in found], "cluster int, n long, c array<double>")
+    return cluster.leader_clusters(_vectors(spark, sf_dir), 0.3).select("cluster", "n", "c")
+
+
+@query(f"WITH {_MEMBERS} SELECT bin, cluster, rank, round(dist, 6) AS dist FROM members")
+def metric_top5_assign(spark, sf_dir):
+    """cosine_top5_assign without a broadcast of the centroids: a metric join by angles to a few pivots."""
+    vectors = _vectors(spark, sf_dir)
+    found = metric.near(vectors, "bin", stored(_centres(vectors), "centres"), 1 - _NEAR, cluster.NEAREST, pivots=4, block=3)
+    return found.select("bin", "cluster", "rank", F.round("dist", 6).alias("dist"))
+
+
+@query()
+def recentred_clusters(spark, sf_dir):
+    """Bins of clusters found by repeated assignment to means, with up to five fits in the last round."""
+    return cluster.recentred(_vectors(spark, sf_dir), 0.3)[1].select("bin", "cluster", "rank", F.round("dist", 9).alias("dist"))
+
+
+@query()
+def truncated_svd_spectrum(spark, sf_dir):
+    """Leading singular values over samples of source and language, by distributed products, and the share of all squares up to each."""
+    docs = _t(spark, sf_dir, "documents").select(F.concat_ws("|", "source", "lang").alias("source"), "text")
+    counts = stored(abundance.saturated(bin_counts(docs, "source", "text", K, BITS).withColumnRenamed("source", "sample")), "counts")
+    found = svd.decompose(stored(abundance.conditioned(counts, abundance.idf_weights(counts), BITS), "conditioned"), rank=10, tolerance=1e-9)
+    share = np.cumsum(found.sigma**2) / max(found.energy, 1e-300)
+    return spark.createDataFrame([(i, round(float(x), 4), round(float(y), 6)) for i, (x, y) in enumerate(zip(found.sigma, share))], "dim int, sigma double, share double")
 
 
 # reads to clusters -------------------------------------------------------------------------------------------

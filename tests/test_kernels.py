@@ -93,30 +93,37 @@ def test_gram_and_projection_against_numpy(spark):
 
 def test_leaders_join_lead_and_collapse():
     c = cluster.Leaders(0.9)
-    c.merge(np.array([[1.0, 0], [0.99, 0.05], [0, 1.0], [0.98, 0.1]]))
-    assert c.counts == [3, 1]
-    c.centroids.append(np.array([0.999, 0.03]))
-    c.counts.append(3)
+    c.merge(np.array([[1.0, 0], [0.99, 0.05], [0, 1.0], [0.98, 0.1], [0, 0]]))
+    assert c.counts.tolist() == [3, 1]
+    other = cluster.Leaders(0.9999)
+    other.merge(np.array([[0.999, 0.03]] * 3))
+    c._lead(other.centroids[0], 3)
     c.collapse()  # a tie removes the later one
-    assert c.counts == [3, 1]
-
-
-def test_assignment_as_kernel_and_as_join(spark):
-    rng = np.random.default_rng(4)
-    vectors = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=3)]) for i in range(50)], "bin long, vec array<double>")
-    centres = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(8)]
-    a = cluster.assign_nearest(vectors, centres, 0.2)
-    b = cluster.nearest_by_window(vectors, spark.createDataFrame(centres, "cluster int, c array<double>"), 0.2)
-    key = lambda df: sorted((r["bin"], r["cluster"], r["rank"], round(r["dist"], 9)) for r in df.collect())
-    assert key(a) == key(b) and max(r[2] for r in key(a)) <= 5
-    assert cluster.assign_nearest(vectors, [], 0.2).count() == 0
-
-
-def test_in_memory_clusters_cover_all_vectors():
-    rng = np.random.default_rng(6)
-    v = np.concatenate([np.eye(4)[i] + rng.normal(scale=0.02, size=(20, 4)) for i in range(4)])
-    found = cluster.kmeans_like(v, 0.8, seeds=10)
-    assert set(np.concatenate(found).tolist()) == set(range(80)) and len(found) == 4
+    assert c.counts.tolist() == [3, 1]
+    c.merge(other.centroids, other.counts.astype(float))
+    assert c.counts.tolist() == [6, 1]
+
+
+def one_by_one(vectors, reach):
+    """The rule for one chunk, vector by vector."""
+    leaders, queued = [], []
+    unit = lambda v: v / np.linalg.norm(v)
+    for v in vectors:
+        dist = [1 - unit(v) @ unit(c) for c in leaders]
+        if dist and min(dist) < reach:
+            queued[int(np.argmin(dist))].append(v)
+        else:
+            leaders.append(v)
+            queued.append([])
+    return [(c + sum(q)) / (1 + len(q)) if q else c for c, q in zip(leaders, queued)], [1 + len(q) for q in queued]
+
+
+def test_a_chunk_is_merged_as_vector_by_vector():
+    v = np.random.default_rng(2).normal(size=(300, 4))
+    c = cluster.Leaders(0.7)
+    c.merge(v)
+    means, counts = one_by_one(v, c.reach)
+    assert c.counts.tolist() == counts and np.allclose(c.centroids, means)
 
 
 def test_likelihood_ratio_limits_and_ties(spark):
