@@ -1,10 +1,11 @@
 """Truncated singular value decomposition of a sparse samples-by-bins matrix of any number of samples.
 
-Block subspace iteration with Rayleigh-Ritz values: the basis Q (samples by a few columns) is multiplied by A A^T, made
-orthonormal by a QR decomposition over a tree of row blocks, and multiplied again until the leading values stay. The
-matrix is packed once, whole bins together, so that a task multiplies its bins by A^T and A in one go and hands on one
-partial product. Q goes to the tasks in groups of columns of BROADCAST_BYTES at most; the driver holds such a group and
-matrices of columns by columns, nothing of the size of samples by samples.
+Block Krylov iteration with Rayleigh-Ritz values: a block Q (samples by a few columns) is multiplied by A A^T, freed of what
+the space so far has, made orthonormal by a QR decomposition over a tree of row blocks and added to the space, until the
+leading values of the space stay; a space of MOST_STEPS blocks starts again from its leading vectors. The matrix is packed
+once, whole bins together, so that a task multiplies its bins by A^T and A in one go and hands on one partial product. Q
+goes to the tasks in groups of columns of BROADCAST_BYTES at most; the driver holds such a group and matrices of columns by
+columns, nothing of the size of samples by samples.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ BLOCK_ROWS = 1024
 BROADCAST_BYTES = 64 << 20
 #: Singular values asked for where no rank is given, and columns beyond those asked for.
 RANK, OVERSAMPLE = 200, 10
-#: Iterations at most, and the change of the leading values (relative to the largest) at which they end.
+#: Products at most, and the change of the leading values (relative to the largest) at which they end.
 MOST_ROUNDS, TOLERANCE = 60, 1e-12
+#: Blocks of a space before it starts again.
+MOST_STEPS = 8
 #: Directions under this share of the largest are numerically none.
 SMALLEST = 1e-13
 
@@ -203,10 +206,8 @@ def times_square(packs: DataFrame, basis: Basis) -> Basis:
     return Basis(stored(summed, "svd-product"), rows, basis.columns)
 
 
-def _inner(a: Basis, b: Basis) -> np.ndarray:
-    """a^T b, added up by tasks."""
-    c, d = a.columns, b.columns
-    both = a.blocks.join(b.blocks.select("i", F.col("mat").alias("other")), "i").select("mat", "other")
+def _inner(both: DataFrame, c: int, d: int) -> np.ndarray:
+    """mat^T other of blocks (mat, other) of c and d columns, added up by tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((c, d))
@@ -215,7 +216,39 @@ def _inner(a: Basis, b: Basis) -> np.ndarray:
                 total += np.frombuffer(x.as_buffer()).reshape(-1, c).T @ np.frombuffer(y.as_buffer()).reshape(-1, d)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["mat"])
 
-    return sum((np.frombuffer(r["mat"]).reshape(c, d) for r in both.mapInArrow(run, "mat binary").toLocalIterator()), np.zeros((c, d)))
+    parts = both.select("mat", "other").mapInArrow(run, "mat binary")
+    return sum((np.frombuffer(r["mat"]).reshape(c, d) for r in parts.toLocalIterator()), np.zeros((c, d)))
+
+
+def _joined(space: Basis, more: Basis) -> DataFrame:
+    """(i, mat, other): the blocks of two matrices side by side."""
+    return space.blocks.select("i", "mat").join(more.blocks.select("i", F.col("mat").alias("other")), "i")
+
+
+def _paired(both: DataFrame, c: int, d: int, f: Callable[[np.ndarray, np.ndarray], np.ndarray], label: str) -> DataFrame:
+    """(i, mat): f of the two matrices of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                made = f(*(np.frombuffer(batch.column(k)[n].as_buffer()).reshape(-1, w) for k, w in ((1, c), (2, d))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(n, 1), pa.array([np.ascontiguousarray(made).tobytes()], pa.binary())], names=["i", "mat"])
+
+    return stored(both.select("i", "mat", "other").mapInArrow(run, _BLOCK), label)
+
+
+def _beside(space: Basis, more: Basis) -> Basis:
+    made = _paired(_joined(space, more), space.columns, more.columns, lambda x, y: np.concatenate([x, y], axis=1), "svd-space")
+    return Basis(made, space.rows, space.columns + more.columns)
+
+
+def _freed(product: Basis, space: Basis) -> Basis:
+    """The product without what the space has of it, twice over for rounding's sake, and orthonormal."""
+    for _ in range(2):
+        both = _joined(space, product)
+        held = _inner(both, space.columns, product.columns)
+        product = Basis(_paired(both, space.columns, product.columns, lambda k, w: w - k @ held, "svd-freed"), space.rows, product.columns)  # noqa: B023
+    return product
 
 
 @dataclasses.dataclass
@@ -282,24 +315,29 @@ def decompose(conditioned: DataFrame, rank: int | None = None, oversample: int =
     packs = packed(conditioned, samples)
     energy = conditioned.agg(F.sum(F.col("x").cast("double") * F.col("x"))).first()[0] or 0.0
     rank = min(n, rank if rank is not None else min(RANK, max(1, 4 * n // 5)))
-    basis = orthonormal(random_basis(spark, n, min(n, rank + oversample), seed))
-    before, values, vectors = None, np.zeros(0), np.zeros((0, 0))
-    for _ in range(rounds if n else 0):
-        product = times_square(packs, basis)
-        inner = _inner(basis, product)
+    block = orthonormal(random_basis(spark, n, min(n, rank + oversample), seed))
+    space = image = None  # orthonormal columns, and A A^T times them
+    before, values, vectors, steps = None, np.zeros(0), np.zeros((0, 0)), 0
+    for _ in range(rounds if block.columns else 0):
+        product = times_square(packs, block)
+        space, image = (block, product) if space is None else (_beside(space, block), _beside(image, product))
+        inner = _inner(_joined(space, image), space.columns, space.columns)
         values, vectors = np.linalg.eigh((inner + inner.T) / 2)
         values, vectors = values[::-1], vectors[:, ::-1]
-        lead = values[:rank]
-        if before is not None and len(before) == len(lead) and np.abs(lead - before).max(initial=0) <= tolerance * max(values[0], 1e-300):
-            break
-        if basis.columns == n:  # the whole space: nothing is left to find
+        lead, most = values[:rank], max(values[0], 1e-300)
+        if space.columns >= n or before is not None and len(before) == len(lead) and np.abs(lead - before).max(initial=0) <= tolerance * most:
             break
-        further = orthonormal(product)
-        if not further.columns:  # no entry but zeros
+        before, steps = lead, steps + 1
+        if steps % MOST_STEPS == 0:  # the leading vectors carry on
+            turn, c = vectors[:, : min(n, rank + oversample)], space.columns
+            space, image = (Basis(stored(_mapped(x.blocks, lambda i, m: m @ turn, c), "svd-again"), n, turn.shape[1]) for x in (space, image))  # noqa: B023
+            values, vectors = values[: turn.shape[1]], np.eye(turn.shape[1])
+        free = _freed(product, space)
+        size = np.sqrt(max(np.trace(_inner(_joined(free, free), free.columns, free.columns)), 0))
+        block = orthonormal(free) if size > 1e-10 * most else Basis(free.blocks, n, 0)
+        if not block.columns:  # the space holds all there is
             break
-        before, basis, last = lead, further, basis
-    else:
-        basis = last if n and rounds else basis
+    basis = space if space is not None else block
     lead = values[:rank]
     keep = int((lead > SMALLEST * max(values[0] if len(values) else 0, 1e-300)).sum())
     turn = vectors[:, :keep]
