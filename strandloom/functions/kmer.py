@@ -106,6 +106,43 @@ def bin_counts(texts: DataFrame, key: str, text: str, k: int, bits: int) -> Data
     return partial.groupBy(key, "bin").agg(F.sum("cnt").alias("cnt"))
 
 
+def text_bins(texts: DataFrame, key: str, text: str, k: int, bits: int) -> DataFrame:
+    """(key, bins): the bins of each text's windows, in order. A row for each text; null counts as empty."""
+    kind = dict(texts.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, codes, offsets in char_slices(batch.column(1)):
+                row, bins = window_bins(codes, offsets, k, bits)
+                ends = np.searchsorted(row, np.arange(b - a + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bins))], names=[key, "bins"])
+
+    return spread_out(texts.select(key, text)).mapInArrow(run, f"`{key}` {kind}, bins array<long>")
+
+
+def text_kmers(texts: DataFrame, text: str, k: int, bits: int) -> DataFrame:
+    """(bin, kmer, n): the windows of k characters of all texts with their bins, added up in each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, codes, offsets in char_slices(batch.column(0)):
+                row, bins = window_bins(codes, offsets, k, bits)
+                if not len(bins):
+                    continue
+                number = np.arange(len(codes) - k + 1)
+                inside = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+                at = number[inside[: len(number)] == inside[k - 1 :]]
+                windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, k)[at])
+                _, first, n = np.unique(windows.view(np.dtype((np.void, 4 * k))).ravel(), return_index=True, return_counts=True)
+                for a in range(0, len(first), 1 << 16):
+                    some = first[a : a + (1 << 16)]
+                    names = windows[some].tobytes().decode("utf-32-le")
+                    kmer = pa.array([names[i : i + k] for i in range(0, len(names), k)], pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(bins[some]), kmer, pa.array(n[a : a + (1 << 16)])], names=["bin", "kmer", "n"])
+
+    return spread_out(texts.select(text)).mapInArrow(run, "bin long, kmer string, n long")
+
+
 def kmers(seq: Column, k: int) -> Column:
     """All windows of a short sequence (a read), as an array; none if it is shorter than k."""
     n = F.length(seq)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Counts stop here.
@@ -24,11 +24,16 @@ def sample_summary(counts: DataFrame) -> DataFrame:
     return counts.groupBy("sample").agg(F.count("*").alias("n_bins"), F.sum("cnt").alias("n_kmers"))
 
 
+def idf(samples: Column, df: Column) -> Column:
+    """log2((N + 2) / (df + 1)) of a bin that df of N samples have."""
+    return F.log2((samples + 2) / (df + 1))
+
+
 def idf_weights(counts: DataFrame) -> DataFrame:
-    """(bin, df, gw): gw = log2((N + 2) / (df + 1)) with N samples."""
+    """(bin, df, gw): each bin's number of samples and ``idf``."""
     n = counts.select("sample").distinct().agg(F.count("*").alias("n"))
     seen = counts.groupBy("bin").agg(F.count("*").alias("df"))
-    return seen.crossJoin(F.broadcast(n)).select("bin", "df", F.log2((F.col("n") + 2) / (F.col("df") + 1)).alias("gw"))
+    return seen.crossJoin(F.broadcast(n)).select("bin", "df", idf(F.col("n"), F.col("df")).alias("gw"))
 
 
 def entropy_weights(counts: DataFrame) -> DataFrame:

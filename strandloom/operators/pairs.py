@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stored import stored
+
 
 def split_mates(rows: DataFrame, key: str, mate: str) -> DataFrame:
     """(key, kind): ``pair`` where a key has both mates 1 and 2, else ``single``; and the number of rows of each mate."""
@@ -38,19 +44,63 @@ def interleaved(first: DataFrame, second: DataFrame, order: str) -> DataFrame:
     return first.withColumn("mate", F.lit(1)).unionByName(second.withColumn("mate", F.lit(2))).orderBy(order, "mate")
 
 
-def collision_histogram(kmers: DataFrame, k: int) -> DataFrame:
-    """(distance, n_pairs): Hamming distances of pairs of distinct k-mers in one bin; rows (bin, kmer, n).
+#: Distinct k-mers of a block of a bin, and blocks up to which a bin is compared block by block.
+BLOCK_KMERS = 1024
+
+
+def collision_blocks(kmers: DataFrame, block: int = BLOCK_KMERS) -> DataFrame:
+    """(bin, part, blocks, kmers, n): a bin's distinct k-mers in blocks that a hash deals, of about so many each."""
+    sizes = kmers.groupBy("bin").agg(F.count("*").alias("_k"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("_k") / block)).cast("long")
+    dealt = kmers.join(sizes, "bin").withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("kmer"), F.col("blocks")))
+    members = F.collect_list(F.struct("kmer", "n"))
+    grouped = dealt.groupBy("bin", "part", "blocks").agg(members.alias("m"))
+    return grouped.select("bin", "part", "blocks", F.col("m.kmer").alias("kmers"), F.col("m.n").alias("n"))
 
-    Pairs are weighed by how often each k-mer comes, so copies meet as one row; equal k-mers make pairs of
-    distance 0. The last edge is included: k counts with k - 1.
-    """
-    from ..functions.kmer import hamming
 
-    same = kmers.select(F.lit(0).alias("distance"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("p"))
-    a = kmers.select("bin", F.col("kmer").alias("ka"), F.col("n").alias("na"))
-    b = kmers.select("bin", F.col("kmer").alias("kb"), F.col("n").alias("nb"))
-    cross = a.join(b, "bin").where("ka < kb").select(F.least(hamming(F.col("ka"), F.col("kb")), F.lit(k - 1)).alias("distance"), (F.col("na") * F.col("nb")).alias("p"))
-    return same.unionByName(cross).groupBy("distance").agg(F.sum("p").alias("n_pairs")).where("n_pairs > 0")
+def _differences(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, same: bool, k: int, total: list[int]) -> None:
+    """Adds the weighed pairs of two blocks (code points, k-mers by places) to a histogram of distances."""
+    for at in range(0, len(a), 256):
+        part = a[at : at + 256]
+        apart = np.zeros((len(part), len(b)), dtype=np.int16)
+        for j in range(k):
+            apart += part[:, j, None] != b[None, :, j]
+        weight = na[at : at + 256, None] * nb[None, :]
+        if same:  # each pair once
+            weight = np.where(np.arange(at, at + len(part))[:, None] < np.arange(len(b))[None, :], weight, 0)
+        for d in np.flatnonzero(np.bincount(apart.ravel(), minlength=k + 1)):
+            total[d] += int(weight[apart == d].sum())
+
+
+def collision_histogram(kmers: DataFrame, k: int, block: int = BLOCK_KMERS) -> DataFrame:
+    """(distance, n_pairs): Hamming distances of pairs of k-mers in one bin; rows (bin, kmer, n), a row for each distinct k-mer.
+
+    Pairs are weighed by how often each k-mer comes; equal k-mers make pairs of distance 0. The last edge is included: k
+    counts with k - 1. A bin's k-mers lie in blocks, and every two blocks of a bin are a row of their own, dealt by bin and
+    block pair, so a large bin is the work of many tasks; a task hands on its histogram, and no pair is ever a row.
+    """
+    equal = kmers.select(F.lit(0).alias("distance"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("p"))
+    blocks = stored(collision_blocks(kmers, block), "collision-blocks")
+    # blocks x and y, x <= y, meet where x has a row for each y and y for each x
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    first = blocks.select("bin", F.col("part").alias("x"), other.alias("y"), "kmers", "n").where("x <= y")
+    second = blocks.select("bin", F.col("part").alias("y"), other.alias("x"), F.col("kmers").alias("kmers2"), F.col("n").alias("n2")).where("x <= y")
+    met = first.join(second, ["bin", "x", "y"]).select((F.col("x") == F.col("y")).alias("same"), "kmers", "n", "kmers2", "n2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [0] * (k + 1)
+        codes = lambda x: np.frombuffer("".join(x.values.to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, k)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = batch.column(0)[i].as_py()
+                if same and len(batch.column(1)[i]) < 2:
+                    continue
+                a, na = codes(batch.column(1)[i]), batch.column(2)[i].values.to_numpy()
+                b, nb = (a, na) if same else (codes(batch.column(3)[i]), batch.column(4)[i].values.to_numpy())
+                _differences(a, b, na, nb, same, k, total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(np.arange(k + 1), k - 1), pa.int32()), pa.array(total, pa.int64())], names=["distance", "p"])
+
+    return equal.unionByName(met.mapInArrow(run, "distance int, p long")).groupBy("distance").agg(F.sum("p").alias("n_pairs")).where("n_pairs > 0")
 
 
 def split_libraries(reads: DataFrame) -> DataFrame:

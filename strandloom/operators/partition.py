@@ -1,7 +1,16 @@
-"""Reads to clusters: k-mer evidence, likelihood ratios, memberships."""
+"""Reads to clusters: k-mer evidence, likelihood ratios, memberships.
+
+What is known of a bin (its weight and its clusters) is one row of one table, ``bin_table``. Reads meet it in one of two
+ways: a table of bounded size goes to all tasks, and a read's sums are made where the read lies, without any shuffle; a
+larger one is kept in buckets by bin, and only the reads' bins are shuffled to it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,27 +20,127 @@ from ..functions.vectors import log_likelihood_ratio
 LEAST_RATIO = 3.84
 #: Older path: clusters larger than this share of all bins, or with a smaller prior than this, are left out.
 MOST_SHARE, LEAST_PRIOR = 0.2, 0.00002
-
-
-def read_evidence(kmers: DataFrame, members: DataFrame, weights: DataFrame) -> DataFrame:
-    """(read, cluster, m, s): weight of a read's k-mers in the cluster and in any cluster, with multiplicity.
-
-    kmers: read, bin, and n (how often). K-mers in no cluster don't count. One join by bin carries both sums:
-    a bin's clusters stay one array until its reads' rows have been added up.
-    """
-    clusters = members.groupBy("bin").agg(F.sort_array(F.collect_list("cluster")).alias("clusters")).join(weights.select("bin", "gw"), "bin")
-    rows = kmers.join(clusters, "bin").select("read", "clusters", (F.col("n") * F.col("gw")).alias("w"))
-    per_set = rows.groupBy("read", "clusters").agg(F.sum("w").alias("w"))
+#: A bin table up to so many bytes, at BIN_BYTES a bin and 4 a cluster of it, goes to all tasks.
+LOOKUP_BYTES, BIN_BYTES = 64 << 20, 24
+#: Bins of reads looked up at once.
+SLICE_BINS = 1 << 20
+
+
+def bin_table(members: DataFrame, weights: DataFrame) -> DataFrame:
+    """(bin, gw, clusters): every weighed bin with its clusters in order, null where it has none."""
+    clusters = members.groupBy("bin").agg(F.sort_array(F.collect_list("cluster")).alias("clusters"))
+    return weights.select("bin", "gw").join(clusters, "bin", "left")
+
+
+def table_priors(bins: DataFrame, samples: int, hash_size: int) -> DataFrame:
+    """(cluster, size, prob): ``cluster.cluster_priors`` from a bin table, without a join."""
+    seen = bins.agg(F.sum("gw").alias("s"), F.count("*").alias("k"))
+    total = seen.select((F.col("s") + (F.lit(float(1 << hash_size)) - F.col("k")) * F.log2(F.lit(float(samples + 2)))).alias("total"))
+    sums = bins.select("gw", F.explode("clusters").alias("cluster")).groupBy("cluster").agg(F.count("*").alias("size"), F.sum("gw").alias("w"))
+    return sums.crossJoin(F.broadcast(total)).select("cluster", "size", (F.col("w") / F.col("total")).alias("prob"))
+
+
+def _lookup(bins: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Bins in order with their weights, where their clusters begin, and the clusters; none if they take more than ``most`` bytes."""
+    size = bins.agg(F.sum(F.lit(BIN_BYTES) + 4 * F.coalesce(F.size("clusters"), F.lit(0)))).first()[0] or 0
+    if size > most:
+        return None
+    got = bins.select(F.col("bin").cast("long").alias("bin"), F.col("gw").cast("double").alias("gw"), F.coalesce(F.col("clusters").cast("array<int>"), F.array().cast("array<int>")).alias("clusters")).toArrow().combine_chunks()
+    ids = got.column(0).to_numpy()
+    order = np.argsort(ids, kind="stable")
+    lists = got.column(2).take(pa.array(order)).combine_chunks()
+    lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+    sizes = np.diff(lists.offsets.to_numpy())
+    return ids[order], got.column(1).to_numpy()[order], np.concatenate([[0], np.cumsum(sizes)]), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _sums(row: np.ndarray, bin_: np.ndarray, rows: int, table: tuple[np.ndarray, ...], distinct: bool) -> tuple[np.ndarray, ...]:
+    """(row, cluster, m, s) of rows' bins."""
+    ids, gw, begin, flat = table
+    at = np.minimum(np.searchsorted(ids, bin_), max(0, len(ids) - 1))
+    known = ids[at] == bin_ if len(ids) else np.zeros(len(bin_), dtype=bool)
+    row, at = row[known], at[known]
+    size = begin[at + 1] - begin[at]
+    counted = np.ones(len(at), dtype=bool) if distinct else size > 0
+    total = np.bincount(row[counted], weights=gw[at[counted]], minlength=rows)
+    if distinct:
+        both = np.unique(row * len(ids) + at)
+        row, at = both // max(1, len(ids)), both % max(1, len(ids))
+        size = begin[at + 1] - begin[at]
+    each = np.repeat(np.arange(len(at)), size)
+    cluster = flat[begin[at][each] + np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)]
+    order = np.lexsort((cluster, row[each]))
+    r, c, w = row[each][order], cluster[order], gw[at[each]][order]
+    first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])])) if len(r) else np.zeros(0, dtype=np.int64)
+    return r[first], c[first], total[r[first]], np.add.reduceat(w, first) if len(first) else w
+
+
+def _evidence_by_lookup(reads: DataFrame, table: tuple[np.ndarray, ...], distinct: bool) -> DataFrame:
+    shared = reads.sparkSession.sparkContext.broadcast(table)
+    kind = dict(reads.dtypes)["read"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            size = np.diff(lists.offsets.to_numpy())
+            if lists.null_count:
+                size = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, size)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE_BINS, side="right")) - 1)
+                row = np.repeat(np.arange(last - first), size[first:last])
+                r, c, m, s = _sums(row, flat[ends[first] : ends[last]], last - first, shared.value, distinct)
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r + first)), pa.array(c, pa.int32()), pa.array(m), pa.array(s)], names=["read", "cluster", "m", "s"])
+                first = last
+
+    return reads.select("read", "bins").mapInArrow(run, f"read {kind}, cluster int, m double, s double")
+
+
+def read_kmers(reads: DataFrame) -> DataFrame:
+    """(read, bin, n) of reads (read, bins): a read's bins and how often each comes, told where the read lies."""
+    kind = dict(reads.dtypes)["read"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column(1)[i].is_valid and len(batch.column(1)[i]):
+                    bins, n = np.unique(batch.column(1)[i].values.to_numpy(zero_copy_only=False), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(bins), i))), pa.array(bins), pa.array(n)], names=["read", "bin", "n"])
+
+    return reads.select("read", "bins").mapInArrow(run, f"read {kind}, bin long, n long")
+
+
+def evidence_by_join(kmers: DataFrame, bins: DataFrame, distinct: bool = False) -> DataFrame:
+    """(read, cluster, m, s) of (read, bin, n) and a bin table, in buckets by bin if it is large. One join by bin carries both
+    sums: a bin's clusters stay one array until its reads' rows have been added up."""
+    rows = kmers.join(bins if distinct else bins.where("size(clusters) > 0"), "bin")
+    per_set = rows.groupBy("read", "clusters").agg(F.sum(F.col("n") * F.col("gw")).alias("w"), F.sum("gw").alias("d"))
     # the row of cluster null carries the read's total
-    long = per_set.select("read", F.explode(F.array_append("clusters", F.lit(None).cast("int"))).alias("cluster"), "w")
-    sums = long.groupBy("read", "cluster").agg(F.sum("w").alias("s"))
+    members = F.array_append(F.coalesce("clusters", F.array().cast("array<int>")), F.lit(None).cast("int"))
+    long = per_set.select("read", F.explode(members).alias("cluster"), "w", "d").repartition("read")  # for both sums below
+    sums = long.groupBy("read", "cluster").agg(F.sum("w").alias("w"), F.sum("d").alias("d"))
     per_read = sums.groupBy("read").agg(
-        F.max(F.when(F.col("cluster").isNull(), F.col("s"))).alias("m"),
-        F.collect_list(F.when(F.col("cluster").isNotNull(), F.struct("cluster", "s"))).alias("parts"),
+        F.max(F.when(F.col("cluster").isNull(), F.col("w"))).alias("m"),
+        F.collect_list(F.when(F.col("cluster").isNotNull(), F.struct("cluster", F.col("d" if distinct else "w").alias("s")))).alias("parts"),
     )
     return per_read.select("read", "m", F.inline("parts")).select("read", "cluster", "m", "s")
 
 
+def read_evidence(reads: DataFrame, bins: DataFrame, distinct: bool = False, lookup_bytes: int = LOOKUP_BYTES) -> DataFrame:
+    """(read, cluster, m, s) of reads (read, bins array, one row a read) and a bin table (bin, gw, clusters).
+
+    s is the weight of a read's bins in the cluster, m in any cluster, both with multiplicity. ``distinct`` is the older
+    rule: m takes all weighed bins with multiplicity, s a cluster's distinct ones. Reads without bins have no rows, null
+    bins count as none. The bin table should be a written one.
+    """
+    table = _lookup(bins, lookup_bytes)
+    if table is not None:
+        return _evidence_by_lookup(reads, table, distinct)
+    return evidence_by_join(read_kmers(reads), bins, distinct)
+
+
 def best_cluster(evidence: DataFrame, stats: DataFrame, least: float = LEAST_RATIO, share: float = 0.8) -> DataFrame:
     """(read, cluster, llr): the likeliest cluster of each read over the limit; of equal ones the larger number."""
     rated = evidence.join(stats.select("cluster", "prob"), "cluster").withColumn("llr", log_likelihood_ratio(F.col("m"), F.col("s"), F.col("prob"), share))
@@ -50,16 +159,13 @@ def partitioned_reads(reads: DataFrame, best: DataFrame) -> DataFrame:
     return reads.join(best.select("read", "cluster"), "read")
 
 
-def memberships(kmers: DataFrame, members: DataFrame, weights: DataFrame, stats: DataFrame, hash_size: int, least: float = LEAST_RATIO) -> DataFrame:
+def memberships(reads: DataFrame, bins: DataFrame, stats: DataFrame, hash_size: int, least: float = LEAST_RATIO, lookup_bytes: int = LOOKUP_BYTES) -> DataFrame:
     """(read, cluster, llr) of all clusters over the limit, by the older rule.
 
     The total takes all of a read's k-mers with multiplicity, a cluster's part its distinct ones.
     """
     usable = stats.where((F.col("size") < MOST_SHARE * (1 << hash_size)) & (F.col("prob") > LEAST_PRIOR))
-    weighed = kmers.join(weights.select("bin", "gw"), "bin")
-    totals = weighed.groupBy("read").agg(F.sum(F.col("n") * F.col("gw")).alias("m"))
-    parts = weighed.join(members.select("bin", "cluster"), "bin").groupBy("read", "cluster").agg(F.sum("gw").alias("s"))
-    rated = parts.join(totals, "read").join(usable.select("cluster", "prob"), "cluster")
+    rated = read_evidence(reads, bins, True, lookup_bytes).join(usable.select("cluster", "prob"), "cluster")
     rated = rated.withColumn("llr", log_likelihood_ratio(F.col("m"), F.col("s"), F.col("prob")))
     return rated.where(F.col("llr") > least).select("read", "cluster", "llr")
 

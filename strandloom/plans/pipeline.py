@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import abundance, cluster, hyperplane, ingest, partition, spectral, svd
+from .stored import bucketed
 
 
 @dataclasses.dataclass
@@ -79,8 +80,8 @@ class Run:
         if self.settings.least_file_reads:
             hashed = partition.large_files(hashed, self.settings.least_file_reads)
         hashed = hashed.withColumn("read", F.concat_ws("\t", "sample", "part", "pair_key"))
-        kmers = hashed.dropDuplicates(["read"]).select("read", F.explode("bins").alias("bin")).groupBy("read", "bin").agg(F.count("*").alias("n"))
-        evidence = partition.read_evidence(kmers, self.table("members"), self.table("weights"))
+        bins = bucketed(partition.bin_table(self.table("members"), self.table("weights")), "bin_table", "bin", path=f"{self.folder}/bin_table")
+        evidence = partition.read_evidence(hashed.dropDuplicates(["read"]), bins)
         best = partition.best_cluster(evidence, self.table("cluster_stats"))
         return self.keep(partition.partitioned_reads(hashed.drop("bins"), best), "read_partitions")
 

@@ -12,10 +12,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kmer import bin_counts, canonical_bin, coefficients, hamming, mate_id, pair_key, read_base_id, reverse_complement, trimmed_length
+from ..functions.kmer import bin_counts, canonical_bin, coefficients, hamming, mate_id, pair_key, read_base_id, reverse_complement, text_bins, text_kmers, trimmed_length
 from ..operators import abundance, cluster, hyperplane, ingest, metric, pairs, partition, reports, spectral, svd
 from ..sources import fastq
-from .stored import stored
+from .stored import bucketed, stored
 
 K, BITS = 8, 20
 #: Spokes of the integer hyperplanes; their coefficients come from a linear congruential sequence.
@@ -370,22 +370,38 @@ found AS (SELECT read, cluster, {_RATIO} AS llr FROM parts JOIN totals USING (re
           WHERE s > m * prob AND size < 0.2 * {1 << BITS} AND prob > 0.00002)"""
 
 
-def _read_tables(spark, sf_dir):
+def _read_tables(spark, sf_dir, keep=stored):
+    """(reads with their bins, bin table, priors). One sum by bin gives both a bin's weight and its owner."""
     counts = _counts(spark, sf_dir)
-    weights = abundance.idf_weights(counts)
     names = sorted(r[0] for r in counts.select("sample").distinct().collect())
-    numbers = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
+    numbers = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]) if names else F.lit(None).cast("map<string,int>")
     # the owner has more than half: no tie, and no window over a bin's samples
-    owned = counts.groupBy("bin").agg(F.max(F.struct("cnt", "sample")).alias("top"), F.sum("cnt").alias("t")).where("top.cnt * 2 > t")
-    members = owned.select("bin", numbers[F.col("top.sample")].alias("cluster"))
-    stats = cluster.cluster_priors(members, weights, len(names), BITS)
-    kmers = bin_counts(_t(spark, sf_dir, "documents"), "doc_id", "text", K, BITS).select(F.col("doc_id").alias("read"), "bin", F.col("cnt").alias("n"))
-    return kmers, stored(members, "members"), stored(weights, "weights"), stored(stats, "stats")
+    seen = counts.groupBy("bin").agg(F.count("*").alias("df"), F.max(F.struct("cnt", "sample")).alias("top"), F.sum("cnt").alias("t"))
+    owner = F.when(F.col("top.cnt") * 2 > F.col("t"), F.array(numbers[F.col("top.sample")]))
+    bins = keep(seen.select("bin", abundance.idf(F.lit(len(names)), F.col("df")).alias("gw"), owner.alias("clusters")), "bins")
+    reads = text_bins(_t(spark, sf_dir, "documents"), "doc_id", "text", K, BITS).withColumnRenamed("doc_id", "read")
+    return reads, bins, stored(partition.table_priors(bins, len(names), BITS), "stats")
 
 
 def _best(spark, sf_dir):
-    kmers, members, weights, stats = _read_tables(spark, sf_dir)
-    return partition.best_cluster(partition.read_evidence(kmers, members, weights), stats)
+    reads, bins, stats = _read_tables(spark, sf_dir)
+    return partition.best_cluster(partition.read_evidence(reads, bins), stats)
+
+
+def _memberships(spark, sf_dir):
+    reads, bins, stats = _read_tables(spark, sf_dir)
+    return partition.memberships(reads, bins, stats, BITS)
+
+
+def _by_bin(df: DataFrame, label: str) -> DataFrame:
+    return bucketed(df, label, "bin")
+
+
+@query(f"WITH {_BEST} SELECT read, cluster, round(llr, 2) AS llr FROM best")
+def bucketed_llr_partition(spark, sf_dir):
+    """read_llr_partition as for a bin table too large for all tasks: kept in buckets, met by a join."""
+    reads, bins, stats = _read_tables(spark, sf_dir, _by_bin)
+    return partition.best_cluster(partition.read_evidence(reads, bins, lookup_bytes=0), stats).withColumn("llr", F.round("llr", 2))
 
 
 @query(f"WITH {_BEST} SELECT read, cluster, round(llr, 2) AS llr FROM best")
@@ -395,7 +411,7 @@ def read_llr_partition(spark, sf_dir):
 
 @query(f"WITH {_OLDER} SELECT read, cluster, round(llr, 2) AS llr FROM found WHERE llr > 3.84")
 def membership_all(spark, sf_dir):
-    return partition.memberships(*_read_tables(spark, sf_dir), BITS).withColumn("llr", F.round("llr", 2))
+    return _memberships(spark, sf_dir).withColumn("llr", F.round("llr", 2))
 
 
 @query(
@@ -403,7 +419,7 @@ def membership_all(spark, sf_dir):
     " QUALIFY row_number() OVER (PARTITION BY read ORDER BY llr DESC, CAST(cluster AS VARCHAR) DESC) = 1"
 )
 def membership_best(spark, sf_dir):
-    return partition.best_membership(partition.memberships(*_read_tables(spark, sf_dir), BITS)).withColumn("llr", F.round("llr", 2))
+    return partition.best_membership(_memberships(spark, sf_dir)).withColumn("llr", F.round("llr", 2))
 
 
 @query(
@@ -478,21 +494,22 @@ def read_ids(spark, sf_dir):
     return rows.select("conv_id", "turn", base.alias("base_id"), pair_key(base).alias("pair"), mate_id(base).alias("mate"), F.substring_index(base, "/", 1).alias("lone"))
 
 
+_COLLISION_BITS = 16
+
+
 @query(f"""
-WITH texts AS (SELECT item_id, text, list_transform(string_split(text, ''), lambda x: unicode(x)) AS u FROM benchmark),
+WITH texts AS (SELECT text, list_transform(string_split(text, ''), lambda x: unicode(x)) AS u FROM documents),
 places AS (SELECT text, u, unnest(range(1, len(u) - {K} + 2)) AS i FROM texts),
-km AS (SELECT {_BIN.replace(str(1 << BITS), str(1 << 12))} AS bin, substr(text, i, {K}) AS kmer, count(*) AS n FROM places GROUP BY ALL),
+km AS MATERIALIZED (SELECT {_BIN.replace(str(1 << BITS), str(1 << _COLLISION_BITS))} AS bin, substr(text, i, {K}) AS kmer, count(*) AS n FROM places GROUP BY ALL),
 p AS (SELECT 0 AS distance, CAST(n * (n - 1) // 2 AS BIGINT) AS p FROM km UNION ALL
-      SELECT least(CAST(list_sum(list_transform(range(1, {K + 1}), lambda j: CASE WHEN a.kmer[j] <> b.kmer[j] THEN 1 ELSE 0 END)) AS INTEGER), {K - 1}), a.n * b.n
+      SELECT least(CAST(list_sum(list_transform(range(1, {K + 1}), lambda j: CASE WHEN a.kmer[j] <> b.kmer[j] THEN 1 ELSE 0 END)) AS INTEGER), {K - 1}), CAST(a.n * b.n AS BIGINT)
       FROM km a JOIN km b ON a.bin = b.bin AND a.kmer < b.kmer)
 SELECT CAST(distance AS INTEGER) AS distance, CAST(sum(p) AS BIGINT) AS n_pairs FROM p GROUP BY distance HAVING sum(p) > 0
 """)
 def collision_histogram(spark, sf_dir):
-    bench = _t(spark, sf_dir, "benchmark").where(F.length("text") >= K)
-    rows = bench.select("text", F.split("text", "").alias("chars"), F.explode(F.sequence(F.lit(1), F.length("text") - K + 1)).alias("i"))
-    total = sum((F.ascii(F.col("chars")[F.col("i") + (j - 1)]).cast("long") * c for j, c in enumerate(coefficients(K, BITS))), F.lit(0))
-    kmers = rows.select((total % (1 << 12)).alias("bin"), F.col("text").substr(F.col("i"), F.lit(K)).alias("kmer"))
-    return pairs.collision_histogram(kmers.groupBy("bin", "kmer").agg(F.count("*").alias("n")), K)
+    """Pairs of k-mers of all documents by distance."""
+    rows = text_kmers(_t(spark, sf_dir, "documents"), "text", K, _COLLISION_BITS)
+    return pairs.collision_histogram(rows.groupBy("bin", "kmer").agg(F.sum("n").alias("n")), K)
 
 
 def _reads(spark, sf_dir) -> DataFrame:
