@@ -168,6 +168,15 @@ def trimmed_length(qual: Column, k: int, q_offset: int | Column = 33) -> Column:
     return F.when(F.size(bad) >= 3, F.element_at(bad, 3) + 1).otherwise(F.length(qual))
 
 
+def mapper_windows(seq: Column, qual: Column, k: int, bad: int = 2, allowed: int = 2, q_offset: int = 33) -> Column:
+    """How many windows of k bases come before the first that has more than ``allowed`` bases of quality ``bad``; all if none has."""
+    places = F.filter(F.transform(F.split(qual, ""), lambda c, i: F.when(F.ascii(c) - q_offset == bad, i)), lambda i: i.isNotNull())
+    # the bad bases j to j + allowed lie in one window from the last one's end on back
+    full = F.transform(F.sequence(F.lit(allowed + 1), F.greatest(F.size(places), F.lit(allowed + 1))), lambda j: F.when(F.get(places, j - 1) - F.get(places, j - 1 - allowed) < k, F.greatest(F.get(places, j - 1) - (k - 1), F.lit(0))))
+    every = F.greatest(F.length(seq) - (k - 1), F.lit(0))
+    return F.least(every, F.coalesce(F.array_min(full), every))
+
+
 def phred_probability(q: Column) -> Column:
     return 1 - F.pow(F.lit(10.0), -q / 10.0)
 

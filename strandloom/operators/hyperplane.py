@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Coordinates of the four bases.
@@ -49,24 +49,75 @@ def make_wheels(sample: np.ndarray, k: int, hash_size: int, wheels: int = 1, see
     return out
 
 
-def sample_kmers(reads: DataFrame, k: int, total: int, q_offset: int = 33, seed: int = 1) -> np.ndarray:
-    """Coordinates of about ``total`` k-mers, one for each read chosen by hash, spread over all samples.
+#: Files that a sample is drawn from at most, and k-mers of a file at least.
+MOST_FILES, LEAST_PER_FILE = 100, 5
+_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def _kmer_hash(seed: int, rec_no: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each (record, place), the same wherever the record lies."""
+    x = rec_no.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64) + np.uint64(seed)
+    for shift, factor in zip((30, 27), _MIX):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def bottom_kmers(reads: DataFrame, k: int, per_file: int, seed: int = 1) -> DataFrame:
+    """(sample, part, rank, seq, qual, q_offset): of each file exactly ``per_file`` k-mers, or all if it has fewer: those with
+    the smallest hashes of record and place.
 
-    Reads are cut by a hash whose share is set from their count, so the sample has that expected size at any scale.
+    A task keeps so many of each of its files and hands on no others; sketches of tasks merge by taking the smallest again, so
+    the sample doesn't depend on how reads lie. Reads need sample, part, rec_no, seq and qual, and may have ``kept``
+    (bases that count) and ``q_offset``.
     """
     size = F.col("kept") if "kept" in reads.columns else F.length("seq")
-    offset = F.col("q_offset") if "q_offset" in reads.columns else F.lit(q_offset)
-    usable = reads.where(size >= k)
-    counts = {r["sample"]: r["n"] for r in usable.groupBy("sample").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("sample") == name, F.lit(min(1.0, max(total / len(counts), 5) / n))).otherwise(share)
-    unit = lambda salt: F.pmod(F.xxhash64("sample", "part", "rec_no", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    place = (unit(seed + 1) * (size - k + 1)).cast("int") + 1
-    cut = [F.substring(c, place, F.lit(k)).alias(c) for c in ("seq", "qual")]
-    rows = usable.where(unit(seed) < share).select(*cut, offset.alias("q_offset"))
-    got = sorted((r["seq"], r["qual"] or "", r["q_offset"]) for r in rows.collect())
-    return np.array([coordinates(s.upper(), q or None, o) for s, q, o in got]).reshape(len(got), k)
+    offset = F.col("q_offset") if "q_offset" in reads.columns else F.lit(33)
+    rows = reads.where(size >= k).select("sample", "part", "rec_no", "seq", "qual", size.cast("long").alias("size"), offset.cast("int").alias("q_offset"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, pa.Table] = {}
+        for batch in batches:
+            files = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            numbers = {f: i for i, f in enumerate(dict.fromkeys(files))}
+            file = np.array([numbers[f] for f in files], dtype=np.int64)
+            windows = batch.column(5).to_numpy() - k + 1
+            row = np.repeat(np.arange(len(files)), windows)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+            rank = _kmer_hash(seed, batch.column(2).to_numpy()[row], at)
+            for name, i in numbers.items():
+                own = np.flatnonzero(file[row] == i)
+                if len(own) > per_file:
+                    own = own[np.argpartition(rank[own], per_file - 1)[:per_file]]
+                cut = lambda c: pa.array([None if (s := batch.column(c)[int(row[j])].as_py()) is None else s[at[j] : at[j] + k] for j in own], pa.string())  # noqa: B023, E731
+                part = pa.table({
+                    "rank": pa.array((rank[own] >> np.uint64(1)).astype(np.int64)), "rec_no": batch.column(2).take(pa.array(row[own])), "at": pa.array(at[own], pa.int64()),
+                    "seq": cut(3), "qual": cut(4), "q_offset": batch.column(6).take(pa.array(row[own])),
+                })
+                both = pa.concat_tables([held[name], part]) if name in held else part
+                held[name] = both.sort_by([("rank", "ascending"), ("rec_no", "ascending"), ("at", "ascending")]).slice(0, per_file)
+        for (sample, part), table in held.items():
+            for piece in table.combine_chunks().to_batches():
+                n = piece.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([sample] * n, pa.string()), pa.array([part] * n, pa.string()), *piece.columns], names=["sample", "part", *piece.schema.names])
+
+    kept = rows.mapInArrow(run, "sample string, part string, rank long, rec_no long, at long, seq string, qual string, q_offset int")
+    nth = F.row_number().over(Window.partitionBy("sample", "part").orderBy("rank", "rec_no", "at"))
+    return kept.withColumn("nth", nth).where(F.col("nth") <= per_file).select("sample", "part", "rank", "seq", "qual", "q_offset")
+
+
+def sample_kmers(reads: DataFrame, k: int, total: int, q_offset: int = 33, seed: int = 1) -> np.ndarray:
+    """Coordinates of k-mers to train the planes on: total / files of each file, LEAST_PER_FILE at least, from MOST_FILES files
+    at most, which a hash chooses. The driver gets that many short rows."""
+    files = reads.select("sample", "part").distinct().orderBy(F.xxhash64("sample", "part", F.lit(seed)), "sample", "part").limit(MOST_FILES)
+    names = [(r["sample"], r["part"]) for r in files.collect()]
+    if not names:
+        return np.zeros((0, k), dtype=complex)
+    if "q_offset" not in reads.columns:
+        reads = reads.withColumn("q_offset", F.lit(q_offset))
+    chosen = reads.join(F.broadcast(reads.sparkSession.createDataFrame(names, "sample string, part string")), ["sample", "part"], "left_semi")
+    got = bottom_kmers(chosen, k, max(total // len(names), LEAST_PER_FILE), seed).collect()
+    rows = sorted((r["seq"], r["qual"] or "", r["q_offset"]) for r in got)
+    return np.array([coordinates(s.upper(), q or None, o) for s, q, o in rows]).reshape(len(rows), k)
 
 
 def wheels_frame(spark: SparkSession, wheels: list[tuple]) -> DataFrame:
@@ -150,6 +201,45 @@ def hash_reads(reads: DataFrame, wheels: list[tuple], k: int, q_offset: int = 33
     return reads.mapInArrow(run, f"{fields}, bins array<long>")
 
 
+def mapper_bins(kmers: DataFrame, wheels: list[tuple], k: int, both_strands: bool = True, terminals: bool = False) -> DataFrame:
+    """Rows of single k-mers (seq, qual of k characters and more) with ``bins``, one for each wheel, as streaming mappers made
+    them: a bit is set where the product with a plane is over its offset by the sign of complex numbers (of the real part, or
+    of the imaginary part where that is 0), and of two strands that are equal modulo a million the reverse complement stands.
+    ``terminals`` adds ``first`` and ``last``, the real and imaginary parts of the outer coordinates.
+    """
+    shared = kmers.sparkSession.sparkContext.broadcast(wheels)
+    names = kmers.columns
+    more = ", first array<double>, last array<double>" if terminals else ""
+    fields = ", ".join(f"`{n}` {t}" for n, t in kmers.dtypes) + ", bins array<long>" + more
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = {w: sorted(x for x in shared.value if x[0] == w) for w in sorted({x[0] for x in shared.value})}
+        planes = [(np.array([np.array(x[2]) + 1j * np.array(x[3]) for x in g]).conj().T, np.array([complex(x[4], x[5]) for x in g])) for g in groups.values()]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = np.array([coordinates(s.upper(), q) for s, q in zip(batch.column(names.index("seq")).to_pylist(), batch.column(names.index("qual")).to_pylist())])
+
+            def sided(x: np.ndarray) -> np.ndarray:
+                out = np.empty((len(x), len(planes)), dtype=np.int64)
+                for i, (normals, offset) in enumerate(planes):
+                    over = x @ normals - offset
+                    bit = np.where(over.real != 0, over.real > 0, over.imag > 0)
+                    out[:, i] = bit @ (1 << np.arange(len(offset), dtype=np.int64))
+                return out
+
+            bins = sided(c)
+            if both_strands:
+                back = sided(-c[:, ::-1])
+                bins = np.where(bins % 1_000_000 < back % 1_000_000, bins, back)
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(bins.ravel()), bins.shape[1]).cast(pa.list_(pa.int64()))]
+            if terminals:
+                lists += [pa.FixedSizeListArray.from_arrays(pa.array(np.stack([c[:, i].real, c[:, i].imag], axis=1).ravel()), 2).cast(pa.list_(pa.float64())) for i in (0, -1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*names, "bins", *(["first", "last"] if terminals else [])])
+
+    return kmers.mapInArrow(run, fields)
+
+
 def paired_bins(hashed: DataFrame, pair: str = "pair_key") -> DataFrame:
     """Each read with the bins of all reads of its pair (in its sample and part): both mates carry the union."""
     of_pair = hashed.groupBy("sample", "part", pair).agg(F.flatten(F.sort_array(F.collect_list(F.struct("rec_no", "bins")))["bins"]).alias("bins"))

@@ -72,23 +72,3 @@ def left_report(base: DataFrame, *others: tuple[DataFrame, str, dict]) -> DataFr
 def unprocessed(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't done yet."""
     return todo.join(done.select(key), key, "left_anti")
-
-
-def library_groups(samples: DataFrame) -> DataFrame:
-    """(lib, sample) from (sample, lo, hi): in order of lo, a sample whose lo is over the hi of its group's first starts a new group.
-
-    The rule is sequential; a project's samples are few, one row for each. The walk is a fold over one sorted array.
-    """
-    every = samples.agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "sample"))).alias("rows"))
-    empty = F.array().cast("array<struct<lib:int,sample:string,edge:double>>")
-
-    def step(done, row):
-        last = F.element_at(done, -1)
-        first = F.size(done) == 0
-        new = first | (row["lo"] > F.when(~first, last["edge"]))
-        lib = F.when(first, F.lit(0)).when(new, last["lib"] + 1).otherwise(last["lib"])
-        edge = F.when(new, row["hi"]).otherwise(last["edge"])
-        return F.array_append(done, F.struct(lib.cast("int").alias("lib"), row["sample"].cast("string").alias("sample"), edge.cast("double").alias("edge")))
-
-    folded = every.select(F.expr("rows").alias("rows")).select(F.aggregate("rows", empty, step).alias("g"))
-    return folded.select(F.inline("g")).select("lib", "sample")

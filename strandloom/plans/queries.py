@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kmer import bin_counts, canonical_bin, coefficients, hamming, mate_id, pair_key, read_base_id, reverse_complement, text_bins, text_kmers, trimmed_length
-from ..operators import abundance, cluster, hyperplane, ingest, metric, pairs, partition, reports, spectral, svd
+from ..operators import abundance, chain, cluster, hyperplane, ingest, metric, pairs, partition, planted, reports, spectral, svd
 from ..sources import fastq
 from .stored import bucketed, stored
 
@@ -432,6 +432,33 @@ def spike_enrichment_top5(spark, sf_dir):
     return partition.spike_report(_best(spark, sf_dir).join(labels, "read", "left"), F.coalesce(F.col("toxic"), F.lit(0)) == 1)
 
 
+_STRETCH = planted.STRETCH
+_PLANTED = f"""pieces AS (SELECT DISTINCT item_id, substr(text, i, {_STRETCH}) AS piece FROM (SELECT item_id, text, unnest(range(1, length(text) - {_STRETCH} + 2)) AS i FROM benchmark)),
+stretches AS (SELECT DISTINCT doc_id, substr(text, i, {_STRETCH}) AS piece FROM (SELECT doc_id, text, unnest(range(1, length(text) - {_STRETCH} + 2)) AS i FROM documents)),
+planted AS (SELECT DISTINCT doc_id, item_id FROM stretches JOIN pieces USING (piece))"""
+
+
+def _planted(spark, sf_dir):
+    return planted.planted(_t(spark, sf_dir, "documents"), "doc_id", _t(spark, sf_dir, "benchmark"), "item_id")
+
+
+@query(f"WITH {_PLANTED} SELECT doc_id, item_id FROM planted")
+def planted_passages(spark, sf_dir):
+    """Benchmark passages that stand in documents, by minimisers; the SQL compares all stretches of that many characters."""
+    return _planted(spark, sf_dir).select("doc_id", "item_id")
+
+
+@query(
+    f"WITH {_BEST}, {_PLANTED}, marked AS (SELECT b.cluster, b.read IN (SELECT doc_id FROM planted) AS spike FROM best b)"
+    " SELECT cluster, count(*) FILTER (spike) AS spiked, count(*) AS total, CAST(floor(count(*) FILTER (spike) * 100 / count(*)) AS BIGINT) AS pct"
+    " FROM marked GROUP BY cluster ORDER BY spiked DESC, cluster LIMIT 5"
+)
+def planted_enrichment_top5(spark, sf_dir):
+    """Clusters with the most reads that hold a planted passage."""
+    marks = _planted(spark, sf_dir).select(F.col("doc_id").alias("read")).distinct().withColumn("spike", F.lit(True))
+    return partition.spike_report(_best(spark, sf_dir).join(marks, "read", "left"), F.coalesce("spike", F.lit(False)))
+
+
 # pairs -------------------------------------------------------------------------------------------------------
 
 _MATES = "mates AS (SELECT conv_id, turn, CAST(turn % 2 + 1 AS INTEGER) AS mate, text FROM conversations)"
@@ -574,12 +601,15 @@ def large_files(spark, sf_dir):
 
 
 @query(f"""
-WITH reads AS ({_READS}), seen AS (SELECT sample, part, length(qual) AS n, len(list_filter(string_split(qual, ''), lambda x: unicode(x) < 74)) AS low FROM reads WHERE rec_no < 1000 AND qual <> '')
+WITH reads AS ({_READS}), firsts AS (SELECT * FROM reads QUALIFY row_number() OVER (PARTITION BY sample, part ORDER BY rec_no) <= 1000),
+seen AS (SELECT sample, part, length(qual) AS n, len(list_filter(string_split(qual, ''), lambda x: unicode(x) < 74)) AS low FROM firsts WHERE qual <> '')
 SELECT sample, part, CAST(CASE WHEN sum(low) * 3 > sum(n - low) THEN 33 ELSE 64 END AS INTEGER) AS q_offset FROM seen GROUP BY ALL
 """)
 def quality_offsets(spark, sf_dir):
-    """The first thousand records of a file tell its offset: that is the feature, as everywhere its first reads do."""
-    return fastq.quality_offset(_reads(spark, sf_dir).where("qual <> ''"))
+    """The first thousand records of each file tell its offset: that is the feature, as everywhere its first reads do."""
+    nth = F.row_number().over(Window.partitionBy("sample", "part").orderBy("rec_no"))
+    firsts = _reads(spark, sf_dir).withColumn("nth", nth).where("nth <= 1000")
+    return fastq.quality_offset(firsts.withColumn("rec_no", F.col("nth") - 1).where("qual <> ''"))
 
 
 @query("""
@@ -703,4 +733,4 @@ SELECT CAST(lib AS INTEGER) AS lib, sample FROM walk
 """)
 def library_grouping(spark, sf_dir):
     mean = F.avg("n_chars")
-    return reports.library_groups(_t(spark, sf_dir, "documents").groupBy(F.col("source").alias("sample")).agg(mean.alias("lo"), (mean + 150).alias("hi")))
+    return chain.windows(_t(spark, sf_dir, "documents").groupBy(F.col("source").alias("sample")).agg(mean.alias("lo"), (mean + 150).alias("hi")))

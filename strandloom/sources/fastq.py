@@ -1,7 +1,7 @@
 """FASTQ, hashed-read, FASTA, alignment, profile and log sources.
 
-A FASTQ record spans four lines, so a file can't be split at any line; one file (a chunk of about a million
-reads, see ``sinks.write_fastq``) is parsed by one task, batch by batch.
+A FASTQ record spans four lines. ``ranges.read_fastq_ranges`` reads files of any size by byte ranges; ``read_fastq`` takes a
+file (a chunk of about a million reads, see ``sinks.write_fastq``) as one value of one task.
 """
 
 from __future__ import annotations
@@ -95,16 +95,19 @@ def quality_offset(reads: DataFrame, peek: int = 1000) -> DataFrame:
 
 
 def id_types(reads: DataFrame, peek: int = 125) -> DataFrame:
-    """(sample, part, id_type): 1 for ``id 1..``/``id 2..`` neighbours, 2 for ``/1``, ``/2`` or ``.1``, ``.2``, 0 for none."""
+    """(sample, part, id_type) by the first two neighbours of a file that are named as mates: 1 for ``id 1…`` and ``id 2…``
+    with the same rest, 2 for first words that end in ``/1`` and ``/2`` or ``.1`` and ``.2``; 0 for none."""
     near = Window.partitionBy("sample", "part").orderBy("rec_no")
     rows = reads.where(F.col("rec_no") < peek).withColumn("after", F.lead("id").over(near))
-    base = lambda c: F.substring_index(c, " ", 1)
-    mate = lambda c: F.substring(F.substring_index(c, " ", -1), 1, 1)
-    stem = lambda c: F.expr(f"substring({c}, 1, length({c}) - 2)")
-    one = (base(F.col("id")) == base(F.col("after"))) & (mate(F.col("id")) == "1") & (mate(F.col("after")) == "2") & F.col("id").contains(" ")
-    two = (stem("id") == stem("after")) & F.col("id").rlike(r"[/.]1$") & F.col("after").rlike(r"[/.]2$")
-    kind = F.when(one, 1).when(two, 2)
-    return rows.groupBy("sample", "part").agg(F.coalesce(F.min(kind), F.lit(0)).alias("id_type"))
+    word = lambda c, i: F.get(F.split(F.trim(F.col(c)), r"\s+"), i)
+    first, second = lambda c: word(c, 0), lambda c: word(c, 1)
+    rest = lambda x: x.substr(F.lit(2), F.length(x))
+    one = (first("id") == first("after")) & second("id").startswith("1") & second("after").startswith("2") & (rest(second("id")) == rest(second("after")))
+    stem = lambda c: first(c).substr(F.lit(1), F.length(first(c)) - 2)
+    mark = lambda c: F.right(first(c), F.lit(2))
+    ends = ((mark("id") == "/1") & (mark("after") == "/2")) | ((mark("id") == ".1") & (mark("after") == ".2"))
+    kind = F.when(one, 1).when((stem("id") == stem("after")) & ends, 2)
+    return rows.groupBy("sample", "part").agg(F.coalesce(F.min_by(kind, F.when(kind.isNotNull(), F.col("rec_no"))), F.lit(0)).alias("id_type"))
 
 
 def clean_bases(seq: Column) -> Column:

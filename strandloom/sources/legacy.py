@@ -1,74 +1,13 @@
-"""Importers of older intermediate files."""
+"""Importers of older intermediate files and mapper input; see ``ranges`` for how files are read."""
 
 from __future__ import annotations
 
-import gzip
-import io
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _files(spark: SparkSession, path: str, rows_of: Callable[[str, bytes], Iterator[dict]], schema: str, arrow: pa.Schema) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = []
-                for row in rows_of(name.rsplit("/", 1)[-1], content.as_py()):
-                    rows.append(row)
-                    if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
-
-
-def read_hashq(spark: SparkSession, path: str) -> DataFrame:
-    """Hashed reads (sample, rec_no, id, seq, plus, qual, k, bins): four FASTQ lines and one of ``[k, bins: [k, b1, b2, ...]]``.
-
-    Every record counts, the last one too, and every digit of its last bin.
-    """
-
-    def rows_of(name: str, data: bytes) -> Iterator[dict]:
-        lines = io.TextIOWrapper(io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data), encoding="latin-1")
-        record: list[str] = []
-        number = 0
-        for line in lines:
-            record.append(line.rstrip("\r\n"))
-            if len(record) == 5:
-                values = [int(x) for x in record[4].partition("bins:")[2].strip(" []").split(",")]
-                yield {"sample": name.split(".hashq")[0], "rec_no": number, "id": record[0], "seq": record[1], "plus": record[2], "qual": record[3], "k": values[0], "bins": values[1:]}
-                record, number = [], number + 1
-
-    schema = "sample string, rec_no long, id string, seq string, plus string, qual string, k int, bins array<long>"
-    text = [(n, pa.string()) for n in ("id", "seq", "plus", "qual")]
-    return _files(spark, path, rows_of, schema, pa.schema([("sample", pa.string()), ("rec_no", pa.int64()), *text, ("k", pa.int32()), ("bins", pa.list_(pa.int64()))]))
-
-
-def read_count_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Dense vectors of 16-bit counters, one file a sample, as sparse (sample, bin, cnt)."""
-
-    def rows_of(name: str, data: bytes) -> Iterator[dict]:
-        counts = np.frombuffer(data, dtype="<u2")
-        for b in np.flatnonzero(counts):
-            yield {"sample": name.split(".")[0], "bin": int(b), "cnt": int(counts[b])}
-
-    return _files(spark, path, rows_of, "sample string, bin long, cnt long", pa.schema([("sample", pa.string()), ("bin", pa.int64()), ("cnt", pa.int64())]))
-
-
-def read_bin_lists(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bin) of NumPy files of bin numbers: nonzero bins of a sample, or members of a cluster."""
-
-    def rows_of(name: str, data: bytes) -> Iterator[dict]:
-        for b in np.load(io.BytesIO(data)):
-            yield {"name": name.split(".")[0], "bin": int(b)}
-
-    return _files(spark, path, rows_of, "name string, bin long", pa.schema([("name", pa.string()), ("bin", pa.int64())]))
+from ..functions.kmer import mapper_windows
+from .ranges import read_bin_lists, read_conditioned, read_count_vectors  # noqa: F401  readers of older files
+from .ranges import read_hashq_ranges as read_hashq  # noqa: F401
 
 
 def named(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
@@ -81,3 +20,11 @@ def read_stdin_reads(lines: DataFrame) -> DataFrame:
     group = F.floor(F.col("line_no") / 4).alias("rec_no")
     at = lambda i: F.max(F.when(F.col("line_no") % 4 == i, F.col("line")))
     return lines.groupBy(group).agg(at(0).alias("id"), at(1).alias("seq"), at(2).alias("plus"), at(3).alias("qual"))
+
+
+def mapper_kmers(reads: DataFrame, k: int) -> DataFrame:
+    """(id, at, seq, qual) of reads (id, seq, qual): a mapper's k-mers, up to the first with more than two bases of quality 2."""
+    n = mapper_windows(F.col("seq"), F.col("qual"), k)
+    rows = reads.where(n > 0).select("id", "seq", "qual", F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
+    cut = lambda c: F.substring(c, F.col("at") + 1, F.lit(k)).alias(c)
+    return rows.select("id", "at", cut("seq"), cut("qual"))

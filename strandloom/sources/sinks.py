@@ -12,10 +12,16 @@ def fastq_text(reads: DataFrame) -> DataFrame:
     return reads.select(record, *[c for c in reads.columns if c not in ("id", "seq", "plus", "qual")])
 
 
-def write_fastq(reads: DataFrame, path: str, by: tuple[str, ...] = ("cluster", "sample"), records_per_file: int = 1_000_000) -> None:
-    """FASTQ text in a folder for each value of ``by``; a file holds at most so many reads, in no fixed order between files."""
-    rows = fastq_text(reads).select("value", *by)
-    rows.repartition(*by).write.option("maxRecordsPerFile", records_per_file).partitionBy(*by).text(path)
+def write_fastq(reads: DataFrame, path: str, by: tuple[str, ...] = ("cluster", "sample"), records_per_file: int = 1_000_000, order: tuple[str, ...] = ("part", "rec_no")) -> None:
+    """FASTQ text in a folder for each value of ``by``; a file holds at most so many reads, in order of ``order``.
+
+    Reads are counted, and sorted by as many ranges of folder and order as they fill files, so a folder with most of the
+    reads is the work of most of the tasks, and small folders share one.
+    """
+    tasks = max(1, -(-reads.count() // records_per_file))
+    keys = [c for c in (*by, *order) if c in reads.columns]
+    rows = fastq_text(reads).repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    rows.select("value", *by).write.option("maxRecordsPerFile", records_per_file).partitionBy(*by).text(path)
 
 
 def write_fasta(reads: DataFrame, path: str, per_sample: int | None = None) -> None:

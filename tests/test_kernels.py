@@ -141,7 +141,7 @@ def test_evidence_counts_multiplicity_and_clustered_kmers_only(spark):
     kmers = spark.createDataFrame([("r", 1, 2), ("r", 2, 1), ("r", 3, 9)], "read string, bin long, n long")
     members = spark.createDataFrame([(1, 0), (1, 1), (2, 1)], "bin long, cluster int")
     weights = spark.createDataFrame([(1, 2.0), (2, 3.0), (3, 5.0)], "bin long, gw double")
-    got = {(r["cluster"], r["m"], r["s"]) for r in partition.read_evidence(kmers, members, weights).collect()}
+    got = {(r["cluster"], r["m"], r["s"]) for r in partition.evidence_by_join(kmers, partition.bin_table(members, weights)).collect()}
     assert got == {(0, 7.0, 4.0), (1, 7.0, 7.0)}
 
 
@@ -163,11 +163,6 @@ def test_n50_and_upper_median(spark):
     assert {r["g"]: r["mid"] for r in reports.spread(rows, "g", "l").collect()} == {"g": 10, "h": 7}
 
 
-def test_library_groups_keep_the_first_window(spark):
-    rows = spark.createDataFrame([("a", 1.0, 3.0), ("b", 2.0, 9.0), ("c", 4.0, 5.0)], "sample string, lo double, hi double")
-    assert {r["sample"]: r["lib"] for r in reports.library_groups(rows).collect()} == {"a": 0, "b": 0, "c": 1}
-
-
 def test_collisions_count_pairs_of_copies(spark):
     rows = spark.createDataFrame([(1, "AAA", 3), (1, "AAT", 2), (2, "CCC", 1)], "bin long, kmer string, n long")
     assert {r["distance"]: r["n_pairs"] for r in pairs.collision_histogram(rows, 3).collect()} == {0: 4, 1: 6}
