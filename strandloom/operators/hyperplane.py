@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,42 @@ def coordinates(seq: str, qual: str | None = None, q_offset: int = 33) -> np.nda
     return at[: len(q)] * (1 - 10 ** (-q[: len(at)] / 10))
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts; null counts as empty."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+_UPPER = np.arange(256, dtype=np.uint8)
+_UPPER[97:123] -= 32
+
+
+def batch_coordinates(seq: pa.Array, qual: pa.Array | None, kept: np.ndarray | None, q_offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(coordinates, sizes) of a batch's reads behind one another, each as ``coordinates`` has it of its upper-case bases.
+
+    All reads are looked up at once; only a batch with letters beyond ASCII is taken read by read.
+    """
+    data, offsets = _bytes(seq)
+    codes, starts = _bytes(qual) if qual is not None else (np.zeros(0, np.uint8), np.zeros(len(seq) + 1, np.int64))
+    size = np.diff(offsets)
+    there = np.zeros(len(seq), dtype=bool) if qual is None else qual.is_valid().to_numpy(zero_copy_only=False)
+    if (data >= 128).any() or (codes >= 128).any():
+        rows = zip(seq.to_pylist(), [None] * len(seq) if qual is None else qual.to_pylist(), [None] * len(seq) if kept is None else kept.tolist(), q_offset.tolist())
+        each = [coordinates((s or "").upper()[: None if n is None else int(n)], None if q is None else q[: None if n is None else int(n)], o) for s, q, n, o in rows]
+        return np.concatenate([*each, np.zeros(0, dtype=complex)]), np.array([len(c) for c in each], dtype=np.int64)
+    size = size if kept is None else np.minimum(size, kept)
+    size = np.where(there, np.minimum(size, np.diff(starts)), size)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    sure = np.full(len(row), SURE)
+    known = there[row]
+    q = codes[starts[row[known]] + place[known]].astype(float) - q_offset[row[known]]
+    sure[known] = 1 - 10 ** (-q / 10)
+    return _TABLE[_UPPER[data[offsets[row] + place]]] * sure, size
+
+
 def plane_through(points: np.ndarray) -> tuple[np.ndarray, complex]:
     """Normal and offset of a hyperplane through k points of k complex numbers: the null vector of [points, -1]."""
     k = points.shape[1]
@@ -143,24 +180,31 @@ def plane_matrices(wheels: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def window_bins(coords: np.ndarray, planes: list[tuple[np.ndarray, np.ndarray]], k: int, both_strands: bool = True, tie_forward: bool = True) -> np.ndarray:
-    """(windows, wheels) bins of coordinates, a block of windows at a time; see ``kmer_bins``."""
+def strand_bins(coords: np.ndarray, planes: list[tuple[np.ndarray, np.ndarray]], k: int, both_strands: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """(windows, wheels) bins of coordinates and of their reverse complements, a block of windows at a time."""
     count = max(0, len(coords) - k + 1)
-    out = np.empty((count, len(planes)), dtype=np.int64)
+    ahead = np.empty((count, len(planes)), dtype=np.int64)
+    back = np.empty_like(ahead) if both_strands else None
     if not count:
-        return out
+        return ahead, back
     every = np.lib.stride_tricks.sliding_window_view(coords, k)
     for at in range(0, count, _BLOCK):
         windows = np.ascontiguousarray(every[at : at + _BLOCK])
         for i, (normals, offset) in enumerate(planes):
             powers = 1 << np.arange(len(offset), dtype=np.int64)
-            bins = ((windows @ normals).real > offset) @ powers
+            ahead[at : at + _BLOCK, i] = ((windows @ normals).real > offset) @ powers
             if both_strands:
-                back = ((-windows[:, ::-1] @ normals).real > offset) @ powers
-                ahead = bins % 1_000_000 <= back % 1_000_000 if tie_forward else bins % 1_000_000 < back % 1_000_000
-                bins = np.where(ahead, bins, back)
-            out[at : at + _BLOCK, i] = bins
-    return out
+                back[at : at + _BLOCK, i] = ((-windows[:, ::-1] @ normals).real > offset) @ powers
+    return ahead, back
+
+
+def window_bins(coords: np.ndarray, planes: list[tuple[np.ndarray, np.ndarray]], k: int, both_strands: bool = True, tie_forward: bool = True) -> np.ndarray:
+    """(windows, wheels) bins of coordinates; see ``kmer_bins``."""
+    ahead, back = strand_bins(coords, planes, k, both_strands)
+    if back is None:
+        return ahead
+    forward = ahead % 1_000_000 <= back % 1_000_000 if tie_forward else ahead % 1_000_000 < back % 1_000_000
+    return np.where(forward, ahead, back)
 
 
 def kmer_bins(coords: np.ndarray, wheels: list[tuple], k: int, both_strands: bool = True, tie_forward: bool = True) -> np.ndarray:
@@ -173,32 +217,41 @@ def kmer_bins(coords: np.ndarray, wheels: list[tuple], k: int, both_strands: boo
     return window_bins(coords, plane_matrices(wheels), k, both_strands, tie_forward)
 
 
-def hash_reads(reads: DataFrame, wheels: list[tuple], k: int, q_offset: int = 33, both_strands: bool = True, tie_forward: bool = True) -> DataFrame:
+def hash_reads(reads: DataFrame, wheels: list[tuple], k: int, q_offset: int = 33, both_strands: bool = True, tie_forward: bool = True, strands: bool = False) -> DataFrame:
     """The reads with ``bins``, the bins of all their windows over all wheels. The wheels have a fixed size and are broadcast.
 
     Columns ``kept`` and ``q_offset``, if there are any (see ``ingest.prepared``), say how many bases of a read count
     and what its qualities start from. Reads of a batch are hashed together; windows that span two reads are left out.
+    ``strands`` adds ``fwd`` and ``back``, the bins of the windows and of their reverse complements before one is chosen.
     """
     shared = reads.sparkSession.sparkContext.broadcast(wheels)
     names = reads.columns
-    fields = ", ".join(f"`{n}` {t}" for n, t in reads.dtypes)
+    fields = ", ".join(f"`{n}` {t}" for n, t in reads.dtypes) + ", bins array<long>" + (", fwd array<long>, back array<long>" if strands else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = plane_matrices(shared.value)
         for batch in batches:
-            given = lambda c, other: batch.column(names.index(c)).to_pylist() if c in names else [other] * batch.num_rows  # noqa: B023, E731
-            rows = zip(given("seq", None), given("qual", None), given("kept", None), given("q_offset", q_offset))
-            coords = [coordinates((s or "").upper()[:n], None if q is None else q[:n], o) for s, q, n, o in rows]
-            size = np.array([len(c) for c in coords], dtype=np.int64)
-            flat = np.concatenate([*coords, np.zeros(0)])
-            bins = window_bins(flat, planes, k, both_strands, tie_forward)
-            end = np.repeat(np.cumsum(size), size)
-            inside = np.arange(len(bins)) + k <= end[: len(bins)]
-            ends = np.cumsum(np.maximum(size - k + 1, 0)) * len(planes)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(bins[inside].ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, "bins"])
+            given = lambda c: batch.column(names.index(c)) if c in names else None  # noqa: B023, E731
+            whole = lambda c, other: np.full(batch.num_rows, other) if c is None else pc.fill_null(c, other).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            kept = given("kept")
+            flat, size = batch_coordinates(given("seq"), given("qual"), None if kept is None else whole(kept, 1 << 30), whole(given("q_offset"), q_offset))
+            ahead, back = strand_bins(flat, planes, k, both_strands or strands)
+            bins = ahead
+            if both_strands:
+                forward = ahead % 1_000_000 <= back % 1_000_000 if tie_forward else ahead % 1_000_000 < back % 1_000_000
+                bins = np.where(forward, ahead, back)
+            inside = np.arange(len(bins)) + k <= np.repeat(np.cumsum(size), size)[: len(bins)]
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.maximum(size - k + 1, 0)) * len(planes)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[inside].ravel())) for x in ((bins, ahead, back) if strands else (bins,))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*names, "bins", *(["fwd", "back"] if strands else [])])
+
+    return reads.mapInArrow(run, fields)
 
-    return reads.mapInArrow(run, f"{fields}, bins array<long>")
+
+def paired_bins(hashed: DataFrame, pair: str = "pair_key") -> DataFrame:
+    """Each read with the bins of all reads of its pair (in its sample and part): both mates carry the union."""
+    of_pair = hashed.groupBy("sample", "part", pair).agg(F.flatten(F.sort_array(F.collect_list(F.struct("rec_no", "bins")))["bins"]).alias("bins"))
+    return hashed.drop("bins").join(of_pair, ["sample", "part", pair])
 
 
 def mapper_bins(kmers: DataFrame, wheels: list[tuple], k: int, both_strands: bool = True, terminals: bool = False) -> DataFrame:
@@ -238,9 +291,3 @@ def mapper_bins(kmers: DataFrame, wheels: list[tuple], k: int, both_strands: boo
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*names, "bins", *(["first", "last"] if terminals else [])])
 
     return kmers.mapInArrow(run, fields)
-
-
-def paired_bins(hashed: DataFrame, pair: str = "pair_key") -> DataFrame:
-    """Each read with the bins of all reads of its pair (in its sample and part): both mates carry the union."""
-    of_pair = hashed.groupBy("sample", "part", pair).agg(F.flatten(F.sort_array(F.collect_list(F.struct("rec_no", "bins")))["bins"]).alias("bins"))
-    return hashed.drop("bins").join(of_pair, ["sample", "part", pair])

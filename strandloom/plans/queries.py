@@ -175,29 +175,28 @@ def _plane_sum(re: Callable[[int], str], im: Callable[[int], str]) -> str:
 
 
 _STRAND_SQL = f"""
-WITH dna AS (SELECT item_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{_LETTERS}', '{_TO_BASES}') AS seq FROM benchmark),
-codes AS (SELECT item_id,
+WITH dna AS (SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{_LETTERS}', '{_TO_BASES}') AS seq FROM documents),
+codes AS (SELECT doc_id,
     list_transform(string_split(seq, ''), lambda x: CASE x WHEN 'A' THEN -1 WHEN 'T' THEN 1 ELSE 0 END) AS re,
     list_transform(string_split(seq, ''), lambda x: CASE x WHEN 'C' THEN -1 WHEN 'G' THEN 1 ELSE 0 END) AS im FROM dna),
-places AS (SELECT item_id, re, im, unnest(range(1, len(re) - {K} + 2)) AS i FROM codes),
-both_strands AS (SELECT item_id, i AS pos,
+places AS (SELECT doc_id, re, im, unnest(range(1, len(re) - {K} + 2)) AS i FROM codes),
+both_strands AS (SELECT doc_id, i AS pos,
     {_plane_sum(lambda j: f"re[i+{j}]", lambda j: f"im[i+{j}]")} AS fwd,
     {_plane_sum(lambda j: f"-re[i+{K - 1 - j}]", lambda j: f"-im[i+{K - 1 - j}]")} AS back FROM places)
-SELECT item_id, CAST(pos AS BIGINT) AS pos, CAST(fwd AS BIGINT) AS fwd, CAST(back AS BIGINT) AS back,
+SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(fwd AS BIGINT) AS fwd, CAST(back AS BIGINT) AS back,
        CAST(CASE WHEN fwd % 1000000 <= back % 1000000 THEN fwd ELSE back END AS BIGINT) AS bin FROM both_strands
 """
 
 
 @query(_STRAND_SQL)
 def canonical_strand(spark, sf_dir):
-    bench = _t(spark, sf_dir, "benchmark")
-    dna = bench.select("item_id", F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _LETTERS, _TO_BASES).alias("seq"))
-    base = lambda minus, plus: F.transform(F.split("seq", ""), lambda x: F.when(x == minus, -1).when(x == plus, 1).otherwise(0))
-    rows = dna.where(F.length("seq") >= K).select("item_id", base("A", "T").alias("re"), base("C", "G").alias("im"), F.posexplode(F.sequence(F.lit(1), F.length("seq") - K + 1)).alias("at", "i"))
-    fwd = F.expr(_plane_sum(lambda j: f"re[i+{j - 1}]", lambda j: f"im[i+{j - 1}]")).cast("long")
-    back = F.expr(_plane_sum(lambda j: f"-re[i+{K - 2 - j}]", lambda j: f"-im[i+{K - 2 - j}]")).cast("long")
-    rows = rows.select("item_id", F.col("i").cast("long").alias("pos"), fwd.alias("fwd"), back.alias("back"))
-    return rows.withColumn("bin", canonical_bin(F.col("fwd"), F.col("back")))
+    """Bins of all windows of all texts and of their reverse complements, with whole-number planes and bases that are all sure."""
+    seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _LETTERS, _TO_BASES)
+    # products are whole numbers times the certainty of a base: half a step over the offset leaves no ties to rounding
+    wheels = [(0, s, plane[: 2 * K : 2], plane[1 : 2 * K : 2], (plane[-1] + 0.5) * hyperplane.SURE, 0.0) for s, plane in enumerate(_PLANES)]
+    hashed = hyperplane.hash_reads(_t(spark, sf_dir, "documents").select("doc_id", seq.alias("seq")), wheels, K, strands=True)
+    rows = hashed.select("doc_id", F.posexplode(F.arrays_zip("fwd", "back")).alias("at", "w"))
+    return rows.select("doc_id", (F.col("at") + 1).cast("long").alias("pos"), "w.fwd", "w.back", canonical_bin(F.col("w.fwd"), F.col("w.back")).alias("bin"))
 
 
 #: What the qualities of the complex hash start from: letters from a to z are 2 to 27.
@@ -213,34 +212,34 @@ def _complex_sum(sign: str, at: Callable[[int], int]) -> str:
 
 
 @query(f"""
-WITH letters AS (SELECT item_id, string_split(regexp_replace(lower(text), '[^a-z]', '', 'g'), '') AS l FROM benchmark),
-sure AS (SELECT item_id, l, list_transform(l, lambda x: 1 - pow(10.0, -(unicode(x) - {_LETTER_OFFSET}) / 10.0)) AS p,
+WITH letters AS (SELECT doc_id, string_split(regexp_replace(lower(text), '[^a-z]', '', 'g'), '') AS l FROM documents),
+sure AS (SELECT doc_id, l, list_transform(l, lambda x: 1 - pow(10.0, -(unicode(x) - {_LETTER_OFFSET}) / 10.0)) AS p,
     list_transform(l, lambda x: translate(x, '{_LETTERS}', '{_TO_BASES}')) AS b FROM letters),
-codes AS (SELECT item_id,
+codes AS (SELECT doc_id,
     list_transform(range(1, len(l) + 1), lambda i: p[i] * CASE b[i] WHEN 'A' THEN -1 WHEN 'T' THEN 1 ELSE 0 END) AS re,
     list_transform(range(1, len(l) + 1), lambda i: p[i] * CASE b[i] WHEN 'C' THEN -1 WHEN 'G' THEN 1 ELSE 0 END) AS im FROM sure),
-places AS (SELECT item_id, re, im, unnest(range(1, len(re) - {K} + 2)) AS i FROM codes),
-both_strands AS (SELECT item_id, i, {_complex_sum("", lambda j: j)} AS fwd, {_complex_sum("-", lambda j: K - 1 - j)} AS back FROM places)
-SELECT item_id, CAST(i AS BIGINT) AS pos, CAST(least(fwd, back) AS BIGINT) AS bin FROM both_strands
+places AS (SELECT doc_id, re, im, unnest(range(1, len(re) - {K} + 2)) AS i FROM codes),
+both_strands AS (SELECT doc_id, i, {_complex_sum("", lambda j: j)} AS fwd, {_complex_sum("-", lambda j: K - 1 - j)} AS back FROM places)
+SELECT doc_id, CAST(i AS BIGINT) AS pos, CAST(least(fwd, back) AS BIGINT) AS bin FROM both_strands
 """)
 def complex_hash_bins(spark, sf_dir):
     """The run's own hash, with fixed planes: bases as complex numbers, weighed by the probability that they are right."""
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    reads = _t(spark, sf_dir, "benchmark").select("item_id", F.translate(letters, _LETTERS, _TO_BASES).alias("seq"), letters.alias("qual"))
+    reads = _t(spark, sf_dir, "documents").select("doc_id", F.translate(letters, _LETTERS, _TO_BASES).alias("seq"), letters.alias("qual"))
     wheels = [(0, s, [x / 8 for x in plane[: 2 * K : 2]], [x / 8 for x in plane[1 : 2 * K : 2]], plane[-1] / 8, 0.0) for s, plane in enumerate(_PLANES)]
     hashed = hyperplane.hash_reads(reads, wheels, K, _LETTER_OFFSET)
-    return hashed.select("item_id", F.posexplode("bins").alias("at", "bin")).select("item_id", (F.col("at") + 1).cast("long").alias("pos"), "bin")
+    return hashed.select("doc_id", F.posexplode("bins").alias("at", "bin")).select("doc_id", (F.col("at") + 1).cast("long").alias("pos"), "bin")
 
 
 @query("""
-WITH dna AS (SELECT item_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM benchmark)
-SELECT item_id, translate(reverse(seq), 'ACGT', 'TGCA') AS rc,
-       CAST(list_sum(list_transform(range(1, len(seq) + 1), lambda i: CASE WHEN seq[i] <> reverse(seq)[i] THEN 1 ELSE 0 END)) AS INTEGER) AS away FROM dna WHERE len(seq) > 0
+WITH dna AS (SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents)
+SELECT doc_id, translate(reverse(seq), 'ACGT', 'TGCA') AS rc,
+       CAST(list_sum(list_transform(list_zip(string_split(seq, ''), string_split(reverse(seq), '')), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS away FROM dna WHERE len(seq) > 0
 """)
 def reverse_complements(spark, sf_dir):
-    bench = _t(spark, sf_dir, "benchmark")
-    dna = bench.select("item_id", F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _LETTERS, _TO_BASES).alias("seq")).where("length(seq) > 0")
-    return dna.select("item_id", reverse_complement(F.col("seq")).alias("rc"), hamming(F.col("seq"), F.reverse("seq")).alias("away"))
+    docs = _t(spark, sf_dir, "documents")
+    dna = docs.select("doc_id", F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _LETTERS, _TO_BASES).alias("seq")).where("length(seq) > 0")
+    return dna.select("doc_id", reverse_complement(F.col("seq")).alias("rc"), hamming(F.col("seq"), F.reverse("seq")).alias("away"))
 
 
 @query(f"""

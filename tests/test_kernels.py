@@ -166,3 +166,18 @@ def test_n50_and_upper_median(spark):
 def test_collisions_count_pairs_of_copies(spark):
     rows = spark.createDataFrame([(1, "AAA", 3), (1, "AAT", 2), (2, "CCC", 1)], "bin long, kmer string, n long")
     assert {r["distance"]: r["n_pairs"] for r in pairs.collision_histogram(rows, 3).collect()} == {0: 4, 1: 6}
+
+
+def test_a_batch_has_the_coordinates_of_its_reads():
+    import pyarrow as pa
+
+    seq = ["ACGTN", "", "acgt", None, "TTTTTTT", "AC"]
+    qual = ["IIII!", "", None, "II", "IIII", "IIIII"]
+    kept, offset = np.array([5, 0, 3, 9, 9, 9]), np.array([33, 33, 33, 33, 64, 33])
+    for letter in ("", "é"):
+        seqs = [s if s is None else s + letter for s in seq]
+        flat, size = hyperplane.batch_coordinates(pa.array(seqs).slice(0), pa.array(qual, pa.string()), kept, offset)
+        want = [hyperplane.coordinates((s or "").upper()[:n], None if q is None else q[:n], o) for s, q, n, o in zip(seqs, qual, kept, offset)]
+        assert size.tolist() == [len(w) for w in want] and np.allclose(flat, np.concatenate(want))
+    flat, size = hyperplane.batch_coordinates(pa.array(["x", "ACG", "TT"]).slice(1), None, None, np.array([33, 33]))
+    assert size.tolist() == [3, 2] and np.allclose(flat, np.concatenate([hyperplane.coordinates(x) for x in ("ACG", "TT")]))
