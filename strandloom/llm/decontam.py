@@ -141,26 +141,37 @@ class Block:
         none = np.zeros(0, dtype=np.int64)
         return (np.concatenate(starts), np.concatenate(which)) if starts else (none, none)
 
+    def wanted(self, unit: int) -> np.ndarray:
+        """The unit's distinct shingles in order, kept from one slice to the next."""
+        if unit not in (held := self.__dict__.setdefault("_wanted", {})):
+            held[unit] = np.unique(self.shingles(unit))
+        return held[unit]
+
     def contained(self, words: Words, row_of: np.ndarray):
-        """(row, unit, first word, words, containment): the best stretch for each row and unit at or over the threshold."""
-        best: dict[tuple[int, int], tuple] = {}
-        seen = set()
-        sets: dict[int, np.ndarray] = {}
+        """(row, unit, first word, words, containment): the best stretch for each row and unit at or over the threshold.
+
+        Stretches around the candidates of a row and unit that overlap are one, which is looked through once, however many
+        candidates it has.
+        """
         for pos, unit, _ in self.found(words, row_of):
-            for p, u in zip(pos.tolist(), unit.tolist()):
-                if u not in sets:
-                    sets[u] = np.unique(self.shingles(u))
-                row, m, s, wanted = int(row_of[p]), int(self.size[u]), int(self.step[u]), sets[u]
+            s, row, m = int(self.step[unit[0]]), row_of[pos], self.size[unit]
+            lo, hi = np.maximum(words.bounds[row], pos - (m - self.step[unit])), np.minimum(words.bounds[row + 1], pos + m)
+            order = np.lexsort((lo, unit, row))
+            row, unit, lo, hi = row[order], unit[order], lo[order], hi[order]
+            same = (row[1:] == row[:-1]) & (unit[1:] == unit[:-1])
+            begin = np.flatnonzero(np.concatenate([[True], ~same | (lo[1:] > hi[:-1])]))
+            end = np.concatenate([begin[1:], [len(row)]]) - 1
+            h = ngram_hash(words.hash, s)
+            best: dict[tuple[int, int], tuple] = {}
+            for r, u, a, z in zip(row[begin].tolist(), unit[begin].tolist(), lo[begin].tolist(), hi[end].tolist()):
+                wanted, m = self.wanted(u), int(self.size[u])
                 need = math.ceil(self.threshold * len(wanted) - 1e-9)
-                lo, hi = max(int(words.bounds[row]), p - (m - s)), min(int(words.bounds[row + 1]), p + m)
-                if hi - lo - s + 1 < need or (u, lo, hi) in seen:
-                    continue
-                seen.add((u, lo, hi))
-                got = _best_window(ngram_hash(words.hash[lo:hi], s), wanted, m - s + 1)
-                if got[0] >= need and got[0] > best.get((row, u), (0,))[0]:
-                    best[row, u] = (got[0], lo + got[1], min(m, hi - lo - got[1]), got[0] / len(wanted))
-        for (row, u), (_, first, n, share) in best.items():
-            yield row, u, first, n, share
+                if z - a - s + 1 >= need:
+                    got = _best_window(h[a : z - s + 1], wanted, m - s + 1)
+                    if got[0] >= need and got[0] > best.get((r, u), (0,))[0]:
+                        best[r, u] = (got[0], a + got[1], min(m, z - a - got[1]), got[0] / len(wanted))
+            for (r, u), (_, first, n, share) in best.items():
+                yield r, u, first, n, share
 
 
 def _bitmap(keys: np.ndarray) -> np.ndarray:
@@ -170,22 +181,25 @@ def _bitmap(keys: np.ndarray) -> np.ndarray:
 
 
 def _best_window(have: np.ndarray, wanted: np.ndarray, width: int) -> tuple[int, int]:
-    """The most distinct wanted shingles in any ``width`` successive ones, and where that begins first."""
+    """The most distinct wanted shingles in any ``width`` successive ones, and where that begins first.
+
+    A shingle counts in the windows that begin after its last occurrence before and hold it; how many do begin at each place
+    is a running sum.
+    """
     at = np.searchsorted(wanted, have)
     at[at == len(wanted)] = 0
-    hit = np.where(wanted[at] == have, at, -1)
-    count = np.zeros(len(wanted), dtype=np.int64)
-    distinct, best = 0, (0, 0)
-    for i, w in enumerate(hit.tolist()):
-        if w >= 0:
-            count[w] += 1
-            distinct += count[w] == 1
-        if i >= width and (old := hit[i - width]) >= 0:
-            count[old] -= 1
-            distinct -= count[old] == 0
-        if distinct > best[0]:
-            best = (int(distinct), max(0, i - width + 1))
-    return best
+    place = np.flatnonzero(wanted[at] == have)
+    if not len(place):
+        return 0, 0
+    which = at[place]
+    by = np.argsort(which, kind="stable")
+    before = np.full(len(place), -1)
+    again = np.flatnonzero(which[by][1:] == which[by][:-1]) + 1
+    before[by[again]] = place[by[again - 1]]
+    first = np.maximum(np.maximum(before + 1, place - width + 1), 0)
+    count = np.cumsum(np.bincount(first, minlength=len(have) + 1) - np.bincount(place + 1, minlength=len(have) + 1))
+    best = int(count.argmax())
+    return int(count[best]), best
 
 
 def _item_words(text: str | None) -> np.ndarray:
