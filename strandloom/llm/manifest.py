@@ -28,8 +28,8 @@ WIDTH = 8
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: One document in so many is tampered with.
 TAMPER_EVERY = 3
-#: Nodes that lie together in a level above the leaves.
-TILE = 4096
+#: Consecutive nodes of a level above the leaves that are dealt together.
+TILE = 64
 #: Runs are so many leaves at least, and offsets of up to so many runs are broadcast.
 RUN_ROWS = 1_000_000
 BROADCAST_OFFSETS = 50_000
