@@ -67,10 +67,12 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def bin_counts(texts: DataFrame, key: str, text: str, k: int, bits: int) -> DataFrame:
-    """(key, bin, cnt): how often each key's texts have each bin.
+    """(key, bin, cnt): how often each key's texts have each bin."""
+    return partial_counts(texts, key, text, k, bits).groupBy(key, "bin").agg(F.sum("cnt").alias("cnt"))
 
-    A task adds up all its texts and shuffles each (key, bin) once for every HELD_BINS of them.
-    """
+
+def partial_counts(texts: DataFrame, key: str, text: str, k: int, bits: int) -> DataFrame:
+    """(key, bin, cnt) to be added up: a task adds up all its texts and hands on each (key, bin) once for every HELD_BINS of them."""
     kind = dict(texts.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +104,7 @@ def bin_counts(texts: DataFrame, key: str, text: str, k: int, bits: int) -> Data
         if held:
             yield from told(*_added(held))
 
-    partial = spread_out(texts.select(key, text)).mapInArrow(run, f"`{key}` {kind}, bin long, cnt long")
-    return partial.groupBy(key, "bin").agg(F.sum("cnt").alias("cnt"))
+    return spread_out(texts.select(key, text)).mapInArrow(run, f"`{key}` {kind}, bin long, cnt long")
 
 
 def text_bins(texts: DataFrame, key: str, text: str, k: int, bits: int) -> DataFrame:
@@ -171,8 +172,8 @@ def trimmed_length(qual: Column, k: int, q_offset: int | Column = 33) -> Column:
 def mapper_windows(seq: Column, qual: Column, k: int, bad: int = 2, allowed: int = 2, q_offset: int = 33) -> Column:
     """How many windows of k bases come before the first that has more than ``allowed`` bases of quality ``bad``; all if none has."""
     places = F.filter(F.transform(F.split(qual, ""), lambda c, i: F.when(F.ascii(c) - q_offset == bad, i)), lambda i: i.isNotNull())
-    # the bad bases j to j + allowed lie in one window from the last one's end on back
-    full = F.transform(F.sequence(F.lit(allowed + 1), F.greatest(F.size(places), F.lit(allowed + 1))), lambda j: F.when(F.get(places, j - 1) - F.get(places, j - 1 - allowed) < k, F.greatest(F.get(places, j - 1) - (k - 1), F.lit(0))))
+    # a bad base and the one so many after it lie in one window from the latter's end on back
+    full = F.zip_with(F.slice(places, allowed + 1, 1 << 30), places, lambda b, a: F.when(b - a < k, F.greatest(b - (k - 1), F.lit(0))))
     every = F.greatest(F.length(seq) - (k - 1), F.lit(0))
     return F.least(every, F.coalesce(F.array_min(full), every))
 

@@ -14,6 +14,11 @@ def saturated(counts: DataFrame, limit: int = SATURATION) -> DataFrame:
     return counts.groupBy("sample", "bin").agg(F.least(F.sum("cnt"), F.lit(limit)).cast("long").alias("cnt"))
 
 
+def saturated_by_bin(partial: DataFrame, partitions: int, limit: int = SATURATION) -> DataFrame:
+    """``saturated`` of partial counts, dealt by bin alone: what is summed by bin later lies together already."""
+    return saturated(partial.repartition(partitions, "bin"), limit)
+
+
 def counts_of_reads(hashed: DataFrame, limit: int = SATURATION) -> DataFrame:
     """Counts from reads with bins."""
     return saturated(hashed.select("sample", F.explode("bins").alias("bin"), F.lit(1).alias("cnt")), limit)

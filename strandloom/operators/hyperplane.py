@@ -254,8 +254,8 @@ def paired_bins(hashed: DataFrame, pair: str = "pair_key") -> DataFrame:
     return hashed.drop("bins").join(of_pair, ["sample", "part", pair])
 
 
-def mapper_bins(kmers: DataFrame, wheels: list[tuple], k: int, both_strands: bool = True, terminals: bool = False) -> DataFrame:
-    """Rows of single k-mers (seq, qual of k characters and more) with ``bins``, one for each wheel, as streaming mappers made
+def mapper_bins(kmers: DataFrame, wheels: list[tuple], q_offset: int = 33, both_strands: bool = True, terminals: bool = False) -> DataFrame:
+    """Rows of single k-mers (seq, qual, and more; all of one length) with ``bins``, one for each wheel, as streaming mappers made
     them: a bit is set where the product with a plane is over its offset by the sign of complex numbers (of the real part, or
     of the imaginary part where that is 0), and of two strands that are equal modulo a million the reverse complement stands.
     ``terminals`` adds ``first`` and ``last``, the real and imaginary parts of the outer coordinates.
@@ -271,7 +271,8 @@ def mapper_bins(kmers: DataFrame, wheels: list[tuple], k: int, both_strands: boo
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = np.array([coordinates(s.upper(), q) for s, q in zip(batch.column(names.index("seq")).to_pylist(), batch.column(names.index("qual")).to_pylist())])
+            flat, _ = batch_coordinates(batch.column(names.index("seq")), batch.column(names.index("qual")), None, np.full(batch.num_rows, q_offset))
+            c = flat.reshape(batch.num_rows, -1)
 
             def sided(x: np.ndarray) -> np.ndarray:
                 out = np.empty((len(x), len(planes)), dtype=np.int64)

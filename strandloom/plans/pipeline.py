@@ -37,12 +37,17 @@ class Run:
 
     def __init__(self, spark: SparkSession, folder: str, settings: Settings = Settings()):
         self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings
+        self.kept: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return self.kept[name] if name in self.kept else self.spark.read.parquet(f"{self.folder}/{name}")
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write a stage's table and read it again; ``by`` keeps it in buckets, which this session's later stages know."""
+        if by:
+            self.kept[name] = bucketed(df, name, by, path=f"{self.folder}/{name}")
+        else:
+            df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
         return self.table(name)
 
     def hash_counting(self, reads: DataFrame) -> None:
@@ -54,9 +59,9 @@ class Run:
         self.keep(hyperplane.wheels_frame(self.spark, wheels), "wheels")
         hashed = hyperplane.hash_reads(reads, wheels, s.k, both_strands=s.both_strands).drop("kept", "q_offset")
         hashed = self.keep(hyperplane.paired_bins(hashed), "hashed_reads")
-        counts = self.keep(abundance.counts_of_reads(hashed), "counts")
-        weights = self.keep(abundance.idf_weights(counts), "weights")
-        self.keep(abundance.conditioned(counts, weights, s.hash_size), "conditioned")
+        counts = self.keep(abundance.counts_of_reads(hashed), "counts", "bin")
+        weights = self.keep(abundance.idf_weights(counts), "weights", "bin")
+        self.keep(abundance.conditioned(counts, weights, s.hash_size), "conditioned", "bin")
 
     def kmer_clustering(self) -> None:
         """lsi, vectors, centroids, members, cluster_stats."""
@@ -71,7 +76,7 @@ class Run:
             self.keep(found.frame(), "lsi")
             vectors = self.keep(found.projected(), "vectors")
         centroids = self.keep(cluster.leader_clusters(vectors, s.threshold, seed=s.seed), "centroids")
-        members = self.keep(cluster.assign_nearest(vectors, centroids, s.threshold), "members")
+        members = self.keep(cluster.assign_nearest(vectors, centroids, s.threshold), "members", "bin")
         self.keep(cluster.cluster_priors(members, self.table("weights"), samples, s.hash_size), "cluster_stats")
 
     def read_partitioning(self) -> DataFrame:
@@ -80,7 +85,7 @@ class Run:
         if self.settings.least_file_reads:
             hashed = partition.large_files(hashed, self.settings.least_file_reads)
         hashed = hashed.withColumn("read", F.concat_ws("\t", "sample", "part", "pair_key"))
-        bins = bucketed(partition.bin_table(self.table("members"), self.table("weights")), "bin_table", "bin", path=f"{self.folder}/bin_table")
+        bins = self.keep(partition.bin_table(self.table("members"), self.table("weights")), "bin_table", "bin")
         evidence = partition.read_evidence(hashed.dropDuplicates(["read"]), bins)
         best = partition.best_cluster(evidence, self.table("cluster_stats"))
         return self.keep(partition.partitioned_reads(hashed.drop("bins"), best), "read_partitions")

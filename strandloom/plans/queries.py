@@ -12,7 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.kmer import bin_counts, canonical_bin, coefficients, hamming, mate_id, pair_key, read_base_id, reverse_complement, text_bins, text_kmers, trimmed_length
+from ..functions.kmer import mapper_windows as kmer_windows
+from ..functions.kmer import canonical_bin, coefficients, hamming, mate_id, pair_key, partial_counts, read_base_id, reverse_complement, text_bins, text_kmers, trimmed_length
 from ..operators import abundance, chain, cluster, hyperplane, ingest, metric, pairs, partition, planted, reports, spectral, svd
 from ..sources import fastq
 from .stored import bucketed, stored
@@ -56,19 +57,27 @@ _CONDITIONED = (
 )
 
 
+def _partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partial_counts(_t(spark, sf_dir, "documents"), "source", "text", K, BITS).withColumnRenamed("source", "sample")
+
+
 def _bin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents")
-    return abundance.saturated(bin_counts(docs, "source", "text", K, BITS).withColumnRenamed("source", "sample"))
+    return abundance.saturated(_partial(spark, sf_dir))
+
+
+def _kept_by_bin(partial: DataFrame) -> DataFrame:
+    buckets = int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(abundance.saturated_by_bin(partial, buckets), "counts", "bin", buckets, dealt=True)
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts, made once: weights, norms and rows all read them."""
-    return stored(_bin_counts(spark, sf_dir), "counts")
+    """The counts, made once and kept in buckets by bin: weights, conditioned rows and products of bins need no exchange."""
+    return _kept_by_bin(_partial(spark, sf_dir))
 
 
 def _conditioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _counts(spark, sf_dir)
-    return stored(abundance.conditioned(counts, abundance.idf_weights(counts), BITS), "conditioned")
+    return bucketed(abundance.conditioned(counts, abundance.idf_weights(counts), BITS), "conditioned", "bin", dealt=True)
 
 
 @query(f"WITH {_COUNTS} SELECT sample, bin, cnt FROM counts")
@@ -231,6 +240,67 @@ def complex_hash_bins(spark, sf_dir):
     return hashed.select("doc_id", F.posexplode("bins").alias("at", "bin")).select("doc_id", (F.col("at") + 1).cast("long").alias("pos"), "bin")
 
 
+@query(f"""
+WITH letters AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^a-z]', '', 'g') AS t FROM conversations),
+l AS (SELECT conv_id, turn, string_split(t, '') AS l FROM letters WHERE length(t) >= {K}),
+codes AS (SELECT conv_id, turn,
+    list_transform(l, lambda x: (1 - pow(10.0, -(unicode(x) - {_LETTER_OFFSET}) / 10.0)) * CASE translate(x, '{_LETTERS}', '{_TO_BASES}') WHEN 'A' THEN -1 WHEN 'T' THEN 1 ELSE 0 END) AS re,
+    list_transform(l, lambda x: (1 - pow(10.0, -(unicode(x) - {_LETTER_OFFSET}) / 10.0)) * CASE translate(x, '{_LETTERS}', '{_TO_BASES}') WHEN 'C' THEN -1 WHEN 'G' THEN 1 ELSE 0 END) AS im FROM l),
+places AS (SELECT conv_id, turn, re, im, unnest(range(1, len(re) - {K} + 2)) AS i FROM codes),
+both_strands AS (SELECT conv_id, turn, i, re, im, {_complex_sum("", lambda j: j)} AS fwd, {_complex_sum("-", lambda j: K - 1 - j)} AS back FROM places)
+SELECT conv_id, turn, CAST(i - 1 AS BIGINT) AS at, CAST(CASE WHEN fwd < back THEN fwd ELSE back END AS BIGINT) AS bin,
+       round(re[i], 9) + 0.0 AS first_re, round(im[i], 9) + 0.0 AS first_im, round(re[i + {K - 1}], 9) + 0.0 AS last_re, round(im[i + {K - 1}], 9) + 0.0 AS last_im FROM both_strands
+""")
+def mapper_hash_bins(spark, sf_dir):
+    """Single k-mers as a streaming mapper hashes them, with their outer coordinates."""
+    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.translate(letters, _LETTERS, _TO_BASES).alias("s"), letters.alias("q")).where(F.length("q") >= K)
+    kmers = rows.select("conv_id", "turn", F.explode(F.sequence(F.lit(0), F.length("q") - K)).alias("at"), "s", "q")
+    cut = lambda c: F.substring(c, F.col("at") + 1, F.lit(K))
+    kmers = kmers.select("conv_id", "turn", F.col("at").cast("long").alias("at"), cut("s").alias("seq"), cut("q").alias("qual"))
+    wheels = [(0, s, [x / 8 for x in plane[: 2 * K : 2]], [x / 8 for x in plane[1 : 2 * K : 2]], plane[-1] / 8, 0.0) for s, plane in enumerate(_PLANES)]
+    hashed = hyperplane.mapper_bins(kmers, wheels, _LETTER_OFFSET, terminals=True)
+    ends = [(F.round(F.col(end)[i], 9) + F.lit(0.0)).alias(f"{end}_{part}") for end in ("first", "last") for i, part in enumerate(("re", "im"))]
+    return hashed.select("conv_id", "turn", "at", F.col("bins")[0].alias("bin"), *ends)
+
+
+#: The quality offset at which the letter e has quality 2.
+_MAPPER_OFFSET = 99
+
+
+@query(f"""
+WITH codes AS (SELECT doc_id, coalesce(length(text), 0) AS n, list_transform(string_split(coalesce(text, ''), ''), lambda x: unicode(x) - {_MAPPER_OFFSET}) AS q FROM documents),
+bad AS (SELECT doc_id, greatest(n - {K - 1}, 0) AS every, list_filter(range(0, n), lambda i: q[i + 1] = 2) AS b FROM codes),
+full_at AS (SELECT doc_id, every, list_min(list_transform(list_filter(range(3, len(b) + 1), lambda j: b[j] - b[j - 2] < {K}), lambda j: greatest(b[j] - {K - 1}, 0))) AS stop FROM bad)
+SELECT doc_id, CAST(least(every, coalesce(stop, every)) AS BIGINT) AS n FROM full_at
+""")
+def mapper_windows(spark, sf_dir):
+    """How many k-mers of each text a mapper takes before the first of low quality."""
+    text = F.coalesce("text", F.lit(""))
+    return _t(spark, sf_dir, "documents").select("doc_id", kmer_windows(text, text, K, q_offset=_MAPPER_OFFSET).cast("long").alias("n"))
+
+
+_PER_FILE, _SAMPLE_SEED = 20, 1
+_WORD = f"CAST({(1 << 64) - 1} AS UHUGEINT)"
+
+
+def _mixed(x: str, shift: int, factor: int) -> str:
+    """(x xor x >> shift) * factor modulo 2**64, of 64-bit numbers."""
+    return f"((xor({x}, {x} >> {shift}) * CAST({factor} AS UHUGEINT)) & {_WORD})"
+
+
+@query(f"""
+WITH places AS (SELECT coalesce(source, '') AS sample, coalesce(lang, '') AS part, doc_id, text, unnest(range(0, length(text) - {K - 1})) AS place FROM documents WHERE length(text) >= {K}),
+a AS (SELECT *, (CAST(doc_id AS UHUGEINT) * CAST({0x9E3779B97F4A7C15} AS UHUGEINT) + CAST(place + {_SAMPLE_SEED} AS UHUGEINT)) & {_WORD} AS x FROM places),
+b AS (SELECT * EXCLUDE (x), {_mixed("x", 30, hyperplane._MIX[0])} AS x FROM a), c AS (SELECT * EXCLUDE (x), {_mixed("x", 27, hyperplane._MIX[1])} AS x FROM b),
+d AS (SELECT *, xor(x, x >> 31) >> 1 AS rank FROM c)
+SELECT sample, part, CAST(rank AS BIGINT) AS rank, substr(text, place + 1, {K}) AS seq FROM d QUALIFY row_number() OVER (PARTITION BY sample, part ORDER BY rank, doc_id, place) <= {_PER_FILE}
+""")
+def sampled_kmers(spark, sf_dir):
+    """Of each file exactly so many k-mers, or all there are: those with the smallest hashes of record and place."""
+    return hyperplane.bottom_kmers(_reads(spark, sf_dir), K, _PER_FILE, _SAMPLE_SEED).select("sample", "part", "rank", "seq")
+
+
 @query("""
 WITH dna AS (SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents)
 SELECT doc_id, translate(reverse(seq), 'ACGT', 'TGCA') AS rc,
@@ -337,7 +407,7 @@ def recentred_clusters(spark, sf_dir):
 def truncated_svd_spectrum(spark, sf_dir):
     """Leading singular values over samples of source and language, by distributed products, and the share of all squares up to each."""
     docs = _t(spark, sf_dir, "documents").select(F.concat_ws("|", "source", "lang").alias("source"), "text")
-    counts = stored(abundance.saturated(bin_counts(docs, "source", "text", K, BITS).withColumnRenamed("source", "sample")), "counts")
+    counts = _kept_by_bin(partial_counts(docs, "source", "text", K, BITS).withColumnRenamed("source", "sample"))
     found = svd.decompose(stored(abundance.conditioned(counts, abundance.idf_weights(counts), BITS), "conditioned"), rank=10, tolerance=1e-9)
     share = np.cumsum(found.sigma**2) / max(found.energy, 1e-300)
     return spark.createDataFrame([(i, round(float(x), 4), round(float(y), 6)) for i, (x, y) in enumerate(zip(found.sigma, share))], "dim int, sigma double, share double")

@@ -33,14 +33,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, label: str, column: str, buckets: int | None = None, path: str | None = None) -> DataFrame:
+def bucketed(df: DataFrame, label: str, column: str, buckets: int | None = None, path: str | None = None, dealt: bool = False) -> DataFrame:
     """``stored`` with the rows of a bucket in one sorted file: joins and sums by the column read it without an exchange.
 
-    The table has a name of its own in the session's catalog, as buckets are known by the catalog only.
+    The table has a name of its own in the session's catalog, as buckets are known by the catalog only. ``dealt``: the rows
+    are hashed by the column over as many partitions already.
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"{label.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
-    rows = df.repartition(buckets, column)
+    rows = df if dealt else df.repartition(buckets, column)
     rows.write.bucketBy(buckets, column).sortBy(column).option("path", path or new_path(spark, label)).mode("overwrite").saveAsTable(name)
     return spark.table(name)

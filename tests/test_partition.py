@@ -84,3 +84,16 @@ def test_kmers_of_reads_are_counted_where_they_lie(spark):
     frame = spark.createDataFrame([(1, [5, 5, 2]), (2, []), (3, None), (4, [7])], "read long, bins array<long>")
     rows = partition.read_kmers(frame)
     assert sorted(tuple(r) for r in rows.collect()) == [(1, 2, 1), (1, 5, 2), (4, 7, 1)] and not exchanges(rows.where(F.lit(True)))
+
+
+def test_what_is_kept_by_bin_is_summed_and_joined_without_an_exchange(spark, sf_dir):
+    from strandloom.operators import abundance, spectral
+    from strandloom.plans import queries
+
+    counts = queries._counts(spark, sf_dir)
+    by_bin = lambda df: [x for x in exchanges(df) if "(bin#" in x]
+    assert by_bin(abundance.saturated_by_bin(queries._partial(spark, sf_dir), 4)) and not by_bin(abundance.idf_weights(counts))
+    rows = abundance.conditioned(counts, abundance.idf_weights(counts), queries.BITS)
+    assert not by_bin(rows)
+    assert not by_bin(spectral._by_bin(bucketed(rows, "conditioned", "bin", dealt=True), spectral.sample_names(rows)))
+    assert counts.count() == queries._bin_counts(spark, sf_dir).count()

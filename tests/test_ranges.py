@@ -37,7 +37,7 @@ def test_a_file_cut_at_every_byte_gives_the_records_of_the_whole(end, tail):
         assert [tuple(x.decode() for x in r) for r in first + rest] == given, cut
 
 
-@pytest.mark.parametrize("step", [1, 7, 100, 1 << 20])
+@pytest.mark.parametrize("step", [5, 100, 1 << 20])
 def test_fastq_by_ranges_is_fastq_by_files(spark, tmp_path, step):
     (tmp_path / "s1.x.fastq.001").write_text(text(some_records(8, 1)) + "@cut\nACG")
     (tmp_path / "s2.fastq").write_bytes(gzip.compress(text(some_records(30, 2)).encode()))

