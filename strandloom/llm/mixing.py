@@ -109,7 +109,12 @@ def _with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, copies."""
+    """Per document: doc_id, size, source_size, target, taken, copies.
+
+    A null text has size 0, a null source is a source of its own, last in order. A document's place in its source depends on its
+    id alone, so rows of one id (null ids are one) and ties go the same way, and each counts by itself; a source may be named
+    by one document only. An empty table gives no rows; other columns are ignored.
+    """
     sized, cuts = mix_sources(docs, **how)
     return _with_cuts(sized, cuts).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
@@ -117,7 +122,10 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, repeated as often as they are taken, with their own columns."""
+    """The documents of the mix, repeated as often as they are taken, with their own columns, whatever their names.
+
+    Null sources, ids and texts, repeated rows and an empty table as in ``mix_report``; texts of any length move only once.
+    """
     names = docs.columns
     _, cuts = mix_sources(docs, **how)
     cuts = cuts.select(*[F.col(c).alias(f"_mix_{c}") for c in cuts.columns])

@@ -488,7 +488,8 @@ def document_scores(docs: DataFrame, order: int = ORDER, folds: int = 7, held_ou
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learned from documents outside the held-out fold; a null id is held out. Repeated rows count as often as
-    they come. Without a training document every token has probability 1.
+    they come. A null or empty text is one token, its end. Without a training document every token has probability 1. An
+    empty table gives no rows; other columns are ignored.
     """
     held = fold(F.col("doc_id"), folds) == held_out_fold
     meta = train(docs.where(~held), order)

@@ -171,7 +171,11 @@ def scored(docs: DataFrame, model: Ranker) -> DataFrame:
 
 
 def predictions(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted (score >= THRESHOLD), rank_score. A null id is held out."""
+    """Per document: doc_id, held_out, score, predicted (score >= THRESHOLD), rank_score. A null id is held out.
+
+    Nulls, empty and long texts, repeated rows and an empty table as in ``scored``; a label of a document that isn't there
+    teaches nothing, and equal texts score alike.
+    """
     held = F.coalesce(fold(F.col("doc_id"), folds) == held_out_fold, F.lit(True))
     return scored(docs, train(docs, labels, folds, held_out_fold)).select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "rank_score"

@@ -123,8 +123,8 @@ def _scan_batch(batch: pa.RecordBatch):
 def findings(docs: DataFrame, ledger: BlobLedger | None = None, versions: Iterable[str] = tuple(RULES)) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_spans.
 
-    Null texts are empty, empty texts have no spans, repeated rows repeat their findings, null ids are kept. An empty
-    table gives no rows; texts of any length are scanned whole.
+    Null texts are empty, empty texts have no spans, repeated rows repeat their findings, null ids are kept. Spans that begin
+    at one place stand in the order of their kinds. An empty table gives no rows; texts of any length are scanned whole.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     paths = ledger.scan(docs.select(F.col("doc_id").alias("path"), "text"), versions)
