@@ -9,8 +9,10 @@ list, and a node, which is one list of one chunk of vectors, sees its own compon
    in one list at least, so each node hands on its entries from that share on, and no others.
 3. What one list named and another did not is looked up there, pair by pair, and the k best totals stand.
 
-Queries and vectors meet in blocks: a join of blocks on a dealt cell gives a row for each pair of blocks. Scores are whole
-numbers; products are taken in doubles where they stay exact (below 2**53) and in 64-bit integers beyond.
+Queries and vectors meet in blocks: a join of blocks on a dealt cell gives a row for each pair of blocks. Joins that carry
+matrices are merge joins: a file of matrices says little of their size, least of all with a row for each cell, and a broadcast
+of them would pass through the driver. Scores are whole numbers; products are taken in doubles where they stay exact (below
+2**53) and in 64-bit integers beyond.
 """
 
 from __future__ import annotations
@@ -159,8 +161,9 @@ def _resolved(entries: DataFrame, chunks: DataFrame, blocks: DataFrame, kind: st
     """(query_row, vec_id, score, low): the k best totals of each query in each chunk, ties to the smaller id (null last),
     and the least local scores of the query there, list by list."""
     named = entries.groupBy("block", "chunk").agg(F.sort_array(F.collect_list(F.struct("list", "q", "r", "s", "low"))).alias("entries"))
-    rows = named.join(chunks.select(F.col("block").alias("chunk"), F.col("ids"), F.col("mats").alias("mats")), "chunk")
-    rows = rows.join(blocks.select("block", F.col("rows").alias("query_rows"), F.col("mats").alias("query_mats")), "block")
+    # the queries' smaller matrices first: what is shuffled for each pair is theirs, and a chunk's is shuffled once
+    rows = named.join(blocks.select("block", F.col("rows").alias("query_rows"), F.col("mats").alias("query_mats")).hint("merge"), "block")
+    rows = rows.join(chunks.select(F.col("block").alias("chunk"), F.col("ids"), F.col("mats").alias("mats")).hint("merge"), "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +202,7 @@ def _with_cuts(blocks: DataFrame, found: DataFrame, lists: int, k: int) -> DataF
     each = blocks.select("block", F.posexplode("rows").alias("at", "query_row")).join(cuts, "query_row", "left")
     none = F.array(*[F.lit(_LEAST) for _ in range(lists)])
     per_block = each.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("cut", none).alias("cut"))))["cut"].alias("cuts"))
-    return blocks.join(per_block, "block")
+    return blocks.hint("merge").join(per_block, "block")
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = K, lists: int = LISTS, chunk_rows: int = CHUNK_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -214,7 +217,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, lists: int = LISTS, c
     bound_batches(spark)
     rows = vectors.where(F.col("vec").isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), "vec", queries.alias("is_query"))
     rows = table(rows, "topk-rows")
-    seen = rows.agg(F.max(F.size("vec")).alias("dims"), F.max(F.array_max("vec")).alias("most"), F.min(F.array_min("vec")).alias("least")).first()
+    seen = rows.agg(F.max(F.size("vec")).alias("dims"), F.max(F.array_max("vec")).alias("most"), F.min(F.array_min("vec")).alias("least"), F.count(F.lit(1)).alias("n")).first()
     dims, most = seen["dims"] or 0, max(abs(seen["most"] or 0), abs(seen["least"] or 0))
     if dims * most * most >= 1 << 62:
         raise ValueError("scores of these vectors can pass the limits of a long")
@@ -222,13 +225,14 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, lists: int = LISTS, c
     exact = "<f8" if dims * most * most < 1 << 53 else "<i8"
     chunks = table(_blocks(rows.select("row", "vec_id", "vec"), chunk_rows, dims, kind, lists), "topk-chunks")
     blocks = table(_blocks(rows.where("is_query").select("row", "vec_id", "vec"), block_rows, dims, kind, lists), "topk-queries")
-    cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # queries are repeated in every cell, so there are no more cells than chunks
+    cells = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen["n"] // chunk_rows)))
     nodes = chunks.select(F.col("block").alias("chunk"), "rows", F.posexplode("mats").alias("list", "mat")).withColumn("cell", F.pmod(F.xxhash64("chunk"), F.lit(cells)))
 
     def met(asked: DataFrame, *more: str) -> DataFrame:
         every_cell = F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))
         lists_of = asked.select("block", F.col("rows").alias("query_rows"), *more, F.posexplode("mats").alias("list", "query_mat")).withColumn("cell", F.explode(every_cell))
-        return nodes.join(lists_of, ["list", "cell"])
+        return nodes.join(lists_of.hint("merge"), ["list", "cell"])
 
     columns = ("block", "chunk", "list", "rows", "mat", "query_rows", "query_mat")
     first = _local(met(blocks).select(*columns), kind, exact, k)

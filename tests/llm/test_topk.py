@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +83,20 @@ def test_the_cutoff_spares_most_entries(spark):
     entries = seen[1].agg(F.sum(F.length("q") / 2)).first()[0]
     assert n == topk.K * queries
     assert entries < 0.2 * queries * rows * topk.LISTS
+
+
+def test_no_matrix_goes_through_the_driver(spark, odd, monkeypatch):
+    """Neither in the phases that are written nor in the last: a broadcast of matrices is collected by the driver."""
+    plans = []
+    written = topk.table
+
+    def seen(df, label):
+        plans.append(df)
+        return written(df, label)
+
+    monkeypatch.setattr(topk, "table", seen)
+    plans.append(topk.nearest_vectors(spark.createDataFrame([(i, v, "", "") for i, v in odd], VECTORS)))
+    mode = spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = "\n".join(df._jdf.queryExecution().explainString(mode) for df in plans)
+    sent = re.findall(r"\) BroadcastExchange\s+Input \[\d+\]: \[(.*?)\]", text)
+    assert "SortMergeJoin" in text and not [x for x in sent if "mat" in x]
