@@ -42,6 +42,20 @@ _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[97:123] -= 32
 
 
+#: Bytes of reads hashed at once; a longer read is hashed alone.
+SLICE_BYTES = 1 << 18
+
+
+def read_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in row ranges of so many bytes of one of its columns, so that what a kernel holds doesn't grow with a batch."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))])
+    row = 0
+    while row < batch.num_rows:
+        end = min(batch.num_rows, max(row + 1, int(np.searchsorted(ends, ends[row] + limit, side="right")) - 1))
+        yield batch.slice(row, end - row)
+        row = end
+
+
 def batch_coordinates(seq: pa.Array, qual: pa.Array | None, kept: np.ndarray | None, q_offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(coordinates, sizes) of a batch's reads behind one another, each as ``coordinates`` has it of its upper-case bases.
 
@@ -221,7 +235,7 @@ def hash_reads(reads: DataFrame, wheels: list[tuple], k: int, q_offset: int = 33
     """The reads with ``bins``, the bins of all their windows over all wheels. The wheels have a fixed size and are broadcast.
 
     Columns ``kept`` and ``q_offset``, if there are any (see ``ingest.prepared``), say how many bases of a read count
-    and what its qualities start from. Reads of a batch are hashed together; windows that span two reads are left out.
+    and what its qualities start from. Reads of a slice are hashed together; windows that span two reads are left out.
     ``strands`` adds ``fwd`` and ``back``, the bins of the windows and of their reverse complements before one is chosen.
     """
     shared = reads.sparkSession.sparkContext.broadcast(wheels)
@@ -231,19 +245,23 @@ def hash_reads(reads: DataFrame, wheels: list[tuple], k: int, q_offset: int = 33
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = plane_matrices(shared.value)
         for batch in batches:
-            given = lambda c: batch.column(names.index(c)) if c in names else None  # noqa: B023, E731
-            whole = lambda c, other: np.full(batch.num_rows, other) if c is None else pc.fill_null(c, other).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-            kept = given("kept")
-            flat, size = batch_coordinates(given("seq"), given("qual"), None if kept is None else whole(kept, 1 << 30), whole(given("q_offset"), q_offset))
-            ahead, back = strand_bins(flat, planes, k, both_strands or strands)
-            bins = ahead
-            if both_strands:
-                forward = ahead % 1_000_000 <= back % 1_000_000 if tie_forward else ahead % 1_000_000 < back % 1_000_000
-                bins = np.where(forward, ahead, back)
-            inside = np.arange(len(bins)) + k <= np.repeat(np.cumsum(size), size)[: len(bins)]
-            ends = pa.array(np.concatenate([[0], np.cumsum(np.maximum(size - k + 1, 0)) * len(planes)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x[inside].ravel())) for x in ((bins, ahead, back) if strands else (bins,))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*names, "bins", *(["fwd", "back"] if strands else [])])
+            for part in read_slices(batch, names.index("seq")):
+                yield hashed(part, planes)
+
+    def hashed(batch: pa.RecordBatch, planes: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        given = lambda c: batch.column(names.index(c)) if c in names else None
+        whole = lambda c, other: np.full(batch.num_rows, other) if c is None else pc.fill_null(c, other).to_numpy(zero_copy_only=False)
+        kept = given("kept")
+        flat, size = batch_coordinates(given("seq"), given("qual"), None if kept is None else whole(kept, 1 << 30), whole(given("q_offset"), q_offset))
+        ahead, back = strand_bins(flat, planes, k, both_strands or strands)
+        bins = ahead
+        if both_strands:
+            forward = ahead % 1_000_000 <= back % 1_000_000 if tie_forward else ahead % 1_000_000 < back % 1_000_000
+            bins = np.where(forward, ahead, back)
+        inside = np.arange(len(bins)) + k <= np.repeat(np.cumsum(size), size)[: len(bins)]
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.maximum(size - k + 1, 0)) * len(planes)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x[inside].ravel())) for x in ((bins, ahead, back) if strands else (bins,))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*names, "bins", *(["fwd", "back"] if strands else [])])
 
     return reads.mapInArrow(run, fields)
 
