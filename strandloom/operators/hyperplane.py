@@ -127,25 +127,32 @@ def bottom_kmers(reads: DataFrame, k: int, per_file: int, seed: int = 1) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, pa.Table] = {}
-        for batch in batches:
+        numbers: dict[tuple, int] = {}
+        least: list[int] = []  # the largest rank that a file still takes
+        for batch in (part for whole in batches for part in read_slices(whole, 3)):
             files = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            numbers = {f: i for i, f in enumerate(dict.fromkeys(files))}
-            file = np.array([numbers[f] for f in files], dtype=np.int64)
+            file = np.array([numbers.setdefault(f, len(numbers)) for f in files], dtype=np.int64)
+            least += [np.iinfo(np.int64).max] * (len(numbers) - len(least))
             windows = batch.column(5).to_numpy() - k + 1
             row = np.repeat(np.arange(len(files)), windows)
             at = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-            rank = _kmer_hash(seed, batch.column(2).to_numpy()[row], at)
-            for name, i in numbers.items():
+            rank = (_kmer_hash(seed, batch.column(2).to_numpy()[row], at) >> np.uint64(1)).astype(np.int64)
+            near = np.flatnonzero(rank <= np.array(least, dtype=np.int64)[file][row])
+            row, at, rank = row[near], at[near], rank[near]
+            for i in np.unique(file[row]):
                 own = np.flatnonzero(file[row] == i)
                 if len(own) > per_file:
-                    own = own[np.argpartition(rank[own], per_file - 1)[:per_file]]
+                    own = own[rank[own] <= np.partition(rank[own], per_file - 1)[per_file - 1]]
                 cut = lambda c: pa.array([None if (s := batch.column(c)[int(row[j])].as_py()) is None else s[at[j] : at[j] + k] for j in own], pa.string())  # noqa: B023, E731
                 part = pa.table({
-                    "rank": pa.array((rank[own] >> np.uint64(1)).astype(np.int64)), "rec_no": batch.column(2).take(pa.array(row[own])), "at": pa.array(at[own], pa.int64()),
+                    "rank": pa.array(rank[own]), "rec_no": batch.column(2).take(pa.array(row[own])), "at": pa.array(at[own], pa.int64()),
                     "seq": cut(3), "qual": cut(4), "q_offset": batch.column(6).take(pa.array(row[own])),
                 })
+                name = files[int(row[own[0]])]
                 both = pa.concat_tables([held[name], part]) if name in held else part
-                held[name] = both.sort_by([("rank", "ascending"), ("rec_no", "ascending"), ("at", "ascending")]).slice(0, per_file)
+                held[name] = both.sort_by([("rank", "ascending"), ("rec_no", "ascending"), ("at", "ascending")]).slice(0, per_file).combine_chunks()
+                if held[name].num_rows == per_file:
+                    least[i] = held[name].column("rank")[-1].as_py()
         for (sample, part), table in held.items():
             for piece in table.combine_chunks().to_batches():
                 n = piece.num_rows
