@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text handled at once; a longer text is handled alone.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 
 
 def coefficients(k: int, bits: int, factor: int = 1_000_003) -> list[int]:
@@ -45,8 +45,9 @@ def window_bins(codes: np.ndarray, offsets: np.ndarray, k: int, bits: int) -> tu
     return row[:n][inside], (total[inside] & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-#: Distinct (key, bin) that a task holds before it hands them on.
-HELD_BINS = 4_000_000
+#: Counters of bins that a task holds (4 bytes each), by whole keys; what its other keys have is held as distinct (key, bin), so
+#: many at most. A counter is handed on before it can overflow.
+COUNTERS, HELD_BINS, MOST_WINDOWS = 24 << 20, 1_000_000, 1 << 31
 
 
 def spread_out(texts: DataFrame) -> DataFrame:
@@ -72,13 +73,16 @@ def bin_counts(texts: DataFrame, key: str, text: str, k: int, bits: int) -> Data
 
 
 def partial_counts(texts: DataFrame, key: str, text: str, k: int, bits: int) -> DataFrame:
-    """(key, bin, cnt) to be added up: a task adds up all its texts and hands on each (key, bin) once for every HELD_BINS of them."""
+    """(key, bin, cnt) to be added up. A task has a counter for each bin of its first keys and hands on what it counted at its
+    end, so each (key, bin) once; of further keys it hands on each (key, bin) once for every HELD_BINS of them."""
     kind = dict(texts.dtypes)[key]
+    dense = COUNTERS >> bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict = {}
+        counters = np.zeros(0, dtype=np.uint32)
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        size = windows = 0
         arrow = None
 
         def told(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -87,22 +91,38 @@ def partial_counts(texts: DataFrame, key: str, text: str, k: int, bits: int) ->
                 part = codes[at : at + (1 << 18)]
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(part >> bits)), pa.array(part & ((1 << bits) - 1)), pa.array(n[at : at + (1 << 18)])], names=[key, "bin", "cnt"])
 
+        def counted() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(counters), 1 << 18):
+                there = np.flatnonzero(counters[at : at + (1 << 18)]) + at
+                yield from told(there, counters[there].astype(np.int64))
+
         for batch in batches:
             arrow = batch.column(0).type
             number = np.array([numbers.setdefault(x, len(numbers)) for x in batch.column(0).to_pylist()], dtype=np.int64)
+            if len(counters) < min(len(numbers), dense) << bits:
+                counters = np.concatenate([counters, np.zeros((min(len(numbers), dense) << bits) - len(counters), dtype=np.uint32)])
             for a, _, codes, offsets in char_slices(batch.column(1)):
                 row, bins = window_bins(codes, offsets, k, bits)
-                both, n = np.unique((number[a + row] << bits) | bins, return_counts=True)
-                held.append((both, n))
-                size += len(both)
-            if size >= HELD_BINS:
-                held = [_added(held)]
-                size = len(held[0][0])
-                if size > HELD_BINS // 2:
-                    yield from told(*held[0])
-                    numbers, held, size = {}, [], 0
+                both = (number[a + row] << bits) | bins
+                if windows + len(both) >= MOST_WINDOWS:
+                    yield from counted()
+                    counters[:], windows = 0, 0
+                windows += len(both)
+                if len(numbers) > dense:
+                    rare = both[both >= len(counters)]
+                    both = both[both < len(counters)]
+                    held.append(np.unique(rare, return_counts=True))
+                    size += len(held[-1][0])
+                np.add.at(counters, both, np.uint32(1))
+                if size >= HELD_BINS:
+                    held = [_added(held)]
+                    size = len(held[0][0])
+                    if size > HELD_BINS // 2:
+                        yield from told(*held[0])
+                        held, size = [], 0
         if held:
             yield from told(*_added(held))
+        yield from counted()
 
     return spread_out(texts.select(key, text)).mapInArrow(run, f"`{key}` {kind}, bin long, cnt long")
 

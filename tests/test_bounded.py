@@ -1,11 +1,14 @@
 """What a kernel holds doesn't grow with a batch: kernels run here on one large batch, in this process."""
 
 import tracemalloc
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from strandloom.functions import kmer
 from strandloom.operators import hyperplane
 
 from .test_prepared import K, planes
@@ -18,7 +21,7 @@ class Frame:
 
     def __init__(self, **kinds):
         self.columns, self.dtypes = list(kinds), list(kinds.items())
-        self.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+        self.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(defaultParallelism=1, broadcast=lambda x: SimpleNamespace(value=x)))
 
     def select(self, *_):
         return self
@@ -52,3 +55,28 @@ def test_slices_are_the_whole_batch_in_order():
     batch = pa.RecordBatch.from_arrays([pa.array(seqs)], names=["seq"])
     parts = list(hyperplane.read_slices(batch, 0, 5))
     assert [p.num_rows for p in parts] == [2, 1, 3] and pa.Table.from_batches(parts).column(0).to_pylist() == seqs
+
+
+def test_a_batch_of_texts_is_counted_in_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array([f"s{i % 3}" for i in range(1500)]), pa.array(texts())], names=["key", "text"])
+    most, _ = peak(kmer.partial_counts(Frame(key="string", text="string"), "key", "text", 12, 20), batch)
+    assert most < 100
+
+
+@pytest.mark.parametrize("counters,held,windows", [(24 << 20, 1000, 1 << 31), (2 << 10, 40, 1 << 31), (0, 40, 1 << 31), (3 << 10, 40, 900)])
+def test_counts_in_counters_and_beyond(monkeypatch, counters, held, windows):
+    """Keys with counters, keys without, and counters handed on before they overflow."""
+    monkeypatch.setattr(kmer, "COUNTERS", counters)
+    monkeypatch.setattr(kmer, "HELD_BINS", held)
+    monkeypatch.setattr(kmer, "MOST_WINDOWS", windows)
+    keys, rows = ["b", None, "a", "c", "b"] * 4, [*texts(16, 60), None, "", "AC", "\u00e9\U0001F600" * 9]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 6]), pa.array(rows[i : i + 6])], names=["key", "text"]) for i in range(0, 20, 6)]
+    want, got, n = Counter(), Counter(), 0
+    for key, text in zip(keys, rows):
+        for i in range(len(text or "") - 4):
+            want[key, sum(ord(c) * x for c, x in zip(text[i : i + 5], kmer.coefficients(5, 10))) % 1024] += 1
+    for out in kmer.partial_counts(Frame(key="string", text="string"), "key", "text", 5, 10)(iter(batches)):
+        n += out.num_rows
+        for row in out.to_pylist():
+            got[row["key"], row["bin"]] += row["cnt"]
+    assert got == want and (counters < 24 << 20 or n == len(want))
