@@ -127,20 +127,6 @@ def partial_counts(texts: DataFrame, key: str, text: str, k: int, bits: int) ->
     return spread_out(texts.select(key, text)).mapInArrow(run, f"`{key}` {kind}, bin long, cnt long")
 
 
-def text_bins(texts: DataFrame, key: str, text: str, k: int, bits: int) -> DataFrame:
-    """(key, bins): the bins of each text's windows, in order. A row for each text; null counts as empty."""
-    kind = dict(texts.dtypes)[key]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, codes, offsets in char_slices(batch.column(1)):
-                row, bins = window_bins(codes, offsets, k, bits)
-                ends = np.searchsorted(row, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bins))], names=[key, "bins"])
-
-    return spread_out(texts.select(key, text)).mapInArrow(run, f"`{key}` {kind}, bins array<long>")
-
-
 def text_kmers(texts: DataFrame, text: str, k: int, bits: int) -> DataFrame:
     """(bin, kmer, n): the windows of k characters of all texts with their bins, added up in each batch."""
 

@@ -7,13 +7,15 @@ larger one is kept in buckets by bin, and only the reads' bins are shuffled to i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kmer import char_slices, spread_out, window_bins
 from ..functions.vectors import log_likelihood_ratio
 
 #: A ratio over this assigns a read.
@@ -22,8 +24,8 @@ LEAST_RATIO = 3.84
 MOST_SHARE, LEAST_PRIOR = 0.2, 0.00002
 #: A bin table up to so many bytes, at BIN_BYTES a bin and 4 a cluster of it, goes to all tasks.
 LOOKUP_BYTES, BIN_BYTES = 64 << 20, 24
-#: Bins of reads looked up at once.
-SLICE_BINS = 1 << 20
+#: Bins of reads looked up at once, bins that a table finds by place rather than by search, and sums of rows and clusters kept densely.
+SLICE_BINS, PLACES, DENSE_SUMS = 1 << 18, 16 << 20, 1 << 22
 
 
 def bin_table(members: DataFrame, weights: DataFrame) -> DataFrame:
@@ -54,62 +56,113 @@ def _lookup(bins: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return ids[order], got.column(1).to_numpy()[order], np.concatenate([[0], np.cumsum(sizes)]), lists.flatten().to_numpy(zero_copy_only=False)
 
 
-def _sums(row: np.ndarray, bin_: np.ndarray, rows: int, table: tuple[np.ndarray, ...], distinct: bool) -> tuple[np.ndarray, ...]:
+def _places(ids: np.ndarray) -> np.ndarray | None:
+    """Where each bin is in a table, one beyond it where it isn't; none if the bins are too large for an array of places."""
+    if not len(ids) or ids[0] < 0 or ids[-1] >= PLACES:
+        return None
+    places = np.full(int(ids[-1]) + 2, len(ids), dtype=np.int32)
+    places[ids] = np.arange(len(ids), dtype=np.int32)
+    return places
+
+
+def _found(bin_: np.ndarray, ids: np.ndarray, places: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Which bins a table knows, and where those are."""
+    if places is not None:
+        at = places[np.where(bin_ < 0, len(places) - 1, np.minimum(bin_, len(places) - 1))]
+        known = at < len(ids)
+    else:
+        at = np.minimum(np.searchsorted(ids, bin_), max(0, len(ids) - 1))
+        known = ids[at] == bin_ if len(ids) else np.zeros(len(bin_), dtype=bool)
+    return known, at[known].astype(np.int64)
+
+
+def _sums(row: np.ndarray, bin_: np.ndarray, rows: int, table: tuple[np.ndarray, ...], distinct: bool, places: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(row, cluster, m, s) of rows' bins."""
     ids, gw, begin, flat = table
-    at = np.minimum(np.searchsorted(ids, bin_), max(0, len(ids) - 1))
-    known = ids[at] == bin_ if len(ids) else np.zeros(len(bin_), dtype=bool)
-    row, at = row[known], at[known]
+    known, at = _found(bin_, ids, places)
+    row = row[known]
     size = begin[at + 1] - begin[at]
     counted = np.ones(len(at), dtype=bool) if distinct else size > 0
     total = np.bincount(row[counted], weights=gw[at[counted]], minlength=rows)
     if distinct:
-        both = np.unique(row * len(ids) + at)
+        both = np.sort(row * len(ids) + at)
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
         row, at = both // max(1, len(ids)), both % max(1, len(ids))
         size = begin[at + 1] - begin[at]
     each = np.repeat(np.arange(len(at)), size)
     cluster = flat[begin[at][each] + np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)]
-    order = np.lexsort((cluster, row[each]))
-    r, c, w = row[each][order], cluster[order], gw[at[each]][order]
-    first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])])) if len(r) else np.zeros(0, dtype=np.int64)
-    return r[first], c[first], total[r[first]], np.add.reduceat(w, first) if len(first) else w
+    r, w = row[each], gw[at[each]]
+    if not len(r):
+        return r, cluster, total[r], w
+    least, wide = int(cluster.min()), int(cluster.max()) - int(cluster.min()) + 1
+    if rows * wide <= DENSE_SUMS:
+        code = r * wide + (cluster - least)
+        there = np.flatnonzero(np.bincount(code, minlength=rows * wide))
+        return there // wide, there % wide + least, total[there // wide], np.bincount(code, weights=w, minlength=rows * wide)[there]
+    order = np.lexsort((cluster, r))
+    r, c, w = r[order], cluster[order], w[order]
+    first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])]))
+    return r[first], c[first], total[r[first]], np.add.reduceat(w, first)
+
+
+#: (first row, rows, row of each bin, bin) of slices of a batch.
+Slices = Iterator[tuple[int, int, np.ndarray, np.ndarray]]
+
+
+def _list_slices(lists: pa.ListArray) -> Slices:
+    size = np.diff(lists.offsets.to_numpy())
+    if lists.null_count:
+        size = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, size)
+    flat, ends = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
+    first = 0
+    while first < len(lists):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE_BINS, side="right")) - 1)
+        yield first, last - first, np.repeat(np.arange(last - first), size[first:last]), flat[ends[first] : ends[last]]
+        first = last
+
+
+def _text_slices(k: int, bits: int) -> Callable[[pa.Array], Slices]:
+    def run(texts: pa.Array) -> Slices:
+        for a, b, codes, offsets in char_slices(texts):
+            yield a, b - a, *window_bins(codes, offsets, k, bits)
+
+    return run
 
 
-def _evidence_by_lookup(reads: DataFrame, table: tuple[np.ndarray, ...], distinct: bool) -> DataFrame:
+def _evidence_by_lookup(reads: DataFrame, column: str, slices: Callable[[pa.Array], Slices], table: tuple[np.ndarray, ...], distinct: bool) -> DataFrame:
     shared = reads.sparkSession.sparkContext.broadcast(table)
     kind = dict(reads.dtypes)["read"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _places(shared.value[0])
         for batch in batches:
-            lists = batch.column(1)
-            size = np.diff(lists.offsets.to_numpy())
-            if lists.null_count:
-                size = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, size)
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
-            first = 0
-            while first < batch.num_rows:
-                last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE_BINS, side="right")) - 1)
-                row = np.repeat(np.arange(last - first), size[first:last])
-                r, c, m, s = _sums(row, flat[ends[first] : ends[last]], last - first, shared.value, distinct)
+            for first, rows, row, bins in slices(batch.column(1)):
+                r, c, m, s = _sums(row, bins, rows, shared.value, distinct, places)
                 if len(r):
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r + first)), pa.array(c, pa.int32()), pa.array(m), pa.array(s)], names=["read", "cluster", "m", "s"])
-                first = last
 
-    return reads.select("read", "bins").mapInArrow(run, f"read {kind}, cluster int, m double, s double")
+    return reads.select("read", column).mapInArrow(run, f"read {kind}, cluster int, m double, s double")
 
 
-def read_kmers(reads: DataFrame) -> DataFrame:
-    """(read, bin, n) of reads (read, bins): a read's bins and how often each comes, told where the read lies."""
+def _kmers_of(reads: DataFrame, column: str, slices: Callable[[pa.Array], Slices]) -> DataFrame:
     kind = dict(reads.dtypes)["read"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column(1)[i].is_valid and len(batch.column(1)[i]):
-                    bins, n = np.unique(batch.column(1)[i].values.to_numpy(zero_copy_only=False), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(bins), i))), pa.array(bins), pa.array(n)], names=["read", "bin", "n"])
+            for first, _, row, bins in slices(batch.column(1)):
+                order = np.lexsort((bins, row))
+                row, bins = row[order], bins[order]
+                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bins[1:] != bins[:-1])])) if len(row) else row
+                n = np.diff(np.concatenate([new, [len(row)]]))
+                if len(new):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new] + first)), pa.array(bins[new]), pa.array(n)], names=["read", "bin", "n"])
+
+    return reads.select("read", column).mapInArrow(run, f"read {kind}, bin long, n long")
 
-    return reads.select("read", "bins").mapInArrow(run, f"read {kind}, bin long, n long")
+
+def read_kmers(reads: DataFrame) -> DataFrame:
+    """(read, bin, n) of reads (read, bins): a read's bins and how often each comes, told where the read lies."""
+    return _kmers_of(reads, "bins", _list_slices)
 
 
 def evidence_by_join(kmers: DataFrame, bins: DataFrame, distinct: bool = False) -> DataFrame:
@@ -135,10 +188,19 @@ def read_evidence(reads: DataFrame, bins: DataFrame, distinct: bool = False, loo
     rule: m takes all weighed bins with multiplicity, s a cluster's distinct ones. Reads without bins have no rows, null
     bins count as none. The bin table should be a written one.
     """
+    return _evidence(reads, "bins", _list_slices, bins, distinct, lookup_bytes)
+
+
+def text_evidence(texts: DataFrame, k: int, bits: int, bins: DataFrame, distinct: bool = False, lookup_bytes: int = LOOKUP_BYTES) -> DataFrame:
+    """``read_evidence`` of texts (read, text), whose bins are made and summed up in one kernel and are never a column."""
+    return _evidence(spread_out(texts.select("read", "text")), "text", _text_slices(k, bits), bins, distinct, lookup_bytes)
+
+
+def _evidence(reads: DataFrame, column: str, slices: Callable[[pa.Array], Slices], bins: DataFrame, distinct: bool, lookup_bytes: int) -> DataFrame:
     table = _lookup(bins, lookup_bytes)
     if table is not None:
-        return _evidence_by_lookup(reads, table, distinct)
-    return evidence_by_join(read_kmers(reads), bins, distinct)
+        return _evidence_by_lookup(reads, column, slices, table, distinct)
+    return evidence_by_join(_kmers_of(reads, column, slices), bins, distinct)
 
 
 def best_cluster(evidence: DataFrame, stats: DataFrame, least: float = LEAST_RATIO, share: float = 0.8) -> DataFrame:
@@ -164,8 +226,13 @@ def memberships(reads: DataFrame, bins: DataFrame, stats: DataFrame, hash_size:
 
     The total takes all of a read's k-mers with multiplicity, a cluster's part its distinct ones.
     """
+    return rated_memberships(read_evidence(reads, bins, True, lookup_bytes), stats, hash_size, least)
+
+
+def rated_memberships(evidence: DataFrame, stats: DataFrame, hash_size: int, least: float = LEAST_RATIO) -> DataFrame:
+    """``memberships`` of what ``read_evidence`` or ``text_evidence`` found by the older rule."""
     usable = stats.where((F.col("size") < MOST_SHARE * (1 << hash_size)) & (F.col("prob") > LEAST_PRIOR))
-    rated = read_evidence(reads, bins, True, lookup_bytes).join(usable.select("cluster", "prob"), "cluster")
+    rated = evidence.join(usable.select("cluster", "prob"), "cluster")
     rated = rated.withColumn("llr", log_likelihood_ratio(F.col("m"), F.col("s"), F.col("prob")))
     return rated.where(F.col("llr") > least).select("read", "cluster", "llr")
 

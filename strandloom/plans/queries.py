@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kmer import mapper_windows as kmer_windows
-from ..functions.kmer import canonical_bin, coefficients, hamming, mate_id, pair_key, partial_counts, read_base_id, reverse_complement, text_bins, text_kmers, trimmed_length
+from ..functions.kmer import canonical_bin, coefficients, hamming, mate_id, pair_key, partial_counts, read_base_id, reverse_complement, text_kmers, trimmed_length
 from ..operators import abundance, chain, cluster, hyperplane, ingest, metric, pairs, partition, planted, reports, spectral, svd
 from ..sources import fastq
 from .stored import bucketed, stored
@@ -440,7 +440,7 @@ found AS (SELECT read, cluster, {_RATIO} AS llr FROM parts JOIN totals USING (re
 
 
 def _read_tables(spark, sf_dir, keep=stored):
-    """(reads with their bins, bin table, priors). One sum by bin gives both a bin's weight and its owner."""
+    """(texts of reads, bin table, priors). One sum by bin gives both a bin's weight and its owner."""
     counts = _counts(spark, sf_dir)
     names = sorted(r[0] for r in counts.select("sample").distinct().collect())
     numbers = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]) if names else F.lit(None).cast("map<string,int>")
@@ -448,18 +448,18 @@ def _read_tables(spark, sf_dir, keep=stored):
     seen = counts.groupBy("bin").agg(F.count("*").alias("df"), F.max(F.struct("cnt", "sample")).alias("top"), F.sum("cnt").alias("t"))
     owner = F.when(F.col("top.cnt") * 2 > F.col("t"), F.array(numbers[F.col("top.sample")]))
     bins = keep(seen.select("bin", abundance.idf(F.lit(len(names)), F.col("df")).alias("gw"), owner.alias("clusters")), "bins")
-    reads = text_bins(_t(spark, sf_dir, "documents"), "doc_id", "text", K, BITS).withColumnRenamed("doc_id", "read")
+    reads = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("read"), "text")
     return reads, bins, stored(partition.table_priors(bins, len(names), BITS), "stats")
 
 
 def _best(spark, sf_dir):
     reads, bins, stats = _read_tables(spark, sf_dir)
-    return partition.best_cluster(partition.read_evidence(reads, bins), stats)
+    return partition.best_cluster(partition.text_evidence(reads, K, BITS, bins), stats)
 
 
 def _memberships(spark, sf_dir):
     reads, bins, stats = _read_tables(spark, sf_dir)
-    return partition.memberships(reads, bins, stats, BITS)
+    return partition.rated_memberships(partition.text_evidence(reads, K, BITS, bins, True), stats, BITS)
 
 
 def _by_bin(df: DataFrame, label: str) -> DataFrame:
@@ -470,7 +470,7 @@ def _by_bin(df: DataFrame, label: str) -> DataFrame:
 def bucketed_llr_partition(spark, sf_dir):
     """read_llr_partition as for a bin table too large for all tasks: kept in buckets, met by a join."""
     reads, bins, stats = _read_tables(spark, sf_dir, _by_bin)
-    return partition.best_cluster(partition.read_evidence(reads, bins, lookup_bytes=0), stats).withColumn("llr", F.round("llr", 2))
+    return partition.best_cluster(partition.text_evidence(reads, K, BITS, bins, lookup_bytes=0), stats).withColumn("llr", F.round("llr", 2))
 
 
 @query(f"WITH {_BEST} SELECT read, cluster, round(llr, 2) AS llr FROM best")

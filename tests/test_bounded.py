@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from strandloom.functions import kmer
-from strandloom.operators import hyperplane
+from strandloom.operators import hyperplane, partition
 
 from .test_prepared import K, planes
 
@@ -80,3 +80,27 @@ def test_counts_in_counters_and_beyond(monkeypatch, counters, held, windows):
         for row in out.to_pylist():
             got[row["key"], row["bin"]] += row["cnt"]
     assert got == want and (counters < 24 << 20 or n == len(want))
+
+
+@pytest.mark.parametrize("lookup", [True, False])
+def test_evidence_of_a_batch_of_texts_is_made_in_slices(lookup):
+    rng = np.random.default_rng(2)
+    table = np.arange(1 << 12), rng.random(1 << 12), np.arange((1 << 12) + 1), rng.integers(0, 20, 1 << 12).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(texts())], names=["read", "text"])
+    frame, slices = Frame(read="long", text="string"), partition._text_slices(12, 12)
+    run = partition._evidence_by_lookup(frame, "text", slices, table, True) if lookup else partition._kmers_of(frame, "text", slices)
+    most, n = peak(run, batch)
+    assert most < 60 and n > 10
+
+
+@pytest.mark.parametrize("places,sums", [(16 << 20, 1 << 22), (0, 0)])
+@pytest.mark.parametrize("distinct", [False, True])
+def test_sums_by_place_and_by_search(monkeypatch, places, sums, distinct):
+    """Bins that a table lacks on either side of it, and clusters that aren't numbered from 0."""
+    monkeypatch.setattr(partition, "PLACES", places)
+    monkeypatch.setattr(partition, "DENSE_SUMS", sums)
+    table = np.array([3, 5, 9]), np.array([1.0, 2.0, 4.0]), np.array([0, 2, 2, 3]), np.array([7, 40, 40], dtype=np.int32)
+    row, bins = np.array([0, 0, 0, 0, 2, 2, 2, 3]), np.array([3, 3, 9, 10, -1, 5, 9, 4])
+    got = partition._sums(row, bins, 5, table, distinct, partition._places(table[0]))
+    found = sorted(zip(*(x.tolist() for x in got)))
+    assert found == ([(0, 7, 6.0, 1.0), (0, 40, 6.0, 5.0), (2, 40, 6.0, 4.0)] if distinct else [(0, 7, 6.0, 2.0), (0, 40, 6.0, 6.0), (2, 40, 4.0, 4.0)])
