@@ -61,8 +61,9 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     codes, n = (np.concatenate(x) for x in zip(*parts))
     if not len(codes):
         return codes, n
-    by = np.argsort(codes, kind="stable")
-    codes, n = codes[by], n[by]
+    if (codes[1:] < codes[:-1]).any():
+        by = np.argsort(codes, kind="stable")
+        codes, n = codes[by], n[by]
     first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
     return codes[first], np.add.reduceat(n, first)
 
@@ -127,25 +128,64 @@ def partial_counts(texts: DataFrame, key: str, text: str, k: int, bits: int) ->
     return spread_out(texts.select(key, text)).mapInArrow(run, f"`{key}` {kind}, bin long, cnt long")
 
 
+#: Distinct k-mers that a task holds before it hands them on.
+HELD_KMERS = 1_000_000
+
+
+def packed_kmers(codes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(packed, others): windows inside rows as one 64-bit number each, where k is 8 at most and all characters are under 256,
+    and the places of those that aren't."""
+    n = len(codes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    inside = row[:n] == row[k - 1 : k - 1 + n]
+    if k > 8:
+        return np.zeros(0, np.uint64), np.flatnonzero(inside)
+    wide = np.concatenate([[0], np.cumsum(codes >= 256)])
+    narrow = wide[k:] == wide[:n]
+    packed = np.zeros(n, dtype=np.uint64)
+    for i in range(k):
+        packed = (packed << np.uint64(8)) | codes[i : i + n]
+    return packed[inside & narrow], np.flatnonzero(inside & ~narrow)
+
+
 def text_kmers(texts: DataFrame, text: str, k: int, bits: int) -> DataFrame:
-    """(bin, kmer, n): the windows of k characters of all texts with their bins, added up in each batch."""
+    """(bin, kmer, n): the windows of k characters of all texts with their bins, to be added up; a task hands on each k-mer of
+    characters under 256 once for every HELD_KMERS of them, others once a slice."""
+    factors = coefficients(k, bits)
+
+    def told(windows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        bins = sum(np.uint64(c) * windows[:, i] for i, c in enumerate(factors)) & np.uint64((1 << bits) - 1)
+        raw = windows.astype("<u4").tobytes().decode("utf-32-le")
+        return pa.RecordBatch.from_arrays([pa.array(bins.astype(np.int64)), pa.array([raw[i : i + k] for i in range(0, len(raw), k)], pa.string()), pa.array(n.astype(np.int64))], names=["bin", "kmer", "n"])
+
+    def unpacked(packed: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(packed), 1 << 16):
+            part = packed[at : at + (1 << 16)]
+            yield told(np.stack([(part >> np.uint64(8 * (k - 1 - i))) & np.uint64(255) for i in range(k)], axis=1), n[at : at + (1 << 16)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
             for _, _, codes, offsets in char_slices(batch.column(0)):
-                row, bins = window_bins(codes, offsets, k, bits)
-                if not len(bins):
-                    continue
-                number = np.arange(len(codes) - k + 1)
-                inside = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                at = number[inside[: len(number)] == inside[k - 1 :]]
-                windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, k)[at])
-                _, first, n = np.unique(windows.view(np.dtype((np.void, 4 * k))).ravel(), return_index=True, return_counts=True)
-                for a in range(0, len(first), 1 << 16):
-                    some = first[a : a + (1 << 16)]
-                    names = windows[some].tobytes().decode("utf-32-le")
-                    kmer = pa.array([names[i : i + k] for i in range(0, len(names), k)], pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(bins[some]), kmer, pa.array(n[a : a + (1 << 16)])], names=["bin", "kmer", "n"])
+                packed, others = packed_kmers(codes, offsets, k)
+                held.append(_added([(np.sort(packed), np.ones(len(packed), dtype=np.int64))]))
+                size += len(held[-1][0])
+                if len(others):
+                    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, k)[others])
+                    _, first, n = np.unique(windows.view(np.dtype((np.void, 4 * k))).ravel(), return_index=True, return_counts=True)
+                    for a in range(0, len(first), 1 << 16):
+                        yield told(windows[first[a : a + (1 << 16)]].astype(np.uint64), n[a : a + (1 << 16)])
+                if size >= 2 * HELD_KMERS:
+                    held = [_added(held)]
+                    size = len(held[0][0])
+                    if size > HELD_KMERS:
+                        yield from unpacked(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from unpacked(*_added(held))
 
     return spread_out(texts.select(text)).mapInArrow(run, "bin long, kmer string, n long")
 

@@ -60,16 +60,27 @@ def collision_blocks(kmers: DataFrame, block: int = BLOCK_KMERS) -> DataFrame:
 
 def _differences(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, same: bool, k: int, total: list[int]) -> None:
     """Adds the weighed pairs of two blocks (code points, k-mers by places) to a histogram of distances."""
+    # letters of both blocks as small numbers: a comparison is of bytes
+    letters = np.unique(np.concatenate([a.ravel(), b.ravel()]))
+    if len(letters) <= 256:
+        a, b = (np.searchsorted(letters, x).astype(np.uint8) for x in (a, b))
+    across = np.ascontiguousarray(b.T)
+    most = int(na.max()) * int(nb.max())
+    plain = float(most) * len(a) * len(b) < 1 << 53  # sums of weights are exact in doubles
     for at in range(0, len(a), 256):
-        part = a[at : at + 256]
-        apart = np.zeros((len(part), len(b)), dtype=np.int16)
+        part, weight = a[at : at + 256], na[at : at + 256]
+        apart = np.zeros((len(part), len(b)), dtype=np.uint8 if k < 255 else np.int16)
         for j in range(k):
-            apart += part[:, j, None] != b[None, :, j]
-        weight = na[at : at + 256, None] * nb[None, :]
+            apart += part[:, j, None] != across[j]
         if same:  # each pair once
-            weight = np.where(np.arange(at, at + len(part))[:, None] < np.arange(len(b))[None, :], weight, 0)
-        for d in np.flatnonzero(np.bincount(apart.ravel(), minlength=k + 1)):
-            total[d] += int(weight[apart == d].sum())
+            apart[np.arange(at, at + len(part))[:, None] >= np.arange(len(b))[None, :]] = k + 1
+        if plain:
+            sums = np.bincount(apart.ravel(), weights=np.multiply.outer(weight, nb).ravel() if most > 1 else None, minlength=k + 2)
+            for d in range(k + 1):
+                total[d] += int(sums[d])
+            continue
+        for d in np.flatnonzero(np.bincount(apart.ravel(), minlength=k + 2)[: k + 1]):
+            total[d] += int((weight[:, None] * nb[None, :])[apart == d].sum())
 
 
 def collision_histogram(kmers: DataFrame, k: int, block: int = BLOCK_KMERS) -> DataFrame:
@@ -79,6 +90,8 @@ def collision_histogram(kmers: DataFrame, k: int, block: int = BLOCK_KMERS) -> D
     counts with k - 1. A bin's k-mers lie in blocks, and every two blocks of a bin are a row of their own, dealt by bin and
     block pair, so a large bin is the work of many tasks; a task hands on its histogram, and no pair is ever a row.
     """
+    # made once: sizes, blocks and equal pairs all read it
+    kmers = stored(kmers.select("bin", "kmer", "n"), "collision-kmers")
     equal = kmers.select(F.lit(0).alias("distance"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("p"))
     blocks = stored(collision_blocks(kmers, block), "collision-blocks")
     # blocks x and y, x <= y, meet where x has a row for each y and y for each x

@@ -104,3 +104,19 @@ def test_sums_by_place_and_by_search(monkeypatch, places, sums, distinct):
     got = partition._sums(row, bins, 5, table, distinct, partition._places(table[0]))
     found = sorted(zip(*(x.tolist() for x in got)))
     assert found == ([(0, 7, 6.0, 1.0), (0, 40, 6.0, 5.0), (2, 40, 6.0, 4.0)] if distinct else [(0, 7, 6.0, 2.0), (0, 40, 6.0, 6.0), (2, 40, 4.0, 4.0)])
+
+
+@pytest.mark.parametrize("k", [3, 8, 9])
+def test_kmers_are_added_up_over_slices(monkeypatch, k):
+    """Copies of a text in many slices and batches are one row each, unless their characters are wide."""
+    monkeypatch.setattr(kmer, "SLICE_CHARS", 64)
+    rows = [*texts(2, 40) * 20, None, "", "AC", "\u00e9\U0001F600" * 9, "\u00ff" * 20]
+    batches = [pa.RecordBatch.from_arrays([pa.array(rows[i : i + 9], pa.string())], names=["text"]) for i in range(0, len(rows), 9)]
+    want = Counter(t[i : i + k] for t in rows if t for i in range(len(t) - k + 1))
+    got, n = Counter(), 0
+    for out in kmer.text_kmers(Frame(text="string"), "text", k, 10)(iter(batches)):
+        n += out.num_rows
+        for row in out.to_pylist():
+            got[row["kmer"]] += row["n"]
+            assert row["bin"] == sum(ord(c) * x for c, x in zip(row["kmer"], kmer.coefficients(k, 10))) % 1024
+    assert got == want and (k > 8 or n == len(want))
