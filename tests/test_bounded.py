@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from strandloom.functions import kmer
-from strandloom.operators import hyperplane, partition
+from strandloom.operators import hyperplane, partition, planted
 
 from .test_prepared import K, planes
 
@@ -120,3 +120,9 @@ def test_kmers_are_added_up_over_slices(monkeypatch, k):
             got[row["kmer"]] += row["n"]
             assert row["bin"] == sum(ord(c) * x for c, x in zip(row["kmer"], kmer.coefficients(k, 10))) % 1024
     assert got == want and (k > 8 or n == len(want))
+
+
+def test_seeds_of_a_batch_of_texts_are_made_in_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(texts())], names=["key", "text"])
+    most, n = peak(planted.seeds(Frame(key="long", text="string"), "key", "text", 15, 50), batch)
+    assert most < 15 and n > 10
