@@ -126,3 +126,10 @@ def test_seeds_of_a_batch_of_texts_are_made_in_slices():
     batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(texts())], names=["key", "text"])
     most, n = peak(planted.seeds(Frame(key="long", text="string"), "key", "text", 15, 50), batch)
     assert most < 15 and n > 10
+
+
+@pytest.mark.parametrize("text", [texts(1, 3_000_000)[0], "A" * 300_000], ids=["long", "one character"])
+def test_seeds_of_one_text_are_made_in_pieces(text):
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["key", "text"])
+    most, n = peak(planted.seeds(Frame(key="long", text="string"), "key", "text", 15, 50), batch)
+    assert most < 25 and n > 5

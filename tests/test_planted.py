@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.operators import planted
 
@@ -57,3 +59,31 @@ def test_empty_sides(spark):
     some = spark.createDataFrame([(1, "A" * 80)], "item_id long, text string")
     assert planted.planted(none, "doc_id", some, "item_id").count() == 0
     assert planted.planted(some, "item_id", none, "doc_id").count() == 0
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64])
+def test_pieces_of_a_text_have_the_seeds_of_the_whole(monkeypatch, piece):
+    monkeypatch.setattr(planted, "PIECE", piece)
+    rng = random.Random(piece)
+    for text in ["".join(rng.choice("ACé\U0001F600") for _ in range(n)) for n in (0, 11, 12, 13, 70, 500)] + ["A" * 90, "AC" * 60]:
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        want = planted.minimisers(codes, 5, 8)
+        parts = list(planted._seeds_of(text, 5, 12))
+        assert [p for places, _ in parts for p in places.tolist()] == want.tolist()
+        assert [s for _, found in parts for s in found.tolist()] == planted._hashes(codes, 5)[want].astype(np.int64).tolist()
+
+
+def test_batches_to_workers_are_small(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(64 << 20))
+    try:
+        texts = spark.range(24).select("id", F.expr("repeat(concat('text', id), 200000)").alias("text")).coalesce(1)
+        planted.planted(texts, "id", spark.createDataFrame([(1, "A" * 80)], "item_id long, text string"), "item_id")
+        sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+        assert max(r["n"] for r in sizes) <= planted.BATCH_BYTES + 2_000_000 and sum(r["n"] for r in sizes) > 20_000_000
+        spark.conf.set(name, "1000")
+        planted.bound_batches(spark)
+        assert spark.conf.get(name).removesuffix("b") == "1000"
+    finally:
+        spark.conf.set(name, before)
